@@ -303,7 +303,7 @@ class Encoder:
         head, at = {}, 0
         with open(os.path.join(folder, self.name), "wb") as f:
             for k, x in arrays.items():
-                head[k] = (x.dtype.str, len(x), at)
+                head[k] = (x.dtype.str, x.size, at)
                 f.write(x.tobytes())
                 f.write(b"\0" * (-x.nbytes % 8))
                 at += x.nbytes + -x.nbytes % 8
@@ -316,7 +316,7 @@ class Encoder:
             _MAPPED.clear()
             whole = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
             x = {k: whole[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in self.head.items()}
-            x["ranks"] = {(a, b): (r, c) for r, (a, b, c) in enumerate(x["merges"].tolist())}
+            x["ranks"] = {(a, b): (r, c) for r, (a, b, c) in enumerate(x["merges"].reshape(-1, 3).tolist())}
             x["cache"] = {}
             _MAPPED[self.name] = x
         return _MAPPED[self.name]
