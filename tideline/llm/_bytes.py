@@ -68,12 +68,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES):
         at = to
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last byte of each word, and the row that it stands in."""
+#: Bytes of letters: A-Z, a-z and all of multi-byte characters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of each word, and the row that it stands in. `inside`: by byte, whether it belongs to a word."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_BLANK[data]
+    solid = inside[data]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     after = np.empty_like(solid)
@@ -145,3 +150,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return row[new], h[new]
+
+
+def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, hash), ordered by row, then hash."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new]

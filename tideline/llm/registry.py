@@ -1,9 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from tideline.llm import jaccard
+from tideline.llm import bpe, jaccard, mixing
 
 QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
+    "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
 }
 
 ORACLES: dict[str, str] = {}
