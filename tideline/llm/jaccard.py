@@ -10,6 +10,8 @@ n - T + 1 shortest: each partner occurs in at least one short list. Here
   is first compared with its shortest document only (a star: as many pairs as rows), then, between documents that
   the stars haven't connected, in full. Copies of one set in a task are one entry. Nothing grows with the square of a
   group of near copies, and no link between different components is lost;
+* a pair has to pass bounds that can't reject a similar one: its sizes, the ranks of the shared shingle, and the Hamming distance of
+  the sets' parity bitmaps, which is at most the size of the sets' symmetric difference;
 * long lists aren't merged: the partner's set is probed by binary search for the exact overlap.
 
 Columns: one row per input row. Null and empty texts have no shingle and link with nothing; a text with 1 to 4 words is one
@@ -31,6 +33,9 @@ from tideline.llm._common import components, cut, table
 
 #: Counters of the list-length sketch, and how many of them travel in one row.
 SKETCH, BLOCK = 1 << 20, 1 << 12
+#: 64-bit words of the parity bitmap of a set.
+MAP_WORDS = 8
+MAPS = [f"m{i}" for i in range(MAP_WORDS)]
 #: Bits of the filter that tells which documents' sets are wanted.
 FILTER_BITS = 1 << 23
 
@@ -81,13 +86,22 @@ def _set_hashes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return count, digests[0], digests[1]
 
 
+def _parity_maps(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Bit i of a row's bitmap: whether an odd number of its hashes fall on i."""
+    bits = 64 * MAP_WORDS
+    odd = np.bincount(row * bits + (h % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
         for at, data, offsets in _bytes.slices(batch.column("text")):
             n = len(offsets) - 1
-            count, a, b = _set_hashes(*_bytes.shingle_sets(data, offsets), n)
-            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64)), "d2": pa.array(b.view(np.int64))})
+            row, h = _bytes.shingle_sets(data, offsets)
+            count, a, b = _set_hashes(row, h, n)
+            maps = _parity_maps(row, h, n)
+            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64)), "d2": pa.array(b.view(np.int64))} | {m: pa.array(maps[:, i]) for i, m in enumerate(MAPS)})
 
 
 def _short_lists(levels, percent: int):
@@ -165,6 +179,13 @@ def _can_reach(n_a: str, rank_a: str, n_b: str, rank_b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (rest * (100 + percent) >= (a + b) * percent)
 
 
+def _near_maps(x: str, y: str, n_x: str, n_y: str, percent: int):
+    """The bitmaps differ in no more bits than the elements in which similar sets of these sizes can differ."""
+    apart = sum(F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m))) for m in MAPS)
+    n = F.col(n_x).cast("long") + F.col(n_y).cast("long")
+    return (apart * (100 + percent)) <= n * (100 - percent)
+
+
 def _wanted_sets(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bits.value
@@ -245,7 +266,7 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, d2 long"))
+    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{m} long" for m in MAPS)))
     classes = profiles.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = cut(profiles.where("n_shingles > 0").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"))
 
@@ -255,22 +276,24 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     lists = lists.repartition(parts, "h").sortWithinPartitions("h", "n", "doc_id")
     lists = cut(lists.mapInArrow(_merge_lists, "h long, doc_id long, n int, rank int, c_id long, c_n int, c_rank int"))
 
+    maps = profiles.where("n_shingles > 0").select("doc_id", "n_shingles", *MAPS)
+    side = lambda k: maps.join(member, "doc_id").select(F.col("doc_id").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n_shingles").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
     stars = lists.where("doc_id <> c_id").where(_can_reach("n", "rank", "c_n", "c_rank", percent))
     stars = stars.select(F.least("doc_id", "c_id").alias("a"), F.greatest("doc_id", "c_id").alias("b")).distinct()
-    rep_a, rep_b = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    stars = stars.join(rep_a, "a").join(rep_b, "b").where("ra <> rb")
-    stars = cut(stars.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b").where(_near_maps("a_", "b_", "n_a", "n_b", percent))
+    stars = cut(stars.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
     edges = cut(_verified(known, stars, percent).union(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     linked = components(edges)
 
     # Lists whose documents are still in several components: compare across components, in full.
     tagged = lists.select("h", "doc_id", "n", "rank").join(member, "doc_id").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    tagged = tagged.withColumn("c", F.coalesce("component", "rep")).groupBy("h", "rep", "c").agg(F.first("n").alias("n"), F.first("rank").alias("rank"))
+    tagged = cut(tagged.withColumn("c", F.coalesce("component", "rep")).groupBy("h", "rep", "c").agg(F.first("n").alias("n"), F.first("rank").alias("rank")))
     open_lists = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    tagged = cut(tagged.join(open_lists, "h", "left_semi"))
-    x = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank")])
-    y = tagged.select("h", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank")])
-    rest = x.join(y, "h").where("x_c < y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
+    tagged = cut(tagged.join(open_lists, "h", "left_semi").join(maps.select(F.col("doc_id").alias("rep"), *MAPS), "rep"))
+    x = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
+    y = tagged.select("h", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
+    near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
+    rest = x.join(y, (x["h"] == y["h"]) & near)
     rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     more = _verified(known, rest, percent)
