@@ -157,7 +157,7 @@ def _fitting_rows(chosen: np.ndarray):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = 0.3, fairness: float = 20.0, steps: int = 30) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = 0.15, fairness: float = 20.0, steps: int = 30) -> np.ndarray:
     """Newton's method for mean-free logistic regression; the last weight is the intercept.
 
     change: rows of feature differences (swapped minus own); their squared logit change is penalised.
