@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import table, texts
+from tideline.llm._common import cut, table, texts
 
 #: The contraction endings that are words of their own after an apostrophe, in order of precedence.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -144,36 +144,55 @@ class Vocabulary:
         self.bytes_ids = np.array([vocab[next(c for c, v in to_byte.items() if v == b)] for b in range(256)], np.int32)
 
 
-def merge(word: bytes, byte_ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids of one word: the pair of lowest rank is merged first, the leftmost among equals."""
+NEVER = 1 << 62
+
+
+def merge(word: bytes, byte_ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """Ids of one word: the pair of lowest rank is merged first, the leftmost among equals.
+
+    ranks: rank of the pair (a, b) at a << 32 | b; made: the id that a rank's pair becomes.
+    """
     ids = [byte_ids[b] for b in word]
-    if len(ids) <= 48:
-        while len(ids) > 1:
-            best = min(((ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
-            if best is None:
+    get = ranks.get
+    if len(ids) <= 200:
+        rank = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while rank:
+            low = min(rank)
+            if low == NEVER:
                 break
-            i = best[1]
-            ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+            i = rank.index(low)
+            ids[i] = made[low]
+            del ids[i + 1], rank[i]
+            if i:
+                rank[i - 1] = get(ids[i - 1] << 32 | ids[i], NEVER)
+            if i < len(rank):
+                rank[i] = get(ids[i] << 32 | ids[i + 1], NEVER)
         return ids
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    heap = [(ranks[p], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(ids, ids[1:])) if p in ranks]
     heapq.heapify(heap)
     while heap:
-        _, i, (a, b) = heapq.heappop(heap)
+        rank, i, p = heapq.heappop(heap)
         j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
+        if j >= n or ids[i] < 0 or ids[j] < 0 or ids[i] << 32 | ids[j] != p:
             continue
-        ids[i], ids[j] = ranks[a, b][1], -1
+        ids[i], ids[j] = made[rank], -1
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
         for x, y in ((before[i], i), (i, after[i])):
-            if x >= 0 and y < n and (p := (ids[x], ids[y])) in ranks:
-                heapq.heappush(heap, (ranks[p][0], x, p))
+            if x >= 0 and y < n and (q := ids[x] << 32 | ids[y]) in ranks:
+                heapq.heappush(heap, (ranks[q], x, q))
     return [i for i in ids if i >= 0]
 
 
+def merge_table(merges: np.ndarray) -> tuple[dict[int, int], list[int]]:
+    """ranks and made of `merge` from rows (left id, right id, merged id) in rank order."""
+    rows = merges.reshape(-1, 3).tolist()
+    return {a << 32 | b: r for r, (a, b, _) in enumerate(rows)}, [c for _, _, c in rows]
+
+
 def compile_lexicon(sorted_words: list[bytes]) -> dict[str, np.ndarray]:
     """Minimal acyclic automaton of sorted distinct words, with numbers on the edges that add up to a word's place."""
     nodes: list[list] = [[False, []]]  # final?, [label, node]...
@@ -271,7 +290,7 @@ def _count(special: bytes):
                 for a, b, k in zip(first[at].tolist(), last[at].tolist(), n.tolist()):
                     w = raw[a : b + 1]
                     counts[w] = counts.get(w, 0) + k
-                if len(counts) > 400_000:  # memory; the next stage adds up
+                if len(counts) > 250_000:  # memory; the next stage adds up
                     yield give()
                     counts = {}
         if counts:
@@ -285,15 +304,28 @@ def word_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("text").mapInArrow(_count(vocabulary.special), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> list[bytes]:
+    """The most frequent words, at most `most`: all words from the count on, in steps of a sixteenth of an octave, that few enough reach."""
+    counted = word_frequencies(docs, vocabulary).where("length(word) <= 64")
+    counted = cut(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    lowest = total = 0
+    for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):  # a few hundred rows at most
+        total += n
+        if total > most:
+            lowest = step + 1
+            break
+    return [bytes(r["word"]) for r in counted.where(F.col("step") >= lowest).select("word").collect()]
+
+
 class Encoder:
     """A compiled vocabulary and lexicon; `name` is a file that Spark has given to every executor."""
 
-    def __init__(self, spark, docs: DataFrame, path: str, lexicon_words: int = 32_768):
+    def __init__(self, spark, docs: DataFrame, path: str, lexicon_words: int = 65_536):
         v = Vocabulary(path)
-        frequent = word_frequencies(docs, v).where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(lexicon_words).collect()
-        listed = sorted(bytes(r["word"]) for r in frequent)
-        ranks = {(a, b): (r, c) for r, (a, b, c) in enumerate(v.merges.tolist())}
-        ids = [merge(w, v.bytes_ids.tolist(), ranks) for w in listed]
+        listed = sorted(frequent_words(docs, v, lexicon_words))
+        ranks, made = merge_table(v.merges)
+        byte_ids = v.bytes_ids.tolist()
+        ids = [merge(w, byte_ids, ranks, made) for w in listed]
         arrays = compile_lexicon(listed)
         arrays |= {"merges": v.merges, "byte_ids": v.bytes_ids, "special": np.frombuffer(v.special, np.uint8), "special_id": np.array([v.special_id])}
         arrays |= {"list_ends": np.cumsum([0, *map(len, ids)]), "list_ids": np.array([i for x in ids for i in x], np.int32)}
@@ -316,7 +348,8 @@ class Encoder:
             _MAPPED.clear()
             whole = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
             x = {k: whole[at : at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in self.head.items()}
-            x["ranks"] = {(a, b): (r, c) for r, (a, b, c) in enumerate(x["merges"].reshape(-1, 3).tolist())}
+            x["ranks"], x["made"] = merge_table(x["merges"])
+            x["byte_list"] = x["byte_ids"].tolist()
             x["cache"] = {}
             _MAPPED[self.name] = x
         return _MAPPED[self.name]
@@ -337,28 +370,30 @@ def _ids_of(x: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     ends, known = x["list_ends"], place >= 0
     size = np.zeros(len(at), np.int64)
     size[known] = ends[place[known] + 1] - ends[place[known]]
-    raw, cache, extra, where = data.tobytes(), x["cache"], [], {}
-    byte_ids = x["byte_ids"].tolist()
-    for i in np.flatnonzero(~known):
-        if flag[i]:
+    raw, cache, extra = data.tobytes(), x["cache"], []
+    byte_list, ranks, made = x["byte_list"], x["ranks"], x["made"]
+    unknown = np.flatnonzero(~known)
+    places, sizes = [], []
+    for a, b, special in zip(first[unknown].tolist(), (last[unknown] + 1).tolist(), flag[unknown].tolist()):
+        if special:
             got = [int(x["special_id"][0])]
         else:
-            w = raw[first[i] : last[i] + 1]
+            w = raw[a:b]
             got = cache.get(w)
             if got is None:
-                got = merge(w, byte_ids, x["ranks"])
-                if len(cache) > 150_000:
+                got = merge(w, byte_list, ranks, made)
+                if len(cache) > 200_000:
                     cache.clear()
-                if len(w) <= 64:
+                if b - a <= 64:
                     cache[w] = got
-        where[i] = len(extra)
-        extra.extend(got)
-        size[i] = len(got)
+        places.append(len(extra))
+        sizes.append(len(got))
+        extra += got
+    size[unknown] = sizes
     pool = np.r_[x["list_ids"], np.array(extra, np.int32)] if extra else x["list_ids"]
     begin = np.zeros(len(at), np.int64)
     begin[known] = ends[place[known]]
-    if where:
-        begin[list(where)] = np.array(list(where.values())) + len(x["list_ids"])
+    begin[unknown] = np.array(places, np.int64) + len(x["list_ids"])
     times = size[back]
     index = np.arange(times.sum()) + np.repeat(begin[back] - (np.cumsum(times) - times), times)
     return pool[index], np.bincount(row, weights=times, minlength=n_rows).astype(np.int64)
