@@ -211,14 +211,32 @@ def score(stats: DataFrame, model: Model | float) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
+def train(stats: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model | float:
+    """A model from rows of statistics and `labels` (doc_id, quality) outside the held-out fold."""
+    y = labels.where(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    return fit(cut(stats.join(y, "doc_id").drop("doc_id")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of all `docs`, learnt from `labels` (doc_id, quality) outside the held-out fold."""
     stats = cut(with_statistics(docs))
-    y = labels.where(F.col("quality").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    train = cut(stats.join(y, "doc_id").drop("doc_id"))
-    out = score(stats, fit(train))
+    out = score(stats, train(stats, labels, folds, held_out))
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` whose text scores at least `threshold`, all columns as they are. Texts aren't shuffled: they are scored where they are read."""
+    model = train(cut(with_statistics(docs)), labels)
+    if isinstance(model, float):
+        return docs if model >= threshold else docs.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.concatenate([np.zeros(0), *(model.score(statistics(data, offsets)) for _, data, offsets in _bytes.slices(batch.column("text")))]) >= threshold
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,15 +1,18 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from tideline.llm import bpe, jaccard, mixing, quality, rules, secrets, toxicity
+from tideline.llm import bpe, forest, jaccard, mixing, quality, quotes, rules, secrets, toxicity, wordpiece
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_token_counts": wordpiece.op3_token_counts,
+    "op4_embedding_near_dedup": forest.op4_embedding_near_dedup,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_toxicity_classifier": toxicity.op8_toxicity_classifier,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
+    "op10_chat_formatting": quotes.op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {}

@@ -109,31 +109,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with the values of live secrets in `text` replaced by a mark; other rows and columns as they are.
+    """`docs` (doc_id, text, source, lang, ...) with the values of live secrets in `text` replaced by a mark; all else as it is.
 
-    Overlapping spans are one stretch. The value is the end of its span, so an assignment keeps its key.
+    Overlapping spans are one stretch. The value is the end of its span, so an assignment keeps its key. Texts without a candidate are
+    passed through where they are read; only the others are joined with what was found.
     """
-    d = cut(docs.withColumn("row__", F.monotonically_increasing_id()))
     live = F.filter("spans", lambda s: s["live"])
     cuts = F.sort_array(F.transform(live, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("a"), s["end"].alias("b"))))
-    found = find_secrets_of(d, "row__").where(F.size(live) > 0).select("row__", cuts.alias("cuts"))
-    text = F.col("text")
+    maybe = F.coalesce(F.rlike("text", F.lit("|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, *ADDED.values())))), F.lit(False))
+    some = docs.where(maybe)
+    found = find_secrets(some).where(F.size(live) > 0).groupBy("doc_id").agg(F.first(cuts).alias("cuts__"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("text")
 
     def step(acc, c):
         inside = c["a"] < acc["at"]  # it goes on from the stretch before
         kept = F.substring(text, acc["at"] + 1, c["a"] - acc["at"])
         return F.struct(F.greatest(acc["at"], c["b"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark))).alias("out"))
 
-    new = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = d.join(found, "row__", "left").withColumn("text", F.when(F.col("cuts").isNotNull(), new).otherwise(text))
-    return out.select(*docs.columns)
-
-
-def find_secrets_of(d: DataFrame, row: str) -> DataFrame:
-    """find_secrets with the caller's row number in place of its own."""
-    found = find_secrets(d.select(F.col(row).alias("doc_id"), "text", "source", "lang"))
-    return found.select(F.col("doc_id").alias(row), "spans")
+    new = F.aggregate("cuts__", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = some.join(found, "doc_id", "left").withColumn("text", F.when(F.col("cuts__").isNotNull(), new).otherwise(text))
+    return docs.where(~maybe).select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
