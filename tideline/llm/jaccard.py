@@ -6,10 +6,10 @@ n - T + 1 shortest: each partner occurs in at least one short list. Here
 
 * list lengths come from a sketch of fixed size (counts of all documents' shingles by hash range), which orders shingles
   from rare to frequent. The order only decides which lists are long; any order gives the same result;
-* short lists are built by one shuffle on the shingle and merged in hash order within each partition, as a stream. A list
-  is first compared with its shortest document only (a star: as many pairs as rows), then, between documents that
-  the stars haven't connected, in full. Copies of one set in a task are one entry. Nothing grows with the square of a
-  group of near copies, and no link between different components is lost;
+* short lists are built by one shuffle on the shingle and merged in hash order within each partition, as a stream. Copies of one set
+  are one entry. A list is first compared with one document only, its center (a star: as many pairs as rows), in a few rounds with
+  other centers, and each round only between documents that aren't connected yet; last, what is still in several components is
+  compared in full. So a group of near copies costs rows, not pairs, and no link between different components is lost;
 * a pair has to pass bounds that can't reject a similar one: its sizes, the ranks of the shared shingle, and the Hamming distance of
   the sets' parity bitmaps, which is at most the size of the sets' symmetric difference;
 * long lists aren't merged: the partner's set is probed by binary search for the exact overlap.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import components, cut, table
+from tideline.llm._common import components, cut, release, table
 
 #: Counters of the list-length sketch, and how many of them travel in one row.
 SKETCH, BLOCK = 1 << 20, 1 << 12
@@ -134,42 +134,25 @@ def _short_lists(levels, percent: int):
 
 
 def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by list: give each row of a list of two or more the first row of its list, the center."""
-    last = center = None
-    held: dict[str, np.ndarray] = {}
-
-    def give(part: dict[str, np.ndarray], head: dict) -> pa.RecordBatch:
-        n = len(part["h"])
-        full = lambda k, t: pa.array(np.full(n, head[k]), t)
-        return pa.record_batch({"h": pa.array(part["h"]), "doc_id": pa.array(part["doc_id"]), "n": pa.array(part["n"]), "rank": pa.array(part["rank"]), "c_id": full("doc_id", pa.int64()), "c_n": full("n", pa.int32()), "c_rank": full("rank", pa.int32())})
-
+    """Rows sorted by list: those of lists with two rows or more. What is carried from batch to batch is one row."""
+    held = None
+    last = None
     for batch in batches:
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc_id", "n", "rank")}
-        h = cols["h"]
+        h = batch.column("h").to_numpy(zero_copy_only=False)
         if not len(h):
             continue
         begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        end = np.r_[begin[1:], len(h)]
-        first = 0
+        size = np.diff(np.r_[begin, len(h)])
+        keep = np.repeat(size > 1, size)
         if last is not None and h[0] == last:  # the list goes on from the batch before
-            if held:
-                yield give(held, center)
-                held = {}
-            yield give({k: v[: end[0]] for k, v in cols.items()}, center)
-            first = 1
-        inner = np.arange(first, len(begin))
-        size = end[inner] - begin[inner]
-        many = inner[size > 1]
-        if len(many):
-            times = end[many] - begin[many]
-            heads = np.repeat(begin[many], times)
-            rows = np.arange(len(heads)) - np.repeat(np.cumsum(times) - times, times) + heads
-            yield pa.record_batch({k: pa.array(v[rows]) for k, v in cols.items()} | {"c_id": pa.array(cols["doc_id"][heads]), "c_n": pa.array(cols["n"][heads]), "c_rank": pa.array(cols["rank"][heads])})
-        if first < len(begin):
-            at = begin[-1]
-            center = {k: v[at].item() for k, v in cols.items()}
-            held = {k: v[at : at + 1].copy() for k, v in cols.items()} if end[-1] - at == 1 else {}
+            if held is not None:
+                yield held
+            keep[: size[0]] = True
+        goes_on = len(begin) == 1 and last is not None and h[0] == last
+        held = batch.slice(len(h) - 1, 1) if size[-1] == 1 and not goes_on else None
         last = h[-1]
+        if keep.any():
+            yield batch.filter(pa.array(keep))
 
 
 def _can_reach(n_a: str, rank_a: str, n_b: str, rank_b: str, percent: int):
@@ -261,45 +244,63 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long"))
 
 
-def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (rep, c) after the links (a, b) between representatives: only the graph of the components that they touch is solved."""
+    of = lambda k: label.select(F.col("rep").alias(k), F.col("c").alias(f"c{k}"))
+    edges = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = components(edges)
+    return cut(label.join(new.withColumnRenamed("node", "c"), "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
+
+
+def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id long, text): links at 100 * overlap >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{m} long" for m in MAPS)))
-    classes = profiles.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(profiles.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     member = cut(profiles.where("n_shingles > 0").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"))
 
     levels = spark.sparkContext.broadcast(list_levels(known))
     lists = known.mapInArrow(_short_lists(levels, percent), "h long, doc_id long, n int, rank int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(parts, "h").sortWithinPartitions("h", "n", "doc_id")
-    lists = cut(lists.mapInArrow(_merge_lists, "h long, doc_id long, n int, rank int, c_id long, c_n int, c_rank int"))
-
-    maps = profiles.where("n_shingles > 0").select("doc_id", "n_shingles", *MAPS)
-    side = lambda k: maps.join(member, "doc_id").select(F.col("doc_id").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n_shingles").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
-    stars = lists.where("doc_id <> c_id").where(_can_reach("n", "rank", "c_n", "c_rank", percent))
-    stars = stars.select(F.least("doc_id", "c_id").alias("a"), F.greatest("doc_id", "c_id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b").where(_near_maps("a_", "b_", "n_a", "n_b", percent))
-    stars = cut(stars.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
-    edges = cut(_verified(known, stars, percent).union(member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-    linked = components(edges)
-
-    # Lists whose documents are still in several components: compare across components, in full.
-    tagged = lists.select("h", "doc_id", "n", "rank").join(member, "doc_id").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    tagged = cut(tagged.withColumn("c", F.coalesce("component", "rep")).groupBy("h", "rep", "c").agg(F.first("n").alias("n"), F.first("rank").alias("rank")))
-    open_lists = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    tagged = cut(tagged.join(open_lists, "h", "left_semi").join(maps.select(F.col("doc_id").alias("rep"), *MAPS), "rep"))
-    x = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
-    y = tagged.select("h", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
-    near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
-    rest = x.join(y, (x["h"] == y["h"]) & near)
-    rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    more = _verified(known, rest, percent)
-    linked = components(cut(edges.union(more)))
-    out = profiles.select("doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    lists = lists.mapInArrow(_merge_lists, "h long, doc_id long, n int, rank int").join(member, "doc_id")
+    lists = lists.groupBy("h", "rep").agg(F.first("n").alias("n"), F.first("rank").alias("rank"))  # equal sets have equal ranks
+    lists = cut(lists)
+    release(spark)
+    maps = profiles.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *MAPS)
+    label = cut(classes.select("rep", F.col("rep").alias("c")))
+    tried = None
+    for turn in range(stars + 1):
+        # only lists whose documents are in several components go on
+        tagged = lists.join(label, "rep")
+        still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        tagged = cut(tagged.join(still, "h", "left_semi"))
+        if tagged.isEmpty():
+            break
+        lists = tagged.select("h", "rep", "n", "rank")
+        if turn < stars:
+            center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank")])).alias("y")).select("h", "y.*")
+            pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
+        else:
+            full = cut(tagged.join(maps.drop("n"), "rep"))
+            x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
+            y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
+            near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
+            pairs = x.join(y, (x["h"] == y["h"]) & near)
+        pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if turn < stars:
+            of = lambda k: maps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
+            pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
+        pairs = cut(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        label = _joined(label, _verified(known, pairs, percent))
+        release(spark)
+    out = profiles.select("doc_id", "n_shingles").join(member.join(label, "rep").select("doc_id", "c"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
