@@ -43,3 +43,16 @@ def average_rank(by: list[str], value: str) -> Column:
     """Rank from 1 with ties averaged."""
     same = Window.partitionBy(*by, value)
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
+
+
+def contains_join_first(names: DataFrame, files: DataFrame, needle: Column, name: str, path: str, ordinal: str) -> DataFrame:
+    """For each name the first file (by ordinal) whose path contains the needle.
+
+    The names go to all executors only while they are few; more of them are joined by the path's pieces between slashes.
+    """
+    if names.limit(10_001).count() <= 10_000:
+        j = files.join(F.broadcast(names), F.contains(F.col(path), needle))
+    else:
+        parts = files.withColumn(name, F.explode(F.array_distinct(F.split(path, "/"))))
+        j = parts.join(names, name)
+    return j.groupBy(name).agg(F.min(ordinal).alias(ordinal))
