@@ -74,16 +74,13 @@ def list_levels(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _set_hashes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two 64-bit digests of each row's set."""
+def _set_hashes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and a 64-bit digest of each row's set."""
     count = np.bincount(row, minlength=n)
-    digests = []
-    for salt in (0x1234567, 0x89ABCDE):
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(_bytes.mix(h ^ np.uint64(salt)), out=sums[1:])
-        ends = np.cumsum(count)
-        digests.append(sums[ends] - sums[ends - count])
-    return count, digests[0], digests[1]
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(_bytes.mix(h ^ np.uint64(0x1234567)), out=sums[1:])
+    ends = np.cumsum(count)
+    return count, _bytes.mix(sums[ends] - sums[ends - count] + count.astype(np.uint64))
 
 
 def _parity_maps(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -99,22 +96,21 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, data, offsets in _bytes.slices(batch.column("text")):
             n = len(offsets) - 1
             row, h = _bytes.shingle_sets(data, offsets)
-            count, a, b = _set_hashes(row, h, n)
+            count, a = _set_hashes(row, h, n)
             maps = _parity_maps(row, h, n)
-            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64)), "d2": pa.array(b.view(np.int64))} | {m: pa.array(maps[:, i]) for i, m in enumerate(MAPS)})
+            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64))} | {m: pa.array(maps[:, i]) for i, m in enumerate(MAPS)})
 
 
 def _short_lists(levels, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for at, data, offsets in _bytes.slices(batch.column("text")):
+            for _, data, offsets in _bytes.slices(batch.column("text")):
                 n_rows = len(offsets) - 1
                 row, h = _bytes.shingle_sets(data, offsets)
-                count, a, b = _set_hashes(row, h, n_rows)
+                count, a = _set_hashes(row, h, n_rows)
                 new = np.ones(n_rows, bool)
-                for r, key in enumerate(zip(count.tolist(), a.tolist(), b.tolist())):
+                for r, key in enumerate(a.tolist()):
                     if key in seen:
                         new[r] = False
                     elif len(seen) < 1_000_000:  # what isn't remembered is an entry of its own: the result is the same
@@ -128,31 +124,65 @@ def _short_lists(levels, percent: int):
                 rank = np.arange(len(h)) - begin[row]
                 short = rank < (count - _needed(count, percent) + 1)[row]
                 row, h, rank = row[short], h[short], rank[short]
-                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[at + row], pa.int64()), "n": pa.array(count[row], pa.int32()), "rank": pa.array(rank, pa.int32())})
+                yield pa.record_batch({"h": pa.array(h.view(np.int64)), "d1": pa.array(a[row].view(np.int64)), "nr": pa.array(count[row] << 32 | rank, pa.int64())})
 
     return run
 
 
-def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by list: those of lists with two rows or more. What is carried from batch to batch is one row."""
-    held = None
-    last = None
-    for batch in batches:
-        h = batch.column("h").to_numpy(zero_copy_only=False)
-        if not len(h):
-            continue
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[begin, len(h)])
-        keep = np.repeat(size > 1, size)
-        if last is not None and h[0] == last:  # the list goes on from the batch before
-            if held is not None:
-                yield held
-            keep[: size[0]] = True
-        goes_on = len(begin) == 1 and last is not None and h[0] == last
-        held = batch.slice(len(h) - 1, 1) if size[-1] == 1 and not goes_on else None
-        last = h[-1]
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+def _merge_lists(percent: int):
+    """Rows sorted by list, then set: pairs (a, b) of each set with its list's first one, the center, that pass the bounds of size and rank;
+    and the rows (h, a, nr) of lists with three sets or more, without the center, whose pairs are all given.
+
+    Equal sets in a list are one row. What is carried from batch to batch is the last row and its list's center.
+    """
+
+    def reach(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x >> 32, y >> 32
+        rest = np.minimum(n - (x & 0xFFFFFFFF), m - (y & 0xFFFFFFFF))
+        return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple[int, int, int] | None = None  # h, d1, nr of the open list's center
+        second: tuple[int, int, int] | None = None  # the open list's second set, not yet given as a row
+        last = (None, None)
+        for batch in batches:
+            h, d, nr = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "d1", "nr"))
+            if not len(h):
+                continue
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            new[0] = (h[0], d[0]) != last
+            last = (h[-1], d[-1])
+            h, d, nr = h[new], d[new], nr[new]
+            carried = []
+            if head is not None and len(h) and h[0] == head[0]:
+                carried = [x for x in (head, second) if x is not None]
+                h, d, nr = (np.r_[np.array([x[k] for x in carried], np.int64), v] for k, v in enumerate((h, d, nr)))
+            if not len(h):
+                continue
+            begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[begin, len(h)])
+            place = np.arange(len(h)) - np.repeat(begin, size)
+            first = np.repeat(begin, size)
+            fresh = place > 0
+            fresh[: len(carried)] = False  # given before
+            fresh &= reach(nr, nr[first])
+            pairs = np.unique(np.stack([np.minimum(d, d[first])[fresh], np.maximum(d, d[first])[fresh]]), axis=1)
+            yield pa.record_batch({"h": pa.nulls(pairs.shape[1], pa.int64()), "a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "nr": pa.nulls(pairs.shape[1], pa.int64())})
+            rows = np.repeat(size > 2, size) & (place > 0)
+            long_before = head is not None and bool(carried) and len(carried) == 1 and second is None and last_size > 1
+            if long_before:  # the list's earlier rows were given in the batches before
+                rows[: size[0]] = place[: size[0]] > 0
+            yield pa.record_batch({"h": pa.array(h[rows]), "a": pa.array(d[rows]), "b": pa.nulls(int(rows.sum()), pa.int64()), "nr": pa.array(nr[rows])})
+            at = begin[-1]
+            head = (int(h[at]), int(d[at]), int(nr[at]))
+            open_size = int(size[-1])
+            if long_before and len(begin) == 1:
+                open_size = 3
+            second = (int(h[at + 1]), int(d[at + 1]), int(nr[at + 1])) if open_size == 2 else None
+            last_size = 3 if open_size > 2 else 1
+
+    return run
 
 
 def _can_reach(n_a: str, rank_a: str, n_b: str, rank_b: str, percent: int):
@@ -230,77 +260,77 @@ def _probe(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose sets are similar."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that are similar. classes: d1 and rep, a document that has the set."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct().join(classes, "d1").select("d1", F.col("rep").alias("doc_id"))
+    ids = cut(ids)
     bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
-    for r in ids.mapInArrow(_filter_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # 64 rows, 1 MB
+    for r in ids.select("doc_id").mapInArrow(_filter_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # 64 rows, 1 MB
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     wanted = spark.sparkContext.broadcast(bits.reshape(-1))
-    sets = cut(docs.mapInArrow(_wanted_sets(wanted), "doc_id long, shingles binary").join(ids, "doc_id", "left_semi"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    sets = cut(docs.mapInArrow(_wanted_sets(wanted), "doc_id long, shingles binary").join(ids, "doc_id").select("d1", "shingles"))
+    left = sets.select(F.col("d1").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("d1").alias("b"), F.col("shingles").alias("right"))
     return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long"))
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label (rep, c) after the links (a, b) between representatives: only the graph of the components that they touch is solved."""
-    of = lambda k: label.select(F.col("rep").alias(k), F.col("c").alias(f"c{k}"))
+    """label (d1, c) after the links (a, b) between sets: only the graph of the components that they touch is solved."""
+    of = lambda k: label.select(F.col("d1").alias(k), F.col("c").alias(f"c{k}"))
     edges = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     new = components(edges)
-    return cut(label.join(new.withColumnRenamed("node", "c"), "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
+    return cut(label.join(new.withColumnRenamed("node", "c"), "c", "left").select("d1", F.coalesce("component", "c").alias("c")))
 
 
-def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id long, text): links at 100 * overlap >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, d2 long, " + ", ".join(f"{m} long" for m in MAPS)))
-    classes = cut(profiles.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    member = cut(profiles.where("n_shingles > 0").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep"))
-
+    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, " + ", ".join(f"{m} long" for m in MAPS)))
+    some = profiles.where("n_shingles > 0")
+    classes = cut(some.groupBy("d1").agg(F.min("doc_id").alias("rep")))  # a class: all documents with one set
     levels = spark.sparkContext.broadcast(list_levels(known))
-    lists = known.mapInArrow(_short_lists(levels, percent), "h long, doc_id long, n int, rank int")
+    lists = known.select("text").mapInArrow(_short_lists(levels, percent), "h long, d1 long, nr long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = lists.repartition(parts, "h").sortWithinPartitions("h", "n", "doc_id")
-    lists = lists.mapInArrow(_merge_lists, "h long, doc_id long, n int, rank int").join(member, "doc_id")
-    lists = lists.groupBy("h", "rep").agg(F.first("n").alias("n"), F.first("rank").alias("rank"))  # equal sets have equal ranks
-    lists = cut(lists)
+    lists = lists.repartition(parts, "h").sortWithinPartitions("h", "d1")
+    merged = cut(lists.mapInArrow(_merge_lists(percent), "h long, a long, b long, nr long"))
     release(spark)
-    maps = profiles.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *MAPS)
-    label = cut(classes.select("rep", F.col("rep").alias("c")))
+    lists = merged.where("h is not null").select("h", F.col("a").alias("d1"), F.shiftright("nr", 32).alias("n"), F.col("nr").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rank"))
+    pairs = merged.where("h is null").select("a", "b").distinct()
+    maps = some.groupBy("d1").agg(F.first("n_shingles").alias("n"), *[F.first(m).alias(m) for m in MAPS])
+    label = classes.select("d1", F.col("rep").alias("c"))
     tried = None
     for turn in range(stars + 1):
-        # only lists whose documents are in several components go on
-        tagged = lists.join(label, "rep")
-        still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        tagged = cut(tagged.join(still, "h", "left_semi"))
-        if tagged.isEmpty():
-            break
-        lists = tagged.select("h", "rep", "n", "rank")
-        if turn < stars:
-            center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank")])).alias("y")).select("h", "y.*")
-            pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
-        else:
-            full = cut(tagged.join(maps.drop("n"), "rep"))
-            x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
-            y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "rank", *MAPS)])
+        if turn:
+            # only lists whose sets are in several components go on
+            tagged = lists.join(label, "d1")
+            still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+            tagged = cut(tagged.join(still, "h", "left_semi"))
+            if tagged.isEmpty():
+                break
+            lists = tagged.select("h", "d1", "n", "rank")
+        if 0 < turn < stars:
+            center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("d1", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank")])).alias("y")).select("h", "y.*")
+            pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
+        elif turn:
+            full = cut(tagged.join(maps.drop("n"), "d1"))
+            x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
+            y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
             near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
             pairs = x.join(y, (x["h"] == y["h"]) & near)
-        pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if turn:
+            pairs = pairs.select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         if turn < stars:
-            of = lambda k: maps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
+            of = lambda k: maps.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
             pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
         pairs = cut(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        label = _joined(label, _verified(known, pairs, percent))
+        label = _joined(label, _verified(known, classes, pairs, percent))
         release(spark)
-    out = profiles.select("doc_id", "n_shingles").join(member.join(label, "rep").select("doc_id", "c"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = profiles.select("doc_id", "n_shingles", "d1").join(label, "d1", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
