@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tideline.plans import joins, scalars, timeline  # noqa: F401
+from tideline.plans import aggregates, joins, scalars, timeline  # noqa: F401
