@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.tables import seeded, top_k
-from tideline.sources.views import VIDEO
+from tideline.sources.views import video
 
 
 def clip_pools(df: DataFrame, length: int, quantile: float, value: str = "gt") -> DataFrame:
     """video_id, clip, m, k, hi, lo: non-overlapping clips with their mean, and ranks from both ends; a last clip that ends with the video is left out."""
-    d = df.withColumn("n", F.count("*").over(VIDEO)).where(F.floor(F.col("idx") / length) * length < F.col("n") - length)
+    d = df.withColumn("n", F.count("*").over(video())).where(F.floor(F.col("idx") / length) * length < F.col("n") - length)
     c = d.groupBy("video_id", F.floor(F.col("idx") / length).cast("int").alias("clip")).agg(F.avg(value).alias("m"))
-    k = F.greatest(F.lit(1), F.floor(F.count("*").over(VIDEO) * quantile))
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(video()) * quantile))
     rank = lambda o: F.row_number().over(Window.partitionBy("video_id").orderBy(o, "clip"))
     return c.select("*", k.alias("k"), rank(F.round("m", 9).desc()).alias("hi"), rank(F.round("m", 9)).alias("lo"))
 

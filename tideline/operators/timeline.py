@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.tables import seeded
-from tideline.sources.views import CURVE, VIDEO
+from tideline.sources.views import curve, video
 
-UNTIL = CURVE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-SINCE = CURVE.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+def until():
+    return curve().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def since():
+    return curve().rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
 def norm_of_difference(a: Column, b: Column) -> Column:
@@ -20,7 +25,7 @@ def norm_of_difference(a: Column, b: Column) -> Column:
 
 def motion_delta(features: DataFrame) -> DataFrame:
     """video_id, idx, motion: distance to both neighbours plus the norm of the second difference; 0 where a neighbour is missing."""
-    d = features.withColumn("p", F.lag("feature").over(CURVE)).withColumn("n", F.lead("feature").over(CURVE))
+    d = features.withColumn("p", F.lag("feature").over(curve())).withColumn("n", F.lead("feature").over(curve()))
     second = F.zip_with(F.zip_with("p", "n", lambda a, b: a.cast("double") + b.cast("double")), F.col("feature"), lambda s, x: s - 2 * x.cast("double"))
     bend = F.sqrt(F.aggregate(second, F.lit(0.0), lambda s, x: s + x * x))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -33,8 +38,8 @@ def decayed_max(df: DataFrame, value: str, decay: float, out: str) -> DataFrame:
         return df.withColumn(out, F.greatest(F.col(value), F.lit(0.0)))
     step = math.log(decay)
     log = F.when(F.col(value) > 0, F.log(value))
-    ahead = F.exp(F.max(log - F.col("idx") * step).over(UNTIL) + F.col("idx") * step)
-    back = F.exp(F.max(log + F.col("idx") * step).over(SINCE) - F.col("idx") * step)
+    ahead = F.exp(F.max(log - F.col("idx") * step).over(until()) + F.col("idx") * step)
+    back = F.exp(F.max(log + F.col("idx") * step).over(since()) - F.col("idx") * step)
     return df.withColumn(out, F.greatest(F.coalesce(ahead, F.lit(0.0)), F.coalesce(back, F.lit(0.0))))
 
 
@@ -83,7 +88,7 @@ def highpass(df: DataFrame, value: str = "score", decay: float = 0.9, sigma: flo
 def median_filter(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
     """Running median of odd width, zeros beyond the ends."""
     h = width // 2
-    held = F.collect_list(value).over(CURVE.rowsBetween(-h, h))
+    held = F.collect_list(value).over(curve().rowsBetween(-h, h))
     padded = F.concat(held, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(held)))
     return df.withColumn(out, F.element_at(F.sort_array(padded), h + 1))
 
@@ -109,8 +114,8 @@ def ema(df: DataFrame, value: str, keep: float, keys: tuple[str, ...], order: st
 def runs(df: DataFrame, above: Column, end_rule: str = "last_above") -> DataFrame:
     """video_id, start_i, end_i of maximal stretches where `above` holds. end_rule: the last row above, or the first row below (the last row if none)."""
     d = df.select("video_id", "idx", above.cast("int").alias("a"))
-    d = d.withColumn("new", ((F.col("a") == 1) & (F.coalesce(F.lag("a").over(CURVE), F.lit(0)) == 0)).cast("int"))
-    d = d.withColumn("run", F.sum("new").over(UNTIL)).withColumn("last", F.max("idx").over(VIDEO))
+    d = d.withColumn("new", ((F.col("a") == 1) & (F.coalesce(F.lag("a").over(curve()), F.lit(0)) == 0)).cast("int"))
+    d = d.withColumn("run", F.sum("new").over(until())).withColumn("last", F.max("idx").over(video()))
     g = d.where("a = 1").groupBy("video_id", "run").agg(F.min("idx").alias("start_i"), F.max("idx").alias("end_i"), F.first("last").alias("last"))
     return g.select("video_id", "start_i", (F.least(F.col("end_i") + 1, F.col("last")) if end_rule == "first_below" else F.col("end_i")).alias("end_i"))
 
@@ -141,7 +146,7 @@ def threshold_segments(df: DataFrame, value: str = "score", threshold: float = 0
 
 def trapezoid(df: DataFrame, value: str) -> DataFrame:
     """df with area__: the piece of area between a row and the one before it."""
-    return df.withColumn("area__", (F.col(value) + F.lag(value).over(CURVE)) / 2 * (F.col("t") - F.lag("t").over(CURVE)))
+    return df.withColumn("area__", (F.col(value) + F.lag(value).over(curve())) / 2 * (F.col("t") - F.lag("t").over(curve())))
 
 
 def area_and_peak(intervals: DataFrame, curve: DataFrame, value: str) -> DataFrame:
@@ -154,7 +159,7 @@ def area_and_peak(intervals: DataFrame, curve: DataFrame, value: str) -> DataFra
 def adaptive_events(df: DataFrame, value: str = "score", sigma: float = 2.0, k: float = 0.75, floor: float = 0.1, min_duration: float = 5.0, gap: float = 3.0) -> DataFrame:
     """video_id, start, end, auc, peak, rank: runs of the smoothed curve above max(floor, mean + k std), merged, ranked by area."""
     d = gaussian_filter(df.select("video_id", "idx", "t", value), value, sigma, "g")
-    d = d.withColumn("th", F.greatest(F.lit(floor), F.avg("g").over(VIDEO) + k * F.stddev_pop("g").over(VIDEO)))
+    d = d.withColumn("th", F.greatest(F.lit(floor), F.avg("g").over(video()) + k * F.stddev_pop("g").over(video())))
     r = runs(d, F.col("g") > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_duration)
     m = merge_gaps(r.select("video_id", F.col("start_i").cast("double").alias("start"), F.col("end_i").cast("double").alias("end")), gap)
     e = area_and_peak(m, d, "g")
@@ -163,7 +168,7 @@ def adaptive_events(df: DataFrame, value: str = "score", sigma: float = 2.0, k:
 
 def top_peak_events(df: DataFrame, value: str = "score", k: float = 0.75, min_duration: float = 5.0, gap: float = 5.0, top: int = 3) -> DataFrame:
     """Runs above mean + k std; areas of merged runs add up, the peak is the largest; the top by peak."""
-    d = df.select("video_id", "idx", "t", value).withColumn("th", F.avg(value).over(VIDEO) + k * F.stddev_pop(value).over(VIDEO))
+    d = df.select("video_id", "idx", "t", value).withColumn("th", F.avg(value).over(video()) + k * F.stddev_pop(value).over(video()))
     r = runs(d, F.col(value) > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_duration)
     e = area_and_peak(r.select("video_id", F.col("start_i").cast("double").alias("start"), F.col("end_i").cast("double").alias("end")), d, value)
     m = merge_gaps(e, gap, aggregates={"auc": F.sum("auc"), "peak": F.max("peak")})
@@ -172,9 +177,9 @@ def top_peak_events(df: DataFrame, value: str = "score", k: float = 0.75, min_du
 
 def peak_regions(df: DataFrame, value: str = "gt", min_frames: int = 2, peaks: int = 10) -> DataFrame:
     """video_id, idx, mask: the largest runs above mean + std, end row included."""
-    d = df.select("video_id", "idx", value).withColumn("th", F.avg(value).over(VIDEO) + F.stddev_pop(value).over(VIDEO))
+    d = df.select("video_id", "idx", value).withColumn("th", F.avg(value).over(video()) + F.stddev_pop(value).over(video()))
     r = runs(d, F.col(value) > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_frames)
-    c = d.withColumn("area", (F.col(value) + F.lead(value).over(CURVE)) / 2)
+    c = d.withColumn("area", (F.col(value) + F.lead(value).over(curve())) / 2)
     a = r.join(c, "video_id").where((F.col("idx") >= F.col("start_i")) & (F.col("idx") < F.col("end_i") - 1)).groupBy("video_id", "start_i", "end_i").agg(F.sum("area").alias("auc"))
     best = a.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.round("auc", 9).desc(), "start_i"))).where(F.col("r") <= peaks)
     hit = best.select("video_id", F.explode(F.sequence("start_i", "end_i")).alias("idx")).distinct().withColumn("mask", F.lit(1))
@@ -184,14 +189,14 @@ def peak_regions(df: DataFrame, value: str = "gt", min_frames: int = 2, peaks: i
 def local_maxima(df: DataFrame, value: str) -> DataFrame:
     """Rows above the one before and not below the next; a curve without any gives its maximum."""
     x = F.col(value)
-    d = df.withColumn("is_peak", (x > F.coalesce(F.lag(value).over(CURVE), F.lit(float("-inf")))) & (x >= F.coalesce(F.lead(value).over(CURVE), F.lit(float("-inf")))))
-    d = d.withColumn("best__", F.min(F.struct((-x).alias("x"), "idx")).over(VIDEO)).withColumn("any__", F.max("is_peak").over(VIDEO))
+    d = df.withColumn("is_peak", (x > F.coalesce(F.lag(value).over(curve()), F.lit(float("-inf")))) & (x >= F.coalesce(F.lead(value).over(curve()), F.lit(float("-inf")))))
+    d = d.withColumn("best__", F.min(F.struct((-x).alias("x"), "idx")).over(video())).withColumn("any__", F.max("is_peak").over(video()))
     return d.where(F.col("is_peak") | (~F.col("any__") & (F.col("idx") == F.col("best__.idx")))).drop("is_peak", "best__", "any__")
 
 
 def peak_grow(df: DataFrame, value: str = "score", drop: float = 0.4, shortest: float = 4.0, longest: float = 12.0) -> DataFrame:
     """Clips around peaks: as far as the normalised score stays at (1 - drop) of the peak, clamped in length, inside the video; mean score inside."""
-    d = df.select("video_id", "idx", "t", ((F.col(value) - F.min(value).over(VIDEO)) / (F.max(value).over(VIDEO) - F.min(value).over(VIDEO) + 1e-8)).alias("x"), F.col(value).alias("v"))
+    d = df.select("video_id", "idx", "t", ((F.col(value) - F.min(value).over(video())) / (F.max(value).over(video()) - F.min(value).over(video()) + 1e-8)).alias("x"), F.col(value).alias("v"))
     p = local_maxima(d, "x").select("video_id", F.col("idx").alias("p"), F.col("t").alias("peak"), F.col("x").alias("px"))
     low = F.col("x") < (1 - drop) * F.col("px")
     j = p.join(d, "video_id").groupBy("video_id", "p", "peak").agg(

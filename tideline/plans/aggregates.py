@@ -10,7 +10,7 @@ from tideline.operators.pairs import preference_losses
 from tideline.operators.tables import seeded, top_k
 from tideline.plans.joins import COS, IV, both_runs
 from tideline.plans.registry import query
-from tideline.sources.views import VIDEO, annotations, frame_features, frames, pair_results, run_log, scored_labels, shots, table
+from tideline.sources.views import video, annotations, frame_features, frames, pair_results, run_log, scored_labels, shots, table
 
 CORR = ", c AS (SELECT video_id, video_id % 5 AS split, corr(score, gt) AS r, avg(score) AS m FROM frames GROUP BY 1, 2)"
 
@@ -95,7 +95,7 @@ def soft_ece_floor(spark, sf):
 
 @query("ece_half_open", "frames", ", n AS (SELECT video_id, count(*) AS n_all FROM frames GROUP BY 1), b AS (SELECT video_id, floor(score * 10) AS bin, count(*) AS n, avg(score) AS c, avg(gt) AS a FROM frames WHERE floor(score * 10) < 10 GROUP BY 1, 2) SELECT video_id, round(sum(n * abs(a - c)) / max(n_all), 6) AS ece FROM b JOIN n USING (video_id) GROUP BY 1")
 def ece_half_open(spark, sf):
-    f = frames(spark, sf).withColumn("n_all", F.count("*").over(VIDEO))
+    f = frames(spark, sf).withColumn("n_all", F.count("*").over(video()))
     b = f.where(F.floor(F.col("score") * 10) < 10).groupBy("video_id", F.floor(F.col("score") * 10).alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("conf"), F.avg("gt").alias("acc"), F.max("n_all").alias("n_all"))
     return M.ece(b, ["video_id"], F.max("n_all")).select("video_id", r6("ece").alias("ece"))
 
@@ -296,7 +296,7 @@ def background_relevance(spark, sf):
     q = f.groupBy("video_id").agg(F.percentile("score", 0.95).alias("cut"))
     c = M.centroids(f.join(q, "video_id").where("score < cut"), ["video_id"], "feature")
     d = f.join(c, "video_id").select("video_id", "idx", (1 - cosine(F.col("feature"), F.col("centroid"))).alias("d"))
-    return d.select("video_id", "idx", r6(F.col("d") / F.avg("d").over(VIDEO)).alias("relevance"))
+    return d.select("video_id", "idx", r6(F.col("d") / F.avg("d").over(video())).alias("relevance"))
 
 
 @query("pca_project")
@@ -319,7 +319,7 @@ def second_max_pool(spark, sf):
     from tideline.functions.scalars import minmax
 
     s = frames(spark, sf).groupBy("video_id", F.floor(F.col("t") / 2.5).cast("int").alias("second")).agg(F.max("value").alias("v"))
-    return s.select("video_id", "second", r6(minmax(F.col("v"), VIDEO)).alias("pooled"))
+    return s.select("video_id", "second", r6(minmax(F.col("v"), video())).alias("pooled"))
 
 
 @query("segment_argmax_hit", "frames", "SELECT video_id, CAST(floor(t / 16) AS INT) AS segment, arg_max(t, score - idx * 1e-12) AS t, round(max(score), 6) AS score FROM frames GROUP BY 1, 2 HAVING max(score) > 0.5")

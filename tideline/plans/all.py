@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tideline.plans import aggregates, graphs, joins, scalars, selection, timeline  # noqa: F401
+from tideline.plans import aggregates, graphs, joins, models, scalars, scans, selection, streams, timeline  # noqa: F401

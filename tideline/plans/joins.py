@@ -10,7 +10,7 @@ from tideline.operators import timeline as T
 from tideline.operators.tables import seeded, top_k
 from tideline.plans.registry import query
 from tideline.plans.timeline import runs_sql
-from tideline.sources.views import VIDEO, conversations_text, frame_features, frames, heat, pair_results, run_log, segments, table
+from tideline.sources.views import video, conversations_text, frame_features, frames, heat, pair_results, run_log, segments, table
 
 COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
 
@@ -187,7 +187,7 @@ SELECT x.video_id, x.idx, round(a.v + (b.v - a.v) * (p - floor(p)), 6) AS v FROM
 def resample_length(spark, sf):
     by = Window.partitionBy("video_id")
     h = heat(spark, sf).select("video_id", ((F.row_number().over(by.orderBy("start_time")) - 1) / (F.count("*").over(by) - 1)).alias("t"), F.col("value").alias("v"))
-    x = frames(spark, sf).select("video_id", "idx", (F.col("idx") / F.max("idx").over(VIDEO)).alias("t"))
+    x = frames(spark, sf).select("video_id", "idx", (F.col("idx") / F.max("idx").over(video())).alias("t"))
     return J.asof_linear(x.select("video_id", "t"), h, "constant").join(x, ["video_id", "t"]).select("video_id", "idx", r6("v").alias("v"))
 
 

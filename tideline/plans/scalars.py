@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tideline.functions import scalars as S
 from tideline.functions.scalars import r6
 from tideline.plans.registry import query
-from tideline.sources.views import VIDEO, conversations_text, frames, table
+from tideline.sources.views import video, conversations_text, frames, table
 
 LOGITS = ", z AS (SELECT video_id, idx, score * 6 - 3 AS yes, 3 - gt * 6 AS no FROM frames)\n"
 
@@ -74,7 +74,7 @@ def log_margin(spark, sf):
 round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END, 6) AS kept, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END, 6) AS zero FROM frames JOIN m USING (video_id)""")
 def minmax_per_group(spark, sf):
     v = F.col("value")
-    return frames(spark, sf).select("video_id", "idx", r6(S.minmax(v, VIDEO)).alias("eps"), r6(S.minmax(v, VIDEO, "keep")).alias("kept"), r6(S.minmax(v, VIDEO, "zero")).alias("zero"))
+    return frames(spark, sf).select("video_id", "idx", r6(S.minmax(v, video())).alias("eps"), r6(S.minmax(v, video(), "keep")).alias("kept"), r6(S.minmax(v, video(), "zero")).alias("zero"))
 
 
 @query("normalize_columns", "pair_results", ", m AS (SELECT min(base_gap) AS lo, max(base_gap) AS hi, max(abs(tuned_gap)) AS top FROM pair_results) SELECT video_id, chosen, rejected, round((base_gap - lo) / (hi - lo), 6) AS base_n, round(0.5 + 0.5 * tuned_gap / top, 6) AS tuned_n FROM pair_results CROSS JOIN m")
@@ -96,7 +96,7 @@ SELECT video_id, CAST(pick AS BIGINT) AS pick, min(idx) AS idx FROM p GROUP BY v
 def clamp_index(spark, sf):
     from tideline.operators.tables import first_per
 
-    f = frames(spark, sf).select("video_id", "idx", F.count("*").over(VIDEO).alias("n"))
+    f = frames(spark, sf).select("video_id", "idx", F.count("*").over(video()).alias("n"))
     p = f.select("video_id", "idx", F.least(F.greatest(F.col("idx") * 2 - 3, F.lit(0)), F.col("n") - 1).cast("long").alias("pick"))
     return first_per(p, ["video_id", "pick"], ["idx"])
 
@@ -202,7 +202,7 @@ def error_columns(spark, sf):
 
 @query("outcome_flags", "frames", ", m AS (SELECT video_id, avg(score) AS m FROM frames GROUP BY video_id) SELECT video_id, idx, gt > 0.5 AS highlight, score > 0.5 AND gt < 0.2 AS false_positive, score >= m AND gt <= 0.5 AS soft_false_positive, score >= m AND gt > 0.5 AS hit FROM frames JOIN m USING (video_id)")
 def outcome_flags(spark, sf):
-    high, above = F.col("gt") > 0.5, F.col("score") >= F.avg("score").over(VIDEO)
+    high, above = F.col("gt") > 0.5, F.col("score") >= F.avg("score").over(video())
     return frames(spark, sf).select("video_id", "idx", high.alias("highlight"), ((F.col("score") > 0.5) & (F.col("gt") < 0.2)).alias("false_positive"), (above & ~high).alias("soft_false_positive"), (above & high).alias("hit"))
 
 

@@ -9,7 +9,7 @@ from tideline.operators import timeline as T
 from tideline.operators.tables import seeded, top_k
 from tideline.plans.registry import query
 from tideline.plans.timeline import GROWN
-from tideline.sources.views import VIDEO, frames, shots, table
+from tideline.sources.views import video, frames, shots, table
 
 KNAP = """, sm AS (SELECT s.video_id, shot_id, end_f - start_f + 1 AS len, avg(score) AS mean, max(end_f) OVER (PARTITION BY s.video_id) AS last FROM shots s JOIN frames f ON f.video_id = s.video_id AND f.idx BETWEEN start_f AND end_f GROUP BY s.video_id, shot_id, start_f, end_f),
 ks AS (WITH RECURSIVE k AS (SELECT video_id, -1 AS shot, 0 AS used, CAST(0 AS DOUBLE) AS v, CAST([] AS INT[]) AS l, CAST(floor((max(last) + 1) * 0.15) AS INT) AS cap FROM sm GROUP BY video_id UNION ALL
@@ -63,8 +63,8 @@ def best_checkpoint_argmax(spark, sf):
 
 @query("quantile_topk_pool", "frames", ", r AS (SELECT video_id, idx, greatest(1, floor(count(*) OVER (PARTITION BY video_id) * 0.25)) AS k, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, idx) AS hi, row_number() OVER (PARTITION BY video_id ORDER BY score, idx) AS lo FROM frames) SELECT video_id, idx, CASE WHEN hi <= k THEN 'high' ELSE 'low' END AS pool FROM r WHERE hi <= k OR lo <= k")
 def quantile_topk_pool(spark, sf):
-    k = F.greatest(F.lit(1), F.floor(F.count("*").over(VIDEO) * 0.25))
-    rank = lambda o: F.row_number().over(VIDEO.orderBy(o, "idx"))
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(video()) * 0.25))
+    rank = lambda o: F.row_number().over(video().orderBy(o, "idx"))
     r = frames(spark, sf).select("video_id", "idx", k.alias("k"), rank(F.desc("score")).alias("hi"), rank(F.asc("score")).alias("lo"))
     return r.where("hi <= k or lo <= k").select("video_id", "idx", F.when(F.col("hi") <= F.col("k"), "high").otherwise("low").alias("pool"))
 

@@ -7,7 +7,7 @@ from tideline.functions.scalars import minmax, r6
 from tideline.operators import intervals as I
 from tideline.operators import timeline as T
 from tideline.plans.registry import query
-from tideline.sources.views import CURVE, VIDEO, frame_features, frames, run_log, segments, shots
+from tideline.sources.views import curve, video, frame_features, frames, run_log, segments, shots
 
 MOTION = """, nb AS (SELECT video_id, idx, feature AS x, lag(feature) OVER w AS p, lead(feature) OVER w AS n FROM frame_features WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
 motion AS (SELECT video_id, idx, coalesce(sqrt(list_sum(list_transform(list_zip(x, p), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))), 0) + coalesce(sqrt(list_sum(list_transform(list_zip(x, n), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))), 0)
@@ -42,13 +42,13 @@ SELECT video_id, idx, round(least(greatest(CASE WHEN top > 0 THEN v * goal / top
 SELECT video_id, idx, round((q - lo) / (hi - lo + 1e-8), 4) AS weighted FROM q JOIN e USING (video_id)""")
 def motion_weighted_score(spark, sf):
     g = T.gaussian_filter(T.motion_delta(frame_features(spark, sf)), "motion", 2.0, "g")
-    q = g.withColumn("q", F.col("g") / F.avg("g").over(VIDEO) * (0.1 + (F.col("idx") % 10) / 10.0))
-    return q.select("video_id", "idx", F.round(minmax(F.col("q"), VIDEO), 4).alias("weighted"))
+    q = g.withColumn("q", F.col("g") / F.avg("g").over(video()) * (0.1 + (F.col("idx") % 10) / 10.0))
+    return q.select("video_id", "idx", F.round(minmax(F.col("q"), video()), 4).alias("weighted"))
 
 
 @query("high_motion_flag", "frame_features", MOTION + "SELECT video_id, idx, motion > avg(motion) OVER (PARTITION BY video_id) AS high FROM motion")
 def high_motion_flag(spark, sf):
-    return T.motion_delta(frame_features(spark, sf)).select("video_id", "idx", (F.col("motion") > F.avg("motion").over(VIDEO)).alias("high"))
+    return T.motion_delta(frame_features(spark, sf)).select("video_id", "idx", (F.col("motion") > F.avg("motion").over(video())).alias("high"))
 
 
 @query("decayed_max", "frames", decay_sql("frames", "score", 0.9, "d") + "SELECT video_id, idx, round(v + 1e-9, 6) AS d FROM d")
@@ -215,20 +215,20 @@ def overlap_average(spark, sf):
 
 @query("fixed_chunks", "frames", ", n AS (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id) SELECT video_id, idx, CAST(floor(idx / 16) AS INT) AS chunk, CAST(floor(greatest(n - 16, 0) / 2) AS INT) AS centred_start FROM frames JOIN n USING (video_id)")
 def fixed_chunks(spark, sf):
-    n = F.count("*").over(VIDEO)
+    n = F.count("*").over(video())
     return frames(spark, sf).select("video_id", "idx", F.floor(F.col("idx") / 16).cast("int").alias("chunk"), F.floor(F.greatest(n - 16, F.lit(0)) / 2).cast("int").alias("centred_start"))
 
 
 @query("trailing_context", "frames", "SELECT video_id, idx, list(k) OVER w AS context, round(avg(score) OVER w, 6) AS mean FROM frames WINDOW w AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def trailing_context(spark, sf):
-    w = CURVE.rowsBetween(-4, 0)
+    w = curve().rowsBetween(-4, 0)
     return frames(spark, sf).select("video_id", "idx", F.collect_list("k").over(w).alias("context"), r6(F.avg("score").over(w)).alias("mean"))
 
 
 @query("position_fill", "frames", """, p AS (SELECT video_id, idx * 15 AS pick, score, max(idx) OVER (PARTITION BY video_id) * 15 + 7 AS n FROM frames), q AS (SELECT *, coalesce(lead(pick) OVER (PARTITION BY video_id ORDER BY pick), n) AS nx FROM p)
 SELECT video_id, CAST(unnest(range(pick, nx)) AS INT) AS frame, round(score, 6) AS score FROM q""")
 def position_fill(spark, sf):
-    p = frames(spark, sf).select("video_id", (F.col("idx") * 15).alias("pick"), r6("score").alias("score"), (F.max("idx").over(VIDEO) * 15 + 7).alias("n_frames"))
+    p = frames(spark, sf).select("video_id", (F.col("idx") * 15).alias("pick"), r6("score").alias("score"), (F.max("idx").over(video()) * 15 + 7).alias("n_frames"))
     return T.position_fill(p)
 
 

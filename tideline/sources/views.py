@@ -27,8 +27,14 @@ FROM frames a JOIN frames b ON a.video_id = b.video_id AND b.idx BETWEEN a.idx -
 #: Which other views a view reads.
 READS = {"shots": ("frames",), "annotations": ("frames",), "heat": ("frames",), "pair_results": ("frames",)}
 #: Ordering of a curve: one group a video, one row a step.
-CURVE = Window.partitionBy("video_id").orderBy("idx")
-VIDEO = Window.partitionBy("video_id")
+
+
+def curve():
+    return Window.partitionBy("video_id").orderBy("idx")
+
+
+def video():
+    return Window.partitionBy("video_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +49,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", "event_type", "value",
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
     )
-    return e.select("video_id", "idx", F.col("idx").cast("double").alias("t"), "ts", "event_type", "k", "value", (F.col("value") / F.max("value").over(VIDEO)).alias("score"), (F.col("k").cast("double") / 99).alias("gt"))
+    return e.select("video_id", "idx", F.col("idx").cast("double").alias("t"), "ts", "event_type", "k", "value", (F.col("value") / F.max("value").over(video())).alias("score"), (F.col("k").cast("double") / 99).alias("gt"))
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
