@@ -8,7 +8,7 @@ which one aggregation makes from all documents, and every step is a grouped sum
 Rates become whole copies by cumulative rounding in order of size: the copies of all documents up to a size differ from the
 sum of their rates by half a copy at most. Which documents of equal size get the extra copy goes by a hash of the id, dealt over
 salted groups so that no group of equal documents meets in one task. What is left of a source's target is met, as well as whole
-documents allow, by giving or taking one copy of the document that fits the gap best, a few times.
+documents allow, by giving or taking one copy of the documents of one size, as many as fit the gap best, a few times.
 
 A null source is a source, the last one; null and empty texts have size 0 and take nothing; equal rows share one hash and are
 told apart by a number in their own small group. Reruns agree: nothing depends on partitions or order.
@@ -107,14 +107,19 @@ def copies(cells: DataFrame, cap: int = 2, repairs: int = 6) -> DataFrame:
     c = c.withColumn("extra", F.least(F.greatest("extra", F.lit(0)), F.col("n")).cast("long"))
     whole = Window.partitionBy("k")
     for _ in range(repairs):
+        full = F.col("extra") == F.col("n")  # every document has the extra copy
+        c = c.withColumn("base", F.when(full, F.col("base") + 1).otherwise(F.col("base"))).withColumn("extra", F.when(full, 0).otherwise(F.col("extra")))
         c = cut(c.select("k", "size", "n", "target", "base", "extra"))
         got = c.withColumn("gap", F.col("target") - F.sum(F.col("size") * (F.col("base") * F.col("n") + F.col("extra"))).over(whole))
-        can = F.when(F.col("gap") > 0, (F.col("base") < cap) & (F.col("extra") < F.col("n"))).otherwise((F.col("base") > 0) | (F.col("extra") > 0))
-        left = F.abs(F.abs("gap") - F.col("size"))
-        got = got.withColumn("left", F.when(can & (left < F.abs("gap")), left))
-        best = F.min(F.when(F.col("left").isNotNull(), F.struct("left", "size"))).over(whole)
+        give = F.when(F.col("base") < cap, F.col("n") - F.col("extra")).otherwise(0)
+        take = F.when(F.col("extra") > 0, F.col("extra")).when(F.col("base") > 0, F.col("n")).otherwise(0)
+        room = F.when(F.col("gap") > 0, give).otherwise(take)
+        got = got.withColumn("t", F.least(room, F.greatest(F.round(F.abs("gap") / F.col("size")), F.lit(1))).cast("long"))
+        left = F.abs(F.abs("gap") - F.col("t") * F.col("size"))
+        got = got.withColumn("left", F.when((F.col("t") > 0) & (left < F.abs("gap")), left))
+        best = F.min(F.when(F.col("left").isNotNull(), F.struct("left", "t", "size"))).over(whole)
         got = got.withColumn("hit", (best["size"] == F.col("size")) & F.col("left").isNotNull())
-        step = F.when(F.col("hit"), F.when(F.col("gap") > 0, 1).otherwise(-1)).otherwise(0)
+        step = F.when(F.col("hit"), F.when(F.col("gap") > 0, F.col("t")).otherwise(-F.col("t"))).otherwise(0)
         c = got.withColumn("extra", F.col("extra") + step)
         under = F.col("extra") < 0  # a cell where every document has base copies gives one of them back
         c = c.withColumn("base", F.when(under, F.col("base") - 1).otherwise(F.col("base"))).withColumn("extra", F.when(under, F.col("extra") + F.col("n")).otherwise(F.col("extra")))
