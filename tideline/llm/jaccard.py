@@ -260,19 +260,61 @@ def _probe(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that are similar. classes: d1 and rep, a document that has the set."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct().join(classes, "d1").select("d1", F.col("rep").alias("doc_id"))
-    ids = cut(ids)
-    bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
-    for r in ids.select("doc_id").mapInArrow(_filter_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # 64 rows, 1 MB
-        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.reshape(-1))
-    sets = cut(docs.mapInArrow(_wanted_sets(wanted), "doc_id long, shingles binary").join(ids, "doc_id").select("d1", "shingles"))
-    left = sets.select(F.col("d1").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("d1").alias("b"), F.col("shingles").alias("right"))
-    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long"))
+class _Sets:
+    """The shingle sets of the documents that pairs ask for, each computed and stored once."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes, self.have = docs, classes, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """d1, shingles of all sets in pairs (a, b) and of earlier ones. classes: d1 and rep, a document that has the set."""
+        ids = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct()
+        if self.have is not None:
+            ids = ids.join(self.have.select("d1"), "d1", "left_anti")
+        ids = cut(ids.join(self.classes, "d1").select("d1", F.col("rep").alias("doc_id")))
+        if self.have is None or not ids.isEmpty():
+            bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
+            for r in ids.select("doc_id").mapInArrow(_filter_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # 64 rows, 1 MB
+                bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+            wanted = self.docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+            new = cut(self.docs.mapInArrow(_wanted_sets(wanted), "doc_id long, shingles binary").join(ids, "doc_id").select("d1", "shingles"))
+            self.have = new if self.have is None else self.have.union(new)
+        return self.have
+
+
+def _verified(sets: _Sets, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that are similar."""
+    have = sets.of(pairs)
+    left = have.select(F.col("d1").alias("a"), F.col("shingles").alias("left"))
+    right = have.select(F.col("d1").alias("b"), F.col("shingles").alias("right"))
+    out = cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long"))
+    release(pairs.sparkSession)
+    return out
+
+
+def _settle(label: DataFrame, pool: DataFrame, sets: _Sets, percent: int, fresh: bool = False) -> DataFrame:
+    """label (d1, c) after all links among the pairs (a, b) of the pool.
+
+    A link inside a component changes nothing, so each round compares one pair for each two components that the pool connects (at the start,
+    when every set is its own component, one center for each set), and what is left between different components goes on; the last round compares all that is left.
+    """
+    for turn in range(4):
+        of = lambda k: label.select(F.col("d1").alias(k), F.col("c").alias(f"c{k}"))
+        live = pool.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+        if turn == 0 and fresh:
+            live = cut(live)
+            pick = live.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        elif turn < 3:
+            live = cut(live)
+            pick = live.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct(F.xxhash64("a", "b").alias("o"), "a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            pick = live.select("a", "b")
+        pick = cut(pick)
+        if pick.isEmpty():
+            return label
+        label = _joined(label, _verified(sets, pick, percent))
+        pool = live.select("a", "b").join(pick, ["a", "b"], "left_anti")
+    return label
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,35 +342,32 @@ def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 2) -> Dat
     lists = merged.where("h is not null").select("h", F.col("a").alias("d1"), F.shiftright("nr", 32).alias("n"), F.col("nr").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rank"))
     pairs = merged.where("h is null").select("a", "b").distinct()
     maps = some.groupBy("d1").agg(F.first("n_shingles").alias("n"), *[F.first(m).alias(m) for m in MAPS])
-    label = classes.select("d1", F.col("rep").alias("c"))
-    tried = None
-    for turn in range(stars + 1):
-        if turn:
-            # only lists whose sets are in several components go on
-            tagged = lists.join(label, "d1")
-            still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            tagged = cut(tagged.join(still, "h", "left_semi"))
-            if tagged.isEmpty():
-                break
-            lists = tagged.select("h", "d1", "n", "rank")
-        if 0 < turn < stars:
+    of = lambda k: maps.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
+    near = lambda p: p.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
+    sets = _Sets(known, classes)
+    tried = cut(near(pairs))
+    label = _settle(classes.select("d1", F.col("rep").alias("c")), tried, sets, percent, fresh=True)
+    for turn in range(1, stars + 1):
+        # only lists whose sets are in several components go on
+        tagged = lists.join(label, "d1")
+        still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        tagged = cut(tagged.join(still, "h", "left_semi"))
+        if tagged.isEmpty():
+            break
+        lists = tagged.select("h", "d1", "n", "rank")
+        if turn < stars:
             center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("d1", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank")])).alias("y")).select("h", "y.*")
             pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
-        elif turn:
+        else:
             full = cut(tagged.join(maps.drop("n"), "d1"))
             x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
             y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
-            near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
-            pairs = x.join(y, (x["h"] == y["h"]) & near)
-        if turn:
-            pairs = pairs.select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        if turn < stars:
-            of = lambda k: maps.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
-            pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        label = _joined(label, _verified(known, classes, pairs, percent))
-        release(spark)
+            apart = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
+            pairs = x.join(y, (x["h"] == y["h"]) & apart)
+        pairs = pairs.select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = cut(near(pairs) if turn < stars else pairs)
+        tried = tried.union(pairs)
+        label = _settle(label, pairs, sets, percent)
     out = profiles.select("doc_id", "n_shingles", "d1").join(label, "d1", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
