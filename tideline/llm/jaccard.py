@@ -7,9 +7,9 @@ n - T + 1 shortest: each partner occurs in at least one short list. Here
 * list lengths come from a sketch of fixed size (counts of all documents' shingles by hash range), which orders shingles
   from rare to frequent. The order only decides which lists are long; any order gives the same result;
 * short lists are built by one shuffle on the shingle and merged in hash order within each partition, as a stream. Copies of one set
-  are one entry. A list is first compared with one document only, its center (a star: as many pairs as rows), in a few rounds with
-  other centers, and each round only between documents that aren't connected yet; last, what is still in several components is
-  compared in full. So a group of near copies costs rows, not pairs, and no link between different components is lost;
+  are one entry. A list is first compared with one document only, its center (a star: as many pairs as rows); then lists whose
+  documents aren't connected yet give all their pairs between components, of which one for each two components is compared first and what is left
+  between different ones after that. So a group of near copies costs rows, not pairs, and no link between different components is lost;
 * a pair has to pass bounds that can't reject a similar one: its sizes, the ranks of the shared shingle, and the Hamming distance of
   the sets' parity bitmaps, which is at most the size of the sets' symmetric difference;
 * long lists aren't merged: the partner's set is probed by binary search for the exact overlap.
@@ -292,40 +292,28 @@ def _verified(sets: _Sets, pairs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _settle(label: DataFrame, pool: DataFrame, sets: _Sets, percent: int, fresh: bool = False) -> DataFrame:
-    """label (d1, c) after all links among the pairs (a, b) of the pool.
+def _step(label: DataFrame, pool: DataFrame, sets: _Sets, percent: int, by: str) -> tuple[DataFrame, DataFrame]:
+    """label (d1, c) after the links among some pairs (a, b) of the pool, and the pairs that are left between different components.
 
-    A link inside a component changes nothing, so each round compares one pair for each two components that the pool connects (at the start,
-    when every set is its own component, one center for each set), and what is left between different components goes on; the last round compares all that is left.
+    A link inside a component changes nothing. by "node": one pair for each b (at the start, when every set is its own component);
+    "pair": one for each two components that the pool connects; "all": all of them.
     """
-    for turn in range(4):
-        of = lambda k: label.select(F.col("d1").alias(k), F.col("c").alias(f"c{k}"))
-        live = pool.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-        if turn == 0 and fresh:
-            live = cut(live)
-            pick = live.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        elif turn < 3:
-            live = cut(live)
-            pick = live.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct(F.xxhash64("a", "b").alias("o"), "a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            pick = live.select("a", "b")
-        pick = cut(pick)
-        if pick.isEmpty():
-            return label
-        label = _joined(label, _verified(sets, pick, percent))
-        pool = live.select("a", "b").join(pick, ["a", "b"], "left_anti")
-    return label
-
-
-def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label (d1, c) after the links (a, b) between sets: only the graph of the components that they touch is solved."""
     of = lambda k: label.select(F.col("d1").alias(k), F.col("c").alias(f"c{k}"))
-    edges = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    new = components(edges)
-    return cut(label.join(new.withColumnRenamed("node", "c"), "c", "left").select("d1", F.coalesce("component", "c").alias("c")))
-
-
-def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
+    live = cut(pool.join(of("a"), "a").join(of("b"), "b").where("ca <> cb"))
+    if by == "node":
+        pick = live.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    elif by == "pair":
+        pick = live.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct(F.xxhash64("a", "b").alias("o"), "a", "b")).alias("p")).select("p.a", "p.b")
+    else:
+        pick = live.select("a", "b")
+    pick = cut(pick)
+    if pick.isEmpty():
+        return label, live.select("a", "b")
+    label = _joined(label, _verified(sets, pick, percent))
+    return label, live.select("a", "b").join(pick, ["a", "b"], "left_anti")
+
+
+def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id long, text): links at 100 * overlap >= percent * union."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -345,29 +333,21 @@ def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 2) -> Dat
     of = lambda k: maps.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
     near = lambda p: p.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
     sets = _Sets(known, classes)
-    tried = cut(near(pairs))
-    label = _settle(classes.select("d1", F.col("rep").alias("c")), tried, sets, percent, fresh=True)
-    for turn in range(1, stars + 1):
-        # only lists whose sets are in several components go on
-        tagged = lists.join(label, "d1")
-        still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        tagged = cut(tagged.join(still, "h", "left_semi"))
-        if tagged.isEmpty():
-            break
-        lists = tagged.select("h", "d1", "n", "rank")
-        if turn < stars:
-            center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("d1", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank")])).alias("y")).select("h", "y.*")
-            pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
-        else:
-            full = cut(tagged.join(maps.drop("n"), "d1"))
-            x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
-            y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
-            apart = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
-            pairs = x.join(y, (x["h"] == y["h"]) & apart)
-        pairs = pairs.select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(near(pairs) if turn < stars else pairs)
-        tried = tried.union(pairs)
-        label = _settle(label, pairs, sets, percent)
+    pairs = cut(near(pairs))
+    label = classes.select("d1", F.col("rep").alias("c"))
+    label, rest = _step(label, pairs, sets, percent, "node")
+    label, rest = _step(label, rest, sets, percent, "pair")
+    # What the centers haven't connected: all pairs of lists whose sets are in several components.
+    tagged = lists.join(label, "d1")
+    still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    tagged = cut(tagged.join(still, "h", "left_semi").join(maps.drop("n"), "d1"))
+    x = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
+    y = tagged.select("h", *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
+    apart = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
+    more = x.join(y, (x["h"] == y["h"]) & apart).select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b"))
+    rest = cut(rest.union(more).distinct())
+    label, rest = _step(label, rest, sets, percent, "pair")
+    label, _ = _step(label, rest, sets, percent, "all")
     out = profiles.select("doc_id", "n_shingles", "d1").join(label, "d1", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
