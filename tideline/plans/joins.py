@@ -194,13 +194,28 @@ def resample_length(spark, sf):
 @query("aligned_sample_windows", "frames", """, s AS (SELECT run AS video_id, step, value FROM run_log WHERE run <= 20 AND step < 200), v AS (SELECT video_id, idx FROM frames WHERE video_id <= 20 AND idx < 60)
 SELECT v.video_id, v.idx, count(s.step) AS n_samples, round(coalesce(sum(s.value), 0) / 15, 6) AS mean FROM v LEFT JOIN s ON s.video_id = v.video_id AND s.step >= v.idx * 10 - 5 AND s.step < v.idx * 10 + 10 GROUP BY 1, 2""".replace("run_log", "(SELECT l_suppkey AS run, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS INT) AS step, l_extendedprice AS value FROM lineitem)", 1))
 def aligned_sample_windows(spark, sf):
-    s = run_log(spark, sf).where("run <= 20 and step < 200").select(F.col("run").alias("video_id"), "step", F.col("value").cast("double").alias("value"))
-    v = frames(spark, sf).where("video_id <= 20 and idx < 60").select("video_id", "idx")
+    """The slice of `aligned_sample_windows_all` that its SQL takes."""
+    return sample_windows(samples(spark, sf).where("video_id <= 20 and step < 200"), frames(spark, sf).where("video_id <= 20 and idx < 60"))
+
+
+def samples(spark, sf):
+    return run_log(spark, sf).select(F.col("run").alias("video_id"), "step", F.col("value").cast("double").alias("value"))
+
+
+def sample_windows(s, v):
+    """video_id, idx, n_samples, mean: the 15 samples around each frame, missing ones as 0."""
     w = v.select("video_id", "idx", F.explode(F.sequence(F.col("idx") * 10 - 5, F.col("idx") * 10 + 9)).alias("step"))
     g = w.join(s, ["video_id", "step"], "left").groupBy("video_id", "idx")
     return g.agg(F.count("value").alias("n_samples"), r6(F.sum(F.coalesce("value", F.lit(0.0))) / 15).alias("mean"))
 
 
+@query("aligned_sample_windows_all", "run_log frames", """, n AS (SELECT video_id, idx, CAST(unnest(range(idx * 10 - 5, idx * 10 + 10)) AS INT) AS step FROM frames)
+SELECT n.video_id, n.idx, count(s.value) AS n_samples, round(coalesce(sum(CAST(s.value AS DOUBLE)), 0) / 15, 6) AS mean FROM n LEFT JOIN run_log s ON s.run = n.video_id AND s.step = n.step GROUP BY 1, 2""")
+def aligned_sample_windows_all(spark, sf):
+    """Every run, video, step and frame."""
+    return sample_windows(samples(spark, sf), frames(spark, sf))
+
+
 @query("skip_existing_antijoin", "frames", "SELECT DISTINCT video_id FROM frames WHERE video_id % 4 <> 1")
 def skip_existing_antijoin(spark, sf):
     v = frames(spark, sf).select("video_id").distinct()

@@ -126,14 +126,26 @@ def multi_csv_concat(spark, sf):
 
 @query("scalar_log_scan", "run_log", "SELECT CAST(run AS VARCHAR) AS run, step, CAST(value AS DOUBLE) AS value FROM run_log WHERE run <= 10")
 def scalar_log_scan(spark, sf):
+    """The slice of `scalar_log_scan_all` that its SQL takes."""
+    return logs_reloaded(spark, run_log(spark, sf).where("run <= 10"))
+
+
+def logs_reloaded(spark, log):
+    """Each run's log as a folder of its own, and all of them read back; a task writes the folders of many runs."""
     path = IO.shared_folder(spark)
-    runs = run_log(spark, sf).where("run <= 10").select("run", F.col("step").alias("Step"), F.col("value").cast("double").alias("Value"))
+    runs = log.select("run", F.col("step").alias("Step"), F.col("value").cast("double").alias("Value"))
     runs.withColumn("x", F.concat(F.lit("run_"), F.col("run"))).drop("run").write.partitionBy("x").csv(path, header=True)
     d = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema="Step int, Value double")
     assert d.columns == ["Step", "Value"]
     return IO.read_scalars(spark, path)
 
 
+@query("scalar_log_scan_all", "run_log", "SELECT CAST(run AS VARCHAR) AS run, step, CAST(value AS DOUBLE) AS value FROM run_log")
+def scalar_log_scan_all(spark, sf):
+    """Every run."""
+    return logs_reloaded(spark, run_log(spark, sf))
+
+
 @query("nested_json_sink", "frames", GROWN + 'SELECT CAST(video_id AS BIGINT) AS video_id, count(*) AS n, round(min(round(start, 2)), 2) AS first_start, round(max("end"), 1) AS last_end FROM clips GROUP BY 1')
 def nested_json_sink(spark, sf):
     path = IO.shared_folder(spark)
@@ -155,8 +167,19 @@ def transcript_segments_io(spark, sf):
 
 @query("media_inventory", "frames", "SELECT DISTINCT 'v' || video_id AS stem, CASE WHEN video_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS ext FROM frames WHERE video_id <= 12")
 def media_inventory(spark, sf):
+    """The slice of `media_inventory_all` that its SQL takes."""
+    return stored_media(spark, videos(spark, sf).where("cast(video_id as long) <= 12"))
+
+
+def stored_media(spark, v):
+    """stem, ext of the files found after each video's are written; a task writes those of many videos."""
     path = IO.shared_folder(spark)
-    v = videos(spark, sf).where("cast(video_id as long) <= 12")
     kinds = F.when(F.col("video_id").cast("long") % 2 == 0, F.array(F.lit("mp4"), F.lit("webm"), F.lit("txt"))).otherwise(F.array(F.lit("mp4"), F.lit("txt")))
     v.select(F.concat(F.lit("v"), "video_id").alias("stem"), F.explode(kinds).alias("e"), F.lit("x").alias("body")).select(F.concat_ws(".", "stem", "e").alias("file"), "body").write.partitionBy("file").text(path)
     return IO.media_inventory(spark, path).select(F.regexp_replace("stem", "^file=", "").alias("stem"), "ext")
+
+
+@query("media_inventory_all", "frames", "SELECT DISTINCT 'v' || video_id AS stem, CASE WHEN video_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS ext FROM frames")
+def media_inventory_all(spark, sf):
+    """Every video."""
+    return stored_media(spark, videos(spark, sf))

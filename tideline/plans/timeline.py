@@ -82,8 +82,15 @@ def median_calibration(spark, sf):
 
 @query("ema_smooth", "run_log", ", r AS (SELECT * FROM run_log WHERE step < 40) SELECT a.run, a.step, round(sum(b.value * pow(0.9, a.step - b.step) * CASE WHEN b.step = 0 THEN 1 ELSE 0.1 END) + 1e-7, 4) AS ema FROM r a JOIN r b ON a.run = b.run AND b.step <= a.step GROUP BY a.run, a.step")
 def ema_smooth(spark, sf):
+    """The slice of `ema_smooth_all` that its SQL takes."""
+    return ema_smooth_all(spark, sf).where("step < 40")
+
+
+@query("ema_smooth_all")
+def ema_smooth_all(spark, sf):
+    """Rows only: every step of every run."""
     d = T.ema(run_log(spark, sf).withColumn("value", F.col("value").cast("double")), "value", 0.9, ("run",), "step")
-    return d.where("step < 40").select("run", "step", F.round(F.col("ema") + 1e-7, 4).alias("ema"))
+    return d.select("run", "step", F.round(F.col("ema") + 1e-7, 4).alias("ema"))
 
 
 RUNS = """, {o}a AS (SELECT video_id, idx, CASE WHEN {cond} THEN 1 ELSE 0 END AS a, max(idx) OVER (PARTITION BY video_id) AS last FROM {src}),
