@@ -6,9 +6,10 @@ import pytest
 from test_queries import SF, db, plain  # noqa: F401  (db is a fixture)
 
 import __spark_entry__ as entry
+from tideline.operators import metrics as M
 
 
-@pytest.mark.parametrize("name", ["aligned_sample_windows_all", "scalar_log_scan_all", "media_inventory_all"])
+@pytest.mark.parametrize("name", ["aligned_sample_windows_all", "scalar_log_scan_all", "media_inventory_all", "margin_pair_mining_reference", "class_subsample_reference", "class_cohesion_whole"])
 def test_same_as_whole_sql(spark, db, name):  # noqa: F811
     df, sql = entry.queries()[name](spark, SF), entry.oracle_sql()[name]
     cols = sorted(df.columns)
@@ -30,3 +31,20 @@ def test_ema_of_every_step(spark, db):  # noqa: F811
     got = {(r.run, r.step): r.ema for r in entry.queries()["ema_smooth_all"](spark, SF).collect()}
     assert got.keys() == want.keys() and max(s for _, s in got) >= 40
     assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_cohesion_by_pairs(spark):
+    """Every row counts, also beyond 20 a class."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(c, rng.normal(c, 1, 5).tolist()) for c in range(3) for _ in range((30, 1, 25)[c])] + [(0, [0.0] * 5), (1, None)]
+    got = {(r.c1, r.c2): (r["mean"], r["std"]) for r in M.cohesion(spark.createDataFrame(rows, "c long, x array<double>").repartition(3), "c", "x").collect()}
+    unit = [(c, np.array(x) / np.linalg.norm(x)) for c, x in rows if x and any(x)]
+    pairs = collections.defaultdict(list)
+    for k, (c, x) in enumerate(unit):
+        for d, y in unit[k + 1 :]:
+            pairs[c, d].append(x @ y)
+    assert got.keys() == pairs.keys() and (1, 1) not in got
+    for k, v in pairs.items():
+        assert got[k] == pytest.approx((np.mean(v), np.std(v)), abs=1e-9)

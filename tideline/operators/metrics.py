@@ -122,3 +122,37 @@ def centroids(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """by, centroid: the mean vector of each group."""
     d = df.select(*by, F.posexplode(vector).alias("dim", "x")).groupBy(*by, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return d.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+def cohesion(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """c1 <= c2, mean, std: of the cosines of all pairs of rows of two classes, or of one class (each pair once, no row with itself).
+
+    No pair is made: with unit vectors u the cosines of two classes add up to the product of their sums, and the squared ones to that of
+    their sums of u u'. A task keeps one such sum a class. Null vectors and those of length 0 have no cosine and are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def sums(parts):
+        total = {}
+        for part in parts:
+            for key, g in part.groupby("c"):
+                x = np.stack(g["x"].to_numpy()).astype("float64")
+                n = np.sqrt((x * x).sum(axis=1))
+                u = x[n > 0] / n[n > 0, None]
+                t = total.setdefault(key, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))])
+                t[0], t[1], t[2] = t[0] + len(u), t[1] + u.sum(axis=0), t[2] + u.T @ u
+        for key, (n, s, m) in total.items():
+            values = np.concatenate([[n], s, m.ravel()])
+            yield pd.DataFrame({"c": key, "dim": len(s), "pos": np.arange(len(values)), "v": values})
+
+    d = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("c"), F.col(vector).alias("x"))
+    t = d.mapInPandas(sums, f"c {dict(d.dtypes)['c']}, dim long, pos long, v double").groupBy("c", "dim", "pos").agg(F.sum("v").alias("v"))
+    j = t.select(F.col("c").alias("c1"), "dim", "pos", F.col("v").alias("v1")).join(t.select(F.col("c").alias("c2"), "dim", "pos", F.col("v").alias("v2")), ["dim", "pos"]).where("c1 <= c2")
+    part = lambda low, high: F.sum(F.when(F.col("pos").between(low, high), F.col("v1") * F.col("v2")).otherwise(0.0))
+    g = j.groupBy("c1", "c2").agg(part(F.lit(0), F.lit(0)).alias("n"), part(F.lit(1), F.col("dim")).alias("s"), part(F.col("dim") + 1, F.lit(2**62)).alias("q"))
+    same = F.col("c1") == F.col("c2")
+    own = F.sqrt("n")  # a row with itself has cosine 1
+    g = g.select("c1", "c2", *[F.when(same, (F.col(k) - own) / 2).otherwise(F.col(k)).alias(k) for k in ("s", "q")], F.when(same, (F.col("n") - own) / 2).otherwise(F.col("n")).alias("n")).where("n > 0.5")
+    mean = F.col("s") / F.col("n")
+    return g.select("c1", "c2", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))

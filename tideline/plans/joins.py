@@ -94,11 +94,23 @@ def overlap_fraction_semi(spark, sf):
 @query("margin_pair_mining", "frames", """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.6 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 100""")
 def margin_pair_mining(spark, sf):
-    f = frames(spark, sf)
+    """The parameters of its SQL, smaller than the reference's; `margin_pair_mining_reference` has those."""
+    return mined_pairs(frames(spark, sf), 0.6, 100)
+
+
+def mined_pairs(f, margin, most):
+    """video_id, i, j: up to `most` pairs a video with a gap of at least `margin`, or hard negatives."""
     a = f.select("video_id", F.col("idx").alias("i"), F.col("gt").alias("gi"))
     b = f.select("video_id", F.col("idx").alias("j"), F.col("gt").alias("gj"), F.col("score").alias("sj"))
-    p = a.join(b, "video_id").where("gi - gj >= 0.6 or (gi > 0.7 and sj > 0.6 and gj < 0.2)").select("video_id", "i", "j")
-    return top_k(p, ["video_id"], [seeded("video_id", "i", "j", seed=7)], 100)
+    p = a.join(b, "video_id").where((F.col("gi") - F.col("gj") >= margin) | F.expr("gi > 0.7 and sj > 0.6 and gj < 0.2")).select("video_id", "i", "j")
+    return top_k(p, ["video_id"], [seeded("video_id", "i", "j", seed=7)], most)
+
+
+@query("margin_pair_mining_reference", "frames", """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.3 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 1000""")
+def margin_pair_mining_reference(spark, sf):
+    """The reference's margin and number of pairs."""
+    return mined_pairs(frames(spark, sf), 0.3, 1000)
 
 
 @query("peak_valley_pairing", "frames", """, p AS (SELECT a.video_id, a.idx AS peak, b.idx AS valley, a.gt - b.gt AS gap FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.8 AND b.gt < 0.3),
