@@ -6,6 +6,7 @@ import pytest
 from test_queries import SF, db, plain  # noqa: F401  (db is a fixture)
 
 import __spark_entry__ as entry
+from tideline.operators import graph as G
 from tideline.operators import metrics as M
 
 
@@ -48,3 +49,54 @@ def test_cohesion_by_pairs(spark):
     assert got.keys() == pairs.keys() and (1, 1) not in got
     for k, v in pairs.items():
         assert got[k] == pytest.approx((np.mean(v), np.std(v)), abs=1e-9)
+
+
+def bfs_loop(edges, seeds, most):
+    near = collections.defaultdict(dict)
+    for a, b, w in edges:
+        near[a][b] = near[b][a] = w
+    held, front = list(seeds), set(seeds)
+    while len(held) < most:
+        new = {n for a in front for n in near[a]} - set(held)
+        if not new:
+            break
+        ranked = sorted(new, key=lambda n: (-max((w for s, w in near[n].items() if s in seeds), default=0), n))
+        held += ranked[: most - len(held)]
+        front = set(ranked)
+    return set(held)
+
+
+def test_bfs_sample(spark):
+    """A chain is followed to its end or the budget, and an edge to a seed goes before a better one to another node."""
+    edges = {1: [(i, i + 1, 0.0) for i in range(30)], 2: [(i, i + 1, 0.0) for i in range(6)], 3: [(0, 1, 0.2), (0, 2, 0.3), (1, 3, 0.9), (2, 4, 0.4), (0, 5, 0.25), (3, 6, 0.9), (4, 6, 0.1)]}
+    e = spark.createDataFrame([(v, *x) for v, rows in edges.items() for x in rows], "video_id long, i int, j int, w double")
+    seeds = spark.createDataFrame([(v, 0) for v in edges], "video_id long, idx int")
+    for most in (3, 12):
+        got = collections.defaultdict(set)
+        for r in G.bfs_sample(G.both_ways(e), seeds, most).collect():
+            got[r.video_id].add(r.idx)
+        assert got == {v: bfs_loop(rows, [0], most) for v, rows in edges.items()}
+    assert len(got[1]) == 12 and len(got[2]) == 7
+
+
+def test_pagerank_sample(spark):
+    import numpy as np
+
+    edges, seeds = collections.defaultdict(list), {3, 20}
+    for r in entry.queries()["temporal_graph"](spark, SF).collect():
+        edges[r.video_id].append((r.i, r.j, r.w))
+    got = collections.defaultdict(set)
+    for r in entry.queries()["personalized_pagerank_sample"](spark, SF).collect():
+        got[r.video_id].add(r.idx)
+    assert got.keys() == edges.keys()
+    for v, rows in edges.items():
+        n = max(j for _, j, _ in rows) + 1
+        w = np.zeros((n, n))
+        for i, j, x in rows:
+            w[i, j] = w[j, i] = x
+        start = np.array([(i in seeds) / 2 for i in range(n)])
+        p = np.linalg.solve(np.eye(n) - 0.85 * (w / w.sum(axis=1, keepdims=True)).T, 0.15 * start)
+        rest = sorted((i for i in range(n) if i not in seeds), key=lambda i: -p[i])
+        assert len(got[v]) == 12 and seeds <= got[v]
+        least = p[rest[9]]
+        assert all(p[i] >= least - 1e-4 for i in got[v]), v  # ranks closer than the tolerance may change places

@@ -53,14 +53,19 @@ def label_diffusion(transition: DataFrame, labels: DataFrame, value: str, alpha:
     return y
 
 
-def bfs_sample(edges: DataFrame, seeds: DataFrame, most: int, rounds: int = 10) -> DataFrame:
-    """video_id, idx, level: from the seeds, each round adds the neighbours with the best edge to a node that is in, until a video has `most`; ties go by node."""
+def bfs_sample(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """video_id, idx, level: from the seeds, each round adds neighbours of those added last, until a video has `most` or no more can be reached.
+
+    The best edge to a seed goes first (a node without one counts 0); ties go by node. A video that goes on adds a node a round, so `most` rounds are enough.
+    """
     held = seeds.select("video_id", "idx", F.lit(0).alias("level"))
+    near = cut_lineage(edges.join(seeds.select("video_id", F.col("idx").alias("src")), ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("idx")).agg(F.max("w").alias("w")))
     front = held
-    for level in range(1, rounds + 1):
+    for level in range(1, most + 1):
         n = held.groupBy("video_id").agg(F.count("*").alias("n"))
-        new = edges.join(front.select("video_id", F.col("idx").alias("src")), ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("idx")).agg(F.max("w").alias("w")).join(held, ["video_id", "idx"], "left_anti")
-        r = F.row_number().over(Window.partitionBy("video_id").orderBy(F.round("w", 9).desc(), "idx"))
+        new = edges.join(front.select("video_id", F.col("idx").alias("src")), ["video_id", "src"]).select("video_id", F.col("dst").alias("idx")).distinct().join(held, ["video_id", "idx"], "left_anti")
+        new = new.join(near, ["video_id", "idx"], "left")
+        r = F.row_number().over(Window.partitionBy("video_id").orderBy(F.round(F.coalesce("w", F.lit(0.0)), 9).desc(), "idx"))
         front = new.withColumn("r", r).join(n, "video_id").where(F.col("r") <= F.lit(most) - F.col("n")).select("video_id", "idx", F.lit(level).alias("level"))
         front = cut_lineage(front)
         if front.isEmpty():

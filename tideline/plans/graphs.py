@@ -52,8 +52,9 @@ def label_diffusion(spark, sf):
 
 @query("bfs_sample")
 def bfs_sample(spark, sf):
-    """Rows only: up to 12 nodes a video from two seeds."""
-    return G.bfs_sample(G.both_ways(graph(spark, sf)), seeds(spark, sf), 12, rounds=4)
+    """Rows only: up to 12 nodes a video from two seeds. Backbone edges have no weight in the ranking."""
+    e = graph(spark, sf).withColumn("w", F.when(F.col("edge_type") == "backbone", 0.0).otherwise(F.col("w")))
+    return G.bfs_sample(G.both_ways(e), seeds(spark, sf), 12)
 
 
 def rank_step(k):
@@ -62,9 +63,19 @@ def rank_step(k):
 
 @query("personalized_pagerank", "frame_features", EDGES + ", rs AS (SELECT video_id, idx, CASE WHEN idx IN (3, 20) THEN 0.5 ELSE 0 END AS r FROM frame_features), p0 AS (SELECT video_id, idx, r AS p FROM rs)" + "".join(map(rank_step, range(6))) + "SELECT video_id, idx, round(p, 6) AS p FROM p6")
 def personalized_pagerank(spark, sf):
+    """The six rounds of its SQL; `personalized_pagerank_sample` goes on until ranks settle."""
+    return ranks(spark, sf, rounds=6, tolerance=0.0).select("video_id", "idx", r6("p").alias("p"))
+
+
+def ranks(spark, sf, **settings):
     n = frame_features(spark, sf)
-    t = G.row_normalise(G.both_ways(graph(spark, sf)), n, "none")
-    return G.personalized_pagerank(t, seeds(spark, sf), n, rounds=6, tolerance=0.0).select("video_id", "idx", r6("p").alias("p"))
+    return G.personalized_pagerank(G.row_normalise(G.both_ways(graph(spark, sf)), n, "none"), seeds(spark, sf), n, **settings)
+
+
+@query("personalized_pagerank_sample")
+def personalized_pagerank_sample(spark, sf):
+    """Rows only: the seeds and the ten best other nodes, with at most 100 rounds; the tolerance, 1e-4 a node in the reference, is 1e-4 a video here."""
+    return G.seeds_and_top(ranks(spark, sf, rounds=100, tolerance=1e-4), seeds(spark, sf), 10)
 
 
 @query("seed_consensus_weights", "frame_features", EDGES + ", s AS (SELECT l.video_id, l.idx, coalesce(CASE WHEN idx % 3 = 0 THEN y0 END, avg(CASE WHEN idx % 3 = 0 THEN y0 END) OVER (PARTITION BY video_id)) AS s FROM lab l), c AS (SELECT tr.video_id, src AS idx, sum(w * s) AS c FROM tr JOIN s ON s.video_id = tr.video_id AND s.idx = tr.dst GROUP BY 1, 2) SELECT video_id, round(least(greatest(avg(CASE WHEN idx % 2 = 0 THEN c END) / avg(CASE WHEN idx % 2 = 1 THEN c END), 0.1), 5), 6) AS ratio FROM c GROUP BY 1")
