@@ -99,6 +99,22 @@ def test_quotes(spark):
     assert quotes.format_chats(d).count() == len(rows) and quotes.format_chats(d.where("false")).count() == 0
 
 
+def test_quotes_of_some_lines_and_messages_without_conversation(spark):
+    from tideline.llm import quotes
+
+    rows = [
+        (1, 0, "a", "one\ntwo\nthree\nfour"), (1, 1, "b", "something else"), (1, 2, "c", "> two\n> three\nI agree"), (1, 3, "d", "> not said\n> something else\nno"), (1, 4, "e", "> one\n> two\n> three\n> four\nall"),
+        (None, 0, "x", "> q\nmy own\nwords"), (None, 0, "y", "my own\nwords"), (None, 1, "z", None),
+    ]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.role: r for r in quotes.format_chats(d).collect()}
+    assert [got[k].reply_to for k in "abcde"] == [None, 0, 0, 1, 0] and [got[k].n_linked for k in "abcde"] == [0, 0, 1, 1, 1]
+    assert [got[k].depth for k in "abcde"] == [0, 0, 1, 1, 1]
+    assert sorted(got[k].position for k in "abcde") == list(range(5)) and got["c"].text == "I agree"
+    assert [got[k].text for k in "xyz"] == ["my own\nwords", "my own\nwords", ""] and [got[k].n_quotes for k in "xyz"] == [1, 0, 0]
+    assert all(got[k].reply_to is None and got[k].n_linked == got[k].depth == got[k].position == 0 for k in "xyz")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 

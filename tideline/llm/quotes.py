@@ -1,14 +1,15 @@
 """Conversations in reply order, without quotes. DataFrame functions only.
 
 A message's lines carry a quote level: how many quote marks they start with (blanks between marks allowed). Neighbouring lines of one level are a
-passage; level 0 is what the author wrote. A passage's normalised text (lower case, letters and digits only) is hashed. A quoted passage is linked
-to the earliest message of the same conversation, before the quoting one, whose own text holds a passage with that hash; the message replies to the one that its first
-linked passage quotes, at the lowest level, and without a link to the message before it. Messages without links go on a strand; a message with a link starts a strand
+passage; level 0 is what the author wrote. A passage's normalised text (lower case, letters and digits only) is hashed, and so is each of its lines. A quoted passage is linked
+to the earliest message of the same conversation, before the quoting one, whose own text holds a passage or a line with that hash; where the whole is found in none, to the
+earliest message that holds its first line found in an earlier message. The message replies to the one that its first linked passage quotes, at the lowest level, and without
+a link to the message before it. Messages without links go on a strand; a message with a link starts a strand
 at the message that it quotes. Reply order walks the strands: a message, the strands that start at it, then the next message of its own strand.
 A sort key has one step a quote that leads to its strand, so its length follows the depth of quoting and not the length of a conversation.
 
 Null and empty texts are messages without passages. Repeated turns are told apart by a number in order of text; extra columns are ignored. A quote that
-matches nothing is removed all the same. Messages only link within their conversation, so a frequent passage can't grow a join beyond it, and a
+matches nothing is removed all the same. Messages without a conversation (null conv_id) are cleaned like others, never linked, each a conversation of its own. Messages only link within their conversation, so a frequent passage can't grow a join beyond it, and a
 passage that repeats in one conversation is one row (its earliest message) before the join.
 """
 
@@ -37,22 +38,32 @@ def passages(messages: DataFrame) -> DataFrame:
     return p.withColumn("plain", F.trim(plain)).withColumn("hash", F.xxhash64("plain"))
 
 
+def hashed_lines(parts: DataFrame, *keys: str) -> DataFrame:
+    """keys, at, hash: the lines of passages that have letters or digits, by place, hashed like passages."""
+    lines = parts.select(*keys, F.posexplode(F.split("body", "\n")).alias("at", "body"))
+    plain = F.trim(F.lower(F.regexp_replace("body", "[^\\p{L}\\p{N}]+", " ")))
+    return lines.withColumn("plain", plain).where("plain <> ''").select(*keys, "at", F.xxhash64("plain").alias("hash"))
+
+
 def number_messages(conversations: DataFrame) -> DataFrame:
-    """The messages with msg, their number in the conversation from 0: by turn, then text."""
+    """The messages with msg, their number in the conversation from 0: by turn, then text. Without a conversation: any number of their own."""
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("msg", F.row_number().over(by) - 1)
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    known = rows.where("conv_id is not null").withColumn("msg", (F.row_number().over(by) - 1).cast("long"))
+    return known.unionByName(rows.where("conv_id is null").withColumn("msg", F.monotonically_increasing_id()))
 
 
 def reply_links(messages: DataFrame, parts: DataFrame) -> DataFrame:
     """conv_id, msg, parent, linked: the message that each one answers (null: none before it)."""
     own = parts.where((F.col("level") == 0) & (F.col("plain") != ""))
-    # a quote may hold a whole own passage or one of its lines
-    lines = own.select("conv_id", "msg", F.explode(F.split("body", "\n")).alias("body"))
-    lines = lines.select("conv_id", "msg", F.xxhash64(F.trim(F.lower(F.regexp_replace("body", "[^\\p{L}\\p{N}]+", " ")))).alias("hash"), (F.trim("body") != "").alias("some")).where("some").drop("some")
+    # a quote may hold a whole own passage or some of its lines
+    lines = hashed_lines(own, "conv_id", "msg").drop("at")
     # every message that holds a passage, earliest first; a quote takes the earliest before it, which is the earliest of all if there is one
     first = own.select("conv_id", "hash", "msg").union(lines.select("conv_id", "hash", "msg")).groupBy("conv_id", "hash").agg(F.min("msg").alias("origin"))
-    quoted = parts.where((F.col("level") > 0) & (F.col("plain") != "")).select("conv_id", "msg", "place", "level", "hash")
-    hits = quoted.join(first, ["conv_id", "hash"]).where("origin < msg")
+    quotes = parts.where((F.col("level") > 0) & (F.col("plain") != ""))
+    # the whole run is tried before its lines, -1 being its place among them
+    tried = quotes.select("conv_id", "msg", "place", "level", F.lit(-1).alias("at"), "hash").union(hashed_lines(quotes, "conv_id", "msg", "place", "level"))
+    hits = tried.join(first, ["conv_id", "hash"]).where("origin < msg").groupBy("conv_id", "msg", "place", "level").agg(F.min(F.struct("at", "origin"))["origin"].alias("origin"))
     best = hits.groupBy("conv_id", "msg").agg(F.min(F.struct("level", "place", "origin")).alias("b"), F.count("*").alias("n_linked"))
     out = messages.select("conv_id", "msg").join(best.select("conv_id", "msg", F.col("b.origin").alias("origin"), "n_linked"), ["conv_id", "msg"], "left")
     before = F.when(F.col("msg") > 0, F.col("msg") - 1)
@@ -77,17 +88,20 @@ def reply_order(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, depth, position, n_quotes, n_linked, text of every message, quotes removed; position is the reply order."""
     messages = cut(number_messages(conversations))
-    parts = cut(passages(messages.where("conv_id is not null")))
-    links = cut(reply_links(messages.where("conv_id is not null"), parts))
+    parts = cut(passages(messages))
+    known = parts.where("conv_id is not null")
+    links = cut(reply_links(messages.where("conv_id is not null"), known))
     order = reply_order(links)
     own = F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("place", "body"))))
     text = F.array_join(F.filter(F.transform(own, lambda s: F.trim(s["body"])), lambda b: b != ""), "\n")
     bodies = parts.groupBy("conv_id", "msg").agg(text.alias("clean"), F.count(F.when(F.col("level") > 0, 1)).alias("n_quotes"))
-    out = messages.select("conv_id", "msg", "turn", "role").join(bodies, ["conv_id", "msg"], "left").join(links, ["conv_id", "msg"], "left").join(order, ["conv_id", "msg"], "left")
+    same = messages["conv_id"].eqNullSafe(bodies["conv_id"]) & (messages["msg"] == bodies["msg"])
+    out = messages.join(bodies, same, "left").select(messages["conv_id"], messages["msg"], "turn", "role", "clean", "n_quotes").join(links, ["conv_id", "msg"], "left").join(order, ["conv_id", "msg"], "left")
     turns = messages.select("conv_id", F.col("msg").alias("parent"), F.col("turn").alias("reply_to"))
     out = out.join(turns, ["conv_id", "parent"], "left")
-    position = F.row_number().over(Window.partitionBy("conv_id").orderBy("path")) - 1
-    return out.select("conv_id", "turn", "role", "reply_to", F.col("depth").cast("long").alias("depth"), position.cast("long").alias("position"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("clean", F.lit("")).alias("text"))
+    alone = F.when(F.col("conv_id").isNull(), F.col("msg"))
+    position = F.row_number().over(Window.partitionBy("conv_id", alone).orderBy("path")) - 1
+    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), position.cast("long").alias("position"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("clean", F.lit("")).alias("text"))
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:
