@@ -3,11 +3,13 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, db, plain  # noqa: F401  (db is a fixture)
 
 import __spark_entry__ as entry
 from tideline.operators import graph as G
 from tideline.operators import metrics as M
+from tideline.operators.tables import contains_join_first
 
 
 @pytest.mark.parametrize("name", ["aligned_sample_windows_all", "scalar_log_scan_all", "media_inventory_all", "margin_pair_mining_reference", "class_subsample_reference", "class_cohesion_whole"])
@@ -100,3 +102,16 @@ def test_pagerank_sample(spark):
         assert len(got[v]) == 12 and seeds <= got[v]
         least = p[rest[9]]
         assert all(p[i] >= least - 1e-4 for i in got[v]), v  # ranks closer than the tolerance may change places
+
+
+@pytest.mark.parametrize("more", [0, 10_001])
+def test_contains_join_first_at_any_size(spark, more):
+    """The needle decides, inside a piece as well, however many names there are; no file holds the added names."""
+    few = ["ab", "abc", "a", "lang", "x.y", "", "longer name", "nowhere"]
+    files = [(3, "/d/ab/f"), (1, "/d/xabcx.mp4"), (2, "/d/lang"), (5, "/x.y/lang/ab"), (4, "/p/longer name_1.mp4"), (6, None)]
+    names = spark.createDataFrame([(n,) for n in few + [f"zz{k}zz" for k in range(more)]] + [(None,)], "name string")
+    f = spark.createDataFrame(files, "i long, path string")
+    for needle, text in ((F.col("name"), "{}"), (F.concat(F.lit("/"), F.col("name"), F.lit("/")), "/{}/")):
+        got = {r.name: r.i for r in contains_join_first(names, f, needle, "name", "path", "i").collect()}
+        found = {n: [i for i, p in files if p and text.format(n) in p] for n in few}
+        assert got == {n: min(v) for n, v in found.items() if v}

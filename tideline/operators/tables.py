@@ -45,14 +45,28 @@ def average_rank(by: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
 
 
-def contains_join_first(names: DataFrame, files: DataFrame, needle: Column, name: str, path: str, ordinal: str) -> DataFrame:
-    """For each name the first file (by ordinal) whose path contains the needle.
+def contains_join_first(names: DataFrame, files: DataFrame, needle: Column, name: str, path: str, ordinal: str, gram: int = 4) -> DataFrame:
+    """For each name the first file (by ordinal) whose path contains the needle; an empty needle is in every path, a null one in none.
 
-    The names go to all executors only while they are few; more of them are joined by the path's pieces between slashes.
+    One rule at every size: what decides is contains(path, needle). A path that contains a needle contains each run of `gram` characters of it,
+    so needles meet only paths that hold their rarest run; needles shorter than that meet the paths by their whole text.
     """
-    if names.limit(10_001).count() <= 10_000:
-        j = files.join(F.broadcast(names), F.contains(F.col(path), needle))
-    else:
-        parts = files.withColumn(name, F.explode(F.array_distinct(F.split(path, "/"))))
-        j = parts.join(names, name)
-    return j.groupBy(name).agg(F.min(ordinal).alias(ordinal))
+    n = names.select(name, needle.alias("needle__")).where("needle__ is not null").distinct()
+    f = files.select(path, ordinal).where(F.col(path).isNotNull())
+
+    def runs(text: str, size: Column | int) -> Column:
+        """The distinct runs of `size` characters."""
+        last = F.length(text) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(F.col(text), k, F.lit(size) if isinstance(size, int) else size)))).otherwise(F.array().cast("array<string>"))
+
+    # runs of up to `gram` characters that paths have, each with its paths' number
+    keys = f.select(path, ordinal, F.explode(F.array_union(runs(path, gram), F.flatten(F.array(*[runs(path, k) for k in range(1, gram)])))).alias("key__"))
+    size = F.least(F.length("needle__"), F.lit(gram))
+    asked = n.where("needle__ <> ''").select(name, "needle__", F.explode(runs("needle__", size)).alias("key__"))
+    wanted = keys.join(asked.select("key__").distinct(), "key__", "left_semi")
+    often = wanted.groupBy("key__").agg(F.count("*").alias("n__"))
+    rarest = asked.join(often, "key__", "left").groupBy(name, "needle__").agg(F.min(F.struct(F.coalesce("n__", F.lit(0)).alias("n__"), "key__"))["key__"].alias("key__"))
+    j = wanted.join(rarest, "key__").where(F.contains(F.col(path), F.col("needle__")))
+    some = j.groupBy(name).agg(F.min(ordinal).alias(ordinal))
+    every = n.where("needle__ = ''").select(name).distinct().crossJoin(F.broadcast(f.agg(F.min(ordinal).alias(ordinal)).where(F.col(ordinal).isNotNull())))  # one row
+    return some.unionByName(every).groupBy(name).agg(F.min(ordinal).alias(ordinal))
