@@ -9,10 +9,12 @@ from test_queries import SF, db, plain  # noqa: F401  (db is a fixture)
 import __spark_entry__ as entry
 from tideline.operators import graph as G
 from tideline.operators import metrics as M
+from tideline.operators import timeline as T
 from tideline.operators.tables import contains_join_first
+from tideline.streaming import streams as S
 
 
-@pytest.mark.parametrize("name", ["aligned_sample_windows_all", "scalar_log_scan_all", "media_inventory_all", "margin_pair_mining_reference", "class_subsample_reference", "class_cohesion_whole"])
+@pytest.mark.parametrize("name", ["aligned_sample_windows_all", "scalar_log_scan_all", "media_inventory_all", "margin_pair_mining_reference", "class_subsample_reference", "class_cohesion_whole", "stream_incremental_curve"])
 def test_same_as_whole_sql(spark, db, name):  # noqa: F811
     df, sql = entry.queries()[name](spark, SF), entry.oracle_sql()[name]
     cols = sorted(df.columns)
@@ -115,3 +117,19 @@ def test_contains_join_first_at_any_size(spark, more):
         got = {r.name: r.i for r in contains_join_first(names, f, needle, "name", "path", "i").collect()}
         found = {n: [i for i, p in files if p and text.format(n) in p] for n in few}
         assert got == {n: min(v) for n, v in found.items() if v}
+
+
+def test_trailing_buffer(spark):
+    """Four batches of a video of 40 frames, the last 15 scored anew with each, against slices; a batch with more new frames than that scores them all."""
+    rows = [(1, i, i * 7 % 13 / 13) for i in range(40)] + [(2, i, i * 5 % 11 / 11) for i in range(80)]
+    d = spark.createDataFrame(rows, "video_id long, idx int, score double").withColumn("ts", F.timestamp_seconds(F.when(F.col("video_id") == 1, F.col("idx")).otherwise(F.floor(F.col("idx") / 2))))
+    rescore = lambda x: T.bitemporal(x, out="rescored")
+    got = {(r.video_id, r.idx): (r.n, r["mean"]) for r in S.trailing_curve(spark, S.replay(spark, d), rescore, 15).collect()}
+    edges = {1: [(0, 10), (5, 20), (15, 30), (25, 40)], 2: [(0, 20), (20, 40), (40, 60), (60, 80)]}
+    parts = [(100 * v + k, i - a, s) for v in edges for k, (a, b) in enumerate(edges[v]) for w, i, s in rows if w == v and a <= i < b]
+    sums = collections.defaultdict(list)
+    for r in T.bitemporal(spark.createDataFrame(parts, "video_id long, idx int, score double")).collect():
+        v, k = divmod(r.video_id, 100)
+        sums[v, r.idx + edges[v][k][0]].append(r.calibrated)
+    assert got.keys() == sums.keys() == {(v, i) for v, i, _ in rows}
+    assert all(got[k] == (len(x), pytest.approx(sum(x) / len(x), abs=1e-9)) for k, x in sums.items())

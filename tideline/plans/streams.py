@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tideline.functions.scalars import r6
 from tideline.operators import timeline as T
 from tideline.plans.registry import query
+from tideline.plans.timeline import decay_sql, gauss_sql, scaled_sql
 from tideline.sources.files import shared_folder
 from tideline.sources.views import frames
 from tideline.streaming import streams as S
@@ -19,25 +20,48 @@ def ended(spark, sf, delay_hours: int):
     return timed(spark, sf).agg((F.max("ts") - F.expr(f"INTERVAL {delay_hours} HOURS")).alias("upto"))
 
 
+BITEMPORAL = decay_sql("frames", "score", 0.9, "d") + gauss_sql("d", "v", 2.0, "g") + scaled_sql("g")
+
+
 @query("stream_incremental_scores", "frames", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS mean FROM frames GROUP BY 1")
 def stream_incremental_scores(spark, sf):
-    """After each batch the affected videos' curves are computed anew; the last state of each video is returned."""
+    """The last state's rows and mean score by video, as its SQL has them; `stream_incremental_curve` returns the curves."""
+    return incremental_curves(spark, sf).groupBy("video_id").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean"))
+
+
+def incremental_curves(spark, sf):
+    """video_id, idx, score, calibrated: after each batch the affected videos' curves are computed anew; the last ones."""
     path = shared_folder(spark)
     s = S.replay(spark, timed(spark, sf))
 
     def each(batch, number):
         batch.write.mode("append").parquet(f"{path}/rows")
         hit = spark.read.parquet(f"{path}/rows").join(batch.select("video_id").distinct(), "video_id", "left_semi")
-        T.bitemporal(hit).groupBy("video_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/curves")
+        T.bitemporal(hit).select("video_id", "idx", "score", "calibrated").withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/curves")
 
     S.run_batches(spark, s, each)
-    c = spark.read.parquet(f"{path}/curves").groupBy("video_id").agg(F.max_by(F.struct("n", "mean"), "batch").alias("x"))
-    return c.select("video_id", F.col("x.n").alias("n"), r6("x.mean").alias("mean"))
+    return spark.read.parquet(f"{path}/curves").groupBy("video_id", "idx").agg(F.max_by(F.struct("score", "calibrated"), "batch").alias("x")).select("video_id", "idx", "x.score", "x.calibrated")
+
+
+@query("stream_incremental_curve", "frames", BITEMPORAL)
+def stream_incremental_curve(spark, sf):
+    """The calibrated curves that the last batch of each video leaves, the same as in one batch."""
+    return incremental_curves(spark, sf).select("video_id", "idx", r6("calibrated").alias("calibrated"))
+
+
+@query("stream_trailing_buffer_curve")
+def stream_trailing_buffer_curve(spark, sf):
+    """Rows only: the averaged curve of re-scored trailing buffers, with the event that a frame is in."""
+    rescore = lambda d: T.bitemporal(d, out="rescored")
+    c = S.trailing_curve(spark, S.replay(spark, timed(spark, sf)), rescore)
+    e = T.threshold_segments(c, "mean", 0.4).select(F.col("video_id").alias("v"), F.col("start").alias("event_start"), F.col("end").alias("event_end"))
+    j = c.join(e, (F.col("video_id") == F.col("v")) & F.col("idx").between(F.col("event_start"), F.col("event_end")), "left")
+    return j.select("video_id", "idx", "n", r6("mean").alias("mean"), "event_start", "event_end")
 
 
 @query("stream_trailing_buffer", "frames", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS mean FROM frames GROUP BY 1")
 def stream_trailing_buffer(spark, sf):
-    """Running sums and counts by video, merged batch by batch."""
+    """Running sums and counts by video, merged batch by batch, as its SQL has them; `stream_trailing_buffer_curve` has the buffer."""
     path = shared_folder(spark)
 
     def each(batch, number):

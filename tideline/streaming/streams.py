@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,6 +39,31 @@ def run_batches(spark: SparkSession, stream: DataFrame, each: Callable[[DataFram
     q.awaitTermination()
 
 
+def trailing_curve(spark: SparkSession, stream: DataFrame, rescore: Callable[[DataFrame], DataFrame], most: int = 300) -> DataFrame:
+    """video_id, idx, n, mean: every frame's n scores, averaged.
+
+    With each batch, the last `most` frames of the videos in it are scored anew (all new ones, if they are more), numbered from 0 in `idx`.
+    `rescore` takes video_id, idx, score and returns video_id, idx, rescored. A batch reads the buffer of the one before; scores are added up by frame.
+    """
+    path = shared_folder(spark)
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.select("video_id", "idx", "score", F.lit(1).alias("new"))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/buffer-{number - 1}").withColumn("new", F.lit(0)))
+        video = Window.partitionBy("video_id")
+        rows = rows.withColumn("r", F.row_number().over(video.orderBy(F.col("idx").desc()))).withColumn("n", F.sum("new").over(video))
+        rows.where(F.col("r") <= most).select("video_id", "idx", "score").write.parquet(f"{path}/buffer-{number}")
+        part = rows.where(F.col("n") > 0).where(F.col("r") <= F.greatest("n", F.lit(most))).withColumn("at", F.min("idx").over(video))
+        done = rescore(part.select("video_id", (F.col("idx") - F.col("at")).cast("int").alias("idx"), "score")).select("video_id", "idx", "rescored")
+        done = done.join(part.select("video_id", "at").distinct(), "video_id").select("video_id", (F.col("idx") + F.col("at")).alias("idx"), "rescored")
+        done.groupBy("video_id", "idx").agg(F.sum("rescored").alias("s"), F.count("*").alias("n")).write.mode("append").parquet(f"{path}/sums")
+
+    run_batches(spark, stream, each)
+    sums = spark.read.parquet(f"{path}/sums").groupBy("video_id", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("video_id", "idx", "n", (F.col("s") / F.col("n")).alias("mean"))
+
+
 def tumbling_hits(stream: DataFrame, width: str, delay: str, gate: float) -> DataFrame:
     """video_id, start, t, conf: tumbling segments with a hit (column hit) whose mean confidence is above the gate."""
     w = stream.withWatermark("ts", delay).groupBy("video_id", F.window("ts", width))
