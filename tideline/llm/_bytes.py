@@ -32,21 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random 64-bit value per byte; a text hash is the sum of value(byte) * STEP**position.
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEP = 0xD6E8FEB86659FD93
-_BACK = pow(_STEP, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        n = max(n, SLICE_BYTES) + 4096
-        for name, base in (("up", _STEP), ("down", _BACK)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
+#: Bytes of a block, and by how many of them a range's last block keeps, the mask of its integer.
+BLOCK_BYTES = 8
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(BLOCK_BYTES)] + [2**64 - 1], np.uint64)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES):
@@ -91,12 +79,49 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_BL
     return first, last, np.searchsorted(offsets, first, "right") - 1
 
 
+def _blocks(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges' bytes in integers of eight: the integers, each one's number in its range, and where each range begins among them."""
+    size = last - first + 1
+    count = (size + BLOCK_BYTES - 1) // BLOCK_BYTES
+    begin = np.cumsum(count) - count
+    number = np.arange(count.sum()) - np.repeat(begin, count)
+    padded = np.zeros(len(data) + BLOCK_BYTES, np.uint8)
+    padded[: len(data)] = data
+    every = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    value = every[np.repeat(first, count) + number * BLOCK_BYTES]
+    end = begin + count - 1
+    value[end] &= _KEEP[size - (count - 1) * BLOCK_BYTES]
+    return value, number.astype(np.uint64), begin
+
+
 def range_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges (ends included)."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[last + 1] - sums[first]) * down[first] + (last - first + 1).astype(np.uint64))
+    """64-bit hashes of byte ranges (ends included, none empty).
+
+    Each block of eight bytes is mixed with its number before the sum, so that no arithmetic relation between texts carries over to their
+    hashes, as it would to a polynomial's.
+    """
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    value, number, begin = _blocks(data, first, last)
+    mixed = mix(value + mix(number + np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(mixed, begin) ^ mix((last - first + 1).astype(np.uint64)))
+
+
+def distinct_ranges(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct byte range, and for each range which of these it equals. Ranges of one hash are told apart by their bytes."""
+    _, at, back = np.unique(range_hashes(data, first, last), return_index=True, return_inverse=True)
+    like = at[back]
+    odd = (last - first) != (last - first)[like]
+    same = np.flatnonzero(~odd & (like != np.arange(len(first))))
+    if len(same):
+        a, _, begin = _blocks(data, first[same], last[same])
+        b, _, _ = _blocks(data, first[like[same]], last[like[same]])
+        odd[same[np.add.reduceat((a != b).astype(np.int64), begin) > 0]] = True
+    odd = np.flatnonzero(odd)
+    if len(odd):  # a hash's second text: each such range stands for itself
+        back[odd] = len(at) + np.arange(len(odd))
+        at = np.r_[at, odd]
+    return at, back
 
 
 def lower(data: np.ndarray) -> np.ndarray:

@@ -285,7 +285,8 @@ def _count(special: bytes):
                 first, last = first[~flag], last[~flag]
                 if not len(first):
                     continue
-                _, at, n = np.unique(_bytes.range_hashes(data, first, last), return_index=True, return_counts=True)
+                at, back = _bytes.distinct_ranges(data, first, last)
+                n = np.bincount(back, minlength=len(at))
                 raw = data.tobytes()
                 for a, b, k in zip(first[at].tolist(), last[at].tolist(), n.tolist()):
                     w = raw[a : b + 1]
@@ -364,7 +365,7 @@ def _ids_of(x: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     first, last, row, flag = words(data, offsets, x["special"].tobytes())
     if not len(first):
         return np.zeros(0, np.int32), np.zeros(n_rows, np.int64)
-    _, at, back = np.unique(_bytes.range_hashes(data, first, last), return_index=True, return_inverse=True)
+    at, back = _bytes.distinct_ranges(data, first, last)
     first, last, flag = first[at], last[at], flag[at]
     place = look_up(x, data, first, last)
     ends, known = x["list_ends"], place >= 0

@@ -1,14 +1,18 @@
 """Toxicity classifier that is regularised with counterfactual sentences.
 
 A text's features are the presence of words and of word beginnings (4 to 7 letters), case folded, marks cut off. Which ones count is
-learnt from all labelled training rows: a first pass counts features of toxic and other documents by hash range in arrays of
+learnt from the training sample: a first pass counts features of toxic and other documents by hash range in arrays of
 fixed size, a second counts exactly those whose range looks telling, and the `n_features` with the strongest association stay.
-A logistic model over them is fitted with a penalty on score changes: in the fitting rows' sentences each identity term is swapped for
+A logistic model over them is fitted with a penalty on score changes: in the training texts each identity term is swapped for
 another of its group, and the squared difference of the two logits is added to the loss, so that a neutral mention of a group can't carry weight of
-its own. The fitting sample is bounded (`fit_rows`, by hash of the id); features are chosen from all training rows.
+its own.
+
+The training sample is bounded: `fit_rows` labelled ids, at most half of them of the larger class while there are enough of both. It is drawn from
+the labels, by hash of the id, before any text is read, so that only its texts are kept; a class that is drawn more thinly weighs more.
 
 Null and empty texts have no feature and get the score of the intercept. Only rows labelled 0 or 1 train; without both classes the score is a
-constant. Each input row gives one output row; extra columns are ignored.
+constant; an empty table gives an empty result. Repeated label rows count once; an id with both labels trains as both. Rows of `docs` that repeat a drawn id all train, equal ones
+as one row of that weight. A null id is never drawn, and its row is scored like others. Long texts are read whole, in slices. Each input row gives one output row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,38 +161,54 @@ def _fitting_rows(chosen: np.ndarray):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = 0.15, fairness: float = 20.0, steps: int = 30) -> np.ndarray:
-    """Newton's method for mean-free logistic regression; the last weight is the intercept.
+def fit_logistic(x: np.ndarray, y: np.ndarray, change: np.ndarray, weight: np.ndarray | None = None, change_weight: np.ndarray | None = None, ridge: float = 0.15, fairness: float = 20.0, steps: int = 30) -> np.ndarray:
+    """Newton's method for logistic regression of weighted rows; the last weight is the intercept.
 
     change: rows of feature differences (swapped minus own); their squared logit change is penalised.
     """
     x = np.hstack([x, np.ones((len(x), 1))])
+    v = np.ones(len(x)) if weight is None else weight
     w = np.zeros(x.shape[1])
     penalty = np.diag(np.r_[np.full(x.shape[1] - 1, ridge), 1e-6])
     if len(change):
         c = np.hstack([change, np.zeros((len(change), 1))])
-        penalty = penalty + fairness * (c.T @ c)
+        penalty = penalty + fairness * (c.T @ (c if change_weight is None else c * change_weight[:, None]))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), gradient)
+        gradient = x.T @ (v * (p - y)) + penalty @ w
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)), gradient)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(train: DataFrame, n_features: int = 384, fit_rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hashes, weights with the intercept last) from train (doc_id, text, y 0/1)."""
+def training_ids(labels: DataFrame, fit_rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, y of the drawn ids, and how much a row of each class weighs. labels: doc_id, y (0/1).
+
+    A class of n ids gives those whose hash lies under its share of `fit_rows`: half, or what the other class leaves.
+    """
+    one = cut(labels.where("doc_id is not null").distinct())
+    n = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
+    half = fit_rows // 2
+    most = {y: max(half, fit_rows - n.get(1 - y, 0)) for y in n}
+    share = {y: min(1.0, most[y] / n[y]) for y in n}
+    at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 60)) / float(1 << 60)
+    drawn = one.where(at < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    even = sum(n.values()) / max(sum(n[y] * share[y] for y in n), 1)
+    return drawn, {y: 1 / (share[y] * even) for y in n}
+
+
+def fit(train: DataFrame, weights: dict[int, float] | None = None, n_features: int = 384, fairness: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """(feature hashes, weights with the intercept last) from train (text, y 0/1), a bounded number of rows; weights: of a row, by class."""
+    weights = weights or {0: 1.0, 1: 1.0}
     n = dict(train.groupBy("y").count().collect())
     if len(n) < 2:
         p = 0.5 if not n else min(max(float(next(iter(n))), 0.02), 0.98)
         return np.zeros(0, np.uint64), np.array([np.log(p / (1 - p))])
     chosen = choose_features(train.select("text", "y"), n_features)
-    most = fit_rows / sum(n.values())
-    sample = train if most >= 1 else train.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(most * 1_000_000))
-    rows = sample.select("text", "y").mapInArrow(_fitting_rows(chosen), "y int, own array<int>, other array<int>").collect()
-    x, change = np.zeros((len(rows), len(chosen))), []
+    rows = train.select("text", "y").mapInArrow(_fitting_rows(chosen), "y int, own array<int>, other array<int>").groupBy("y", "own", "other").count().collect()
+    x, change, times = np.zeros((len(rows), len(chosen))), [], []
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
         if r["other"] is not None:
@@ -196,8 +216,10 @@ def fit(train: DataFrame, n_features: int = 384, fit_rows: int = 20_000) -> tupl
             d[r["other"]] += 1
             if d.any():
                 change.append(d)
-    w = fit_logistic(x, np.array([r["y"] for r in rows], float), np.array(change))
-    return chosen, w
+                times.append(r["count"])
+    y = np.array([r["y"] for r in rows], float)
+    v = np.array([r["count"] * weights[r["y"]] for r in rows])
+    return chosen, fit_logistic(x, y, np.array(change), v, np.array(times), fairness=fairness)
 
 
 def score(docs: DataFrame, chosen: np.ndarray, weights: np.ndarray) -> DataFrame:
@@ -214,12 +236,13 @@ def score(docs: DataFrame, chosen: np.ndarray, weights: np.ndarray) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of all `docs`, learnt from `labels` (doc_id, toxic) outside the held-out fold."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5, fit_rows: int = 30_000) -> DataFrame:
+    """doc_id, held_out, score, predicted of all `docs`, learnt from at most about `fit_rows` ids of `labels` (doc_id, toxic) outside the held-out fold."""
     y = labels.where(F.col("toxic").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id")
-    chosen, weights = fit(cut(train))
-    out = score(docs, chosen, weights)
+    drawn, weights = training_ids(y, fit_rows)
+    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # fit_rows bounds it
+    chosen, w = fit(cut(train.select("text", "y")), weights)
+    out = score(docs, chosen, w)
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

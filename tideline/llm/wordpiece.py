@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[bytes, bool]]) -> DataFrame
                 first, last, row = _bytes.word_bounds(data, offsets)
                 tokens = np.zeros(n)
                 if len(first):
-                    _, one, back = np.unique(_bytes.range_hashes(data, first, last), return_index=True, return_inverse=True)
+                    one, back = _bytes.distinct_ranges(data, first, last)
                     tokens = np.bincount(row, weights=a.lengths(data, first[one], last[one])[back], minlength=n)
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(at, n), "n_words": pa.array(np.bincount(row, minlength=n), pa.int64()), "n_tokens": pa.array(tokens.astype(np.int64))})
 
