@@ -8,7 +8,8 @@ another of its group, and the squared difference of the two logits is added to t
 its own.
 
 The training sample is bounded: `fit_rows` labelled ids, at most half of them of the larger class while there are enough of both. It is drawn from
-the labels, by hash of the id, before any text is read, so that only its texts are kept; a class that is drawn more thinly weighs more.
+the labels, by hash of the id, before any text is read, so that only its texts are kept; a class that is drawn more thinly weighs more. Copies
+and near copies in the sample, seen by two min-hashes of word shingles, share the weight of one row, so that a text copied a thousand times doesn't fill the features.
 
 Null and empty texts have no feature and get the score of the intercept. Only rows labelled 0 or 1 train; without both classes the score is a
 constant; an empty table gives an empty result. Repeated label rows count once; an id with both labels trains as both. Rows of `docs` that repeat a drawn id all train, equal ones
@@ -57,27 +58,51 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, RANGES), np.int64)
+    total = np.zeros((2, RANGES))
     for batch in batches:
-        y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+        y, w = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("w").to_numpy(zero_copy_only=False)
         for at, data, offsets in _bytes.slices(batch.column("text")):
             row, h = _bytes.distinct(*features(data, offsets))
-            of = y[at + row]
+            of, weight = y[at + row], w[at + row]
             for label in (0, 1):
-                total[label] += np.bincount((h[of == label] >> np.uint64(44)).astype(np.int64), minlength=RANGES)
+                total[label] += np.bincount((h[of == label] >> np.uint64(44)).astype(np.int64), weights=weight[of == label], minlength=RANGES)
     if total.any():
-        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(2, -1, BLOCK).transpose(1, 0, 2)
+        parts = total.astype(np.float32).reshape(2, -1, BLOCK).transpose(1, 0, 2)
         yield pa.record_batch({"block": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
+def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, data, offsets in _bytes.slices(batch.column("text")):
+            n = len(offsets) - 1
+            row, h = _bytes.shingle_sets(data, offsets)
+            out = {"text": batch.column("text").slice(at, n), "y": batch.column("y").slice(at, n)}
+            begin = np.searchsorted(row, np.arange(n))
+            some = np.bincount(row, minlength=n) > 0
+            for k in (1, 2):
+                least = np.zeros(n, np.uint64)
+                if some.any():
+                    least[some] = np.minimum.reduceat(_bytes.mix(h ^ np.uint64(k)), begin[some])
+                out[f"m{k}"] = pa.array(least.view(np.int64))
+            yield pa.record_batch(out)
+
+
+def weigh_copies(train: DataFrame) -> DataFrame:
+    """text, y, w: each row's weight is one over the rows of its label that share a min-hash with it. train is a bounded sample, so are the counts."""
+    t = cut(train.mapInArrow(_min_hashes, "text string, y int, m1 long, m2 long"))
+    for k in ("1", "2"):
+        t = t.join(F.broadcast(t.groupBy("y", f"m{k}").agg(F.count("*").alias(f"c{k}"))), ["y", f"m{k}"])
+    return cut(t.select("text", "y", (1 / F.greatest("c1", "c2")).alias("w")))
+
+
 def _telling(n_pos: float, n_neg: float, keep: int):
     """Which ranges of a block have shares of toxic and other documents that differ clearly."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BLOCK), np.int64)
+        total = np.zeros((2, BLOCK))
         for batch in batches:
             for v in batch.column("counts"):
-                total += np.frombuffer(v.as_py(), np.int32).reshape(2, BLOCK)
+                total += np.frombuffer(v.as_py(), np.float32).reshape(2, BLOCK)
         z = association(total[1], total[0], n_pos, n_neg)
         best = np.argsort(-z)[:keep]
         best = best[z[best] > 2.0]
@@ -94,8 +119,8 @@ def association(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) ->
 
 
 def choose_features(train: DataFrame, n_features: int) -> np.ndarray:
-    """Hashes of the features that count, ascending. train: text, y (0/1)."""
-    n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
+    """Hashes of the features that count, ascending. train: text, y (0/1), w."""
+    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.sum("w").alias("n")).collect()}
     n_pos, n_neg = float(n.get(1, 0)), float(n.get(0, 0))
     ranges = train.mapInArrow(_ranges, "block int, counts binary").groupBy("block").applyInArrow(_telling(n_pos, n_neg, 64), "range int").collect()
     wanted = np.zeros(RANGES, bool)
@@ -105,14 +130,14 @@ def choose_features(train: DataFrame, n_features: int) -> np.ndarray:
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(picked.value).astype(bool)
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+            y, w = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("w").to_numpy(zero_copy_only=False)
             for at, data, offsets in _bytes.slices(batch.column("text")):
                 row, h = features(data, offsets)
                 hit = keep[(h >> np.uint64(44)).astype(np.int64)]
                 row, h = _bytes.distinct(row[hit], h[hit])
                 u, back = np.unique(h, return_inverse=True)
-                of = y[at + row]
-                yield pa.record_batch({"h": pa.array(u.view(np.int64)), "pos": pa.array(np.bincount(back, weights=of, minlength=len(u))), "neg": pa.array(np.bincount(back, weights=1 - of, minlength=len(u)))})
+                of, weight = y[at + row], w[at + row]
+                yield pa.record_batch({"h": pa.array(u.view(np.int64)), "pos": pa.array(np.bincount(back, weights=of * weight, minlength=len(u))), "neg": pa.array(np.bincount(back, weights=(1 - of) * weight, minlength=len(u)))})
 
     counts = train.mapInArrow(exact, "h long, pos double, neg double").groupBy("h").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
@@ -156,7 +181,7 @@ def _fitting_rows(chosen: np.ndarray):
                     row, place = _presence(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), chosen)
                     for i, p in zip(changes, np.split(place, np.searchsorted(row, np.arange(1, len(raw))))):
                         other[i] = p.tolist()
-                yield pa.record_batch({"y": batch.column("y").slice(at, n), "own": pa.array([p.tolist() for p in own], pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.int32()))})
+                yield pa.record_batch({"y": batch.column("y").slice(at, n), "w": batch.column("w").slice(at, n), "own": pa.array([p.tolist() for p in own], pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.int32()))})
 
     return run
 
@@ -206,8 +231,9 @@ def fit(train: DataFrame, weights: dict[int, float] | None = None, n_features: i
     if len(n) < 2:
         p = 0.5 if not n else min(max(float(next(iter(n))), 0.02), 0.98)
         return np.zeros(0, np.uint64), np.array([np.log(p / (1 - p))])
-    chosen = choose_features(train.select("text", "y"), n_features)
-    rows = train.select("text", "y").mapInArrow(_fitting_rows(chosen), "y int, own array<int>, other array<int>").groupBy("y", "own", "other").count().collect()
+    train = weigh_copies(train.select("text", "y"))
+    chosen = choose_features(train, n_features)
+    rows = train.mapInArrow(_fitting_rows(chosen), "y int, w double, own array<int>, other array<int>").groupBy("y", "own", "other").agg(F.sum("w").alias("w")).collect()
     x, change, times = np.zeros((len(rows), len(chosen))), [], []
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
@@ -216,9 +242,9 @@ def fit(train: DataFrame, weights: dict[int, float] | None = None, n_features: i
             d[r["other"]] += 1
             if d.any():
                 change.append(d)
-                times.append(r["count"])
+                times.append(r["w"])
     y = np.array([r["y"] for r in rows], float)
-    v = np.array([r["count"] * weights[r["y"]] for r in rows])
+    v = np.array([r["w"] * weights[r["y"]] for r in rows])
     return chosen, fit_logistic(x, y, np.array(change), v, np.array(times), fairness=fairness)
 
 
@@ -241,7 +267,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
     y = labels.where(F.col("toxic").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     drawn, weights = training_ids(y, fit_rows)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # fit_rows bounds it
-    chosen, w = fit(cut(train.select("text", "y")), weights)
+    chosen, w = fit(train.select("text", "y"), weights)
     out = score(docs, chosen, w)
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
