@@ -1,21 +1,26 @@
-"""Documents whose word-shingle sets are similar: an exact T-occurrence search over inverted lists.
+"""Documents whose word-shingle sets are similar: an exact T-occurrence search over inverted lists (DivideSkip).
 
 A document with n distinct shingles can only reach a Jaccard similarity of t with documents that hold at least
-T = ceil(t * n) of its shingles. DivideSkip splits a document's n inverted lists into its T - 1 longest and the
-n - T + 1 shortest: each partner occurs in at least one short list. Here
-
-* list lengths come from a sketch of fixed size (counts of all documents' shingles by hash range), which orders shingles
-  from rare to frequent. The order only decides which lists are long; any order gives the same result;
-* short lists are built by one shuffle on the shingle and merged in hash order within each partition, as a stream. Copies of one set
-  are one entry. A list is first compared with one document only, its center (a star: as many pairs as rows), in a few rounds with
-  other centers, and each round only between documents that aren't connected yet; last, what is still in several components is
-  compared in full. So a group of near copies costs rows, not pairs, and no link between different components is lost;
-* a pair has to pass bounds that can't reject a similar one: its sizes, the ranks of the shared shingle, and the Hamming distance of
-  the sets' parity bitmaps, which is at most the size of the sets' symmetric difference;
-* long lists aren't merged: the partner's set is probed by binary search for the exact overlap.
+T = ceil(t * n) of its shingles. DivideSkip leaves the longest lists out of the merge and probes them afterwards. It is used twice.
+
+Over the whole corpus, with the T - 1 longest lists left out: a partner then stands in at least one of the n - T + 1 short ones.
+
+* List lengths come from a sketch of fixed size (counts of all documents' shingles by hash range), which orders shingles
+  from rare to frequent. The order only decides which lists are long; any order gives the same result.
+* Short lists are built by one shuffle on the shingle and merged in hash order within each partition, as a stream. Copies of one set are one
+  entry. What comes out are families: sets that lists connect and that bounds don't tell apart. A bound never rejects a similar
+  pair: it is the sets' sizes, and the Hamming distance of their parity bitmaps, which is at most the size of their symmetric
+  difference; a bitmap has at least two bits a shingle. Families are found in two steps: every set against the first of its list (the list's center),
+  then lists whose sets still are in several families, in full. So a group of near copies costs rows and not pairs.
+
+In each family, with as many long lists left out as the cost rule says: each set travels once to its family's task (a family beyond a
+fixed number of bytes is dealt to blocks, and each pair of blocks is a task). The family's own inverted lists are built; a set's short lists are merged with
+counts of occurrence; sets that reach T less the number of long lists are candidates, and the long lists are probed for them by binary search until the
+required overlap is reached or out of reach. Sets already joined aren't compared again, so that links leave a task as a spanning forest of its components.
 
 Columns: one row per input row. Null and empty texts have no shingle and link with nothing; a text with 1 to 4 words is one
-shingle. Ties and repeated rows are links like any other (similarity 1). Extra columns of the input are ignored.
+shingle. Ties and repeated rows are links like any other (similarity 1), null ids are rows like others and never a component's smallest id while there is another. Long texts
+have large sets, whole. An empty table gives an empty result. Extra columns of the input are ignored by `similar_documents` and kept by `one_of_each`, whatever their names.
 Hashes have 64 bits: the result is exact up to their collisions.
 """
 
@@ -27,20 +32,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
-from tideline.llm._common import components, cut, release, table
+from tideline.llm._common import components, cut, table
 
 #: Counters of the list-length sketch, and how many of them travel in one row.
 SKETCH, BLOCK = 1 << 20, 1 << 12
-#: 64-bit words of the parity bitmap of a set.
-MAP_WORDS = 8
-MAPS = [f"m{i}" for i in range(MAP_WORDS)]
-#: Bits of the filter that tells which documents' sets are wanted.
-FILTER_BITS = 1 << 23
+#: Bits of a set's parity bitmap: at least so many, and at least two a shingle.
+LEAST_BITS = 512
+#: Sets of a list, and bytes of a family's sets, that one block holds.
+LIST_BLOCK, FAMILY_BLOCK = 4096, 32 << 20
+#: Bits of the filter that tells which documents' sets are wanted: sixteen a document between these bounds.
+FILTER_LEAST, FILTER_MOST, FILTER_PARTS = 1 << 16, 1 << 27, 64
 
 
-def _needed(n: np.ndarray, percent: int) -> np.ndarray:
+def _needed(n, percent: int):
     """Least overlap of a set of n with any similar set."""
     return -(-percent * n // 100)
 
@@ -52,7 +59,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, h = _bytes.shingle_sets(data, offsets)
             total += np.bincount((h >> np.uint64(64 - 20)).astype(np.int64), minlength=SKETCH)
     if total.any():
-        blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BLOCK)
+        blocks = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(-1, BLOCK)
         yield pa.record_batch({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
 
@@ -60,7 +67,7 @@ def _add_blocks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     total = np.zeros(BLOCK, np.int64)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint16)
+            total += np.frombuffer(x.as_py(), np.uint32)
     level = np.floor(2 * np.log2(total + 1)).astype(np.uint8)
     yield pa.record_batch({"block": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
@@ -83,11 +90,59 @@ def _set_hashes(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return count, _bytes.mix(sums[ends] - sums[ends - count] + count.astype(np.uint64))
 
 
-def _parity_maps(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Bit i of a row's bitmap: whether an odd number of its hashes fall on i."""
-    bits = 64 * MAP_WORDS
-    odd = np.bincount(row * bits + (h % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+def _parity_maps(row: np.ndarray, h: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Bit i of a row's bitmap: whether an odd number of its hashes fall on i. The number of bits is a power of two that follows the size."""
+    bits = np.where(count > 0, np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * count, 2))).astype(np.int64)), 0)
+    end = np.cumsum(bits // 64)
+    flat = np.zeros(end[-1] if len(end) else 0, np.uint64)
+    place = h & (bits[row] - 1).astype(np.uint64)
+    np.bitwise_xor.at(flat, (end - bits // 64)[row] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(np.r_[0, end * 8].astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps as those of `words` words: what falls on a bit of the shorter one is the parity of what falls on its bits in the longer one."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _apart(map_: bytes, others: list[bytes]) -> np.ndarray:
+    """Hamming distances of one bitmap and others, each pair at the length of its shorter one."""
+    out = np.zeros(len(others), np.int64)
+    words = np.array([len(m) // 8 for m in others])
+    own = np.frombuffer(map_, np.uint64)[None, :]
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        both = np.frombuffer(b"".join([others[i] for i in at]), np.uint64).reshape(len(at), w)
+        least = min(int(w), own.shape[1])
+        out[at] = np.bitwise_count(_folded(both, least) ^ _folded(own, least)).sum(1)
+    return out
+
+
+def _can_be_near(n: int, map_: bytes, sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which of the other sets the bounds don't tell apart from the one of n shingles."""
+    out = np.minimum(n, sizes) * 100 >= np.maximum(n, sizes) * percent
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = _apart(map_, [maps[i] for i in at]) * (100 + percent) <= (n + sizes[at]) * (100 - percent)
+    return out
+
+
+class Recent:
+    """Keys seen lately, in a table of fixed size: what was pushed out of it counts as new again."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys = np.zeros(slots, np.uint64)
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        _, first = np.unique(keys, return_index=True)
+        slot = (keys[first] % np.uint64(len(self.keys))).astype(np.int64)
+        out[first] = self.keys[slot] != keys[first]
+        self.keys[slot] = keys[first]
+        return out
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,24 +152,28 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             row, h = _bytes.shingle_sets(data, offsets)
             count, a = _set_hashes(row, h, n)
-            maps = _parity_maps(row, h, n)
-            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64))} | {m: pa.array(maps[:, i]) for i, m in enumerate(MAPS)})
+            yield pa.record_batch({"doc_id": ids.slice(at, n), "n_shingles": pa.array(count, pa.int64()), "d1": pa.array(a.view(np.int64)), "map": _parity_maps(row, h, count)})
+
+
+@F.arrow_udf(LongType())
+def set_digest(text: pa.Array) -> pa.Array:
+    """A text's set, by its digest; null for a text without a word."""
+    parts = [pa.array([], pa.int64())]
+    for _, data, offsets in _bytes.slices(text):
+        row, h = _bytes.shingle_sets(data, offsets)
+        count, a = _set_hashes(row, h, len(offsets) - 1)
+        parts.append(pa.array(a.view(np.int64), mask=count == 0))
+    return pa.concat_arrays(parts)
 
 
 def _short_lists(levels, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = levels.value, set()
+        level, recent = levels.value, Recent()
         for batch in batches:
             for _, data, offsets in _bytes.slices(batch.column("text")):
-                n_rows = len(offsets) - 1
                 row, h = _bytes.shingle_sets(data, offsets)
-                count, a = _set_hashes(row, h, n_rows)
-                new = np.ones(n_rows, bool)
-                for r, key in enumerate(a.tolist()):
-                    if key in seen:
-                        new[r] = False
-                    elif len(seen) < 1_000_000:  # what isn't remembered is an entry of its own: the result is the same
-                        seen.add(key)
+                count, a = _set_hashes(row, h, len(offsets) - 1)
+                new = recent.new(a)  # what isn't remembered is an entry again: the result is the same
                 keep = new[row]
                 row, h = row[keep], h[keep]
                 count = np.where(new, count, 0)
@@ -185,152 +244,309 @@ def _merge_lists(percent: int):
     return run
 
 
-def _can_reach(n_a: str, rank_a: str, n_b: str, rank_b: str, percent: int):
-    """Length and position bounds: with a first common shingle at these ranks, the sets can still overlap enough."""
-    a, b = F.col(n_a).cast("long"), F.col(n_b).cast("long")
-    rest = F.least(a - F.col(rank_a), b - F.col(rank_b))
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (rest * (100 + percent) >= (a + b) * percent)
+def _near_pairs(percent: int):
+    """The pairs (a, b) that the bounds don't tell apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("n_a", "n_b"))
+            x, y = batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist()
+            near = np.array([bool(_can_be_near(int(n[i]), x[i], m[i : i + 1], [y[i]], percent)[0]) for i in range(len(n))], bool)
+            yield pa.record_batch({k: batch.column(k).filter(pa.array(near)) for k in ("a", "b")})
+
+    return run
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            now = tuple(k[:, at].tolist())
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spread(percent: int):
+    """Rows sorted by list and pair of blocks: edges (a, b) that join the families c whose sets in the list the bounds don't tell apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, "h", "lo", "hi"):
+            own, sizes, maps = t["own"].to_numpy(), t["n"].to_numpy(), t["map"].to_pylist()
+            names, family = np.unique(t["c"].to_numpy(), return_inverse=True)
+            one = t["lo"][0].as_py() == t["hi"][0].as_py()
+            edges = []
+            for i in range(len(own)):
+                open_ = family != family[i]
+                if one:
+                    open_[: i + 1] = False
+                else:
+                    open_ &= own != own[i]
+                at = np.flatnonzero(open_)
+                if not len(at):
+                    continue
+                near = at[_can_be_near(int(sizes[i]), maps[i], sizes[at], [maps[k] for k in at], percent)]
+                for other in np.unique(family[near]).tolist():
+                    edges.append((names[family[i]], names[other]))
+                    family[family == other] = family[i]
+            if edges:
+                yield pa.record_batch({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+    return run
 
 
-def _near_maps(x: str, y: str, n_x: str, n_y: str, percent: int):
-    """The bitmaps differ in no more bits than the elements in which similar sets of these sizes can differ."""
-    apart = sum(F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m))) for m in MAPS)
-    n = F.col(n_x).cast("long") + F.col(n_y).cast("long")
-    return (apart * (100 + percent)) <= n * (100 - percent)
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_bytes.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def _wanted_sets(bits):
+def _wanted_sets(wanted, bits: int):
+    """Set digests and sets of the rows whose id may be wanted; rows without an id always are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
+        table_, recent = wanted.value, Recent()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            slot = _bytes.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)
-            hit = np.flatnonzero((wanted[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+            ids = batch.column("doc_id")
+            slot = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+            hit = np.flatnonzero(((table_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False))
             if not len(hit):
                 continue
-            part = batch.column("text").take(pa.array(hit))
-            for at, data, offsets in _bytes.slices(part):
+            for _, data, offsets in _bytes.slices(batch.column("text").take(pa.array(hit))):
                 n = len(offsets) - 1
                 row, h = _bytes.shingle_sets(data, offsets)
+                count, a = _set_hashes(row, h, n)
                 ends = np.searchsorted(row, np.arange(n + 1))
-                yield pa.record_batch({"doc_id": pa.array(ids[hit[at : at + n]]), "shingles": pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary())})
+                give = np.flatnonzero(recent.new(a) & (count > 0)).tolist()
+                for k in range(0, len(give), 256):
+                    part = give[k : k + 256]
+                    yield pa.record_batch({"d1": pa.array(a[part].view(np.int64)), "shingles": pa.array([h[ends[i] : ends[i + 1]].tobytes() for i in part], pa.binary())})
 
     return run
 
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    some = False
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        slot = _bytes.mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)
-        np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7)).astype(np.int64)).astype(np.uint8))
-        some |= len(ids) > 0
-    if some:
-        parts = bits.reshape(64, -1)
-        yield pa.record_batch({"part": pa.array(range(64), pa.int32()), "bits": pa.array([p.tobytes() for p in parts], pa.binary())})
+def _filter_bits(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, some = np.zeros(bits // 8, np.uint8), False
+        for batch in batches:
+            slot = _slots(batch.column("rep").to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(out, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            some |= len(slot) > 0
+        if some:
+            yield pa.record_batch({"part": pa.array(range(FILTER_PARTS), pa.int32()), "bits": pa.array([p.tobytes() for p in out.reshape(FILTER_PARTS, -1)], pa.binary())})
+
+    return run
 
 
 def _or_bits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(FILTER_BITS // 8 // 64, np.uint8)
+    total = None
     for batch in batches:
         for x in batch.column("bits"):
-            total |= np.frombuffer(x.as_py(), np.uint8)
+            one = np.frombuffer(x.as_py(), np.uint8)
+            total = one.copy() if total is None else total | one
     yield pa.record_batch({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
 
-def _probe(percent: int):
-    """Exact overlap: every shingle of the smaller set is looked up in the larger one by binary search."""
+class Family:
+    """Sets that may be similar, in one or two blocks: finds links that join its components."""
+
+    #: How much dearer a probe is than a merged entry, in DivideSkip's rule for the number of long lists.
+    PROBE = 0.01
+
+    def __init__(self, sets: list[np.ndarray], own: np.ndarray, percent: int):
+        self.sets, self.own, self.percent = sets, own, percent
+        self.size = np.array([len(x) for x in sets])
+        self.component = np.arange(len(sets))
+        self.links: list[tuple[int, int]] = []
+        self.two = len(np.unique(own)) > 1
+
+    def _fits(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of the other sets those that are in the other block, if there are two, in another component, and of a size that can be similar."""
+        n, m = self.size[i], self.size[others]
+        ok = (self.component[others] != self.component[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent)
+        return others[ok & (self.own[others] != self.own[i])] if self.two else others[ok]
+
+    def _required(self, i: int, j: int) -> int:
+        """Least overlap of two similar sets of these sizes."""
+        return -(-self.percent * (int(self.size[i]) + int(self.size[j])) // (100 + self.percent))
+
+    def _link(self, i: int, j: int) -> None:
+        self.links.append((i, j))
+        self.component[self.component == self.component[j]] = self.component[i]
+
+    def _index(self, members: np.ndarray) -> None:
+        """Inverted lists of the members: shingles in order, and beside each the member that holds it, members in order."""
+        keys, owner = np.concatenate([self.sets[i] for i in members]), np.repeat(members, self.size[members])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+
+    def search(self, i: int) -> None:
+        """Link set i with the indexed sets that are similar and not joined with it yet."""
+        x, required = self.sets[i], int(_needed(int(self.size[i]), self.percent))
+        begin, end = np.searchsorted(self.keys, x, "left"), np.searchsorted(self.keys, x, "right")
+        length = end - begin
+        longest = int(length.max())
+        if not longest:
+            return
+        n_long = min(int(required / (self.PROBE * np.log2(longest + 1) + 1)), required - 1)
+        order = np.argsort(length, kind="stable")
+        short, long = order[: len(x) - n_long], order[len(x) - n_long :]
+        n = length[short]
+        entries = np.arange(n.sum()) + np.repeat(begin[short] - (np.cumsum(n) - n), n)
+        who, occurs = np.unique(self.owner[entries], return_counts=True)  # the merge of the short lists
+        reached = occurs >= required - n_long
+        who, occurs = who[reached], occurs[reached]
+        fits = np.isin(who, self._fits(i, who))
+        for j, k in zip(who[fits].tolist(), occurs[fits].tolist()):
+            if self.component[i] == self.component[j]:
+                continue
+            need = self._required(i, j)
+            if k + n_long < need:
+                continue
+            y, probes = self.sets[j], x[long]
+            for at in range(0, len(probes), 64):  # the long lists, by binary search for the candidate, until the overlap is reached or out of reach
+                part = probes[at : at + 64]
+                place = np.minimum(np.searchsorted(y, part), len(y) - 1)
+                k += int(np.count_nonzero(y[place] == part))
+                if k >= need or k + len(probes) - at - len(part) < need:
+                    break
+            if k >= need:
+                self._link(i, j)
+
+    def _from_center(self, center: int) -> None:
+        """Link one set with all similar ones: its lists are merged in full."""
+        others = self._fits(center, np.arange(len(self.sets)))
+        if not len(others):
+            return
+        keys, owner = np.concatenate([self.sets[i] for i in others]), np.repeat(np.arange(len(others)), self.size[others])
+        x = self.sets[center]
+        both = np.bincount(owner[x[np.minimum(np.searchsorted(x, keys), len(x) - 1)] == keys], minlength=len(others))
+        union = self.size[center] + self.size[others] - both
+        for j in others[100 * both >= self.percent * union].tolist():
+            if self.component[j] != self.component[center]:
+                self._link(center, j)
+
+    def solve(self, centers: int = 4) -> list[tuple[int, int]]:
+        for _ in range(centers):  # a tight family is one component after that
+            kinds, first, n = np.unique(self.component, return_index=True, return_counts=True)
+            if len(kinds) == 1:
+                return self.links
+            self._from_center(int(first[np.argsort(-n, kind="stable")[_ % len(kinds)]]))
+        kinds, n = np.unique(self.component, return_counts=True)
+        if len(kinds) == 1:
+            return self.links
+        rest = np.flatnonzero(self.component != kinds[np.argmax(n)])  # a pair that isn't joined has at least one of these
+        self._index(rest)
+        for i in range(len(self.sets)):
+            self.search(i)
+        return self.links
+
+
+def _family_links(percent: int):
+    """Rows sorted by family, pair of blocks and set: links (a, b) between similar sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column("left"), batch.column("right")
-            for i in range(batch.num_rows):
-                a, b = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(i)
-            if keep:
-                yield pa.record_batch({"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))})
+        for t in _by_key(batches, "family", "lo", "hi"):
+            d, raw = t["d1"].to_numpy(), t["shingles"]
+            new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            links = Family([np.frombuffer(raw[i].as_py(), np.uint64) for i in new.tolist()], t["own"].to_numpy()[new], percent).solve()
+            if links:
+                d = d[new]
+                yield pa.record_batch({"a": pa.array([int(d[i]) for i, _ in links], pa.int64()), "b": pa.array([int(d[j]) for _, j in links], pa.int64())})
 
     return run
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that are similar. classes: d1 and rep, a document that has the set."""
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with own, lo, hi: each row once for each pair of blocks that its own block is in; `blocks` is the number of its key. Sorted by key, pair and set."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("d1", F.lit(1)), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return pairs.drop("other", "blocks").repartition(parts, *keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "d1")
+
+
+def _families(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """d1, family of the sets that aren't alone in theirs. lists: what `_merge_lists` gives."""
+    of = lambda k: classes.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), F.col("map").alias(f"map_{k}"))
+    pairs = lists.where("h is null").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    first = cut(components(pairs.select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(_near_pairs(percent), "a long, b long")))
+    known = first.select(F.col("node").alias("d1"), F.col("component").alias("c"))
+    rows = lists.where("h is not null").select("h", F.col("a").alias("d1")).join(known, "d1", "left").select("h", "d1", F.coalesce("c", "d1").alias("c"))
+    rows = cut(rows)
+    still = rows.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n_sets")).where("least < most")
+    rows = rows.join(still.select("h", F.ceil(F.col("n_sets") / LIST_BLOCK).cast("int").alias("blocks")), "h").join(classes.select("d1", "n", "map"), "d1")
+    more = cut(_dealt(rows, "h").select("h", "lo", "hi", "own", "c", "n", "map").mapInArrow(_spread(percent), "a long, b long"))
+    second = cut(components(more))
+    both = known.select("d1", "c").union(second.select(F.col("node").alias("d1"), F.col("node").alias("c")).join(known.select("d1"), "d1", "left_anti"))
+    return both.join(second.select(F.col("node").alias("c"), F.col("component").alias("f")), "c", "left").select("d1", F.coalesce("f", "c").alias("family"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between similar sets of one family that join its components."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("d1")).union(pairs.select(F.col("b").alias("d1"))).distinct().join(classes, "d1").select("d1", F.col("rep").alias("doc_id"))
-    ids = cut(ids)
-    bits = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
-    for r in ids.select("doc_id").mapInArrow(_filter_bits, "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # 64 rows, 1 MB
-        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(bits.reshape(-1))
-    sets = cut(docs.mapInArrow(_wanted_sets(wanted), "doc_id long, shingles binary").join(ids, "doc_id").select("d1", "shingles"))
-    left = sets.select(F.col("d1").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("d1").alias("b"), F.col("shingles").alias("right"))
-    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe(percent), "a long, b long"))
-
-
-def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
-    """label (d1, c) after the links (a, b) between sets: only the graph of the components that they touch is solved."""
-    of = lambda k: label.select(F.col("d1").alias(k), F.col("c").alias(f"c{k}"))
-    edges = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    new = components(edges)
-    return cut(label.join(new.withColumnRenamed("node", "c"), "c", "left").select("d1", F.coalesce("component", "c").alias("c")))
-
-
-def similar_documents(docs: DataFrame, percent: int = 75, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id long, text): links at 100 * overlap >= percent * union."""
+    members = cut(families.join(classes.select("d1", "n", "rep"), "d1"))
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") * 8 / FAMILY_BLOCK).cast("int").alias("blocks"))
+    wanted = members.where("rep is not null").select("rep")
+    bits = min(max(FILTER_LEAST, 1 << (16 * wanted.count()).bit_length()), FILTER_MOST)
+    filled = np.zeros((FILTER_PARTS, bits // 8 // FILTER_PARTS), np.uint8)
+    for r in wanted.mapInArrow(_filter_bits(bits), "part int, bits binary").groupBy("part").applyInArrow(_or_bits, "part int, bits binary").collect():  # at most FILTER_MOST bits
+        filled[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    sets = docs.mapInArrow(_wanted_sets(spark.sparkContext.broadcast(filled.reshape(-1)), bits), "d1 long, shingles binary")
+    rows = sets.join(members.join(blocks, "family").select("d1", "family", "blocks"), "d1")
+    return cut(_dealt(rows, "family").select("family", "lo", "hi", "own", "d1", "shingles").mapInArrow(_family_links(percent), "a long, b long"))
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(profiles, groups): doc_id, n_shingles, d1 of every row; and d1, root, rep of every set: its component's key and the smallest id that has the set."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null")
-    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, " + ", ".join(f"{m} long" for m in MAPS)))
-    some = profiles.where("n_shingles > 0")
-    classes = cut(some.groupBy("d1").agg(F.min("doc_id").alias("rep")))  # a class: all documents with one set
-    levels = spark.sparkContext.broadcast(list_levels(known))
-    lists = known.select("text").mapInArrow(_short_lists(levels, percent), "h long, d1 long, nr long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = lists.repartition(parts, "h").sortWithinPartitions("h", "d1")
+    profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, map binary"))
+    classes = cut(profiles.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("map").alias("map")))
+    levels = spark.sparkContext.broadcast(list_levels(docs))
+    lists = docs.select("text").mapInArrow(_short_lists(levels, percent), "h long, d1 long, nr long")
+    lists = lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "d1")
     merged = cut(lists.mapInArrow(_merge_lists(percent), "h long, a long, b long, nr long"))
-    release(spark)
-    lists = merged.where("h is not null").select("h", F.col("a").alias("d1"), F.shiftright("nr", 32).alias("n"), F.col("nr").bitwiseAND(F.lit(0xFFFFFFFF)).alias("rank"))
-    pairs = merged.where("h is null").select("a", "b").distinct()
-    maps = some.groupBy("d1").agg(F.first("n_shingles").alias("n"), *[F.first(m).alias(m) for m in MAPS])
-    label = classes.select("d1", F.col("rep").alias("c"))
-    tried = None
-    for turn in range(stars + 1):
-        if turn:
-            # only lists whose sets are in several components go on
-            tagged = lists.join(label, "d1")
-            still = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-            tagged = cut(tagged.join(still, "h", "left_semi"))
-            if tagged.isEmpty():
-                break
-            lists = tagged.select("h", "d1", "n", "rank")
-        if 0 < turn < stars:
-            center = tagged.groupBy("h").agg(F.min(F.struct(F.xxhash64("d1", F.lit(turn)).alias("o"), *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank")])).alias("y")).select("h", "y.*")
-            pairs = tagged.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank")]).join(center, "h").where("x_c <> y_c").where(_can_reach("x_n", "x_rank", "y_n", "y_rank", percent))
-        elif turn:
-            full = cut(tagged.join(maps.drop("n"), "d1"))
-            x = full.select("h", *[F.col(k).alias(f"x_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
-            y = full.select("h", *[F.col(k).alias(f"y_{k}") for k in ("d1", "c", "n", "rank", *MAPS)])
-            near = (F.col("x_c") < F.col("y_c")) & _can_reach("x_n", "x_rank", "y_n", "y_rank", percent) & _near_maps("x_", "y_", "x_n", "y_n", percent)
-            pairs = x.join(y, (x["h"] == y["h"]) & near)
-        if turn:
-            pairs = pairs.select(F.least("x_d1", "y_d1").alias("a"), F.greatest("x_d1", "y_d1").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        if turn < stars:
-            of = lambda k: maps.select(F.col("d1").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(m).alias(f"{k}_{m}") for m in MAPS])
-            pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(_near_maps("a_", "b_", "n_a", "n_b", percent)).select("a", "b")
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        label = _joined(label, _verified(known, classes, pairs, percent))
-        release(spark)
-    out = profiles.select("doc_id", "n_shingles", "d1").join(label, "d1", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    links = _links(docs, classes, _families(merged, classes, percent), percent)
+    joined = cut(components(links))
+    groups = classes.select("d1", "rep").join(joined.select(F.col("node").alias("d1"), F.col("component").alias("root")), "d1", "left")
+    return profiles.select("doc_id", "n_shingles", "d1"), cut(groups.select("d1", F.coalesce("root", "d1").alias("root"), "rep"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of `docs` (doc_id long, text): links at 100 * overlap >= percent * union."""
+    profiles, groups = _grouped(_plain(docs), percent)
+    smallest = groups.groupBy("root").agg(F.min("rep").alias("c"))
+    label = groups.join(smallest, "root").select("d1", "c")
+    out = profiles.where("n_shingles > 0").join(label, "d1").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    return out.unionByName(profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group of similar `docs` (doc_id, text, ...), the one of smallest id, all columns as they are; rows without a word all stay."""
+    profiles, groups = _grouped(_plain(docs), percent)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "d1")).alias("w")).select("w.d1", F.col("w.rep").alias("id"))
+    times = profiles.where("n_shingles > 0").groupBy("d1", F.col("doc_id").alias("id")).count().where("count > 1")
+    best = best.join(times, best["d1"].eqNullSafe(times["d1"]) & best["id"].eqNullSafe(times["id"]), "left").select(best["d1"], best["id"], F.col("count").isNotNull().alias("again"))
+    best = cut(best.select(F.col("d1").alias("w_d1"), F.col("id").alias("w_id"), "again"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(whole.alias("whole"), F.col("doc_id").cast("long").alias("id"), set_digest(F.col("text").cast("string")).alias("d1"))
+    out = d.join(best, (d["d1"] == best["w_d1"]) & d["id"].eqNullSafe(best["w_id"]), "left")
+    out = out.where("d1 is null or w_d1 is not null").select("whole", "d1", F.coalesce("again", F.lit(False)).alias("again"))
+    if best.where("again").isEmpty():
+        return out.select("whole.*")
+    repeated = out.where("again").groupBy("d1").agg(F.first("whole").alias("whole"))  # one row a task goes into the shuffle
+    return out.where("not again").select("whole.*").unionByName(repeated.select("whole.*"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

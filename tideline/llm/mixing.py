@@ -10,35 +10,39 @@ sum of their rates by half a copy at most. Which documents of equal size get the
 salted groups so that no group of equal documents meets in one task. What is left of a source's target is met, as well as whole
 documents allow, by giving or taking one copy of the documents of one size, as many as fit the gap best, a few times.
 
-A null source is a source, the last one; null and empty texts have size 0 and take nothing; equal rows share one hash and are
-told apart by a number in their own small group. Reruns agree: nothing depends on partitions or order.
+A null source is a source, the last one; null and empty texts have size 0 and take nothing; equal rows, and rows without an id, are
+told apart by a number in their own group, so each row has copies of its own. Long texts are counted whole. An empty table gives an empty result; extra columns are ignored
+by `mix` and kept by `repeat`. Reruns agree: nothing depends on partitions or order. A source's distinct sizes meet in one task (windows in `rates` and `copies`);
+their number is bounded by the longest text and not by the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
 from tideline.llm._common import cut, table
 
 #: The weights that the contract gives to the sources in order.
 WEIGHTS = (3, 1, 2)
-SALTS = 64
+#: Groups that a cell is dealt to: so many at least, and as many as keep a group near so many rows.
+SALTS, ROWS_A_GROUP = 64, 65_536
 
 
-def sizes(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and size: words of the whole text."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+@F.arrow_udf(LongType())
+def word_count(text: pa.Array) -> pa.Array:
+    """Words of each whole text."""
+    return pa.array(_bytes.word_counts(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(_bytes.word_counts(b.column("text")))], [*keep, "size"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", size long")
+def keyed(docs: DataFrame, *carry: Column) -> DataFrame:
+    """The columns `carry`, k, size, h and tie of every row. k sorts like the sources by code point, null last, and is never null; h and tie order a cell's rows."""
+    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+    text = F.col("text").cast("string")
+    return docs.select(*carry, key.alias("k"), word_count(text).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h"), F.xxhash64(text).alias("tie"))
 
 
 def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -126,25 +130,49 @@ def copies(cells: DataFrame, cap: int = 2, repairs: int = 6) -> DataFrame:
     return c.select("k", "size", "base", "extra")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row of `docs` (doc_id, source, text)."""
-    # The key sorts like the sources by code point, null last, and is never null.
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    s = sizes(docs, "doc_id", "source").withColumn("k", key)
-    s = cut(s.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")))
-    groups = cut(s.groupBy("k", "size", "salt").agg(F.count("*").alias("n")))
+def quotas(rows: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(quota, target) from rows (k, size, salt): quota has base and give of each (k, size, salt), that is, every row gets base copies and the first `give` one more."""
+    groups = cut(rows.groupBy("k", "size", "salt").agg(F.count("*").alias("n")))
     cells = cut(groups.groupBy("k", "size").agg(F.sum("n").alias("n")))
     target = cut(targets(cells.groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, cap, weights))
     quota = cut(copies(rates(cells, target, cap), cap))
     # The extra copies of a cell go to its salted groups in order, and in a group by hash of the id.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     q = groups.join(quota, ["k", "size"])
-    q = q.select("k", "size", "salt", "base", F.greatest(F.lit(0), F.least("n", F.col("extra") - before)).alias("give"))
-    ranked = s.withColumn("r", F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
-    out = ranked.join(q, ["k", "size", "salt"], "left")
-    out = out.withColumn("copies", (F.coalesce("base", F.lit(0)) + F.when(F.col("r") <= F.col("give"), 1).otherwise(0)).cast("long")).join(target, "k")
+    return cut(q.select("k", "size", "salt", "base", F.greatest(F.lit(0), F.least("n", F.col("extra") - before)).alias("give"))), target
+
+
+def _salted(rows: DataFrame, n_rows: int) -> DataFrame:
+    """With salt: a cell's rows are dealt to so many groups that none holds much more than ROWS_A_GROUP, even if all rows are in one cell."""
+    salts = max(SALTS, -(-n_rows // ROWS_A_GROUP))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("h", "tie"), F.lit(salts)).cast("int"))
+
+
+def _counted(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    """rows with copies: base, and one more for the first ones of each salted group."""
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("h", "tie")))
+    out = ranked.join(quota, ["k", "size", "salt"], "left")
+    return out.withColumn("copies", (F.coalesce("base", F.lit(0)) + F.when(F.col("r") <= F.col("give"), 1).otherwise(0)).cast("long"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of `docs` (doc_id, source, text)."""
+    rows = cut(keyed(docs, F.col("doc_id"), F.col("source")))
+    rows = _salted(rows, rows.count())
+    quota, target = quotas(rows, share, cap, weights)
+    out = _counted(rows, quota).join(target, "k")
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def repeat(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of `docs` (doc_id, source, text, ...), each as often as the mix takes it; all columns as they are, whatever their names."""
+    whole = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    small = cut(keyed(docs))
+    n = small.count()
+    quota, _ = quotas(_salted(small, n), share, cap, weights)
+    taken = _counted(_salted(whole, n), quota).where("copies > 0")
+    return taken.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("whole.*")
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

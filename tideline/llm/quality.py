@@ -7,7 +7,8 @@ small system. Raw scores are then calibrated by isotonic regression over a histo
 
 Null and empty texts have all-zero statistics and get a score like any other. Only rows labelled 0 or 1 train; without any, or with one class only,
 the score is the share of label 1 (0.5 without rows). Repeated rows and label rows count as often as they occur; each input row gives one
-output row. Extra columns are ignored.
+output row, also where its id is null (such a row is scored and doesn't train). Long texts are counted whole, in slices. Equal texts have equal scores. An empty table gives an
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -225,17 +226,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` whose text scores at least `threshold`, all columns as they are. Texts aren't shuffled: they are scored where they are read."""
+    """The rows of `docs` whose text scores at least `threshold`, all columns as they are. Texts aren't shuffled: they are scored where they are
+    read, and Python gives back a truth value for each."""
     model = train(cut(with_statistics(docs)), labels)
     if isinstance(model, float):
-        return docs if model >= threshold else docs.limit(0)
+        return docs if model >= threshold else docs.where("false")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.concatenate([np.zeros(0), *(model.score(statistics(data, offsets)) for _, data, offsets in _bytes.slices(batch.column("text")))]) >= threshold
-            yield batch.filter(pa.array(good, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        scores = [model.score(statistics(data, offsets)) for _, data, offsets in _bytes.slices(text)]
+        return pa.array(np.concatenate([np.zeros(0), *scores]) >= threshold, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col("text").cast("string")))
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
