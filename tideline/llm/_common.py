@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             )
         mark = seen
     raise RuntimeError("connected components did not settle")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            now = tuple(k[:, at].tolist())
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

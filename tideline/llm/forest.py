@@ -1,21 +1,26 @@
 """Near-duplicate vectors by a random-projection tree forest with spill.
 
-Vectors are compared within a label. Each tree splits a label's vectors again and again along a random direction at the median of a
-sample; vectors near the cut go to both sides. Trees are fitted on a bounded sample of each label (`sample`, by hash of the id), and every
-vector is sent down every tree. Below the depth that the sample supports, a leaf's further splits share one direction a level, with the
-medians of the leaf's own sample, as deep as the label's full count asks for; so a leaf's expected size doesn't grow with the table.
-
-Leaves are compared block by block: a leaf's rows are dealt to blocks of bounded size and each pair of blocks is one group, so
-no task holds a whole hot leaf. Every pair in a leaf is compared exactly in double precision. A pair that shares an earlier leaf (the
-vectors carry their leaves) is skipped, which makes link counts sums; a block pair gives counts, and of its links only a spanning forest for
-the components, so that nothing of the size of all pairs leaves a task.
-
-Vectors that are null, zero, of another dimension than most of the table's, or hold null or non-finite components, and rows with a null label, link with nothing. Repeated
-rows link like others; repeated ids are one vector each (by row) and share a component id. Extra columns are ignored.
+Vectors are compared within a label. Each tree splits a label's vectors again and again along a random direction, where few vectors lie, between the
+quartiles; vectors near the cut go to both sides. What goes to both sides is bounded: over all levels of a tree a vector is in `copies` leaves on average
+at most, whatever the depth, and many trees make up for what a cut still separates. A node whose vectors lie too close to be cut apart (a group of near copies) stays a leaf.
+
+Trees are fitted on a bounded sample of each label (`sample`, by hash), and every vector is sent down every tree. Below the depth that the sample
+supports, a leaf's further splits share one direction a level, with the medians of the leaf's own sample, as deep as the label's full count asks for;
+so a leaf's expected size doesn't grow with the table.
+
+Equal vectors of a label are one class with a count, so copies cost nothing. Leaves are compared block by block: a leaf's classes are dealt to blocks of bounded size and
+each pair of blocks is one group, so no task holds a whole hot leaf. Every pair in a leaf is compared exactly in double precision. A pair that shares an earlier leaf (the
+vectors carry their leaves) is skipped, which makes link counts sums; a block pair gives counts, and of its links only a star for each of
+its components, so that nothing of the size of all pairs leaves a task. Counting the links of a group of G near copies takes their G * G / 2 products.
+
+Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with nothing; vectors of different lengths don't link. Components may be as large or
+small as a double can be: vectors are scaled by their largest one. Repeated rows, and equal vectors, link like others; repeated ids are one vector each (by row). Rows
+without an id link and count, and are a component's smallest id only where all are without. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._common import components, cut, table
+from tideline.llm._common import by_key, components, cut, table
+
+#: Half-width about a cut within which vectors go to both sides, where the bound on copies allows it: near duplicates seldom lie farther apart along a direction.
+WIDTH = 0.03
+#: A node of which a larger share than this lies about the best cut isn't cut.
+DENSE = 0.35
+#: Rows that are sent down next to one copy of their label's forest.
+ROWS_A_FOREST = 32_768
 
 
 def _directions(seed: tuple[int, ...], dim: int) -> np.ndarray:
@@ -32,12 +44,14 @@ def _directions(seed: tuple[int, ...], dim: int) -> np.ndarray:
 
 
 class Tree:
-    """Splits (direction by number, cut) fitted on a sample; node k has children 2k and 2k + 1."""
-
-    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, spill: float):
-        self.seed, self.spill, self.dim = seed, spill, x.shape[1]
-        self.cuts: dict[int, float] = {}
-        self.extra: dict[int, list[float]] = {}
+    """Splits (direction by number, cut, half-width of the spill) fitted on a sample; node k has children 2k and 2k + 1."""
+
+    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, copies: float):
+        self.seed, self.dim = seed, x.shape[1]
+        self.cuts: dict[int, tuple[int, float, float]] = {}
+        self.extra: dict[int, list[tuple[int, float, float]]] = {}
+        levels = max(np.log2(max(n / leaf, 1)), 1)
+        self.share = copies ** (1 / levels) - 1  # of a node's vectors, how many may go to both sides
         ratio = n / max(len(x), 1)
         todo = [(1, np.arange(len(x)))]
         while todo:
@@ -45,20 +59,33 @@ class Tree:
             if len(rows) * ratio <= leaf or node >= 1 << 40:
                 continue
             if len(rows) < 32:  # the sample ends here: shared directions, medians of what there is
-                levels = int(np.ceil(np.log2(len(rows) * ratio / leaf))) if len(rows) > 4 else 0
-                self.extra[node] = [float(np.median(x[rows] @ self.direction(0, level))) for level in range(levels)]
+                deeper = int(np.ceil(np.log2(len(rows) * ratio / leaf))) if len(rows) > 4 else 0
+                self.extra[node] = [s for level in range(deeper) if (s := self._split(x[rows], 0, level, few=True))]
                 continue
-            p = x[rows] @ self.direction(1, node)
-            at = float(np.median(p))
-            left, right = rows[p < at + spill], rows[p >= at - spill]
-            if len(left) > 0.95 * len(rows) or len(right) > 0.95 * len(rows):  # copies: no cut tells them apart
+            split = next((s for k in range(3) if (s := self._split(x[rows], 1, node * 4 + k))), None)
+            if split is None:  # too close to be cut apart
                 continue
-            self.cuts[node] = at
-            todo += [(2 * node, left), (2 * node + 1, right)]
+            self.cuts[node] = split
+            p = x[rows] @ self.direction(1, split[0])
+            todo += [(2 * node, rows[p < split[1] + split[2]]), (2 * node + 1, rows[p >= split[1] - split[2]])]
 
     def direction(self, kind: int, number: int) -> np.ndarray:
         return _directions((*self.seed, kind, number), self.dim)
 
+    def _split(self, x: np.ndarray, kind: int, number: int, few: bool = False) -> tuple[int, float, float] | None:
+        """Number of the direction, cut and half-width; none if too many vectors lie about every cut."""
+        p = np.sort(x @ self.direction(kind, number))
+        if few:
+            at = float(np.median(p))
+            return (number, at, WIDTH * self.share) if p[-1] - p[0] > 2 * WIDTH else None
+        at = np.linspace(p[len(p) // 4], p[3 * len(p) // 4], 33)
+        about = (np.searchsorted(p, at + WIDTH) - np.searchsorted(p, at - WIDTH)) / len(p)
+        best = int(np.argmin(about + 1e-3 * np.abs(np.arange(33) - 16)))  # near the median among equals
+        if about[best] > DENSE:
+            return None
+        apart = np.sort(np.abs(p - at[best]))
+        return number, float(at[best]), min(WIDTH, float(apart[min(int(self.share * len(p)), len(p) - 1)]))
+
     def leaves(self, x: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """(rows, leaf number) of every leaf that rows of x reach."""
         out, todo = [], [(1, np.arange(len(x)))]
@@ -67,133 +94,146 @@ class Tree:
             if not len(rows):
                 continue
             if node in self.cuts:
-                p, at = x[rows] @ self.direction(1, node), self.cuts[node]
-                todo += [(2 * node, rows[p < at + self.spill]), (2 * node + 1, rows[p >= at - self.spill])]
-            elif self.extra.get(node):
-                parts = [(rows, node)]
-                for level, at in enumerate(self.extra[node]):
-                    d = self.direction(0, level)
-                    parts = [(r[side], 2 * k + b) for r, k in parts for b, side in enumerate((x[r] @ d < at + self.spill, x[r] @ d >= at - self.spill))]
-                out += [(r, k) for r, k in parts if len(r)]
-            else:
-                out.append((rows, node))
+                number, at, width = self.cuts[node]
+                p = x[rows] @ self.direction(1, number)
+                todo += [(2 * node, rows[p < at + width]), (2 * node + 1, rows[p >= at - width])]
+                continue
+            parts = [(rows, node)]
+            for number, at, width in self.extra.get(node, ()):
+                d = self.direction(0, number)
+                parts = [(r[side], 2 * k + b) for r, k in parts for b, side in enumerate((x[r] @ d < at + width, x[r] @ d >= at - width))]
+            out += [(r, k) for r, k in parts if len(r)]
         return out
 
 
-def _unit(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length from lists of one length."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(vectors), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, trees: int = 6, leaf: int = 256, spill: float = 0.035, block: int = 256, sample: int = 4096, seed: int = 5) -> DataFrame:
+def _grow(trees: int, leaf: int, copies: float, seed: int):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        x, n = _unit(t["v"].combine_chunks()), t["n"][0].as_py()
+        group = key[0].as_py()
+        fitted = [Tree(x, n, (seed, k, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF), leaf, copies) for k in range(trees)]
+        return pa.table({"g": pa.array([group], pa.int64()), "forest": pa.array([pickle.dumps(fitted)], pa.binary())})
+
+    return run
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and salt, each group's forest first: every class with the leaves that it reaches."""
+    forest = None
+    for batch in batches:
+        at = 0
+        ids, sealed = batch.column("cls").to_numpy(zero_copy_only=False), batch.column("forest")
+        while at < batch.num_rows:
+            if ids[at] < 0:
+                forest = pickle.loads(sealed[at].as_py())
+                at += 1
+                continue
+            following = np.flatnonzero(ids[at : at + 4096] < 0)
+            to = min(at + (int(following[0]) if len(following) else 4096), batch.num_rows)
+            part = batch.slice(at, to - at)
+            x = _unit(part.column("v"))
+            row, cell = [], []
+            for k, tree in enumerate(forest):
+                for rows, number in tree.leaves(x):
+                    row.append(rows)
+                    cell.append(np.full(len(rows), (k << 56) + number))
+            row, cell = np.concatenate(row), np.concatenate(cell)
+            order = np.lexsort((cell, row))
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))].astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[order], pa.int64()))
+            yield pa.record_batch({c: part.column(c) for c in ("g", "cls", "n", "v")} | {"cells": cells})
+            at = to
+
+
+def _link_leaves(cosine: float):
+    """Rows sorted by group, leaf and pair of blocks: for each class the rows that it links with, and stars (a, b) that join linked classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "g", "cell", "lo", "hi"):
+            x, cls, n, own = _unit(t["v"].combine_chunks()), t["cls"].to_numpy(), t["n"].to_numpy(), t["own"].to_numpy()
+            cell, lo, hi = (t[c][0].as_py() for c in ("cell", "lo", "hi"))
+            left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            lists = t["cells"].combine_chunks()
+            flat, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy())
+            kinds, local = np.unique(flat[flat < cell], return_inverse=True)
+            before = np.zeros((len(x), len(kinds) // 64 + 1), np.uint64)  # the earlier leaves of each class, as bits
+            np.bitwise_or.at(before, (who[flat < cell], local >> 6), np.uint64(1) << (local & 63).astype(np.uint64))
+            links, top = np.zeros(len(x), np.int64), np.arange(len(x))
+            for k in range(0, len(left), 256):
+                i, j = np.nonzero(x[left[k : k + 256]] @ x[right].T >= cosine)
+                i, j = left[k + i], right[j]
+                if lo == hi:
+                    i, j = i[i < j], j[i < j]
+                new = ~(before[i] & before[j]).any(1)
+                i, j = i[new], j[new]
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                while len(i) and np.any(top[i] != top[j]):  # smallest place reachable
+                    least = np.minimum(top[i], top[j])
+                    np.minimum.at(top, top[i], least)
+                    np.minimum.at(top, top[j], least)
+                    top = top[top]
+            while np.any(top[top] != top):
+                top = top[top]
+            some, arms = np.flatnonzero(links), np.flatnonzero(top != np.arange(len(x)))
+            if len(some):
+                none = lambda k: pa.nulls(k, pa.int64())
+                yield pa.record_batch({"cls": pa.concat_arrays([pa.array(cls[some]), none(len(arms))]), "n": pa.concat_arrays([pa.array(links[some]), none(len(arms))]), "a": pa.concat_arrays([none(len(some)), pa.array(cls[arms])]), "b": pa.concat_arrays([none(len(some)), pa.array(cls[top[arms]])])})
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, leaf: int = 256, copies: float = 1.6, block: int = 1024, sample: int = 32_768, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors` (vec_id long, embedding array, label)."""
-    spark = vectors.sparkSession
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     d = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
-    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e150))
-    good = F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda e: F.abs(e) > 1e-150), F.lit(False))
-    d = cut(d.withColumn("good", good).withColumn("v", F.when(F.col("good"), F.col("v"))))
-    usable = d.where("good")
-    dims = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0]["dim"]
-    usable = usable.where(F.size("v") == dim)
-
-    # Fit: a bounded number of rows a label. The number of labels is small here; trees are a label's cuts, not its vectors.
-    counts = usable.groupBy("label").agg(F.count("*").alias("n"))
-    picked = usable.join(counts, "label").where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(sample) * (1 << 30)) / F.col("n"))
-
-    def grow(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        import pickle
-
-        b = t.combine_chunks().to_batches()[0]
-        x, label = _unit(b, dim), key[0].as_py()
-        n = b.column("n")[0].as_py()
-        fitted = [Tree(x, n, (seed, k, *label.encode()), leaf, spill) for k in range(trees)]
-        return pa.table({"label": pa.array([label]), "forest": pa.array([pickle.dumps(fitted)], pa.binary())})
-
-    forests = cut(picked.select("label", "v", "n").groupBy("label").applyInArrow(grow, "label string, forest binary"))
-
-    # Send every vector down its label's trees: rows are sorted by label in salted groups, next to a copy of the label's forest.
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = usable.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    keyed = forests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("label", "salt", F.lit(-1).cast("long").alias("row"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"), "forest")
-    both = salted.select("label", "salt", "row", "vec_id", "v", F.lit(None).cast("binary").alias("forest")).unionByName(keyed)
-    both = both.repartition(salts, "label", "salt").sortWithinPartitions("label", "salt", "row")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
-        forest, label = None, None
-        for batch in batches:
-            at = 0
-            ids, labels, sealed = batch.column("row").to_numpy(zero_copy_only=False), batch.column("label").to_pylist(), batch.column("forest")
-            while at < batch.num_rows:
-                if ids[at] < 0:
-                    forest, label = pickle.loads(sealed[at].as_py()), labels[at]
-                    at += 1
-                    continue
-                to = at + 1
-                while to < batch.num_rows and to < at + 4096 and ids[to] >= 0:
-                    to += 1
-                part = batch.slice(at, to - at)
-                x = _unit(part, dim)
-                held: list[list[tuple[int, int]]] = [[] for _ in range(len(x))]
-                for k, tree in enumerate(forest):
-                    for rows, leaf_no in tree.leaves(x):
-                        for r in rows.tolist():
-                            held[r].append((k << 56) + leaf_no)
-                yield pa.record_batch({"label": pa.array([label] * len(x)), "row": part.column("row"), "vec_id": part.column("vec_id"), "v": part.column("v"), "cells": pa.array(held, pa.list_(pa.int64()))})
-                at = to
-
-    placed = cut(both.mapInArrow(place, "label string, row long, vec_id long, v array<double>, cells array<long>"))
-    cells = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    shares = cells.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    rows = placed.select("label", "row", "vec_id", "v", "cells", F.explode("cells").alias("cell")).join(shares.select("label", "cell", "blocks"), ["label", "cell"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("row", F.lit(seed + 1)), F.col("blocks")).cast("int"))
+    finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    good = F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
+    largest = F.array_max(F.transform("v", lambda e: F.abs(e)))
+    scaled = F.transform("v", lambda e: e / F.col("largest") + 0.0)  # + 0.0: no negative zeros
+    d = d.withColumn("good", good).withColumn("largest", largest).withColumn("v", F.when(F.col("good"), scaled))
+    g = F.xxhash64("label", F.size("v"))
+    d = cut(d.select("row", "vec_id", F.when(F.col("good"), g).alias("g"), F.when(F.col("good"), F.xxhash64("v", "label")).alias("h1"), F.when(F.col("good"), F.xxhash64(F.lit(1), "v")).alias("h2"), "v"))
+
+    # Equal vectors of a group are one class, by two 64-bit hashes.
+    classes = cut(d.where("g is not null").groupBy("g", "h1", "h2").agg(F.min("row").alias("cls"), F.count("*").alias("n"), F.first("v").alias("v")))
+    counts = cut(classes.groupBy("g").agg(F.count("*").alias("n")))
+
+    # Fit: a bounded number of classes a group.
+    picked = classes.select("g", "cls", "v").join(counts, "g").where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 60)) < F.lit(float(sample) * (1 << 60)) / F.col("n"))
+    forests = cut(picked.select("g", "v", "n").groupBy("g").applyInArrow(_grow(trees, leaf, copies, seed), "g long, forest binary"))
+
+    # Send every class down its group's trees, in salted runs next to a copy of the forest.
+    salts = counts.select("g", F.ceil(F.col("n") / ROWS_A_FOREST).cast("int").alias("salts"))
+    salted = classes.join(salts, "g").select("g", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), "cls", "n", "v", F.lit(None).cast("binary").alias("forest"))
+    first = forests.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("cls"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<double>").alias("v"), "forest")
+    both = salted.unionByName(first).repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "cls")
+    placed = cut(both.mapInArrow(_place, "g long, cls long, n long, v array<double>, cells array<long>"))
+
+    cells = placed.select("g", F.explode("cells").alias("cell")).groupBy("g", "cell").agg(F.count("*").alias("size")).where("size > 1")
+    blocks = cells.select("g", "cell", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = placed.select("g", "cls", "n", "v", "cells", F.explode("cells").alias("cell")).join(blocks, ["g", "cell"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(seed + 1)), F.col("blocks")).cast("int"))
     # a row meets every block of its leaf once: with its own block as the lower or the higher one
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        b = t.combine_chunks().to_batches()[0]
-        x, own, ids, cell = _unit(b, dim), b.column("own").to_numpy(zero_copy_only=False), b.column("row").to_numpy(zero_copy_only=False), key[1].as_py()
-        vec, lo, hi = b.column("vec_id").to_numpy(zero_copy_only=False), key[2].as_py(), key[3].as_py()
-        held = b.column("cells").to_pylist()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        links: dict[int, int] = {}
-        top = list(range(len(x)))
-
-        def find(a: int) -> int:
-            while top[a] != a:
-                top[a] = top[top[a]]
-                a = top[a]
-            return a
-
-        edges = []
-        before = [{c for c in h if c < cell} for h in held]
-        for i in left.tolist():
-            near = right[x[right] @ x[i] >= cosine]
-            for j in near.tolist():
-                if (lo == hi and j <= i) or (ids[i] == ids[j]) or not before[i].isdisjoint(before[j]):
-                    continue
-                links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
-                a, c = find(i), find(j)
-                if a != c:
-                    top[a] = c
-                    edges.append((int(vec[i]), int(vec[j])))
-        who = list(links)
-        return pa.table({
-            "row": pa.array([int(ids[i]) for i in who] + [None] * len(edges), pa.int64()), "n": pa.array([links[i] for i in who] + [None] * len(edges), pa.int64()),
-            "a": pa.array([None] * len(who) + [e[0] for e in edges], pa.int64()), "b": pa.array([None] * len(who) + [e[1] for e in edges], pa.int64()),
-        })
-
-    found = cut(rows.select("label", "cell", "lo", "hi", "row", "vec_id", "v", "cells", "own").groupBy("label", "cell", "lo", "hi").applyInArrow(compare, "row long, n long, a long, b long"))
-    n_links = found.where("row is not null").groupBy("row").agg(F.sum("n").alias("n_links"))
-    linked = components(found.where("a is not null").select("a", "b"))
-    out = d.select("row", "vec_id").join(n_links, "row", "left").join(linked.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    rows = rows.select("g", "cell", "lo", "hi", "own", "cls", "n", "v", "cells").repartition(parts, "g", "cell", "lo", "hi").sortWithinPartitions("g", "cell", "lo", "hi")
+    found = cut(rows.mapInArrow(_link_leaves(cosine), "cls long, n long, a long, b long"))
+
+    n_links = found.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("links"))
+    top = components(found.where("a is not null").select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("top"))
+    of_class = classes.select("g", "h1", "h2", "cls", "n").join(n_links, "cls", "left").join(top, "cls", "left")
+    of_class = of_class.select("g", "h1", "h2", F.coalesce("top", "cls").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    joined = cut(d.select("row", "vec_id", "g", "h1", "h2").join(of_class, ["g", "h1", "h2"], "left").select("row", "vec_id", F.coalesce("top", "row").alias("top"), "links"))
+    smallest = joined.groupBy("top").agg(F.min("vec_id").alias("component_id"))
+    out = joined.join(smallest, "top")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
-from tideline.llm._common import components, cut, table
+from tideline.llm._common import by_key, components, cut, table
 
 #: Counters of the list-length sketch, and how many of them travel in one row.
 SKETCH, BLOCK = 1 << 20, 1 << 12
@@ -257,31 +257,11 @@ def _near_pairs(percent: int):
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for at, to in zip(cuts, cuts[1:]):
-            now = tuple(k[:, at].tolist())
-            if now != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(at, to - at))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _spread(percent: int):
     """Rows sorted by list and pair of blocks: edges (a, b) that join the families c whose sets in the list the bounds don't tell apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "h", "lo", "hi"):
+        for t in by_key(batches, "h", "lo", "hi"):
             own, sizes, maps = t["own"].to_numpy(), t["n"].to_numpy(), t["map"].to_pylist()
             names, family = np.unique(t["c"].to_numpy(), return_inverse=True)
             one = t["lo"][0].as_py() == t["hi"][0].as_py()
@@ -454,7 +434,7 @@ def _family_links(percent: int):
     """Rows sorted by family, pair of blocks and set: links (a, b) between similar sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "family", "lo", "hi"):
+        for t in by_key(batches, "family", "lo", "hi"):
             d, raw = t["d1"].to_numpy(), t["shingles"]
             new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             links = Family([np.frombuffer(raw[i].as_py(), np.uint64) for i in new.tolist()], t["own"].to_numpy()[new], percent).solve()
