@@ -5,7 +5,8 @@ pattern that occurs, at most 3 ** rules) estimates how often each rule votes whi
 posterior probability of "good" takes the place of a filter that every rule has to pass.
 
 Null and empty texts have no words: all counts are 0 and base_failed is true. Very long texts are handled as a whole; the repeated windows
-of a text are found by sorting its own window hashes. Extra columns are ignored; repeated rows count as often as they occur.
+of a text are found by sorting its own window hashes. Extra columns are ignored, whatever their names; repeated rows count as often as they occur and are judged alike, and so are
+equal texts. A null id is a row like others. An empty table gives an empty result (the estimate is then the start).
 """
 
 from __future__ import annotations
@@ -98,41 +99,50 @@ def default_rules() -> dict[str, Column]:
     }
 
 
+#: What the start says of votes bad, abstain and good, on good and on bad documents, and of the share of good ones.
+START_GOOD, START_BAD, START_PRIOR = (0.02, 0.48, 0.5), (0.3, 0.5, 0.2), 0.8
+
+
 def estimate(patterns: DataFrame, rules: list[str], rounds: int = 40) -> tuple[float, dict[str, tuple[dict, dict]]]:
     """(prior of good, {rule: (P(vote | good), P(vote | bad))}) by EM. patterns: a vote column a rule, and n.
 
     The start says that bad votes are rare on good documents and common on bad ones, and the reverse; it also counts as a hundredth of the
-    rows, which keeps every probability off 0 and 1. The table has at most 3 ** rules rows, whatever the corpus; a round is one aggregate.
+    rows, which keeps every probability off 0 and 1. The table has at most 3 ** rules rows, whatever the corpus, so all rounds are one fold over it, in one job.
     """
-    prior = 0.8
-    p = {r: ({1: 0.5, 0: 0.48, -1: 0.02}, {1: 0.2, 0: 0.5, -1: 0.3}) for r in rules}
-    total = patterns.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return prior, p
-    strength = 0.01 * total + 1  # the start counts as a hundredth of the rows
-    first = p
-    for _ in range(rounds):
-        w = posterior(prior, p) * F.col("n")
-        sums = [F.sum(F.when(F.col(r) == v, w).otherwise(0.0)) for r in rules for v in (1, 0, -1)]
-        alls = [F.sum(F.when(F.col(r) == v, F.col("n")).otherwise(0)) for r in rules for v in (1, 0, -1)]
-        got = patterns.agg(F.sum(w), *sums, *alls).first()
-        good, k = got[0], 3 * len(rules)
-        new, change = {}, abs((good + 0.8 * strength) / (total + strength) - prior)
-        for i, r in enumerate(rules):
-            pair = []
-            for c, (have, whole) in enumerate(((good, prior), (total - good, 1 - prior))):
-                probability = {}
-                for j, v in enumerate((1, 0, -1)):
-                    one = got[1 + 3 * i + j]
-                    one = one if c == 0 else got[1 + k + 3 * i + j] - one
-                    probability[v] = (max(one, 0.0) + strength * first[r][c][v]) / (max(have, 0.0) + strength)
-                pair.append(probability)
-                change = max(change, *(abs(probability[v] - p[r][c][v]) for v in (1, 0, -1)))
-            new[r] = tuple(pair)
-        prior, p = (good + 0.8 * strength) / (total + strength), new
-        if change < 1e-6:
-            break
-    return prior, p
+    k = 3 * len(rules)
+    pattern = F.struct(F.array(*[(F.col(r) + 1).cast("int") for r in rules]).alias("votes"), F.col("n").cast("double").alias("n"))
+    one = patterns.agg(F.sort_array(F.collect_list(pattern)).alias("patterns"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total"))
+    doubles = lambda values: F.array(*[F.lit(v) for v in values])
+    first_good, first_bad = doubles(START_GOOD * len(rules)), doubles(START_BAD * len(rules))
+    strength = 0.01 * F.col("total") + 1  # the start counts as a hundredth of the rows
+    total = lambda x, field: F.aggregate(x, F.lit(0.0), lambda acc, p: acc + p[field])
+
+    def by_vote(x: Column, field: str) -> Column:
+        """Sums of a field over the patterns of each rule and vote."""
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.aggregate(x, F.lit(0.0), lambda acc, p: acc + F.when(p["votes"][F.floor(j / 3).cast("int")] == j % 3, p[field]).otherwise(0.0)))
+
+    def a_round(now: Column, _: Column) -> Column:
+        evidence = F.zip_with(now["good"], now["bad"], lambda g, b: F.log(g / b))
+
+        def split(e: Column) -> Column:
+            def one_pattern(p: Column) -> Column:
+                odds = F.aggregate(F.transform(p["votes"], lambda v, r: e[3 * r + v]), F.log(now["prior"] / (1 - now["prior"])), lambda acc, x: acc + x)
+                good = p["n"] / (1 + F.exp(-odds))
+                return F.struct(p["votes"].alias("votes"), good.alias("good"), (p["n"] - good).alias("bad"))
+
+            return F.transform(F.col("patterns"), one_pattern)
+
+        def update(x: Column) -> Column:
+            mean = lambda field, first: F.zip_with(by_vote(x, field), first, lambda have, f: (have + strength * f) / (total(x, field) + strength))
+            prior = (total(x, "good") + START_PRIOR * strength) / (F.col("total") + strength)
+            return F.struct(prior.alias("prior"), mean("good", first_good).alias("good"), mean("bad", first_bad).alias("bad"))
+
+        return _let(_let(evidence, split), update)
+
+    start = F.struct(F.lit(START_PRIOR).alias("prior"), first_good.alias("good"), first_bad.alias("bad"))
+    got = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, a_round).alias("m")).first()["m"]
+    table_ = lambda values, i: dict(zip((-1, 0, 1), values[3 * i : 3 * i + 3]))
+    return got["prior"], {r: (table_(got["good"], i), table_(got["bad"], i)) for i, r in enumerate(rules)}
 
 
 def posterior(prior: float, p: dict[str, tuple[dict, dict]]) -> Column:
