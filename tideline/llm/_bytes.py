@@ -1,6 +1,6 @@
 """Vectorised work on the UTF-8 bytes of an Arrow string column.
 
-A column of texts is cut into slices of about one megabyte (never inside a text).
+A column of texts is cut into slices of about half a megabyte (never inside a text).
 Words, their hashes and their owners then come out of a handful of NumPy passes over
 the bytes, so that a task needs memory for one slice and not for one Arrow batch.
 Nulls count as empty texts.
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The six bytes that end a word (space, tab, line feed, vertical tab, form feed, carriage return).
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import cut, table, texts
+from tideline.llm._common import cut, small_batches, table, texts
 
 #: The contraction endings that are words of their own after an apostrophe, in order of precedence.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -291,7 +291,7 @@ def _count(special: bytes):
                 for a, b, k in zip(first[at].tolist(), last[at].tolist(), n.tolist()):
                     w = raw[a : b + 1]
                     counts[w] = counts.get(w, 0) + k
-                if len(counts) > 250_000:  # memory; the next stage adds up
+                if len(counts) > 50_000:  # memory; the next stage adds up
                     yield give()
                     counts = {}
         if counts:
@@ -322,6 +322,7 @@ class Encoder:
     """A compiled vocabulary and lexicon; `name` is a file that Spark has given to every executor."""
 
     def __init__(self, spark, docs: DataFrame, path: str, lexicon_words: int = 65_536):
+        small_batches(spark)
         v = Vocabulary(path)
         listed = sorted(frequent_words(docs, v, lexicon_words))
         ranks, made = merge_table(v.merges)
@@ -383,7 +384,7 @@ def _ids_of(x: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
             got = cache.get(w)
             if got is None:
                 got = merge(w, byte_list, ranks, made)
-                if len(cache) > 200_000:
+                if len(cache) > 20_000:
                     cache.clear()
                 if b - a <= 64:
                     cache[w] = got

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm._common import by_key, components, cut, table
+from tideline.llm._common import by_key, components, cut, small_batches, table
 
 #: Half-width about a cut within which vectors go to both sides, where the bound on copies allows it: near duplicates seldom lie farther apart along a direction.
 WIDTH = 0.03
@@ -191,6 +191,7 @@ def _link_leaves(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, leaf: int = 256, copies: float = 1.6, block: int = 1024, sample: int = 32_768, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors` (vec_id long, embedding array, label)."""
+    small_batches(vectors.sparkSession)
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.transform(F.col("embedding"), lambda e: e.cast("double"))
     d = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))

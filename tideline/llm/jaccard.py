@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
-from tideline.llm._common import by_key, components, cut, table
+from tideline.llm._common import by_key, components, cut, small_batches, table
 
 #: Counters of the list-length sketch, and how many of them travel in one row.
 SKETCH, BLOCK = 1 << 20, 1 << 12
@@ -487,6 +487,7 @@ def _links(docs: DataFrame, classes: DataFrame, families: DataFrame, percent: in
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(profiles, groups): doc_id, n_shingles, d1 of every row; and d1, root, rep of every set: its component's key and the smallest id that has the set."""
     spark = docs.sparkSession
+    small_batches(spark)
     profiles = cut(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, d1 long, map binary"))
     classes = cut(profiles.where("n_shingles > 0").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("map").alias("map")))
     levels = spark.sparkContext.broadcast(list_levels(docs))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
-from tideline.llm._common import cut, table
+from tideline.llm._common import cut, small_batches, table
 
 #: The weights that the contract gives to the sources in order.
 WEIGHTS = (3, 1, 2)
@@ -40,6 +40,7 @@ def word_count(text: pa.Array) -> pa.Array:
 
 def keyed(docs: DataFrame, *carry: Column) -> DataFrame:
     """The columns `carry`, k, size, h and tie of every row. k sorts like the sources by code point, null last, and is never null; h and tie order a cell's rows."""
+    small_batches(docs.sparkSession)
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     text = F.col("text").cast("string")
     return docs.select(*carry, key.alias("k"), word_count(text).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("h"), F.xxhash64(text).alias("tie"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import cut, table
+from tideline.llm._common import cut, small_batches, table
 
 #: Characters that running text rarely has.
 SYMBOLS = "#*$%&|<>{}[]\\^~=+_@"
@@ -85,6 +85,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and one column per statistic."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

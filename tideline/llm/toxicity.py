@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import cut, table
+from tideline.llm._common import cut, small_batches, table
 from tideline.llm.quality import crc_fold
 
 #: Identity terms, by group; a counterfactual takes the next term of the group.
@@ -265,6 +265,7 @@ def score(docs: DataFrame, chosen: np.ndarray, weights: np.ndarray) -> DataFrame
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5, fit_rows: int = 30_000) -> DataFrame:
     """doc_id, held_out, score, predicted of all `docs`, learnt from at most about `fit_rows` ids of `labels` (doc_id, toxic) outside the held-out fold."""
     y = labels.where(F.col("toxic").isin(0, 1) & (crc_fold(F.col("doc_id"), folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
+    small_batches(docs.sparkSession)
     drawn, weights = training_ids(y, fit_rows)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # fit_rows bounds it
     chosen, w = fit(train.select("text", "y"), weights)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _bytes
-from tideline.llm._common import table
+from tideline.llm._common import small_batches, table
 
 END = 256
 NONE = -1
@@ -120,6 +120,7 @@ def read_pieces(path: str, end: str = "</w>") -> list[tuple[bytes, bool]]:
 
 def token_counts(docs: DataFrame, pieces: list[tuple[bytes, bool]]) -> DataFrame:
     """doc_id, n_words, n_tokens of every document."""
+    small_batches(docs.sparkSession)
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
