@@ -11,12 +11,18 @@ from tideline.operators import joins as J
 from tideline.operators import metrics as M
 
 
-def test_kendall_large_groups_equal_small(spark):
+def test_kendall_equals_all_pairs(spark):
     random.seed(2)
-    d = spark.createDataFrame([(g, i, float(random.randint(0, 9)), float(random.randint(0, 9))) for g in range(3) for i in range(60)], "g long, idx int, x double, y double")
-    a = {r.g: r.tau for r in M.kendall_tau_b(d, ["g"], "x", "y").collect()}
-    b = {r.g: r.tau for r in M.kendall_tau_b(d, ["g"], "x", "y", pairs_up_to=10).collect()}
-    assert a == pytest.approx(b) and len(a) == 3
+    rows = [(g, i, float(random.randint(0, 9)), float(random.randint(0, 9))) for g in range(3) for i in range(60)]
+    d = spark.createDataFrame(rows + [(3, 0, 1.0, 1.0), (4, 0, 1.0, 2.0), (4, 1, 1.0, 3.0)], "g long, idx int, x double, y double")
+    got = {r.g: r.tau for r in M.kendall_tau_b(d, ["g"], "x", "y").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for g in range(3):
+        v = [(x, y) for k, _, x, y in rows if k == g]
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(v) for b in v[:i]]
+        want = sum(p * q for p, q in pairs) / (sum(p * p for p, _ in pairs) * sum(q * q for _, q in pairs)) ** 0.5
+        assert got[g] == pytest.approx(want)
+    assert got.keys() == {0, 1, 2, 4} and got[4] is None
 
 
 def test_spearman_has_average_ranks(spark):

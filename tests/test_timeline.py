@@ -80,14 +80,33 @@ def clip(start, end, peak, score):
     return {"start": float(start), "end": float(end), "peak": float(peak), "score": score}
 
 
-def test_greedy_selection_known_cases():
-    got = S.pick_clips([clip(10, 16, 13, 0.9), clip(30, 36, 33, 0.8), clip(0, 6, 3, 0.7), clip(12, 18, 15, 0.95)], target=14)
+def test_greedy_selection_known_cases(spark):
+    def select(*clips, **options):
+        d = spark.createDataFrame([{"video_id": 1} | {k: float(v) for k, v in c.items()} for c in clips])
+        return S.greedy_clip_selection(d, **options).orderBy("start").collect()
+
+    got = select(clip(10, 16, 13, 0.9), clip(30, 36, 33, 0.8), clip(0, 6, 3, 0.7), clip(12, 18, 15, 0.95), target=14)
     assert [(c["start"], c["end"]) for c in got] == [(10, 18), (30, 36)] and got[0]["merged"] == 2
-    assert [(c["start"], c["end"]) for c in S.pick_clips([clip(0, 4, 2, 0.8), clip(10, 14, 12, 0.1)])] == [(0, 4)]
-    got = S.pick_clips([clip(10, 16, 13, 0.9), clip(14, 20, 17, 0.8), clip(15, 16.5, 16, 0.7)])
+    assert [(c["start"], c["end"]) for c in select(clip(0, 4, 2, 0.8), clip(10, 14, 12, 0.1))] == [(0, 4)]
+    got = select(clip(10, 16, 13, 0.9), clip(14, 20, 17, 0.8), clip(15, 16.5, 16, 0.7))
     assert [(c["start"], c["end"]) for c in got] == [(10, 20)]
 
 
+def test_times_and_not_rows_bound_events_at_two_rows_a_second(spark):
+    """The curve of two bumps, sampled at 2 Hz: events have the same times as at 1 Hz, within a step."""
+    score = lambda t: 0.05 + 0.9 * math.exp(-((t - 20) ** 2) / 8) + 0.6 * math.exp(-((t - 45) ** 2) / 4)
+    both = {}
+    for hertz in (1, 2):
+        d = spark.createDataFrame([(1, i, i / hertz, score(i / hertz)) for i in range(60 * hertz)], "video_id int, idx int, t double, score double")
+        both[hertz] = [
+            [(r["start"], r["end"]) for r in x.orderBy("start").collect()]
+            for x in (T.peak_grow(d), T.threshold_segments(d, threshold=0.3), T.adaptive_events(d, sigma=hertz, min_duration=3.0), T.top_peak_events(d, min_duration=3.0))
+        ]
+    for one, two in zip(both[1], both[2]):
+        assert len(one) == len(two) > 0
+        assert all(abs(a - b) <= 1.5 for p, q in zip(one, two) for a, b in zip(p, q))
+
+
 def test_lead_in(spark):
     d = spark.createDataFrame([(1, 10.0, 16.0), (1, 2.0, 8.0), (1, 0.0, 6.0)], "video_id long, start double, end double")
     got = [(r.start, r.lead_in) for r in I.lead_in(d, 5.0).collect()]

@@ -1,4 +1,4 @@
-"""Queries that do the whole job, where the SQL of their namesakes takes a slice: every id and step, against SQL or plain loops."""
+"""Queries over every id and step, against SQL or plain loops."""
 
 import collections
 

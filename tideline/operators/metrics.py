@@ -28,17 +28,11 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") ->
     return d.groupBy(*by).agg(F.corr("a", "b").alias(out))
 
 
-def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau", pairs_up_to: int = 20_000) -> DataFrame:
-    """Kendall's tau-b of each group. Groups of up to `pairs_up_to` rows compare all their pairs; larger ones count inversions by merge sort in one task each."""
+def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau") -> DataFrame:
+    """Kendall's tau-b of each group of two rows or more: inversions are counted by merge sort, groups in parallel; null where a side is constant."""
     import numpy as np
     import pandas as pd
 
-    d = df.withColumn("n__", F.count("*").over(Window.partitionBy(*by)))
-    a = d.where(F.col("n__") <= pairs_up_to).select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(x, y)).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    j = a.join(a.select(*by, F.col("i").alias("i2"), F.col("x").alias("x2"), F.col("y").alias("y2")), by).where("i < i2")
-    sx, sy = F.signum(F.col("x") - F.col("x2")), F.signum(F.col("y") - F.col("y2"))
-    small = j.groupBy(*by).agg((F.sum(sx * sy) / F.sqrt(F.sum(sx * sx) * F.sum(sy * sy))).alias(out))
-
     def merge_count(v: np.ndarray) -> int:
         """Pairs i < j with v[i] > v[j]."""
         swaps, width, v = 0, 1, v.copy()
@@ -59,8 +53,8 @@ def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau"
         return g[by].head(1).assign(**{out: score / ((n0 - nx) * (n0 - ny)) ** 0.5 if n0 > nx and n0 > ny else None})
 
     kinds = dict(df.dtypes)
-    large = d.where(F.col("n__") > pairs_up_to).select(*by, x, y).groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
-    return small.unionByName(large)
+    some = df.select(*by, x, y).withColumn("n__", F.count("*").over(Window.partitionBy(*by))).where("n__ > 1").drop("n__")
+    return some.groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
 
 
 def bins(df: DataFrame, by: list[str], bin_: Column, conf: str, acc: Column) -> DataFrame:

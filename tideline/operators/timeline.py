@@ -46,23 +46,28 @@ def decayed_max(df: DataFrame, value: str, decay: float, out: str) -> DataFrame:
 def gaussian_filter(df: DataFrame, value: str, sigma: float, out: str, keys: tuple[str, ...] = ("video_id",), edge: str = "mirror") -> DataFrame:
     """Gaussian smoothing. edge "mirror": radius int(4 sigma + 0.5), the ends reflected with the end sample repeated; "repeat": radius ceil(3 sigma).
 
-    Offsets are exploded and joined on the reflected position: an equi-join, whatever the length of a curve.
+    A window of the radius holds every sample that a row needs, reflected ones too, so nothing moves beyond the sort of a curve.
     """
     if sigma <= 0:
         return df.withColumn(out, F.col(value))
     r = int(4 * sigma + 0.5) if edge == "mirror" else math.ceil(3 * sigma)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     total = sum(weights)
-    counted = df.select(*keys, "idx", F.count("*").over(Window.partitionBy(*keys)).alias("n__"))
-    at = counted.select(*keys, "idx", "n__", F.posexplode(F.array(*[F.lit(w / total) for w in weights])).alias("o", "w__"))
-    if edge == "mirror":
-        m = F.pmod(F.col("idx") + F.col("o") - r, 2 * F.col("n__"))
-        source = F.when(m < F.col("n__"), m).otherwise(2 * F.col("n__") - 1 - m)
-    else:
-        source = F.least(F.greatest(F.col("idx") + F.col("o") - r, F.lit(0)), F.col("n__") - 1)
-    at = at.select(*keys, "idx", "w__", source.cast("int").alias("s__"))
-    smooth = at.join(df.select(*keys, F.col("idx").alias("s__"), F.col(value).alias("v__")), [*keys, "s__"]).groupBy(*keys, "idx").agg(F.sum(F.col("w__") * F.col("v__")).alias(out))
-    return df.drop(out).join(smooth, [*keys, "idx"])
+    by = Window.partitionBy(*keys)
+    d = df.withColumns({"n__": F.count("*").over(by), "near__": F.collect_list(value).over(by.orderBy("idx").rowsBetween(-r, r)), "w__": F.array(*[F.lit(w / total) for w in weights])})
+    n, lowest = F.col("n__"), F.greatest(F.col("idx") - r, F.lit(0))
+
+    def reflected(o: Column) -> Column:
+        at = F.col("idx") + o - r
+        if edge == "repeat":
+            return F.least(F.greatest(at, F.lit(0)), n - 1)
+        m = F.pmod(at, 2 * n)
+        return F.when(m < n, m).otherwise(2 * n - 1 - m)
+
+    inner = F.zip_with("near__", "w__", lambda v, w: v * w)
+    ends = F.transform("w__", lambda w, o: w * F.element_at(F.col("near__"), (reflected(o) - lowest + 1).cast("int")))
+    terms = F.when(F.size("near__") == 2 * r + 1, inner).otherwise(ends)
+    return d.withColumn(out, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)).drop("n__", "near__", "w__")
 
 
 def rescaled(df: DataFrame, value: str, raw: str, out: str, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -73,16 +78,15 @@ def rescaled(df: DataFrame, value: str, raw: str, out: str, keys: tuple[str, ...
 
 
 def bitemporal(df: DataFrame, value: str = "score", decay: float = 0.9, sigma: float = 2.0, out: str = "calibrated") -> DataFrame:
-    d = decayed_max(df.select("video_id", "idx", F.col(value).alias("raw__")), "raw__", decay, "d__")
-    d = gaussian_filter(d, "d__", sigma, "g__")
-    return df.join(rescaled(d, "g__", "raw__", out).select("video_id", "idx", out), ["video_id", "idx"])
+    d = decayed_max(df.withColumn("raw__", F.col(value)), "raw__", decay, "d__")
+    return rescaled(gaussian_filter(d, "d__", sigma, "g__"), "g__", "raw__", out).drop("raw__", "d__", "g__")
 
 
 def highpass(df: DataFrame, value: str = "score", decay: float = 0.9, sigma: float = 2.0, wide: float = 20.0, out: str = "calibrated") -> DataFrame:
-    d = gaussian_filter(df.select("video_id", "idx", F.col(value).alias("raw__")), "raw__", wide, "slow__")
+    d = gaussian_filter(df.withColumn("raw__", F.col(value)), "raw__", wide, "slow__")
     d = d.withColumn("fast__", F.greatest(F.col("raw__") - F.col("slow__"), F.lit(0.0)))
     d = gaussian_filter(decayed_max(d, "fast__", decay, "d__"), "d__", sigma, "g__")
-    return df.join(rescaled(d, "g__", "raw__", out).select("video_id", "idx", out), ["video_id", "idx"])
+    return rescaled(d, "g__", "raw__", out).drop("raw__", "slow__", "fast__", "d__", "g__")
 
 
 def median_filter(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
@@ -94,30 +98,60 @@ def median_filter(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
 
 
 def median_calibration(df: DataFrame, value: str = "score", decay: float = 0.9, sigma: float = 2.0, width: int = 3, out: str = "calibrated") -> DataFrame:
-    d = median_filter(df.select("video_id", "idx", F.col(value).alias("raw__")), "raw__", width, "m__")
+    d = median_filter(df.withColumn("raw__", F.col(value)), "raw__", width, "m__")
     d = gaussian_filter(decayed_max(d, "m__", decay, "d__"), "d__", sigma, "g__")
-    return df.join(rescaled(d, "g__", "raw__", out).select("video_id", "idx", out), ["video_id", "idx"])
+    return rescaled(d, "g__", "raw__", out).drop("raw__", "m__", "d__", "g__")
 
 
 def ema(df: DataFrame, value: str, keep: float, keys: tuple[str, ...], order: str, out: str = "ema") -> DataFrame:
-    """Exponential moving average from the first value on. A group is one run's scalars, folded in order."""
-    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("rows"))
-
-    def step(acc, x):
-        now = F.when(F.size(acc) == 0, x["v"]).otherwise(keep * F.element_at(acc, -1)["e"] + (1 - keep) * x["v"])
-        return F.concat(acc, F.array(F.struct(x["o"].alias("o"), now.alias("e"))))
+    """Exponential moving average from the first value on, by running sums of values scaled by keep ** -place.
 
-    kind = f"array<struct<o:{dict(df.dtypes)[order]},e:double>>"
-    return g.select(*keys, F.inline(F.aggregate("rows", F.array().cast(kind), lambda a, x: step(a, x).cast(kind)))).withColumnsRenamed({"o": order, "e": out})
+    Sums start anew in blocks short enough for a double's range; a block adds what the one before ends with, decayed. What an earlier one would add is beyond a double.
+    """
+    block = max(1, min(int(460 / -math.log(keep)), 1 << 20)) if 0 < keep < 1 else 1 << 20
+    by = Window.partitionBy(*keys).orderBy(order)
+    d = df.select(*keys, order, (F.row_number().over(by) - 1).alias("i__"), F.col(value).cast("double").alias("x__"))
+    p = (F.col("i__") % block).cast("double")
+    d = d.withColumns({"b__": F.floor(F.col("i__") / block), "p__": p, "c__": F.when(F.col("i__") == 0, F.col("x__")).otherwise((1 - keep) * F.col("x__"))})
+    inside = Window.partitionBy(*keys, "b__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    scale = lambda e: F.pow(F.lit(float(keep)), e)
+    if keep == 0:
+        return d.select(*keys, order, F.col("x__").alias(out))
+    d = d.withColumn("own__", F.sum(F.col("c__") * scale(-F.col("p__"))).over(inside) * scale(F.col("p__")))
+    d = d.withColumn("carry__", F.lag("own__").over(by))  # in a block's first row: where the block before ended
+    first = F.first("carry__").over(inside)
+    return d.select(*keys, order, (F.col("own__") + F.coalesce(first, F.lit(0.0)) * scale(F.col("p__") + 1)).alias(out))
 
 
 def runs(df: DataFrame, above: Column, end_rule: str = "last_above") -> DataFrame:
-    """video_id, start_i, end_i of maximal stretches where `above` holds. end_rule: the last row above, or the first row below (the last row if none)."""
-    d = df.select("video_id", "idx", above.cast("int").alias("a"))
-    d = d.withColumn("new", ((F.col("a") == 1) & (F.coalesce(F.lag("a").over(curve()), F.lit(0)) == 0)).cast("int"))
+    """video_id, start_i, end_i, start_t, end_t of maximal stretches where `above` holds: rows and, from column t (without it the row number), times.
+
+    end_rule: the last row above, or the first row below (the last row if none).
+    """
+    t = F.col("t") if "t" in df.columns else F.col("idx")
+    d = df.select("video_id", "idx", t.cast("double").alias("t"), above.cast("int").alias("a"))
+    d = d.withColumn("new", ((F.col("a") == 1) & (F.coalesce(F.lag("a").over(curve()), F.lit(0)) == 0)).cast("int")).withColumn("next_t", F.coalesce(F.lead("t").over(curve()), "t"))
     d = d.withColumn("run", F.sum("new").over(until())).withColumn("last", F.max("idx").over(video()))
-    g = d.where("a = 1").groupBy("video_id", "run").agg(F.min("idx").alias("start_i"), F.max("idx").alias("end_i"), F.first("last").alias("last"))
-    return g.select("video_id", "start_i", (F.least(F.col("end_i") + 1, F.col("last")) if end_rule == "first_below" else F.col("end_i")).alias("end_i"))
+    g = d.where("a = 1").groupBy("video_id", "run").agg(F.min("idx").alias("start_i"), F.max("idx").alias("end_i"), F.first("last").alias("last"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.max("next_t").alias("next_t"))
+    below = end_rule == "first_below"
+    return g.select("video_id", "start_i", (F.least(F.col("end_i") + 1, F.col("last")) if below else F.col("end_i")).alias("end_i"), "start_t", F.col("next_t" if below else "end_t").alias("end_t"))
+
+
+def spans(runs_: DataFrame, least: float) -> DataFrame:
+    """video_id, start, end: the times of runs that last `least` at least."""
+    return runs_.where(F.col("end_t") - F.col("start_t") >= least).select("video_id", F.col("start_t").alias("start"), F.col("end_t").alias("end"))
+
+
+def rows_inside(intervals: DataFrame, rows: DataFrame, at: str) -> DataFrame:
+    """The rows whose `at` lies in an interval (video_id, start, end: ends included, none of a video overlaps another), with its start and end.
+
+    Rows and interval starts are sorted together once; each row looks back to the last start.
+    """
+    a = intervals.select("video_id", F.col("start").cast("double").alias("at__"), F.lit(0).alias("kind__"), F.struct("start", "end").alias("span__"), F.lit(None).cast(rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType).alias("row__"))
+    b = rows.select("video_id", F.col(at).cast("double").alias("at__"), F.lit(1).alias("kind__"), F.lit(None).cast(a.schema["span__"].dataType).alias("span__"), F.struct(*rows.columns).alias("row__"))
+    back = Window.partitionBy("video_id").orderBy("at__", "kind__").rowsBetween(Window.unboundedPreceding, 0)
+    d = a.unionByName(b).withColumn("span__", F.last("span__", ignorenulls=True).over(back))
+    return d.where((F.col("kind__") == 1) & (F.col("at__") <= F.col("span__.end"))).select("row__.*", "span__.start", "span__.end")
 
 
 def merge_gaps(intervals: DataFrame, gap: float, start: str = "start", end: str = "end", aggregates: dict[str, Column] | None = None) -> DataFrame:
@@ -134,9 +168,7 @@ def threshold_segments(df: DataFrame, value: str = "score", threshold: float = 0
     """Runs above a threshold; videos without any are done again with their median as threshold."""
 
     def once(d: DataFrame) -> DataFrame:
-        r = runs(d, F.col(value) > F.col("th__"))
-        r = r.where(F.col("end_i") - F.col("start_i") >= min_duration).select("video_id", F.col("start_i").cast("double").alias("start"), F.col("end_i").cast("double").alias("end"))
-        return merge_gaps(r, merge_gap)
+        return merge_gaps(spans(runs(d, F.col(value) > F.col("th__")), min_duration), merge_gap)
 
     one = once(df.withColumn("th__", F.lit(threshold)))
     rest = df.join(one.select("video_id").distinct(), "video_id", "left_anti")
@@ -152,16 +184,14 @@ def trapezoid(df: DataFrame, value: str) -> DataFrame:
 def area_and_peak(intervals: DataFrame, curve: DataFrame, value: str) -> DataFrame:
     """intervals (video_id, start, end) with auc (trapezoid) and peak over the rows inside, ends included."""
     c = trapezoid(curve.select("video_id", "idx", "t", value), value)
-    j = intervals.join(c, "video_id").where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
-    return j.groupBy("video_id", "start", "end").agg(F.sum(F.when(F.col("t") > F.col("start"), F.col("area__")).otherwise(0.0)).alias("auc"), F.max(value).alias("peak"))
+    return rows_inside(intervals, c, "t").groupBy("video_id", "start", "end").agg(F.sum(F.when(F.col("t") > F.col("start"), F.col("area__")).otherwise(0.0)).alias("auc"), F.max(value).alias("peak"))
 
 
 def adaptive_events(df: DataFrame, value: str = "score", sigma: float = 2.0, k: float = 0.75, floor: float = 0.1, min_duration: float = 5.0, gap: float = 3.0) -> DataFrame:
     """video_id, start, end, auc, peak, rank: runs of the smoothed curve above max(floor, mean + k std), merged, ranked by area."""
     d = gaussian_filter(df.select("video_id", "idx", "t", value), value, sigma, "g")
     d = d.withColumn("th", F.greatest(F.lit(floor), F.avg("g").over(video()) + k * F.stddev_pop("g").over(video())))
-    r = runs(d, F.col("g") > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_duration)
-    m = merge_gaps(r.select("video_id", F.col("start_i").cast("double").alias("start"), F.col("end_i").cast("double").alias("end")), gap)
+    m = merge_gaps(spans(runs(d, F.col("g") > F.col("th"), "first_below"), min_duration), gap)
     e = area_and_peak(m, d, "g")
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.round("auc", 9).desc(), "start")))
 
@@ -169,8 +199,7 @@ def adaptive_events(df: DataFrame, value: str = "score", sigma: float = 2.0, k:
 def top_peak_events(df: DataFrame, value: str = "score", k: float = 0.75, min_duration: float = 5.0, gap: float = 5.0, top: int = 3) -> DataFrame:
     """Runs above mean + k std; areas of merged runs add up, the peak is the largest; the top by peak."""
     d = df.select("video_id", "idx", "t", value).withColumn("th", F.avg(value).over(video()) + k * F.stddev_pop(value).over(video()))
-    r = runs(d, F.col(value) > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_duration)
-    e = area_and_peak(r.select("video_id", F.col("start_i").cast("double").alias("start"), F.col("end_i").cast("double").alias("end")), d, value)
+    e = area_and_peak(spans(runs(d, F.col(value) > F.col("th"), "first_below"), min_duration), d, value)
     m = merge_gaps(e, gap, aggregates={"auc": F.sum("auc"), "peak": F.max("peak")})
     return m.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("peak"), "start"))).where(F.col("rank") <= top)
 
@@ -180,7 +209,8 @@ def peak_regions(df: DataFrame, value: str = "gt", min_frames: int = 2, peaks: i
     d = df.select("video_id", "idx", value).withColumn("th", F.avg(value).over(video()) + F.stddev_pop(value).over(video()))
     r = runs(d, F.col(value) > F.col("th"), "first_below").where(F.col("end_i") - F.col("start_i") >= min_frames)
     c = d.withColumn("area", (F.col(value) + F.lead(value).over(curve())) / 2)
-    a = r.join(c, "video_id").where((F.col("idx") >= F.col("start_i")) & (F.col("idx") < F.col("end_i") - 1)).groupBy("video_id", "start_i", "end_i").agg(F.sum("area").alias("auc"))
+    a = rows_inside(r.select("video_id", F.col("start_i").alias("start"), F.col("end_i").alias("end")), c, "idx").where(F.col("idx") < F.col("end") - 1)
+    a = a.groupBy("video_id", F.col("start").alias("start_i"), F.col("end").alias("end_i")).agg(F.sum("area").alias("auc"))
     best = a.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.round("auc", 9).desc(), "start_i"))).where(F.col("r") <= peaks)
     hit = best.select("video_id", F.explode(F.sequence("start_i", "end_i")).alias("idx")).distinct().withColumn("mask", F.lit(1))
     return df.select("video_id", "idx").join(hit, ["video_id", "idx"], "left").select("video_id", "idx", F.coalesce("mask", F.lit(0)).alias("mask"))
@@ -195,21 +225,33 @@ def local_maxima(df: DataFrame, value: str) -> DataFrame:
 
 
 def peak_grow(df: DataFrame, value: str = "score", drop: float = 0.4, shortest: float = 4.0, longest: float = 12.0) -> DataFrame:
-    """Clips around peaks: as far as the normalised score stays at (1 - drop) of the peak, clamped in length, inside the video; mean score inside."""
-    d = df.select("video_id", "idx", "t", ((F.col(value) - F.min(value).over(video())) / (F.max(value).over(video()) - F.min(value).over(video()) + 1e-8)).alias("x"), F.col(value).alias("v"))
-    p = local_maxima(d, "x").select("video_id", F.col("idx").alias("p"), F.col("t").alias("peak"), F.col("x").alias("px"))
-    low = F.col("x") < (1 - drop) * F.col("px")
-    j = p.join(d, "video_id").groupBy("video_id", "p", "peak").agg(
-        F.max(F.when(low & (F.col("idx") < F.col("p")), F.col("t"))).alias("l"), F.min(F.when(low & (F.col("idx") > F.col("p")), F.col("t"))).alias("r"), F.min("t").alias("t0"), (F.max("t") + 1).alias("duration")
+    """Clips around peaks: as far as the normalised score stays at (1 - drop) of the peak, clamped in length, inside the video; mean score inside.
+
+    A row lasts the video's median step. A clip longer than `longest` is cut around its peak whatever its ends, so only rows within twice that of a peak
+    matter: peaks meet them by cells of that length, in an equi-join.
+    """
+    low, high = F.min(value).over(video()), F.max(value).over(video())
+    d = df.select("video_id", "idx", "t", ((F.col(value) - low) / (high - low + 1e-8)).alias("x"), F.col(value).alias("v"), (F.col("t") - F.lag("t").over(curve())).alias("gap"))
+    d = d.withColumns({"step": F.coalesce(F.percentile("gap", F.lit(0.5)).over(video()), F.lit(1.0)), "t0": F.min("t").over(video()), "last": F.max("t").over(video())})
+    reach = 2 * longest
+    cell = F.floor(F.col("t") / reach)
+    of_video = ["step", "t0", "last"]
+    p = local_maxima(d, "x").select("video_id", F.col("idx").alias("p"), F.col("t").alias("peak"), F.col("x").alias("px"), *of_video, F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
+    j = p.join(d.select("video_id", cell.alias("cell"), "t", "x", "v"), ["video_id", "cell"]).where(F.abs(F.col("t") - F.col("peak")) <= reach)
+    under = F.col("x") < (1 - drop) * F.col("px")
+    g = j.groupBy("video_id", "p", "peak", *of_video).agg(
+        F.max(F.when(under & (F.col("t") < F.col("peak")), F.col("t"))).alias("l"), F.min(F.when(under & (F.col("t") > F.col("peak")), F.col("t"))).alias("r"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("near")
     )
-    a, b = F.coalesce(F.col("l") + 1, F.col("t0")), F.coalesce(F.col("r"), F.col("duration"))
+    duration, far = F.col("last") + F.col("step"), F.col("peak") - reach
+    a = F.when(F.col("l").isNotNull(), F.col("l") + F.col("step")).otherwise(F.greatest("t0", far))
+    b = F.when(F.col("r").isNotNull(), F.col("r")).otherwise(F.when(F.col("last") <= F.col("peak") + reach, duration).otherwise(F.col("peak") + reach))
     half = F.least(F.greatest(b - a, F.lit(shortest)), F.lit(longest))
-    short, long = b - a < shortest, b - a > longest
-    start = F.when(short | long, F.col("peak") - half / 2).otherwise(a)
-    start = F.greatest(F.lit(0.0), F.least(start, F.col("duration") - half))
-    c = j.select("video_id", "p", "peak", start.alias("start"), F.least(start + half, F.col("duration")).alias("end"))
-    inside = c.join(d.select("video_id", "t", "v"), "video_id").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
-    return inside.groupBy("video_id", "p", "peak", "start", "end").agg(F.avg("v").alias("frame_score"))
+    start = F.when((b - a < shortest) | (b - a > longest), F.col("peak") - half / 2).otherwise(a)
+    start = F.greatest(F.lit(0.0), F.least(start, duration - half))
+    c = g.select("video_id", "p", "peak", start.alias("start"), F.least(start + half, duration).alias("end"), "near")
+    inside = F.filter("near", lambda x: (x["t"] >= F.col("start")) & (x["t"] < F.col("end")))
+    c = c.withColumn("near", inside).where(F.size("near") > 0)
+    return c.select("video_id", "p", "peak", "start", "end", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("near")).alias("frame_score"))
 
 
 def overlap_chunks(df: DataFrame, size: int, stride: int, last: bool = True) -> DataFrame:

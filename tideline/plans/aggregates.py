@@ -263,20 +263,12 @@ def affine_fit(spark, sf):
     return g.where("n >= 3").select("video_id", r6(F.when(good, F.col("a")).otherwise(1.0)).alias("a"), r6(F.when(good, F.col("b")).otherwise(F.col("d"))).alias("b"))
 
 
-@query("class_cohesion", "frame_features", ", s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, idx, '2'))) AS rn FROM frame_features), x AS (SELECT * FROM s WHERE rn <= 20) SELECT a.video_id AS c1, b.video_id AS c2, round(avg(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS mean, round(stddev_pop(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS std FROM x a JOIN x b ON a.video_id < b.video_id OR (a.video_id = b.video_id AND a.idx < b.idx) GROUP BY 1, 2")
+COHESION = ("SELECT a.video_id AS c1, b.video_id AS c2, round(avg(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS mean, round(stddev_pop(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS std FROM frame_features a JOIN frame_features b ON a.video_id < b.video_id OR (a.video_id = b.video_id AND a.idx < b.idx) GROUP BY 1, 2")
+
+
+@query("class_cohesion", "frame_features", COHESION)
+@query("class_cohesion_whole", "frame_features", COHESION)
 def class_cohesion(spark, sf):
-    """The sample of its SQL, smaller than the reference's; `class_cohesion_whole` takes all rows."""
-    x = top_k(frame_features(spark, sf), ["video_id"], [seeded("video_id", "idx", seed=2)], 20)
-    a, b = x.select(F.col("video_id").alias("c1"), F.col("idx").alias("i"), F.col("feature").alias("f")), x.select(F.col("video_id").alias("c2"), F.col("idx").alias("j"), F.col("feature").alias("g"))
-    # the classes' sample has a fixed size, and each class meets the others by an explicit list of partners
-    pairs = x.select(F.col("video_id").alias("c1")).distinct().crossJoin(F.broadcast(x.select(F.col("video_id").alias("c2")).distinct())).where("c1 <= c2")
-    j = a.join(pairs, "c1").join(b, "c2").where("c1 < c2 or i < j")
-    c = j.select("c1", "c2", cosine(F.col("f"), F.col("g")).alias("w"))
-    return c.groupBy("c1", "c2").agg(r6(F.avg("w")).alias("mean"), r6(F.stddev_pop("w")).alias("std"))
-
-
-@query("class_cohesion_whole", "frame_features", "SELECT a.video_id AS c1, b.video_id AS c2, round(avg(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS mean, round(stddev_pop(" + COS.format(a="a.feature", b="b.feature") + "), 6) AS std FROM frame_features a JOIN frame_features b ON a.video_id < b.video_id OR (a.video_id = b.video_id AND a.idx < b.idx) GROUP BY 1, 2")
-def class_cohesion_whole(spark, sf):
     """Every pair of rows of every class, by sums."""
     c = M.cohesion(frame_features(spark, sf), "video_id", "feature")
     return c.select("c1", "c2", r6("mean").alias("mean"), r6("std").alias("std"))

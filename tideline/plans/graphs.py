@@ -57,24 +57,15 @@ def bfs_sample(spark, sf):
     return G.bfs_sample(G.both_ways(e), seeds(spark, sf), 12)
 
 
-def rank_step(k):
-    return f", p{k + 1} AS (SELECT r.video_id, r.idx, 0.85 * coalesce(f, 0) + 0.15 * r AS p FROM rs r LEFT JOIN (SELECT tn.video_id, dst, sum(w * p.p) AS f FROM tn JOIN p{k} p ON p.video_id = tn.video_id AND p.idx = tn.src GROUP BY 1, 2) q ON q.video_id = r.video_id AND q.dst = r.idx)\n"
-
-
-@query("personalized_pagerank", "frame_features", EDGES + ", rs AS (SELECT video_id, idx, CASE WHEN idx IN (3, 20) THEN 0.5 ELSE 0 END AS r FROM frame_features), p0 AS (SELECT video_id, idx, r AS p FROM rs)" + "".join(map(rank_step, range(6))) + "SELECT video_id, idx, round(p, 6) AS p FROM p6")
-def personalized_pagerank(spark, sf):
-    """The six rounds of its SQL; `personalized_pagerank_sample` goes on until ranks settle."""
-    return ranks(spark, sf, rounds=6, tolerance=0.0).select("video_id", "idx", r6("p").alias("p"))
-
-
 def ranks(spark, sf, **settings):
     n = frame_features(spark, sf)
     return G.personalized_pagerank(G.row_normalise(G.both_ways(graph(spark, sf)), n, "none"), seeds(spark, sf), n, **settings)
 
 
+@query("personalized_pagerank")
 @query("personalized_pagerank_sample")
-def personalized_pagerank_sample(spark, sf):
-    """Rows only: the seeds and the ten best other nodes, with at most 100 rounds; the tolerance, 1e-4 a node in the reference, is 1e-4 a video here."""
+def personalized_pagerank(spark, sf):
+    """Rows only: the seeds and the ten best other nodes, with at most 100 rounds; ranks have settled when a video's change is below 1e-4 (the original's is 1e-4 a node)."""
     return G.seeds_and_top(ranks(spark, sf, rounds=100, tolerance=1e-4), seeds(spark, sf), 10)
 
 

@@ -74,28 +74,27 @@ def both_runs(spark, sf):
     return iv(F.col("score") > 0.3), iv(F.col("gt") > 0.6)
 
 
-@query("interval_iou_join", "frames", IV + """, j AS (SELECT a.video_id, a.s AS ps, b.s AS gs, greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) AS i, a.e - a.s + b.e - b.s AS len, greatest(a.e, b.e) - least(a.s, b.s) AS hull FROM a JOIN b USING (video_id))
-SELECT video_id, ps, gs, round(i / (len - i), 6) AS iou, round(i / hull, 6) AS iou_hull FROM j""")
+def overlapping(a, b, width=16.0):
+    """Pairs of intervals of a video, a (s, e) and b (s2, e2), that share more than an end: an equi-join on cells of `width`, each pair in its first shared cell."""
+    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))).alias("cell")
+    j = a.select("*", cells("s", "e")).join(b.withColumnsRenamed({"s": "s2", "e": "e2"}).select("*", cells("s2", "e2")), ["video_id", "cell"])
+    return j.where((F.col("cell") == F.floor(F.greatest("s", "s2") / width)) & (F.least("e", "e2") > F.greatest("s", "s2")))
+
+
+@query("interval_iou_join", "frames", IV + """, j AS (SELECT a.video_id, a.s AS ps, b.s AS gs, least(a.e, b.e) - greatest(a.s, b.s) AS i, a.e - a.s + b.e - b.s AS len, greatest(a.e, b.e) - least(a.s, b.s) AS hull FROM a JOIN b USING (video_id))
+SELECT video_id, ps, gs, round(i / (len - i), 6) AS iou, round(i / hull, 6) AS iou_hull FROM j WHERE i > 0""")
 def interval_iou_join(spark, sf):
-    a, b = both_runs(spark, sf)
-    j = a.join(b.withColumnsRenamed({"s": "s2", "e": "e2"}), "video_id")
+    """Pairs that overlap; all others have an IoU of 0."""
     x = [F.col(c) for c in ("s", "e", "s2", "e2")]
-    return j.select("video_id", F.col("s").alias("ps"), F.col("s2").alias("gs"), r6(I.iou(*x)).alias("iou"), r6(I.iou(*x, hull=True)).alias("iou_hull"))
+    return overlapping(*both_runs(spark, sf)).select("video_id", F.col("s").alias("ps"), F.col("s2").alias("gs"), r6(I.iou(*x)).alias("iou"), r6(I.iou(*x, hull=True)).alias("iou_hull"))
 
 
 @query("overlap_fraction_semi", "frames", IV + "SELECT a.video_id, a.s, max(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) >= 0.5 * (a.e - a.s) AS checked FROM a JOIN b USING (video_id) GROUP BY a.video_id, a.s, a.e")
 def overlap_fraction_semi(spark, sf):
     a, b = both_runs(spark, sf)
-    j = a.join(b.withColumnsRenamed({"s": "s2", "e": "e2"}), "video_id")
-    top = F.max(I.overlap(*[F.col(c) for c in ("s", "e", "s2", "e2")]))
-    return j.groupBy("video_id", "s", "e").agg(top.alias("o")).select("video_id", "s", (F.col("o") >= 0.5 * (F.col("e") - F.col("s"))).alias("checked"))
-
-
-@query("margin_pair_mining", "frames", """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.6 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 100""")
-def margin_pair_mining(spark, sf):
-    """The parameters of its SQL, smaller than the reference's; `margin_pair_mining_reference` has those."""
-    return mined_pairs(frames(spark, sf), 0.6, 100)
+    top = overlapping(a, b).groupBy("video_id", "s", "e").agg(F.max(I.overlap(*[F.col(c) for c in ("s", "e", "s2", "e2")])).alias("o"))
+    j = a.join(b.select("video_id"), "video_id", "left_semi").join(top, ["video_id", "s", "e"], "left")
+    return j.select("video_id", "s", (F.coalesce("o", F.lit(0.0)) >= 0.5 * (F.col("e") - F.col("s"))).alias("checked"))
 
 
 def mined_pairs(f, margin, most):
@@ -106,10 +105,13 @@ def mined_pairs(f, margin, most):
     return top_k(p, ["video_id"], [seeded("video_id", "i", "j", seed=7)], most)
 
 
-@query("margin_pair_mining_reference", "frames", """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.3 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 1000""")
-def margin_pair_mining_reference(spark, sf):
-    """The reference's margin and number of pairs."""
+MINING = """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.3 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 1000"""
+
+
+@query("margin_pair_mining", "frames", MINING)
+@query("margin_pair_mining_reference", "frames", MINING)
+def margin_pair_mining(spark, sf):
     return mined_pairs(frames(spark, sf), 0.3, 1000)
 
 
@@ -203,13 +205,6 @@ def resample_length(spark, sf):
     return J.asof_linear(x.select("video_id", "t"), h, "constant").join(x, ["video_id", "t"]).select("video_id", "idx", r6("v").alias("v"))
 
 
-@query("aligned_sample_windows", "frames", """, s AS (SELECT run AS video_id, step, value FROM run_log WHERE run <= 20 AND step < 200), v AS (SELECT video_id, idx FROM frames WHERE video_id <= 20 AND idx < 60)
-SELECT v.video_id, v.idx, count(s.step) AS n_samples, round(coalesce(sum(s.value), 0) / 15, 6) AS mean FROM v LEFT JOIN s ON s.video_id = v.video_id AND s.step >= v.idx * 10 - 5 AND s.step < v.idx * 10 + 10 GROUP BY 1, 2""".replace("run_log", "(SELECT l_suppkey AS run, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS INT) AS step, l_extendedprice AS value FROM lineitem)", 1))
-def aligned_sample_windows(spark, sf):
-    """The slice of `aligned_sample_windows_all` that its SQL takes."""
-    return sample_windows(samples(spark, sf).where("video_id <= 20 and step < 200"), frames(spark, sf).where("video_id <= 20 and idx < 60"))
-
-
 def samples(spark, sf):
     return run_log(spark, sf).select(F.col("run").alias("video_id"), "step", F.col("value").cast("double").alias("value"))
 
@@ -221,10 +216,13 @@ def sample_windows(s, v):
     return g.agg(F.count("value").alias("n_samples"), r6(F.sum(F.coalesce("value", F.lit(0.0))) / 15).alias("mean"))
 
 
-@query("aligned_sample_windows_all", "run_log frames", """, n AS (SELECT video_id, idx, CAST(unnest(range(idx * 10 - 5, idx * 10 + 10)) AS INT) AS step FROM frames)
+WINDOWS = (""", n AS (SELECT video_id, idx, CAST(unnest(range(idx * 10 - 5, idx * 10 + 10)) AS INT) AS step FROM frames)
 SELECT n.video_id, n.idx, count(s.value) AS n_samples, round(coalesce(sum(CAST(s.value AS DOUBLE)), 0) / 15, 6) AS mean FROM n LEFT JOIN run_log s ON s.run = n.video_id AND s.step = n.step GROUP BY 1, 2""")
-def aligned_sample_windows_all(spark, sf):
-    """Every run, video, step and frame."""
+
+
+@query("aligned_sample_windows", "run_log frames", WINDOWS)
+@query("aligned_sample_windows_all", "run_log frames", WINDOWS)
+def aligned_sample_windows(spark, sf):
     return sample_windows(samples(spark, sf), frames(spark, sf))
 
 

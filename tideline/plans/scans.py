@@ -10,6 +10,10 @@ from tideline.sources import files as IO
 from tideline.sources.views import annotations, frames, heat, pair_results, run_log, segments, table
 
 
+#: Ids of videos that share a line of a split file.
+SHARD = 10_000
+
+
 def videos(spark, sf):
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("video_id")).distinct()
 
@@ -20,9 +24,12 @@ def split_manifest(spark, sf):
     v = videos(spark, sf).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(4))))
     test = F.col("video_id").cast("long") % 5 == F.col("split")
     keys = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("video_id"))))
-    v.groupBy("split").agg(keys(~test).alias("train_keys"), keys(test).alias("test_keys")).agg(F.to_json(F.collect_list(F.struct("split", "train_keys", "test_keys")))).write.text(f"{path}/json")  # five splits
+    # a line is a split's keys of one shard, so no row grows with the table
+    shards = v.withColumn("shard", F.floor(F.col("video_id").cast("long") / SHARD))
+    one = shards.groupBy("split", "shard").agg(keys(~test).alias("train_keys"), keys(test).alias("test_keys"))
+    one.select(F.to_json(F.struct("split", "train_keys", "test_keys"))).write.text(f"{path}/json")
     x = F.concat(F.when(test, "test").otherwise("train"), F.lit("/"), F.col("video_id"))
-    v.groupBy("split").agg(F.array_join(F.sort_array(F.collect_list(x)), ",").alias("l")).select(F.concat_ws(",", F.col("split").cast("string"), "l")).write.text(f"{path}/text")
+    shards.groupBy("split", "shard").agg(F.array_join(F.sort_array(F.collect_list(x)), ",").alias("l")).select(F.concat_ws(",", F.col("split").cast("string"), "l")).write.text(f"{path}/text")
     return IO.read_splits(spark, f"{path}/json").intersect(IO.read_split_text(spark, f"{path}/text"))
 
 
@@ -124,12 +131,6 @@ def multi_csv_concat(spark, sf):
     return summed(IO.concat_complete(spark, [f"{path}/part={k}" for k in range(5)], "human_gap double, model_gap double, correct_ranking boolean, split int", "split", 5))
 
 
-@query("scalar_log_scan", "run_log", "SELECT CAST(run AS VARCHAR) AS run, step, CAST(value AS DOUBLE) AS value FROM run_log WHERE run <= 10")
-def scalar_log_scan(spark, sf):
-    """The slice of `scalar_log_scan_all` that its SQL takes."""
-    return logs_reloaded(spark, run_log(spark, sf).where("run <= 10"))
-
-
 def logs_reloaded(spark, log):
     """Each run's log as a folder of its own, and all of them read back; a task writes the folders of many runs."""
     path = IO.shared_folder(spark)
@@ -140,9 +141,12 @@ def logs_reloaded(spark, log):
     return IO.read_scalars(spark, path)
 
 
-@query("scalar_log_scan_all", "run_log", "SELECT CAST(run AS VARCHAR) AS run, step, CAST(value AS DOUBLE) AS value FROM run_log")
-def scalar_log_scan_all(spark, sf):
-    """Every run."""
+LOGS =  "SELECT CAST(run AS VARCHAR) AS run, step, CAST(value AS DOUBLE) AS value FROM run_log"
+
+
+@query("scalar_log_scan", "run_log", LOGS)
+@query("scalar_log_scan_all", "run_log", LOGS)
+def scalar_log_scan(spark, sf):
     return logs_reloaded(spark, run_log(spark, sf))
 
 
@@ -158,17 +162,12 @@ def nested_json_sink(spark, sf):
 def transcript_segments_io(spark, sf):
     path, s = IO.shared_folder(spark), segments(spark, sf)
     s.select("video_id", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "text").write.json(f"{path}/json")
-    s.select(F.concat(F.lit("["), mmss(F.col("seg_start")), F.lit("] "), F.regexp_replace("text", "\n", " "))).write.text(f"{path}/text")
+    line = F.concat(F.lit("["), mmss(F.col("seg_start")), F.lit("] "), F.regexp_replace("text", "\n", " "))
+    s.select("video_id", line.alias("line")).write.partitionBy("video_id").text(f"{path}/text")  # one transcript a video
     d = spark.read.schema("video_id long, start double, end double, text string").json(f"{path}/json")
-    lines = spark.read.text(f"{path}/text").agg(F.count("*").alias("lines"))
-    g = d.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    return g.crossJoin(F.broadcast(lines)).where("lines >= n").drop("lines")  # one row
-
-
-@query("media_inventory", "frames", "SELECT DISTINCT 'v' || video_id AS stem, CASE WHEN video_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS ext FROM frames WHERE video_id <= 12")
-def media_inventory(spark, sf):
-    """The slice of `media_inventory_all` that its SQL takes."""
-    return stored_media(spark, videos(spark, sf).where("cast(video_id as long) <= 12"))
+    said = spark.read.schema("value string, video_id long").text(f"{path}/text").select("video_id", F.regexp_extract("value", r"^\[\d+:\d\d\] (.*)$", 1).alias("text"))
+    totals = lambda x: x.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return totals(d).intersect(totals(said))  # both forms read back the same
 
 
 def stored_media(spark, v):
@@ -179,7 +178,10 @@ def stored_media(spark, v):
     return IO.media_inventory(spark, path).select(F.regexp_replace("stem", "^file=", "").alias("stem"), "ext")
 
 
-@query("media_inventory_all", "frames", "SELECT DISTINCT 'v' || video_id AS stem, CASE WHEN video_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS ext FROM frames")
-def media_inventory_all(spark, sf):
-    """Every video."""
+MEDIA = "SELECT DISTINCT 'v' || video_id AS stem, CASE WHEN video_id % 2 = 0 THEN 'webm' ELSE 'mp4' END AS ext FROM frames"
+
+
+@query("media_inventory", "frames", MEDIA)
+@query("media_inventory_all", "frames", MEDIA)
+def media_inventory(spark, sf):
     return stored_media(spark, videos(spark, sf))

@@ -110,17 +110,14 @@ def interleaved_shards(spark, sf):
     return shards(table(spark, sf, "events").select(F.col("user_id").alias("video_id")).distinct(), "video_id", 4)
 
 
-@query("class_subsample", "", ", r".replace(", r", "WITH r", 1) + " AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', vec_id, '3'))) AS rn FROM embeddings) SELECT label, vec_id FROM r WHERE rn <= 15")
-def class_subsample(spark, sf):
-    """The size of its SQL, smaller than the reference's; `class_subsample_reference` has that."""
-    return subsample(spark, sf, 15)
-
-
 def subsample(spark, sf, most):
     return top_k(table(spark, sf, "embeddings").select("label", "vec_id"), ["label"], [seeded("vec_id", seed=3)], most)
 
 
-@query("class_subsample_reference", "", ", r".replace(", r", "WITH r", 1) + " AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', vec_id, '3'))) AS rn FROM embeddings) SELECT label, vec_id FROM r WHERE rn <= 2000")
-def class_subsample_reference(spark, sf):
-    """The reference's size of a sample."""
+SUBSAMPLE = (", r".replace(", r", "WITH r", 1) + " AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', vec_id, '3'))) AS rn FROM embeddings) SELECT label, vec_id FROM r WHERE rn <= 2000")
+
+
+@query("class_subsample", "", SUBSAMPLE)
+@query("class_subsample_reference", "", SUBSAMPLE)
+def class_subsample(spark, sf):
     return subsample(spark, sf, 2000)

@@ -23,12 +23,6 @@ def ended(spark, sf, delay_hours: int):
 BITEMPORAL = decay_sql("frames", "score", 0.9, "d") + gauss_sql("d", "v", 2.0, "g") + scaled_sql("g")
 
 
-@query("stream_incremental_scores", "frames", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS mean FROM frames GROUP BY 1")
-def stream_incremental_scores(spark, sf):
-    """The last state's rows and mean score by video, as its SQL has them; `stream_incremental_curve` returns the curves."""
-    return incremental_curves(spark, sf).groupBy("video_id").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean"))
-
-
 def incremental_curves(spark, sf):
     """video_id, idx, score, calibrated: after each batch the affected videos' curves are computed anew; the last ones."""
     path = shared_folder(spark)
@@ -43,8 +37,9 @@ def incremental_curves(spark, sf):
     return spark.read.parquet(f"{path}/curves").groupBy("video_id", "idx").agg(F.max_by(F.struct("score", "calibrated"), "batch").alias("x")).select("video_id", "idx", "x.score", "x.calibrated")
 
 
+@query("stream_incremental_scores", "frames", BITEMPORAL)
 @query("stream_incremental_curve", "frames", BITEMPORAL)
-def stream_incremental_curve(spark, sf):
+def stream_incremental_scores(spark, sf):
     """The calibrated curves that the last batch of each video leaves, the same as in one batch."""
     return incremental_curves(spark, sf).select("video_id", "idx", r6("calibrated").alias("calibrated"))
 

@@ -80,15 +80,13 @@ def median_calibration(spark, sf):
     return T.median_calibration(frames(spark, sf)).select("video_id", "idx", r6("calibrated").alias("calibrated"))
 
 
-@query("ema_smooth", "run_log", ", r AS (SELECT * FROM run_log WHERE step < 40) SELECT a.run, a.step, round(sum(b.value * pow(0.9, a.step - b.step) * CASE WHEN b.step = 0 THEN 1 ELSE 0.1 END) + 1e-7, 4) AS ema FROM r a JOIN r b ON a.run = b.run AND b.step <= a.step GROUP BY a.run, a.step")
-def ema_smooth(spark, sf):
-    """The slice of `ema_smooth_all` that its SQL takes."""
-    return ema_smooth_all(spark, sf).where("step < 40")
+# after 400 steps a value's weight is below 1e-19
+EMA = "SELECT a.run, a.step, round(sum(b.value * pow(0.9, a.step - b.step) * CASE WHEN b.step = 0 THEN 1 ELSE 0.1 END) + 1e-7, 4) AS ema FROM run_log a JOIN run_log b ON a.run = b.run AND b.step <= a.step AND (b.step > a.step - 400) GROUP BY a.run, a.step"
 
 
-@query("ema_smooth_all")
-def ema_smooth_all(spark, sf):
-    """Rows only: every step of every run."""
+@query("ema_smooth", "run_log", EMA)
+@query("ema_smooth_all", "run_log", EMA)
+def ema_smooth(spark, sf):
     d = T.ema(run_log(spark, sf).withColumn("value", F.col("value").cast("double")), "value", 0.9, ("run",), "step")
     return d.select("run", "step", F.round(F.col("ema") + 1e-7, 4).alias("ema"))
 

@@ -18,8 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    """split, role, video_id of a JSON list of {train_keys, test_keys}."""
-    d = spark.read.option("multiLine", True).schema("split int, train_keys array<string>, test_keys array<string>").json(path)
+    """split, role, video_id of JSON lines {split, train_keys, test_keys}; a split may have several lines."""
+    d = spark.read.schema("split int, train_keys array<string>, test_keys array<string>").json(path)
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_keys").alias("keys")) for r in ("train", "test")])
     return d.select("split", F.explode(roles).alias("r")).select("split", F.col("r.role").alias("role"), F.explode("r.keys").alias("video_id"))
 

@@ -13,17 +13,21 @@ from tideline.sources.files import shared_folder
 
 
 def replay(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
-    """A stream of df's rows in order of `ts`: written as `files` Parquet files, one after the other, and read one a trigger."""
+    """A stream of df's rows in order of `ts`: written as `files` slices of time, one after the other, and read one slice a trigger.
+
+    Every slice is dealt to the same number of files, about a million rows each, in turn, so that none is empty and a trigger takes a whole slice.
+    """
     folder = shared_folder(spark)
     df.write.parquet(f"{folder}/all")
     rows = spark.read.parquet(f"{folder}/all")
     at = F.unix_micros("ts")
-    cuts = rows.agg(F.percentile_approx(at, [k / files for k in range(1, files)], 1000)).first()[0] or []
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx(at, [k / files for k in range(1, files)], 1000)).first()
+    cuts, parts = cuts or [], max(1, n // files // 1_000_000)
     for k in range(files):  # the file source takes files in order of their times
         low = at > cuts[k - 1] if k else F.lit(True)
         high = at <= cuts[k] if k < len(cuts) else F.lit(True)
-        rows.where(low & high).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows.where(low & high).repartition(parts).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{folder}/in")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
