@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.joins import similarity_edges
+from tideline.sources.files import scratch_root
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the folder that spark.checkpoint.dir names and go on from there (a temporary one only where none is named)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,17 @@ from pyspark.sql import functions as F
 HEAT = "array<struct<start_time:double,end_time:double,value:double>>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; below a temporary one only where none is named."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode, where none is named. A cluster's executors share no temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='files-')).rstrip('/')}/{uuid.uuid4().hex}"
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="files-")).rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the scratch folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
