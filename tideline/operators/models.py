@@ -67,7 +67,7 @@ def clip_verifier(clips: DataFrame, frames: DataFrame, score: Callable[[pd.DataF
     """clips (video_id, p, start, end, frame_score) with clip_score of the best `top` of each video, from k evenly spaced frames, and rank_score."""
     from tideline.operators.tables import top_k
 
-    best = top_k(clips, ["video_id"], [F.desc("frame_score"), F.asc("p")], top)
+    best = top_k(clips, ["video_id"], [F.round("frame_score", 9).desc(), F.asc("p")], top)
     j = best.select("video_id", "p", "start", "end").join(frames, "video_id").where("t >= start and t < end")
 
     def one(g: pd.DataFrame) -> pd.DataFrame:

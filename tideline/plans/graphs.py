@@ -50,9 +50,16 @@ def label_diffusion(spark, sf):
     return G.label_diffusion(t, labels(spark, sf), "y0", 0.05, 2).select("video_id", "idx", r6("y").alias("y"))
 
 
-@query("bfs_sample")
+@query(
+    "bfs_sample", "frame_features",
+    EDGES + ", z AS (SELECT video_id, i AS src, j AS dst, CASE edge_type WHEN 'backbone' THEN 0.0 ELSE w END AS w FROM g UNION ALL SELECT video_id, j, i, CASE edge_type WHEN 'backbone' THEN 0.0 ELSE w END FROM g),"
+    " nr AS (SELECT video_id, dst, max(w) AS w FROM z WHERE src IN (3, 20) GROUP BY 1, 2), ad AS (SELECT z.video_id, z.src, z.dst, -round(coalesce(nr.w, 0), 9) AS o FROM z LEFT JOIN nr ON nr.video_id = z.video_id AND nr.dst = z.dst),"
+    " bf AS (WITH RECURSIVE b AS (SELECT video_id, CAST(0 AS INT) AS level, list(idx) AS held, list(idx) AS front FROM frame_features WHERE idx IN (3, 20) GROUP BY 1 UNION ALL"
+    " SELECT video_id, CAST(level + 1 AS INT), list_concat(held, pick), pick FROM (SELECT b.video_id, b.level, b.held, list_transform(list_sort(list(DISTINCT {'o': a.o, 'i': a.dst}))[1:12 - len(b.held)], lambda x: x.i) AS pick FROM b JOIN ad a ON a.video_id = b.video_id AND list_contains(b.front, a.src) AND NOT list_contains(b.held, a.dst) GROUP BY 1, 2, 3) x WHERE len(pick) > 0)"
+    " SELECT video_id, unnest(front) AS idx, level FROM b) SELECT video_id, idx, level FROM bf",
+)
 def bfs_sample(spark, sf):
-    """Rows only: up to 12 nodes a video from two seeds. Backbone edges have no weight in the ranking."""
+    """Up to 12 nodes a video from two seeds. Backbone edges have no weight in the ranking."""
     e = graph(spark, sf).withColumn("w", F.when(F.col("edge_type") == "backbone", 0.0).otherwise(F.col("w")))
     return G.bfs_sample(G.both_ways(e), seeds(spark, sf), 12)
 

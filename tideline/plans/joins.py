@@ -41,9 +41,13 @@ def contains_join_first(spark, sf):
     return first(names, table(spark, sf, "pages").select("page_id", "url"), F.concat(F.lit("/"), F.col("lang"), F.lit("/")), "lang", "url", "page_id")
 
 
-@query("tolerance_match_unique")
+@query("tolerance_match_unique", "", """WITH near AS (SELECT d.doc_id AS probe_id, b.item_id AS build_id FROM documents d JOIN benchmark b ON length(b.text) BETWEEN d.n_chars - 2 AND d.n_chars + 2),
+p AS (SELECT probe_id, row_number() OVER (ORDER BY probe_id) AS rn FROM (SELECT DISTINCT probe_id FROM near) x),
+m AS (WITH RECURSIVE u AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS probe_id, CAST(NULL AS BIGINT) AS build_id UNION ALL
+SELECT rn, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, probe_id, b FROM (SELECT p.rn, u.used, p.probe_id, CAST(min(n.build_id) AS BIGINT) AS b FROM u JOIN p ON p.rn = u.rn + 1 LEFT JOIN near n ON n.probe_id = p.probe_id AND NOT list_contains(u.used, n.build_id) GROUP BY 1, 2, 3) x) SELECT probe_id, build_id FROM u)
+SELECT probe_id, build_id FROM m WHERE build_id IS NOT NULL""")
 def tolerance_match_unique(spark, sf):
-    """Rows only: documents matched one-to-one with benchmark items of nearly equal length."""
+    """Documents matched one-to-one with benchmark items of nearly equal length."""
     probe = table(spark, sf, "documents").select(F.col("doc_id").alias("probe_id"), F.col("n_chars").cast("long").alias("length"))
     build = table(spark, sf, "benchmark").select(F.col("item_id").alias("build_id"), F.length("text").cast("long").alias("length"))
     return J.tolerance_match(probe, build, 2)

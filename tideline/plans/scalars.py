@@ -221,11 +221,22 @@ def temporal_proximity_label(spark, sf):
     return frames(spark, sf).select("video_id", "idx", near.cast("int").alias("y"))
 
 
-@query("augment_timeline")
+def seeded_sql(*parts: str, seed: int = 3) -> str:
+    """A number in [0, 1] from the md5 of keys, as `tables.seeded` deals it."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '{seed}')), 1, 8) AS BIGINT) / 4294967295.0"
+
+
+@query(
+    "augment_timeline", "frames",
+    f", c AS (SELECT video_id, idx, score, gt, CAST(floor(idx / 16.0) AS INT) AS chunk FROM frames), d AS (SELECT *, CAST(floor({seeded_sql('video_id', 'chunk')} * 4.999) AS INT) - 2 AS shift, min(idx) OVER w AS first, max(idx) OVER w AS last FROM c WINDOW w AS (PARTITION BY video_id, chunk))"
+    f" SELECT d.video_id, d.idx, d.chunk, round(s.gt, 6) AS gt, round(CASE WHEN d.chunk % 2 = 0 AND {seeded_sql('d.video_id', 'd.idx', chr(39) + 'z' + chr(39))} < 0.1 THEN 0.0 ELSE d.score + 0.1 * sqrt(-2 * ln(greatest({seeded_sql('d.video_id', 'd.idx', chr(39) + 'a' + chr(39))}, 1e-12))) * cos(2 * pi() * ({seeded_sql('d.video_id', 'd.idx', chr(39) + 'b' + chr(39))})) END, 6) AS score"
+    " FROM d JOIN c s ON s.video_id = d.video_id AND s.idx = least(greatest(d.idx - d.shift, d.first), d.last)",
+)
 def augment_timeline(spark, sf):
-    """Rows only: labels shifted by up to two frames a chunk, a tenth of some chunks' rows zeroed, noise by key."""
+    """Labels shifted by up to two frames a chunk, a tenth of some chunks' rows zeroed, noise by key."""
     from tideline.operators.timeline import augment
 
-    return augment(frames(spark, sf).select("video_id", "idx", "score", "gt"), chunk=16, seed=3)
+    d = augment(frames(spark, sf).select("video_id", "idx", "score", "gt"), chunk=16, seed=3)
+    return d.select("video_id", "idx", "chunk", r6("gt").alias("gt"), r6("score").alias("score"))
 
 
