@@ -57,6 +57,7 @@ def bfs_sample(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 
     The best edge to a seed goes first (a node without one counts 0); ties go by node. A video that goes on adds a node a round, so `most` rounds are enough.
     """
+    edges = cut_lineage(edges)  # every round reads it
     held = seeds.select("video_id", "idx", F.lit(0).alias("level"))
     near = cut_lineage(edges.join(seeds.select("video_id", F.col("idx").alias("src")), ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("idx")).agg(F.max("w").alias("w")))
     front = held
@@ -74,20 +75,27 @@ def bfs_sample(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 
 
 def personalized_pagerank(transition: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """video_id, idx, p: rank flows along src -> dst, and restarts at the seeds; it stops at a small total change."""
+    """video_id, idx, p: rank flows along src -> dst, and restarts at the seeds; it stops at a small total change.
+
+    A round is one join and one grouped sum: a node's own row carries its restart share and its last rank, so the change needs no join of its own.
+    """
+    transition = cut_lineage(transition)  # every round reads it
     k = seeds.groupBy("video_id").agg(F.count("*").alias("k"))
-    restart = nodes.select("video_id", "idx").join(seeds.withColumn("s", F.lit(1.0)), ["video_id", "idx"], "left").join(k, "video_id").select("video_id", "idx", (F.coalesce("s", F.lit(0.0)) / F.col("k")).alias("r"))
-    p = restart.select("video_id", "idx", F.col("r").alias("p"))
+    start = nodes.select("video_id", "idx").join(seeds.withColumn("s", F.lit(1.0)), ["video_id", "idx"], "left").join(k, "video_id")
+    start = start.withColumn("r", F.coalesce("s", F.lit(0.0)) / F.col("k"))
+    p = cut_lineage(start.select("video_id", "idx", "r", F.col("r").alias("p"), F.lit(None).cast("double").alias("q")))
     for i in range(rounds):
-        flow = transition.join(p.withColumnRenamed("idx", "src"), ["video_id", "src"]).groupBy("video_id", F.col("dst").alias("idx")).agg(F.sum(F.col("w") * F.col("p")).alias("f"))
-        new = restart.join(flow, ["video_id", "idx"], "left").select("video_id", "idx", (alpha * F.coalesce("f", F.lit(0.0)) + (1 - alpha) * F.col("r")).alias("p"))
+        none = F.lit(None).cast("double")
+        flow = transition.join(p.select("video_id", F.col("idx").alias("src"), "p"), ["video_id", "src"]).select("video_id", F.col("dst").alias("idx"), (F.col("w") * F.col("p")).alias("f"), none.alias("r"), none.alias("q"))
+        own = p.select("video_id", "idx", F.lit(0.0).alias("f"), "r", F.col("p").alias("q"))
+        new = flow.union(own).groupBy("video_id", "idx").agg(F.sum("f").alias("f"), F.max("r").alias("r"), F.max("q").alias("q")).where("r is not null")  # no node without its own row
+        p = new.select("video_id", "idx", "r", (alpha * F.col("f") + (1 - alpha) * F.col("r")).alias("p"), "q")
         if i % 4 == 3:
-            new = cut_lineage(new)
-            change = new.join(p.withColumnRenamed("p", "q"), ["video_id", "idx"]).groupBy("video_id").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0]
+            p = cut_lineage(p)
+            change = p.groupBy("video_id").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0]
             if change is None or change < tolerance:
-                return new
-        p = new
-    return p
+                break
+    return p.select("video_id", "idx", "p")
 
 
 def seeds_and_top(ranks: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
