@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
 from tideline.llm import bpe, forest, jaccard, mixing, quality, quotes, rules, secrets, toxicity, wordpiece
+from tideline.llm.oracles import ORACLES  # noqa: F401  (the entry takes both from here)
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -14,5 +15,3 @@ QUERIES = {
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
     "op10_chat_formatting": quotes.op10_chat_formatting,
 }
-
-ORACLES: dict[str, str] = {}
