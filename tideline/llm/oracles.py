@@ -1,7 +1,7 @@
 """DuckDB counterparts of the queries whose whole result SQL can express.
 
 They follow the definitions and not the Spark plans: all pairs that share a shingle or a label, reachability by recursion, one list fold for the
-estimate's rounds. They are for small tables. op1, op2, op3, op8 and op9 have none: trained models, copies dealt by Spark's hash, vocabularies.
+estimate's rounds. They are for small tables. op1, op2, op3, op8, op9 and op11 have none: trained models, copies and shards dealt by hash, vocabularies.
 op10 has none either: its links are tested against a generator.
 """
 
@@ -118,9 +118,27 @@ judged AS (SELECT voted.*, 1 / (1 + exp(-({odds("votes")}))) AS posterior FROM v
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= {threshold} AS kept, posterior FROM judged"""
 
 
+def collocations_sql(least: int = 100, most: int = 2000, percent: int = 100) -> str:
+    """All runs of one to five words, counted; the sub-phrases of each one and its cuts by joins."""
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k))),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY lang, phrase, k HAVING count(*) >= {least}),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ones AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS covered FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM c, range(2, 5) AS t(j) WHERE j < k) GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ones USING (lang, phrase) WHERE covered IS NULL OR 100 * covered < {percent} * a),
+cuts AS (SELECT x.lang, x.phrase, x.a, x.j, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * x.a * n.n) // (l.a::HUGEINT * r.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.j], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.j + 1:], ' ') JOIN n ON n.lang = x.lang),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM low QUALIFY rank <= {most}"""
+
+
 ORACLES = {
     "op4_embedding_near_dedup": embeddings_sql(),
     "op5_secret_scans": secrets_sql(),
     "op6_quality_rules": rules_sql(),
     "op7_ngram_jaccard_join": jaccard_sql(),
+    "op12_phrase_collocations": collocations_sql(),
 }
