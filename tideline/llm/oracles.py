@@ -135,10 +135,46 @@ low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM low QUALIFY rank <= {most}"""
 
 
+def repair_sql() -> str:
+    """A table of four best audits (cost in twelve digits, then letters) for each row from the last to the first; then the audits' letters joined with rows."""
+    blanks = "\\x20\\x09-\\x0D"
+    add = lambda v, cost, letter: f"printf('%012d', CAST(substr({v}, 1, 12) AS BIGINT) + {cost}) || '{letter}' || substr({v}, 13)"
+    ins = lambda v: add(v, 3, "I")
+    filled = lambda d: [f"least({d[0]}, {ins(d[2])}, {ins(ins(d[3]))})", f"least({d[1]}, {ins(d[2])}, {ins(ins(d[3]))})", f"least({d[2]}, {ins(d[3])})", f"least({d[3]}, {ins(d[2])})"]
+    direct = []
+    for q, (due, to) in enumerate([("u", 2), ("u", 2), ("a", 3), ("u", 2)]):
+        system = f"WHEN NOT gone AND initial = 's' THEN {add('v1', 'extra', 'K')} " if q == 0 else ""
+        keep = f"CASE {system}WHEN NOT gone AND initial = '{due}' THEN {add(f'v{to}', 'extra', 'K')} END"
+        direct.append(f"least({add(f'v{q}', 4, 'D')}, {keep}, CASE WHEN NOT gone THEN {add(f'v{to}', '3 + extra', 'R')} END) AS d{q}")
+    zero, none = "'000000000000'", "CAST(NULL AS VARCHAR)"
+    last = filled([zero, none, none, zero])
+    four = lambda e: ", ".join(f"{x} AS v{q}" for q, x in enumerate(e))
+    return f"""WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: CAST(ord(ch) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM given),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again FROM kinds WHERE kind <> 0),
+e0 AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^{blanks}]') AS blank, NOT regexp_matches(text, '[.!?][{blanks}]*$') AS open_end,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen FROM d),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i FROM e0),
+f AS (SELECT *, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND open_end AS truncated, blank OR seen AS gone, CASE WHEN open_end THEN 3 ELSE 0 END AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM e),
+counts AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+dp AS (SELECT conv_id, n + 1 AS i, {four(last)} FROM counts UNION ALL
+  SELECT conv_id, i, {four(filled(["d0", "d1", "d2", "d3"]))} FROM (SELECT dp.conv_id, f.i, {", ".join(direct)} FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i - 1)),
+best AS (SELECT conv_id, CAST(substr(v0, 1, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit FROM dp WHERE i = 1),
+letters AS (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS j, unnest(string_split(audit, '')) AS letter FROM best WHERE audit <> ''),
+placed AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS m FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+made AS (SELECT p.conv_id, p.j, p.m, p.letter, f.role, CASE WHEN p.letter = 'I' THEN '' ELSE f.text END AS text, f.initial FROM placed p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE p.letter <> 'D'),
+led AS (SELECT *, max(CASE WHEN m = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM made),
+whole AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole FROM led GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES = {
     "op4_embedding_near_dedup": embeddings_sql(),
     "op5_secret_scans": secrets_sql(),
     "op6_quality_rules": rules_sql(),
     "op7_ngram_jaccard_join": jaccard_sql(),
     "op12_phrase_collocations": collocations_sql(),
+    "op13_conversation_repair": repair_sql(),
 }

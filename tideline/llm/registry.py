@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB form."""
 
-from tideline.llm import bpe, collocations, forest, jaccard, mixing, quality, quotes, rules, secrets, sharding, toxicity, wordpiece
+from tideline.llm import bpe, collocations, forest, jaccard, mixing, quality, quotes, repair, rules, secrets, sharding, toxicity, wordpiece
 from tideline.llm.oracles import ORACLES  # noqa: F401  (the entry takes both from here)
 
 QUERIES = {
@@ -16,4 +16,5 @@ QUERIES = {
     "op10_chat_formatting": quotes.op10_chat_formatting,
     "op11_sharding": sharding.op11_sharding,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
