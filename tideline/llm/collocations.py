@@ -4,8 +4,8 @@ A text's pieces (between marks of punctuation and line ends) are runs of words;
 a suffix pointer. Everything is counted by language. Three passes over the texts:
 
 1. Words are counted, exactly, by their text. From here on a word is a 64-bit key of its language and bytes.
-2. Pairs of neighbours that are frequent words are counted.
-3. A suffix is cut where its next pair isn't frequent: no frequent phrase reaches beyond. Suffixes of three words or more are routed by their leading two words, so all
+2. Pairs of neighbours that are frequent words are counted by 48 bits of their key: never too low, and what is too high is settled in pass 3.
+3. A suffix is cut where its next pair isn't frequent: no frequent phrase reaches beyond. Suffixes of two words or more are routed by their leading two, so all
    of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most. A partition of equal words
    is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
 
@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
 from tideline.llm._common import by_key, cut, small_batches, table
@@ -92,10 +91,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def joined_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _bytes.mix(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """48 bits: fewer to shuffle, and enough to tell most pairs of a very large table apart."""
+    return joined_keys(a, b) >> np.uint64(16)
+
+
 class Filter:
     """A Bloom filter over 64-bit keys, made by a grouped bit_or: three bits of one word a key. Its size follows the count of keys, to FILTER_WORDS."""
 
@@ -106,7 +110,7 @@ class Filter:
         self.bits = np.zeros(size, np.uint64)
         self.bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
-    SHIFTS = (40, 46, 52)
+    SHIFTS = (26, 34, 42)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         mask = np.zeros(len(keys), np.uint64)
@@ -116,21 +120,21 @@ class Filter:
 
 
 def _count_pairs(words):
-    """w1, w2, n of a slice's distinct pairs of words that pass the filter."""
+    """key, n of a slice's distinct pairs of words that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
                 good = words.value(key)
                 at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-                _, one, n = np.unique(pair_keys(key[at], key[at + 1]), return_index=True, return_counts=True)
-                yield pa.record_batch({"w1": pa.array(key[at[one]].view(np.int64)), "w2": pa.array(key[at[one] + 1].view(np.int64)), "n": pa.array(n)})
+                pairs, n = np.unique(pair_keys(key[at], key[at + 1]), return_counts=True)
+                yield pa.record_batch({"key": pa.array(pairs.view(np.int64)), "n": pa.array(n)})
 
     return run
 
 
 def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
-    """bucket, hot, w1 to w5, n of a slice's distinct suffixes of three words or more, cut where a pair doesn't pass the filter (0: no word)."""
+    """bucket, hot, w1 to w5, n of a slice's distinct suffixes of two words or more, cut where a pair doesn't pass the filter (0: no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +145,7 @@ def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
                 linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
                 linked[: n - 1] = goes_on[1:]
                 linked[:n] &= pairs.value(pair)
-                at = np.flatnonzero(linked[:n] & linked[1 : n + 1])
+                at = np.flatnonzero(linked[:n])
                 if not len(at):
                     continue
                 w = np.zeros((DEPTH, len(at)), np.uint64)
@@ -149,7 +153,7 @@ def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
                 for k in range(1, DEPTH):
                     goes &= linked[at + k - 1]
                     w[k, goes] = key[at[goes] + k]
-                    whole = pair_keys(whole, w[k])
+                    whole = joined_keys(whole, w[k])
                 _, one, count = np.unique(whole, return_index=True, return_counts=True)
                 lead = pair[at[one]]
                 warm = np.ones(len(one), bool) if hot is None else np.isin(lead, hot)
@@ -199,7 +203,7 @@ def frequent_prefixes(words: np.ndarray, n: np.ndarray, least: int) -> Iterator[
 
 
 def _sorted_buckets(least: int):
-    """Rows sorted by bucket: words (keys), n of phrases of three words or more; of hot pairs whatever the count, as it is a part."""
+    """Rows sorted by bucket: words (keys), n of phrases of two words or more; of hot pairs whatever the count, as it is a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, "bucket"):
@@ -210,7 +214,7 @@ def _sorted_buckets(least: int):
                     continue
                 w = words[:, mine]
                 for at, places, d in frequent_prefixes(w, n[mine], floor):
-                    if d > 2 and len(at):
+                    if d > 1 and len(at):
                         flat = pa.array(w[:d, at].T.reshape(-1).view(np.int64))
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(at) + 1, d, dtype=np.int32)), flat)
                         yield pa.record_batch({"words": lists, "n": pa.array(places)})
@@ -227,9 +231,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
     shared = _shared(spark, vocabulary.select("key"))
-    pairs = docs.mapInArrow(_count_pairs(shared), "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    key = F.arrow_udf(lambda a, b: pa.array(pair_keys(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64)), LongType())
-    pairs = cut(pairs.withColumn("key", key("w1", "w2")))
+    pairs = cut(docs.mapInArrow(_count_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
     places, n_hot = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT_ROWS, 1))).first()
     hot = None if n_hot > HOT_PAIRS else pairs.where(F.col("n") > HOT_ROWS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
@@ -241,7 +243,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     longer = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(least), "words array<long>, n long")
     longer = longer.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
-    phrases = vocabulary.select(F.array("key").alias("words"), "n").union(pairs.select(F.array("w1", "w2"), "n")).union(longer)
+    phrases = vocabulary.select(F.array("key").alias("words"), "n").union(longer)
     return cut(phrases), vocabulary.select("lang", "word", "key"), languages
 
 

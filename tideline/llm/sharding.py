@@ -47,7 +47,7 @@ class Ring:
         at = np.arange(shards * virtual, dtype=np.uint64)
         # a node's places depend on its shard's number only, so they stay when shards are added
         shard, number = at // np.uint64(virtual), at % np.uint64(virtual)
-        place = mix(mix(shard + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) + mix(number + np.uint64(0xD1B54A32D192ED03))) >> np.uint64(1)
+        place = mix(mix(shard + mix(np.array([seed], np.uint64))) + mix(number + np.uint64(0xD1B54A32D192ED03))) >> np.uint64(1)
         order = np.lexsort((shard, place))
         self.places, self.owner, self.shards = place[order].astype(np.int64), shard[order].astype(np.int64), shards
         n = len(order)
