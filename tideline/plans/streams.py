@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from tideline.functions.scalars import r6
 from tideline.operators import timeline as T
 from tideline.plans.registry import query
-from tideline.plans.timeline import decay_sql, gauss_sql, scaled_sql
+from tideline.plans.timeline import decay_sql, gauss_sql, merge_sql, runs_sql, scaled_sql
 from tideline.sources.files import shared_folder
-from tideline.sources.views import frames
+from tideline.sources.views import frames, video
 from tideline.streaming import streams as S
 
 
@@ -23,40 +23,42 @@ def ended(spark, sf, delay_hours: int):
 BITEMPORAL = decay_sql("frames", "score", 0.9, "d") + gauss_sql("d", "v", 2.0, "g") + scaled_sql("g")
 
 
-def incremental_curves(spark, sf):
-    """video_id, idx, score, calibrated: after each batch the affected videos' curves are computed anew; the last ones."""
-    path = shared_folder(spark)
-    s = S.replay(spark, timed(spark, sf))
-
-    def each(batch, number):
-        batch.write.mode("append").parquet(f"{path}/rows")
-        hit = spark.read.parquet(f"{path}/rows").join(batch.select("video_id").distinct(), "video_id", "left_semi")
-        T.bitemporal(hit).select("video_id", "idx", "score", "calibrated").withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/curves")
-
-    S.run_batches(spark, s, each)
-    return spark.read.parquet(f"{path}/curves").groupBy("video_id", "idx").agg(F.max_by(F.struct("score", "calibrated"), "batch").alias("x")).select("video_id", "idx", "x.score", "x.calibrated")
-
-
 @query("stream_incremental_scores", "frames", BITEMPORAL)
 @query("stream_incremental_curve", "frames", BITEMPORAL)
 def stream_incremental_scores(spark, sf):
-    """The calibrated curves that the last batch of each video leaves, the same as in one batch."""
-    return incremental_curves(spark, sf).select("video_id", "idx", r6("calibrated").alias("calibrated"))
-
-
-@query("stream_trailing_buffer_curve")
-def stream_trailing_buffer_curve(spark, sf):
-    """Rows only: the averaged curve of re-scored trailing buffers, with the event that a frame is in."""
-    rescore = lambda d: T.bitemporal(d, out="rescored")
-    c = S.trailing_curve(spark, S.replay(spark, timed(spark, sf)), rescore)
-    e = T.threshold_segments(c, "mean", 0.4).select(F.col("video_id").alias("v"), F.col("start").alias("event_start"), F.col("end").alias("event_end"))
-    j = c.join(e, (F.col("video_id") == F.col("v")) & F.col("idx").between(F.col("event_start"), F.col("event_end")), "left")
-    return j.select("video_id", "idx", "n", r6("mean").alias("mean"), "event_start", "event_end")
+    """The calibrated curves after the last batch, kept up from each video's open tail; the same as in one batch."""
+    return S.incremental_bitemporal(spark, S.replay(spark, timed(spark, sf))).select("video_id", "idx", r6("calibrated").alias("calibrated"))
+
+
+#: Every chunk's window as a curve of its own: scored anew, averaged by frame; then the segments of the averaged curve.
+TRAILING = (
+    """, nn AS (SELECT video_id AS vid, count(*) AS n FROM frames GROUP BY 1), ch AS (SELECT vid, c, least(8 * c + 8, n) AS upto FROM (SELECT vid, n, unnest(range(CAST(ceil(n / 8.0) AS BIGINT))) AS c FROM nn)),
+w AS (SELECT vid * 1000000 + c AS video_id, idx - greatest(upto - 300, 0) AS idx, score, vid, idx AS fr FROM ch JOIN frames f ON f.video_id = vid AND idx >= upto - 300 AND idx < upto)"""
+    + decay_sql("w", "score", 0.9, "d") + gauss_sql("d", "v", 2.0, "g")
+    + """, tp AS (SELECT video_id, max(v) AS top FROM g GROUP BY 1), gl AS (SELECT video_id, max(score) AS goal FROM w GROUP BY 1),
+sc AS (SELECT vid, fr, least(greatest(CASE WHEN top > 0 THEN v * goal / top ELSE v END, 0), 1) AS x FROM g JOIN w USING (video_id, idx) JOIN tp USING (video_id) JOIN gl USING (video_id)),
+cv AS (SELECT vid AS video_id, fr AS idx, count(*) AS n, sum(x) / count(*) AS mean FROM sc GROUP BY 1, 2)"""
+    + runs_sql("r1", "cv", "mean > 0.4") + ", k1 AS (SELECT video_id, s, e FROM r1 WHERE e - s >= 1)" + merge_sql("m1", "k1", 2)
+    + ", f2 AS (SELECT *, median(mean) OVER (PARTITION BY video_id) AS th FROM cv WHERE video_id NOT IN (SELECT video_id FROM m1))" + runs_sql("r2", "f2", "mean > th") + ", k2 AS (SELECT video_id, s, e FROM r2 WHERE e - s >= 1)" + merge_sql("m2", "k2", 2)
+    + """, ev AS (SELECT video_id AS v, s, e FROM m1 UNION ALL SELECT video_id, s, e FROM m2)
+SELECT video_id, idx, CAST(n AS INT) AS n, round(mean, 6) AS mean, CAST(s AS DOUBLE) AS event_start, CAST(e AS DOUBLE) AS event_end FROM cv LEFT JOIN ev ON v = video_id AND idx BETWEEN s AND e"""
+)
+
+
+@query("stream_trailing_buffer", "frames", TRAILING)
+@query("stream_trailing_buffer_curve", "frames", TRAILING)
+def stream_trailing_buffer(spark, sf):
+    """The averaged curve of trailing buffers scored anew with every eight frames, with the event that a frame is in."""
+    stream = S.replay(spark, timed(spark, sf).withColumn("n_frames", F.count("*").over(video())))
+    c = S.trailing_curve(spark, stream)
+    inside = T.rows_inside(T.threshold_segments(c, "mean", 0.4), c.select("video_id", "idx"), "idx")
+    events = inside.select("video_id", "idx", F.col("start").alias("event_start"), F.col("end").alias("event_end"))
+    return c.join(events, ["video_id", "idx"], "left").select("video_id", "idx", "n", r6("mean").alias("mean"), "event_start", "event_end")
 
 
-@query("stream_trailing_buffer", "frames", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS mean FROM frames GROUP BY 1")
-def stream_trailing_buffer(spark, sf):
-    """Running sums and counts by video, merged batch by batch, as its SQL has them; `stream_trailing_buffer_curve` has the buffer."""
+@query("stream_running_means", "frames", "SELECT video_id, count(*) AS n, round(avg(score), 6) AS mean FROM frames GROUP BY 1")
+def stream_running_means(spark, sf):
+    """Counts and means by video, merged batch by batch."""
     path = shared_folder(spark)
 
     def each(batch, number):

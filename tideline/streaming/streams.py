@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tideline.sources.files import shared_folder
 
@@ -43,29 +45,154 @@ def run_batches(spark: SparkSession, stream: DataFrame, each: Callable[[DataFram
     q.awaitTermination()
 
 
-def trailing_curve(spark: SparkSession, stream: DataFrame, rescore: Callable[[DataFrame], DataFrame], most: int = 300) -> DataFrame:
-    """video_id, idx, n, mean: every frame's n scores, averaged.
+#: What keeps the state of `trailing_curve` and `incremental_bitemporal`: arbitrary state needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    With each batch, the last `most` frames of the videos in it are scored anew (all new ones, if they are more), numbered from 0 in `idx`.
-    `rescore` takes video_id, idx, score and returns video_id, idx, rescored. A batch reads the buffer of the one before; scores are added up by frame.
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Rows of `processor`, by video. Sets the session's state store, which has to stay until the stream has started."""
+    stream.sparkSession.conf.set(*STATE_STORE)
+    return stream.groupBy("video_id").transformWithStateInPandas(processor, schema, "append", "none")
+
+
+def _in_order(parts: Iterator[pd.DataFrame], last: int, key: tuple) -> pd.DataFrame:
+    """A batch's frames of one video by idx; they have to follow the frame `last` without a gap, as `replay` of an ordered table gives them."""
+    rows = pd.concat(list(parts)).sort_values("idx", ignore_index=True)
+    if len(rows) and (rows["idx"].iloc[0] != last + 1 or (rows["idx"].diff().iloc[1:] != 1).any()):
+        raise ValueError(f"frames of video {key[0]} don't follow each other")
+    return rows
+
+
+def smoothed(d: np.ndarray, sigma: float, starts: bool = True) -> np.ndarray:
+    """Gaussian of d, the ends reflected (their sample repeated). If d doesn't start the curve, its first radius samples are only neighbours and get no value."""
+    r = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return np.convolve(np.pad(d, (r if starts else 0, r), mode="symmetric"), weights / weights.sum(), "valid")
+
+
+def bitemporal_array(x: np.ndarray, decay: float = 0.9, sigma: float = 2.0) -> np.ndarray:
+    """`timeline.bitemporal` of one curve that fits a state."""
+    ahead, back = x.astype(float).copy(), x.astype(float).copy()
+    for k in range(1, len(x)):
+        ahead[k] = max(ahead[k], ahead[k - 1] * decay)
+        back[-1 - k] = max(back[-1 - k], back[-k] * decay)
+    g = smoothed(np.maximum(np.maximum(ahead, back), 0.0), sigma)
+    return np.clip(g * x.max() / g.max() if g.max() > 0 else g, 0.0, 1.0)
+
+
+class TrailingBuffer(StatefulProcessor):
+    """For each chunk of frames: the last `most` frames scored anew, scores added up by frame.
+
+    State: the frames of the buffer with their score, sum and count (a list of `most` at most), and the frames of a chunk that isn't full yet. A frame that leaves the
+    buffer never changes again and leaves the state. A video's last chunk may be short: it is full at the frame n_frames - 1, if n_frames is known.
     """
-    path = shared_folder(spark)
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.select("video_id", "idx", "score", F.lit(1).alias("new"))
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/buffer-{number - 1}").withColumn("new", F.lit(0)))
-        video = Window.partitionBy("video_id")
-        rows = rows.withColumn("r", F.row_number().over(video.orderBy(F.col("idx").desc()))).withColumn("n", F.sum("new").over(video))
-        rows.where(F.col("r") <= most).select("video_id", "idx", "score").write.parquet(f"{path}/buffer-{number}")
-        part = rows.where(F.col("n") > 0).where(F.col("r") <= F.greatest("n", F.lit(most))).withColumn("at", F.min("idx").over(video))
-        done = rescore(part.select("video_id", (F.col("idx") - F.col("at")).cast("int").alias("idx"), "score")).select("video_id", "idx", "rescored")
-        done = done.join(part.select("video_id", "at").distinct(), "video_id").select("video_id", (F.col("idx") + F.col("at")).alias("idx"), "rescored")
-        done.groupBy("video_id", "idx").agg(F.sum("rescored").alias("s"), F.count("*").alias("n")).write.mode("append").parquet(f"{path}/sums")
-
-    run_batches(spark, stream, each)
-    sums = spark.read.parquet(f"{path}/sums").groupBy("video_id", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return sums.select("video_id", "idx", "n", (F.col("s") / F.col("n")).alias("mean"))
+    def __init__(self, rescore: Callable[[np.ndarray], np.ndarray], chunk: int, most: int):
+        self.rescore, self.chunk, self.most = rescore, chunk, most
+
+    def init(self, handle) -> None:
+        self.buffer = handle.getListState("buffer", "idx int, score double, sum double, n int")
+        self.waiting = handle.getListState("waiting", "idx int, score double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.buffer.get()) if self.buffer.exists() else []
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        last = waiting[-1][0] if waiting else held[-1][0] if held else -1
+        new = _in_order(rows, last, key)
+        final = set((new["n_frames"] - 1).tolist())
+        idx, score, total, n = (np.array([h[k] for h in held], float) for k in range(4))
+        gone: list[tuple] = []
+        todo, waiting = [*waiting, *zip(new["idx"].tolist(), new["score"].tolist())], []
+        for i, x in todo:
+            waiting.append((i, x))
+            if len(waiting) < self.chunk and i not in final:
+                continue
+            idx, score = np.r_[idx, [w[0] for w in waiting]], np.r_[score, [w[1] for w in waiting]]
+            total, n = np.r_[total, np.zeros(len(waiting))], np.r_[n, np.zeros(len(waiting))]
+            waiting = []
+            over = max(len(idx) - self.most, 0)
+            gone += zip(idx[:over], n[:over], total[:over])
+            idx, score, total, n = idx[over:], score[over:], total[over:] + self.rescore(score[over:]), n[over:] + 1
+        self.buffer.put([(int(a), float(b), float(c), int(d)) for a, b, c, d in zip(idx, score, total, n)]) if len(idx) else self.buffer.clear()
+        self.waiting.put([(int(a), float(b)) for a, b in waiting]) if waiting else self.waiting.clear()
+        out = np.array([*gone, *zip(idx, n, total)]).reshape(-1, 3)
+        if len(out):
+            yield pd.DataFrame({"video_id": key[0], "upto": int(idx[-1]), "idx": out[:, 0].astype("int32"), "n": out[:, 1].astype("int32"), "mean": out[:, 2] / np.maximum(out[:, 1], 1)})
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_curve(spark: SparkSession, stream: DataFrame, rescore: Callable[[np.ndarray], np.ndarray] = bitemporal_array, chunk: int = 8, most: int = 300) -> DataFrame:
+    """video_id, idx, n, mean: every frame's n scores, averaged, after all batches of `stream` (video_id, idx, score, n_frames).
+
+    With each chunk, the last `most` frames of its video are scored anew by `rescore`. Results depend on chunks and not on batches. What a batch writes is the buffer's
+    frames and those that left it; the newest row of a frame holds.
+    """
+    rows = _stateful(stream.select("video_id", "idx", "score", "n_frames"), TrailingBuffer(rescore, chunk, most), "video_id long, upto int, idx int, n int, mean double")
+    return run_to_table(spark, rows).groupBy("video_id", "idx").agg(F.max_by(F.struct("n", "mean"), "upto").alias("x")).select("video_id", "idx", "x.n", "x.mean")
+
+
+class IncrementalBitemporal(StatefulProcessor):
+    """The smoothed curve of `timeline.bitemporal`, before its scale, kept up as frames arrive.
+
+    A new frame changes earlier ones only as far as its decayed score can exceed theirs, and the smoothing reaches a radius beyond. A frame is settled once a score of `most`,
+    right after the newest frame, could not change it or any within the radius; it is written for the last time and leaves the state but for the
+    radius that its successors need. Contributions below TINY count as none, which bounds the open frames even where scores are zero.
+    """
+
+    TINY = 1e-12
+
+    def __init__(self, decay: float, sigma: float, most: float):
+        self.decay, self.sigma, self.most, self.radius = decay, sigma, most, int(4 * sigma + 0.5)
+
+    def init(self, handle) -> None:
+        self.tail = handle.getListState("tail", "idx int, score double, ahead double, done boolean")
+        self.whole = handle.getValueState("whole", "goal double, top double, fixed double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.tail.get()) if self.tail.exists() else []
+        goal, top, fixed = self.whole.get() if self.whole.exists() else (float("-inf"), 0.0, float("-inf"))
+        new = _in_order(rows, held[-1][0] if held else -1, key)
+        if new["score"].max() > self.most:
+            raise ValueError(f"a score of video {key[0]} is above {self.most}")
+        idx = np.r_[[h[0] for h in held], new["idx"].to_numpy()].astype(int)
+        score = np.r_[[h[1] for h in held], new["score"].to_numpy()].astype(float)
+        done = np.r_[[h[3] for h in held], np.zeros(len(new), bool)].astype(bool)
+        ahead = np.r_[[h[2] for h in held], score[len(held) :]].astype(float)
+        for k in range(max(len(held), 1), len(idx)):
+            ahead[k] = max(ahead[k], ahead[k - 1] * self.decay)
+        back = score.copy()
+        for k in range(len(idx) - 2, -1, -1):
+            back[k] = max(back[k], back[k + 1] * self.decay)
+        d, left = np.maximum(np.maximum(ahead, back), 0.0), int(done.sum())
+        g = smoothed(d, self.sigma)[left:] if idx[0] == 0 else smoothed(d, self.sigma, starts=False)
+        reach = self.most * self.decay ** (idx[-1] + 1 - idx)
+        still = np.flatnonzero((d < reach) & (reach > self.TINY))  # may rise yet
+        first = still[0] if len(still) else len(idx)
+        settled = max(min(first, len(idx)) - self.radius, left)  # these are final; the last of the curve see its reflected end
+        goal, fixed = max(goal, score.max()), max([fixed, *g[: settled - left]])
+        top = max([fixed, *g[settled - left :]])
+        keep = max(settled - self.radius, 0)
+        self.tail.put([(int(idx[k]), float(score[k]), float(ahead[k]), bool(k < settled)) for k in range(keep, len(idx))])
+        self.whole.update((float(goal), float(top), float(fixed)))
+        yield pd.DataFrame({"video_id": key[0], "upto": int(idx[-1]), "idx": idx[left:].astype("int32"), "score": score[left:], "smooth": g, "goal": goal, "top": top})
+
+    def close(self) -> None:
+        pass
+
+
+def incremental_bitemporal(spark: SparkSession, stream: DataFrame, decay: float = 0.9, sigma: float = 2.0, most: float = 1.0) -> DataFrame:
+    """video_id, idx, score, calibrated after all batches of `stream` (video_id, idx, score: at most `most`), the same as `timeline.bitemporal` of the whole.
+
+    A batch reads its own frames and each video's open tail. The scale to a video's peak is two numbers that a batch writes anew, applied to the newest row of each frame.
+    """
+    rows = _stateful(stream.select("video_id", "idx", "score"), IncrementalBitemporal(decay, sigma, most), "video_id long, upto int, idx int, score double, smooth double, goal double, top double")
+    out = run_to_table(spark, rows)
+    newest = out.groupBy("video_id", "idx").agg(F.max_by(F.struct("score", "smooth"), "upto").alias("x"))
+    scale = out.groupBy("video_id").agg(F.max_by(F.struct("goal", "top"), "upto").alias("s"))
+    scaled = F.when(F.col("s.top") > 0, F.col("x.smooth") * F.col("s.goal") / F.col("s.top")).otherwise(F.col("x.smooth"))
+    return newest.join(scale, "video_id").select("video_id", "idx", "x.score", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).alias("calibrated"))
 
 
 def tumbling_hits(stream: DataFrame, width: str, delay: str, gate: float) -> DataFrame:
