@@ -24,8 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tideline.llm import _bytes
 from tideline.llm._common import by_key, cut, small_batches, table
@@ -35,7 +37,7 @@ DEPTH = 5
 #: The bytes that end a piece and those that only end a word.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text that a task holds at once, beyond one text.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 #: Rows of a bucket; a pair with more places than HOT_ROWS is dealt to several buckets. Hot pairs that a task is told of: beyond so many, every pair counts as hot.
 BUCKET_ROWS, HOT_ROWS, HOT_PAIRS = 400_000, 200_000, 1_000_000
 #: 64-bit words of a filter: so many at most (32 MB).
@@ -57,6 +59,25 @@ def _languages(lang: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, coded.indices.to_numpy(), hashes
 
 
+def _spelled_keys(lang: pa.Array, word: pa.Array) -> pa.Array:
+    """The keys of words, as `_words` has them; 0 for no word."""
+    _, of_row, hashes = _languages(lang)
+    raw = pc.fill_null(word.cast(pa.large_string()), "")
+    at = np.flatnonzero(pc.utf8_length(raw).to_numpy() > 0)
+    _, where, data = raw.buffers()
+    ends = np.frombuffer(where, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    out = np.zeros(len(raw), np.uint64)
+    if len(at):
+        out[at] = _word_keys(np.frombuffer(data, np.uint8), ends[at], ends[at + 1] - 1, hashes[of_row[at]])
+    return pa.array(out.view(np.int64))
+
+
+def _word_keys(data: np.ndarray, first: np.ndarray, last: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    key = _bytes.mix(_bytes.range_hashes(data, first, last) ^ lang)
+    key[key == 0] = 1  # 0: no word
+    return key
+
+
 def _words(batch: pa.RecordBatch) -> Iterator[tuple]:
     """For slices of a batch: bytes, first and last byte of each word, its key, whether it goes on from the word before in one piece, and names and numbers of languages."""
     names, of_row, hashes = _languages(batch.column("lang"))
@@ -66,8 +87,7 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple]:
         if not len(first):
             continue
         lang = of_row[at + row]
-        key = _bytes.mix(_bytes.range_hashes(data, first, last) ^ hashes[lang])
-        key[key == 0] = 1  # 0: no word
+        key = _word_keys(data, first, last, hashes[lang])
         ends = np.cumsum(_ENDS[data])[first]
         goes_on = np.zeros(len(first), bool)
         goes_on[1:] = (row[1:] == row[:-1]) & (ends[1:] == ends[:-1])
@@ -75,10 +95,10 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, key, n of a slice's distinct words; and one row of each language, without a word, for all of its words."""
+    """lang, word, n of a slice's distinct words; and one row of each language, without a word, for all of its words."""
     for batch in batches:
         for data, first, last, key, _, names, lang in _words(batch):
-            keys, at, n = np.unique(key, return_index=True, return_counts=True)
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
             ends = np.cumsum((last - first + 1)[at])
             begin = np.r_[0, ends[:-1]]
             text = data[np.repeat(first[at] - begin, ends - begin) + np.arange(ends[-1])]
@@ -87,7 +107,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(total)
             yield pa.record_batch({
                 "lang": pa.array(names).take(pa.array(np.r_[lang[at], some])), "word": pa.concat_arrays([words, pa.nulls(len(some), pa.string())]),
-                "key": pa.array(np.r_[keys.view(np.int64), np.zeros(len(some), np.int64)]), "n": pa.array(np.r_[n, total[some]]),
+                "n": pa.array(np.r_[n, total[some]]),
             })
 
 
@@ -155,6 +175,8 @@ def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
                     w[k, goes] = key[at[goes] + k]
                     whole = joined_keys(whole, w[k])
                 _, one, count = np.unique(whole, return_index=True, return_counts=True)
+                order = np.argsort(pair[at[one]])  # neighbours that begin alike take less room in a shuffle
+                one, count = one[order], count[order]
                 lead = pair[at[one]]
                 warm = np.ones(len(one), bool) if hot is None else np.isin(lead, hot)
                 bucket = (np.where(warm, whole[one], lead) % np.uint64(buckets)).astype(np.int32)
@@ -227,7 +249,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("lang", F.col("text").cast("string").alias("text"))
-    counted = cut(docs.mapInArrow(_count_words, "lang string, word string, key long, n long").groupBy("lang", "word", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()))
+    counted = cut(docs.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()).withColumn("key", F.arrow_udf(_spelled_keys, LongType())("lang", "word")))
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
     shared = _shared(spark, vocabulary.select("key"))
