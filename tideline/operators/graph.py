@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,28 +78,67 @@ def bfs_sample(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return held
 
 
-def personalized_pagerank(transition: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """video_id, idx, p: rank flows along src -> dst, and restarts at the seeds; it stops at a small total change.
-
-    A round is one join and one grouped sum: a node's own row carries its restart share and its last rank, so the change needs no join of its own.
+#: Nodes of a block of `personalized_pagerank`, in order of idx.
+PUSH_BLOCK = 512
+
+
+def _push(alpha: float, tolerance: float):
+    """Push residuals within one block of nodes until all are small; what leaves the block is residual of nodes elsewhere."""
+
+    def run(key: tuple, nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        idx, p, r = (nodes[c].to_numpy().copy() for c in ("idx", "p", "r"))
+        order = np.argsort(idx)
+        idx, p, r = idx[order], p[order], r[order]
+        src, dst, w = (edges[c].to_numpy() for c in ("src", "dst", "w"))
+        here = np.isin(src, idx)
+        src, dst, w = np.searchsorted(idx, src[here]), dst[here], w[here]
+        far, back = np.unique(dst, return_inverse=True)
+        at = np.minimum(np.searchsorted(idx, far), len(idx) - 1)
+        inside = idx[at] == far
+        left = np.zeros(len(far))
+        while np.any(r > tolerance):
+            now = np.where(r > tolerance, r, 0.0)
+            p += (1 - alpha) * now
+            r -= now
+            flow = np.bincount(back, alpha * now[src] * w, minlength=len(far))
+            r[at[inside]] += flow[inside]
+            left[~inside] += flow[~inside]
+        out = np.flatnonzero(left > 0)
+        n, m = len(idx), len(out)
+        return pa.table({
+            "video_id": pa.array([key[0].as_py()] * (n + m), key[0].type), "idx": pa.array(np.r_[idx, far[out]]).cast(nodes["idx"].type),
+            "p": np.r_[p, np.zeros(m)], "r": np.r_[r, left[out]], "own": np.r_[np.ones(n, np.int32), np.zeros(m, np.int32)],
+        })
+
+    return run
+
+
+def personalized_pagerank(transition: DataFrame, seeds: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, most_rounds: int = 1000, spy: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """video_id, idx, p: rank flows along src -> dst, and restarts at the seeds. Forward push: seeds hold a residual of 1 in all, a push keeps (1 - alpha) of a node's
+    residual as rank and hands the rest on, until no residual is above `tolerance`.
+
+    Nodes are in blocks of PUSH_BLOCK by idx. A round takes the blocks with a residual above the tolerance, and their edges only; each pushes until its own residuals are small, and
+    residual that crosses blocks is added up between rounds. So a round's work follows where rank still flows, not the graph. `spy` sees each round's edges.
     """
-    transition = cut_lineage(transition)  # every round reads it
+    block = F.floor(F.col("idx") / PUSH_BLOCK)
+    edges = cut_lineage(transition.select("video_id", "src", "dst", "w", F.floor(F.col("src") / PUSH_BLOCK).alias("block")))
     k = seeds.groupBy("video_id").agg(F.count("*").alias("k"))
-    start = nodes.select("video_id", "idx").join(seeds.withColumn("s", F.lit(1.0)), ["video_id", "idx"], "left").join(k, "video_id")
-    start = start.withColumn("r", F.coalesce("s", F.lit(0.0)) / F.col("k"))
-    p = cut_lineage(start.select("video_id", "idx", "r", F.col("r").alias("p"), F.lit(None).cast("double").alias("q")))
-    for i in range(rounds):
-        none = F.lit(None).cast("double")
-        flow = transition.join(p.select("video_id", F.col("idx").alias("src"), "p"), ["video_id", "src"]).select("video_id", F.col("dst").alias("idx"), (F.col("w") * F.col("p")).alias("f"), none.alias("r"), none.alias("q"))
-        own = p.select("video_id", "idx", F.lit(0.0).alias("f"), "r", F.col("p").alias("q"))
-        new = flow.union(own).groupBy("video_id", "idx").agg(F.sum("f").alias("f"), F.max("r").alias("r"), F.max("q").alias("q")).where("r is not null")  # no node without its own row
-        p = new.select("video_id", "idx", "r", (alpha * F.col("f") + (1 - alpha) * F.col("r")).alias("p"), "q")
-        if i % 4 == 3:
-            p = cut_lineage(p)
-            change = p.groupBy("video_id").agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("d")).agg(F.max("d")).first()[0]
-            if change is None or change < tolerance:
-                break
-    return p.select("video_id", "idx", "p")
+    start = nodes.select("video_id", "idx").join(k, "video_id").join(seeds.select("video_id", "idx", F.lit(1.0).alias("s")), ["video_id", "idx"], "left")
+    state = cut_lineage(start.select("video_id", "idx", F.lit(0.0).alias("p"), (F.coalesce("s", F.lit(0.0)) / F.col("k")).alias("r"), F.lit(1).alias("own")))
+    kinds = dict(state.dtypes)
+    for _ in range(most_rounds):
+        placed = state.withColumn("block", block)
+        hot = cut_lineage(placed.where(F.col("r") > tolerance).select("video_id", "block").distinct())
+        if hot.isEmpty():
+            return state.select("video_id", "idx", "p")
+        active, theirs = placed.join(hot, ["video_id", "block"], "left_semi"), edges.join(hot, ["video_id", "block"], "left_semi")
+        if spy:
+            spy(theirs)
+        pushed = active.groupBy("video_id", "block").cogroup(theirs.groupBy("video_id", "block")).applyInArrow(_push(alpha, tolerance), f"video_id {kinds['video_id']}, idx {kinds['idx']}, p double, r double, own int")
+        rest = placed.join(hot, ["video_id", "block"], "left_anti").select("video_id", "idx", "p", "r", "own")
+        sums = rest.unionByName(pushed).groupBy("video_id", "idx").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.max("own").alias("own"))
+        state = cut_lineage(sums.where("own = 1"))  # no node without a row of its own
+    raise RuntimeError("ranks did not settle")
 
 
 def seeds_and_top(ranks: DataFrame, seeds: DataFrame, k: int) -> DataFrame:

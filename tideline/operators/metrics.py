@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,33 +30,40 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") ->
     return d.groupBy(*by).agg(F.corr("a", "b").alias(out))
 
 
-def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau") -> DataFrame:
-    """Kendall's tau-b of each group of two rows or more: inversions are counted by merge sort, groups in parallel; null where a side is constant."""
-    import numpy as np
-    import pandas as pd
+def inversions(rank: np.ndarray) -> int:
+    """Pairs i < j with rank[i] > rank[j] (whole numbers from 0): bit by bit from the highest, within runs of equal higher bits the ones that stand before a zero."""
+    total = 0
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        run = rank >> (bit + 1)
+        begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        before = np.cumsum(one) - one
+        before = before - np.repeat(before[begin], np.diff(np.r_[begin, len(run)]))
+        total += int(before[one == 0].sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
 
-    def merge_count(v: np.ndarray) -> int:
-        """Pairs i < j with v[i] > v[j]."""
-        swaps, width, v = 0, 1, v.copy()
-        while width < len(v):
-            for lo in range(0, len(v), 2 * width):
-                left, right = v[lo : lo + width], v[lo + width : lo + 2 * width]
-                swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-                v[lo : lo + 2 * width] = np.sort(v[lo : lo + 2 * width], kind="stable")
-            width *= 2
-        return swaps
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([x, y])
-        n0 = len(g) * (len(g) - 1) / 2
-        tied = lambda s: float((s.value_counts() * (s.value_counts() - 1) / 2).sum())
-        nx, ny, nxy = tied(g[x]), tied(g[y]), float(g.groupby([x, y]).size().pipe(lambda s: s * (s - 1) / 2).sum())
-        score = n0 - nx - ny + nxy - 2 * merge_count(g[y].to_numpy(float))
-        return g[by].head(1).assign(**{out: score / ((n0 - nx) * (n0 - ny)) ** 0.5 if n0 > nx and n0 > ny else None})
 
+def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau") -> DataFrame:
+    """Kendall's tau-b of each group of two rows or more: inversions are counted by bits of ranks, groups in parallel; null where a side is constant."""
     kinds = dict(df.dtypes)
-    some = df.select(*by, x, y).withColumn("n__", F.count("*").over(Window.partitionBy(*by))).where("n__ > 1").drop("n__")
-    return some.groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
+
+    def pairs(*values: np.ndarray) -> float:
+        """Pairs of rows that agree in all sorted `values`."""
+        n = np.diff(np.r_[np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in values], axis=0)]), len(values[0])]).astype(float)
+        return float((n * (n - 1) / 2).sum())
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        a, b = (t[c].to_numpy().astype(float) for c in (x, y))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        kind, rank = np.unique(b, return_inverse=True)
+        n0, nx, ny, nxy = len(a) * (len(a) - 1) / 2, pairs(a), pairs(np.sort(b)), pairs(a, b)
+        tau = (n0 - nx - ny + nxy - 2 * inversions(rank)) / ((n0 - nx) * (n0 - ny)) ** 0.5 if n0 > nx and n0 > ny else None
+        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip(by, key)}, out: pa.array([tau], pa.float64())})
+
+    some = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("n__", F.count("*").over(Window.partitionBy(*by))).where("n__ > 1").drop("n__")
+    return some.groupBy(*by).applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
 
 
 def bins(df: DataFrame, by: list[str], bin_: Column, conf: str, acc: Column) -> DataFrame:

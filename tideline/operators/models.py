@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +20,89 @@ def as_vector(c: str | Column) -> Column:
     return array_to_vector(F.transform(c, lambda x: x.cast("double")))
 
 
+def moments(df: DataFrame, columns: list[Column], by: Column | None = None) -> dict:
+    """By value of `by`: the sums of z z' over rows, z being 1 and the numbers of `columns` (vectors or numbers). Rows with a null are left out.
+
+    A task keeps one matrix a value and sends it once; what reaches the driver has the size of the matrices, however many rows there are.
+    """
+    parts = [F.transform(c, lambda x: x.cast("double")) if dict(df.select(c.alias("c")).dtypes)["c"].startswith("array") else F.array(c.cast("double")) for c in columns]
+    d = df.select((by if by is not None else F.lit(0)).cast("string").alias("by"), F.concat(F.array(F.lit(1.0)), *parts).alias("z")).where(F.col("z").isNotNull() & F.forall("z", lambda x: x.isNotNull()))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            if b.num_rows:
+                z = b.column("z").flatten().to_numpy().reshape(b.num_rows, -1)
+                coded = b.column("by").dictionary_encode()
+                for k, key in enumerate(coded.dictionary.to_pylist()):
+                    mine = z[coded.indices.to_numpy() == k]
+                    total[key] = total.get(key, 0) + mine.T @ mine
+        for key, m in total.items():
+            yield pa.record_batch({"by": pa.array([key] * m.size, pa.string()), "pos": pa.array(np.arange(m.size)), "v": pa.array(m.ravel())})
+
+    rows = d.where("by is not null").mapInArrow(sums, "by string, pos long, v double").groupBy("by", "pos").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for key, g in rows.groupby("by"):
+        n = math.isqrt(len(g))
+        out[key] = g.sort_values("pos")["v"].to_numpy().reshape(n, n)
+    return out
+
+
+def covariance(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, means and covariances (by n) of a matrix of `moments`."""
+    n = m[0, 0]
+    mean = m[0, 1:] / n
+    return n, mean, m[1:, 1:] / n - np.outer(mean, mean)
+
+
 def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
-    """df with pc1 ... pck, and explained1 ...: shares of variance."""
-    d = df.withColumn("raw__", as_vector(F.col(vector)))
-    centred = StandardScaler(inputCol="raw__", outputCol="x__", withMean=True, withStd=False).fit(d).transform(d)
-    model = PCA(k=k, inputCol="x__", outputCol="p__").fit(centred)
-    out = model.transform(centred).withColumn("p__", vector_to_array("p__"))
-    shares = {f"explained{i + 1}": F.lit(float(v)) for i, v in enumerate(model.explainedVariance)}
-    return out.withColumns({f"pc{i + 1}": F.col("p__")[i] for i in range(k)} | shares).drop("raw__", "x__", "p__")
+    """df with pc1 ... pck, and explained1 ...: shares of variance. A component's sign makes its largest loading (the first of equals) positive."""
+    found = moments(df, [F.col(vector)])
+    if not found:
+        return df.withColumns({f"{name}{i + 1}": F.lit(None).cast("double") for i in range(k) for name in ("pc", "explained")})
+    _, mean, c = covariance(found["0"])
+    values, axes = np.linalg.eigh(c)
+    values, axes = values[::-1], axes[:, ::-1]
+    out = {}
+    for i in range(k):
+        w = axes[:, i] * np.sign(axes[np.argmax(np.round(np.abs(axes[:, i]), 9)), i])
+        out[f"pc{i + 1}"] = dot(F.col(vector), w) - float(w @ mean)
+        out[f"explained{i + 1}"] = F.lit(float(values[i] / values.sum()))
+    return df.withColumns(out)
+
+
+def dot(vector: Column, weights: np.ndarray) -> Column:
+    w = F.array(*[F.lit(float(x)) for x in weights])
+    return F.aggregate(F.zip_with(vector, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def least_squares(m: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept for the last column of `moments` from the others; the penalty is `ridge` times each weight squared times its column's variance."""
+    _, mean, c = covariance(m)
+    a = c[:-1, :-1] + ridge * np.diag(np.diag(c)[:-1])
+    a[np.diag_indices_from(a)] += np.diag(a) == 0  # a constant column gets weight 0
+    w = np.linalg.lstsq(a, c[:-1, -1], rcond=None)[0]
+    return w, float(mean[-1] - w @ mean[:-1])
 
 
 def score_regression(train: DataFrame, test: DataFrame, vector: str = "feature", target: str = "gt", ridge: float = 0.1) -> DataFrame:
-    """test with `prediction`: squared loss on train's vectors, clipped to [0, 1]."""
-    fit = LinearRegression(featuresCol="x__", labelCol=target, predictionCol="raw__", regParam=ridge).fit(train.withColumn("x__", as_vector(F.col(vector))))
-    return fit.transform(test.withColumn("x__", as_vector(F.col(vector)))).withColumn("prediction", clip01(F.col("raw__"))).drop("x__", "raw__")
+    """test with `prediction`: squared loss on train's vectors, by normal equations, clipped to [0, 1]."""
+    w, b = least_squares(moments(train, [F.col(vector), F.col(target)])["0"], ridge)
+    return test.withColumn("prediction", clip01(dot(F.col(vector), w) + F.lit(b)))
+
+
+def cross_validate(df: DataFrame, split: str, vector: str = "feature", target: str = "gt", ridge: float = 0.1) -> DataFrame:
+    """df with `prediction` from the rows of all other splits: one aggregation gives every split's sums, and a training set's are the total less the split's own.
+
+    Splits are few; their models are small rows that are joined by split.
+    """
+    sums = moments(df, [F.col(vector), F.col(target)], F.col(split))
+    total = sum(sums.values())
+    models = [(key, *least_squares(total - own, ridge)) for key, own in sums.items() if len(sums) > 1]
+    rows = df.sparkSession.createDataFrame([(key, w.tolist(), b) for key, w, b in models], "split__ string, w__ array<double>, b__ double")
+    j = df.join(F.broadcast(rows), F.col(split).cast("string") == F.col("split__"))  # a row a split
+    value = F.aggregate(F.zip_with(vector, "w__", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) + F.col("b__")
+    return j.withColumn("prediction", clip01(value)).drop("split__", "w__", "b__")
 
 
 def preference_fit(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", ridge: float = 0.01) -> list[float]:

@@ -299,12 +299,30 @@ def background_relevance(spark, sf):
     return d.select("video_id", "idx", r6(F.col("d") / F.avg("d").over(video())).alias("relevance"))
 
 
-@query("pca_project")
+def axis_sql(matrix: str, out: str) -> str:
+    """The first axis of a covariance matrix (one row m, a list of rows): the matrix is squared again and again, and any of its columns is the axis then. w, its variance, and the matrix without it."""
+    return f""", {out}_p AS (WITH RECURSIVE q AS (SELECT 0 AS k, m FROM {matrix} UNION ALL SELECT k + 1, list_transform(n, lambda r: list_transform(n, lambda s: list_dot_product(r, s))) FROM (SELECT k, list_transform(m, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(m, lambda s, i: s[i])))) AS n FROM q WHERE k < 26)) SELECT m FROM q WHERE k = 26),
+{out}_c AS (SELECT m[list_position(list_transform(m, lambda r, i: r[i]), list_max(list_transform(m, lambda r, i: r[i])))] AS c FROM {out}_p), {out}_u AS (SELECT list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM {out}_c),
+{out}_w AS (SELECT list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: round(abs(y), 9)), list_max(list_transform(u, lambda y: round(abs(y), 9))))])) AS w FROM {out}_u),
+{out}_l AS (SELECT o.w, list_dot_product(o.w, list_transform(g.m, lambda r: list_dot_product(r, o.w))) AS l, g.m FROM {out}_w o, {matrix} g),
+{out} AS (SELECT w, l, list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * w[i] * w[j])) AS m FROM {out}_l)
+"""
+
+
+@query(
+    "pca_project", "frame_features",
+    """, v AS (SELECT video_id, idx, CAST(feature AS DOUBLE[]) AS x FROM frame_features), mn AS (SELECT i, avg(x[i]) AS m FROM v, range(1, 65) t(i) GROUP BY 1), ml AS (SELECT list(m ORDER BY i) AS mean FROM mn),
+cv AS (SELECT i, j, avg((x[i] - mean[i]) * (x[j] - mean[j])) AS c FROM v, ml, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2), rw AS (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY 1), m0 AS (SELECT list(r ORDER BY i) AS m FROM rw)"""
+    + axis_sql("m0", "a1") + axis_sql("a1", "a2")
+    + """, tr AS (SELECT list_sum(list_transform(m, lambda r, i: r[i])) AS t FROM m0)
+SELECT video_id, idx, round(list_dot_product(x, a1.w) - list_dot_product(mean, a1.w), 5) AS pc1, round(list_dot_product(x, a2.w) - list_dot_product(mean, a2.w), 5) AS pc2, round(a1.l / t, 6) AS explained1, round(a2.l / t, 6) AS explained2 FROM v, ml, a1, a2, tr""",
+)
 def pca_project(spark, sf):
-    """Rows only: two principal components of the vectors (signs are free)."""
+    """Two principal components of the vectors, and their shares of the variance."""
     from tideline.operators.models import pca
 
-    return pca(frame_features(spark, sf), "feature", 2).select("video_id", "idx", "pc1", "pc2")
+    d = pca(frame_features(spark, sf), "feature", 2)
+    return d.select("video_id", "idx", *[F.round(c, 5).alias(c) for c in ("pc1", "pc2")], *[r6(c).alias(c) for c in ("explained1", "explained2")])
 
 
 @query("shot_mean_score", "shots frames", "SELECT s.video_id, shot_id, CAST(max(end_f) - min(start_f) + 1 AS INT) AS length, round(avg(score), 6) AS mean FROM shots s JOIN frames f ON f.video_id = s.video_id AND f.idx BETWEEN start_f AND end_f GROUP BY 1, 2")

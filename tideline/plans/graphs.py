@@ -64,16 +64,23 @@ def bfs_sample(spark, sf):
     return G.bfs_sample(G.both_ways(e), seeds(spark, sf), 12)
 
 
-def ranks(spark, sf, **settings):
-    n = frame_features(spark, sf)
-    return G.personalized_pagerank(G.row_normalise(G.both_ways(graph(spark, sf)), n, "none"), seeds(spark, sf), n, **settings)
-
-
-@query("personalized_pagerank")
-@query("personalized_pagerank_sample")
+#: Two hundred rounds of the power iteration; every node has a row, if only by an edge of weight 0 to itself.
+RANKED = (
+    EDGES + ", sd AS (SELECT video_id, idx, 1.0 / count(*) OVER (PARTITION BY video_id) AS r FROM frame_features WHERE idx IN (3, 20)), nd AS (SELECT f.video_id, f.idx, coalesce(sd.r, 0) AS r FROM frame_features f LEFT JOIN sd USING (video_id, idx) WHERE f.video_id IN (SELECT video_id FROM sd)),"
+    " tz AS (SELECT * FROM tn UNION ALL SELECT video_id, idx, idx, 0.0 FROM nd), fw AS (SELECT tz.video_id, src, dst, tz.w, nd.r FROM tz JOIN nd ON nd.video_id = tz.video_id AND nd.idx = tz.dst),"
+    " pr AS (WITH RECURSIVE q AS (SELECT 0 AS k, video_id, idx, r AS p FROM nd UNION ALL SELECT q.k + 1, q.video_id, fw.dst, 0.85 * sum(fw.w * q.p) + 0.15 * any_value(fw.r) FROM q JOIN fw ON fw.video_id = q.video_id AND fw.src = q.idx WHERE q.k < 200 GROUP BY q.k, q.video_id, fw.dst) SELECT * FROM q WHERE k = 200),"
+    " ot AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(p, 9) DESC, idx) AS rn FROM pr WHERE (video_id, idx) NOT IN (SELECT (video_id, idx) FROM sd))"
+    " SELECT video_id, idx FROM ot WHERE rn <= 10 UNION ALL SELECT video_id, idx FROM sd"
+)
+
+
+@query("personalized_pagerank", "frame_features", RANKED)
+@query("personalized_pagerank_sample", "frame_features", RANKED)
 def personalized_pagerank(spark, sf):
-    """Rows only: the seeds and the ten best other nodes, with at most 100 rounds; ranks have settled when a video's change is below 1e-4 (the original's is 1e-4 a node)."""
-    return G.seeds_and_top(ranks(spark, sf, rounds=100, tolerance=1e-4), seeds(spark, sf), 10)
+    """The seeds and the ten best other nodes of each video, by settled ranks."""
+    n = frame_features(spark, sf)
+    ranks = G.personalized_pagerank(G.row_normalise(G.both_ways(graph(spark, sf)), n, "none"), seeds(spark, sf), n, tolerance=1e-12)
+    return G.seeds_and_top(ranks, seeds(spark, sf), 10)
 
 
 @query("seed_consensus_weights", "frame_features", EDGES + ", s AS (SELECT l.video_id, l.idx, coalesce(CASE WHEN idx % 3 = 0 THEN y0 END, avg(CASE WHEN idx % 3 = 0 THEN y0 END) OVER (PARTITION BY video_id)) AS s FROM lab l), c AS (SELECT tr.video_id, src AS idx, sum(w * s) AS c FROM tr JOIN s ON s.video_id = tr.video_id AND s.idx = tr.dst GROUP BY 1, 2) SELECT video_id, round(least(greatest(avg(CASE WHEN idx % 2 = 0 THEN c END) / avg(CASE WHEN idx % 2 = 1 THEN c END), 0.1), 5), 6) AS ratio FROM c GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Plug-ins and fitted models; rows-only checks."""
+"""Plug-ins and fitted models."""
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -44,10 +44,22 @@ def vectors(spark, sf):
     return f.withColumn("gt", F.least(F.greatest(0.5 + 2 * F.col("feature")[0].cast("double") + F.col("feature")[1].cast("double"), F.lit(0.0)), F.lit(1.0)))
 
 
-@query("score_regression")
+#: Sums of products by split; for each split the rest's covariances and their solution by elimination (the matrix is positive definite); its model on its own rows.
+FITS = """, v AS (SELECT video_id, idx, feature AS x, video_id % 5 AS split, least(greatest(0.5 + 2 * CAST(feature[1] AS DOUBLE) + CAST(feature[2] AS DOUBLE), 0), 1) AS gt FROM frame_features),
+z AS (SELECT split, list_concat([1.0], CAST(x AS DOUBLE[]), [gt]) AS z FROM v), ij AS (SELECT i, j FROM range(1, 67) a(i), range(1, 67) b(j)),
+own AS (SELECT split, i, j, sum(z[i] * z[j]) AS s FROM z, ij GROUP BY 1, 2, 3), al AS (SELECT i, j, sum(s) AS s FROM own GROUP BY 1, 2), rs AS (SELECT split, i, j, al.s - own.s AS s FROM own JOIN al USING (i, j)),
+fr AS (SELECT split, i AS k, s FROM rs WHERE j = 1), cv AS (SELECT r.split, r.i, r.j, r.s / n.s - a.s / n.s * b.s / n.s AS c FROM rs r JOIN fr n ON n.split = r.split AND n.k = 1 JOIN fr a ON a.split = r.split AND a.k = r.i JOIN fr b ON b.split = r.split AND b.k = r.j WHERE r.i > 1 AND r.j > 1),
+ro AS (SELECT split, i, list(CASE WHEN i = j THEN 1.1 * c ELSE c END ORDER BY j) AS r FROM cv WHERE i < 66 GROUP BY 1, 2), mt AS (SELECT split, list(r ORDER BY i) AS m FROM ro GROUP BY 1),
+el AS (WITH RECURSIVE e AS (SELECT split, 1 AS k, m FROM mt UNION ALL SELECT split, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k]) ELSE list_transform(list_zip(r, m[k]), lambda y: y[1] - r[k] / m[k][k] * y[2]) END) FROM e WHERE k <= 64) SELECT split, list_transform(m, lambda r: r[65]) AS w FROM e WHERE k = 65),
+md AS (SELECT el.split, w, mean[65] - list_dot_product(w, mean[1:64]) AS b FROM el JOIN (SELECT f.split, list(f.s / n.s ORDER BY f.k) AS mean FROM fr f JOIN fr n ON n.split = f.split AND n.k = 1 WHERE f.k > 1 GROUP BY 1) USING (split)),
+pd AS (SELECT video_id, idx, v.split, gt, least(greatest(list_dot_product(CAST(x AS DOUBLE[]), w) + b, 0), 1) AS p FROM v JOIN md USING (split))
+"""
+
+
+@query("score_regression", "frame_features", FITS + "SELECT video_id, idx, round(gt, 6) AS gt, round(p, 6) AS prediction FROM pd WHERE split = 0")
 def score_regression(spark, sf):
     v = vectors(spark, sf)
-    return M.score_regression(v.where("video_id % 5 <> 0"), v.where("video_id % 5 = 0")).select("video_id", "idx", "gt", "prediction")
+    return M.score_regression(v.where("video_id % 5 <> 0"), v.where("video_id % 5 = 0")).select("video_id", "idx", r6("gt").alias("gt"), r6("prediction").alias("prediction"))
 
 
 def preference_pairs(v):
@@ -62,13 +74,15 @@ def pairwise_preference_fit(spark, sf):
     return v.where("video_id % 5 = 0").select("video_id", "idx", "gt", M.linear_score(F.col("feature"), w).alias("score"))
 
 
-@query("cross_validation_run")
+@query(
+    "cross_validation_run", "frame_features",
+    FITS + """, rk AS (SELECT split, video_id, rank() OVER (PARTITION BY video_id ORDER BY round(p, 9)) + (count(*) OVER (PARTITION BY video_id, round(p, 9)) - 1) / 2.0 AS a, rank() OVER (PARTITION BY video_id ORDER BY round(gt, 9)) + (count(*) OVER (PARTITION BY video_id, round(gt, 9)) - 1) / 2.0 AS b FROM pd),
+rh AS (SELECT split, video_id, corr(a, b) AS rho FROM rk GROUP BY 1, 2), one AS (SELECT split, avg(rho) AS rho, count(*) AS n FROM rh GROUP BY 1) SELECT CAST(split AS INT) AS split, round(rho, 6) AS rho, n FROM one UNION ALL SELECT NULL, round(avg(rho), 6), CAST(sum(n) AS BIGINT) FROM one""",
+)
 def cross_validation_run(spark, sf):
-    """One fit a split; the test rows of all splits are one table, and the metrics one job."""
-    v = vectors(spark, sf).withColumn("split", F.col("video_id") % 5)
-    parts = [M.score_regression(v.where(F.col("split") != k), v.where(F.col("split") == k)) for k in range(5)]
-    tests = parts[0]
-    for p in parts[1:]:
-        tests = tests.unionByName(p)
-    one = E.spearman(tests.withColumnRenamed("split", "s"), ["s", "video_id"], "prediction", "gt").groupBy("s").agg(F.avg("rho").alias("rho"), F.count("*").alias("n"))
-    return one.select(F.col("s").alias("split"), "rho", "n").unionByName(one.agg(F.lit(None).cast("int").alias("split"), F.avg("rho").alias("rho"), F.sum("n").alias("n")))
+    """Five splits in one aggregation and five small solves; the mean rank correlation of each split's videos, and the mean of splits."""
+    v = vectors(spark, sf).withColumn("split", (F.col("video_id") % 5).cast("int"))
+    tests = M.cross_validate(v, "split").select("split", "video_id", F.round("prediction", 9).alias("p"), F.round("gt", 9).alias("gt"))
+    one = E.spearman(tests, ["split", "video_id"], "p", "gt").groupBy("split").agg(F.avg("rho").alias("rho"), F.count("*").alias("n"))
+    both = one.unionByName(one.agg(F.lit(None).cast("int").alias("split"), F.avg("rho").alias("rho"), F.sum("n").alias("n")))
+    return both.select("split", r6("rho").alias("rho"), "n")
