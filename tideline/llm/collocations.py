@@ -4,7 +4,8 @@ A text's pieces (between marks of punctuation and line ends) are runs of words;
 a suffix pointer. Everything is counted by language. Three passes over the texts:
 
 1. Words are counted, exactly, by their text. From here on a word is a 64-bit key of its language and bytes.
-2. Pairs of neighbours that are frequent words are counted by 48 bits of their key: never too low, and what is too high is settled in pass 3.
+2. Pairs of neighbours that are frequent words are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is too high
+   is settled in pass 3.
 3. A suffix is cut where its next pair isn't frequent: no frequent phrase reaches beyond. Suffixes of two words or more are routed by their leading two, so all
    of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most. A partition of equal words
    is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
@@ -115,9 +116,13 @@ def joined_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _bytes.mix(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
-def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """48 bits: fewer to shuffle, and enough to tell most pairs of a very large table apart."""
-    return joined_keys(a, b) >> np.uint64(16)
+def pair_bits(n: int) -> int:
+    """Bits of a pair's key, for n words in all: few are to be shuffled, and pairs that share them are to be rare."""
+    return min(max(n.bit_length() + 6, 16), 56)
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return joined_keys(a, b) >> np.uint64(64 - bits)
 
 
 class Filter:
@@ -139,7 +144,7 @@ class Filter:
         return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & mask == mask
 
 
-def _count_pairs(words):
+def _count_pairs(words, bits: int):
     """key, n of a slice's distinct pairs of words that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +152,13 @@ def _count_pairs(words):
             for _, _, _, key, goes_on, _, _ in _words(batch):
                 good = words.value(key)
                 at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-                pairs, n = np.unique(pair_keys(key[at], key[at + 1]), return_counts=True)
+                pairs, n = np.unique(pair_keys(key[at], key[at + 1], bits), return_counts=True)
                 yield pa.record_batch({"key": pa.array(pairs.view(np.int64)), "n": pa.array(n)})
 
     return run
 
 
-def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
+def _suffixes(pairs, bits: int, hot: np.ndarray | None, buckets: int):
     """bucket, hot, w1 to w5, n of a slice's distinct suffixes of two words or more, cut where a pair doesn't pass the filter (0: no word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,7 @@ def _suffixes(pairs, hot: np.ndarray | None, buckets: int):
             for _, _, _, key, goes_on, _, _ in _words(batch):
                 n = len(key)
                 pair = np.zeros(n, np.uint64)
-                pair[:-1] = pair_keys(key[:-1], key[1:])
+                pair[:-1] = _bytes.mix(pair_keys(key[:-1], key[1:], bits))
                 linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
                 linked[: n - 1] = goes_on[1:]
                 linked[:n] &= pairs.value(pair)
@@ -253,14 +258,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
     shared = _shared(spark, vocabulary.select("key"))
-    pairs = cut(docs.mapInArrow(_count_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    bits = pair_bits(languages.agg(F.sum("n")).first()[0] or 0)
+    pairs = docs.mapInArrow(_count_pairs(shared, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    spread = F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())
+    pairs = cut(pairs.select(spread("key").alias("key"), "n"))
 
     places, n_hot = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT_ROWS, 1))).first()
     hot = None if n_hot > HOT_PAIRS else pairs.where(F.col("n") > HOT_ROWS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     buckets = int(places // BUCKET_ROWS) + 1
     shared = _shared(spark, pairs.select("key"))
     columns = ", ".join(f"w{k + 1} long" for k in range(DEPTH))
-    routed = docs.mapInArrow(_suffixes(shared, hot, buckets), f"bucket int, hot boolean, {columns}, n long")
+    routed = docs.mapInArrow(_suffixes(shared, bits, hot, buckets), f"bucket int, hot boolean, {columns}, n long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     longer = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(least), "words array<long>, n long")
     longer = longer.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
