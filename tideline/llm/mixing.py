@@ -7,17 +7,20 @@ which one aggregation makes from all documents, and every step is a grouped sum
 
 Rates become whole copies by cumulative rounding in order of size: the copies of all documents up to a size differ from the
 sum of their rates by half a copy at most. Which documents of equal size get the extra copy goes by a hash of the id, dealt over
-salted groups so that no group of equal documents meets in one task. What is left of a source's target is met, as well as whole
-documents allow, by giving or taking one copy of the documents of one size, as many as fit the gap best, a few times.
+salted groups so that no group of equal documents meets in one task. What is left of a source's target is met by giving or taking copies: again and again the move that
+brings the source closest is made, of all that give or take some copies of one size or exchange one copy for one of another size, until none brings it closer; where more than a word
+is left, one copy of each size is also tried both ways with others making up for it. So what is left is at most half of the smallest document that could still be given (or taken), and
+less wherever sizes differ by little.
 
 A null source is a source, the last one; null and empty texts have size 0 and take nothing; equal rows, and rows without an id, are
 told apart by a number in their own group, so each row has copies of its own. Long texts are counted whole. An empty table gives an empty result; extra columns are ignored
-by `mix` and kept by `repeat`. Reruns agree: nothing depends on partitions or order. A source's distinct sizes meet in one task (windows in `rates` and `copies`);
+by `mix` and kept by `repeat`. Reruns agree: nothing depends on partitions or order. A source's distinct sizes meet in one task (`rates` and `copies`);
 their number is bounded by the longest text and not by the rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ def targets(by_source: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
     s = cut(place.select("k", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(cap)).alias("c")).withColumn("at", F.col("c") / F.col("w")))
     total = share * (s.agg(F.sum("source_size")).first()[0] or 0)
     level = 0.0
-    for _ in range(200):  # each round fixes the sources that are full at the level so far
+    while True:  # each round fixes the sources that are full at the level so far, one more at least, and ends otherwise
         full, open_w = s.agg(F.coalesce(F.sum(F.when(F.col("at") <= level, F.col("c"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("at") > level, F.col("w"))), F.lit(0.0))).first()
         new = (total - full) / open_w if open_w else level
         if not open_w or new <= level * (1 + 1e-12):
@@ -99,36 +102,101 @@ def rates(cells: DataFrame, target: DataFrame, cap: float = 2.0, steps: int = 80
         now = cut(g.select("k", F.when(done, F.col("l")).otherwise(step).alias("l"), lo.alias("lo"), hi.alias("hi"), done.alias("done")))
         if now.where("not done").isEmpty():
             break
+    else:
+        raise RuntimeError("rates did not settle")  # a bracket is halved at worst, so this is a bug
     rate = F.when(F.col("full"), F.lit(cap)).otherwise(_rate(cap))
     return c.join(now, "k").select("k", "size", "n", "target", rate.alias("rate"))
 
 
-def copies(cells: DataFrame, cap: int = 2, repairs: int = 6) -> DataFrame:
+def _filled(size: np.ndarray, room: np.ndarray, words: float, but: int) -> tuple[float, list[tuple[int, int]]]:
+    """What is left of `words` after taking sizes from the longest down, as many of each as fit, without size number `but`; and (size number, copies)."""
+    used, k = [], len(size)
+    while words > 0:
+        k = min(k - 1, int(np.searchsorted(size, words, "right")) - 1)
+        if k < 0:
+            break
+        t = int(min(room[k], words // size[k])) if k != but else 0
+        if t:
+            used.append((k, t))
+            words -= t * float(size[k])
+    return words, used
+
+
+def _long_moves(size: np.ndarray, n: np.ndarray, held: np.ndarray, gap: float, cap: int) -> np.ndarray | None:
+    """`held` after giving or taking one copy of some size and making up for it by others, if that comes closer to the target."""
+    best, change = abs(gap) - 1e-9, None
+    for sign, first in ((1, held < cap * n), (-1, held > 0)):
+        for k in np.flatnonzero(first):
+            after = gap - sign * float(size[k])
+            way = 1 if after > 0 else -1
+            room = cap * n - held if way > 0 else held
+            some = np.flatnonzero(room > 0)
+            left, used = _filled(size[some], room[some], abs(after), int(np.searchsorted(some, k)) if room[k] else -1)
+            if left < best:
+                best, change = left, [(k, sign), *((some[j], way * t) for j, t in used)]
+    if change is None:
+        return None
+    out = held.copy()
+    for k, t in change:
+        out[k] += t
+    return out
+
+
+def close_gap(size: np.ndarray, n: np.ndarray, held: np.ndarray, gap: float, cap: int) -> np.ndarray:
+    """`held` (copies of all documents of each size, sizes distinct and ascending) after the moves that bring `gap` (words that are missing) closest to 0.
+
+    Every document holds 0 to cap copies. A move gives or takes some copies of one size, or exchanges one copy for another; the best one is made until none helps. If
+    more than a word is missing then, one copy of each size is tried both ways, with the others making up for it.
+    """
+    held = held.copy()
+    while gap != 0:
+        room = cap * n - held if gap > 0 else held
+        t = np.minimum(room, np.maximum(np.rint(abs(gap) / size), 1)).astype(np.int64)
+        left = np.where(t > 0, np.abs(abs(gap) - t * size), np.inf)
+        best = int(np.argmin(left))
+        moves = [(left[best], 0, best, best)]
+        give, take = np.flatnonzero(held < cap * n), np.flatnonzero(held > 0)
+        if len(give) and len(take):  # of each size to give, the size to take that fits best
+            want = size[give] - gap
+            at = np.searchsorted(size[take], want)
+            for k in (np.maximum(at - 1, 0), np.minimum(at, len(take) - 1)):
+                off = np.abs(size[take[k]] - want)
+                i = int(np.argmin(off))
+                moves.append((off[i], 1, int(give[i]), int(take[k[i]])))
+        off, kind, a, b = min(moves)
+        if not off < abs(gap) - 1e-9:
+            longer = _long_moves(size, n, held, gap, cap) if abs(gap) > 1 else None
+            if longer is None:
+                break
+            gap -= float(size @ (longer - held))
+            held = longer
+        elif kind:
+            held[a] += 1
+            held[b] -= 1
+            gap -= float(size[a] - size[b])
+        else:
+            step = int(t[a]) if gap > 0 else -int(t[a])
+            held[a] += step
+            gap -= float(step * size[a])
+    return held
+
+
+def copies(cells: DataFrame, cap: int = 2) -> DataFrame:
     """cells (k, size, n, target, rate) with base and extra: every document gets base copies, `extra` of the n one more."""
     up = Window.partitionBy("k").orderBy("size")
     c = cells.withColumn("base", F.floor("rate")).withColumn("part", F.col("n") * (F.col("rate") - F.floor("rate")))
     c = c.withColumn("sum", F.sum("part").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     c = c.withColumn("extra", F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("part") + 0.5))
     c = c.withColumn("extra", F.least(F.greatest("extra", F.lit(0)), F.col("n")).cast("long"))
-    whole = Window.partitionBy("k")
-    for _ in range(repairs):
-        full = F.col("extra") == F.col("n")  # every document has the extra copy
-        c = c.withColumn("base", F.when(full, F.col("base") + 1).otherwise(F.col("base"))).withColumn("extra", F.when(full, 0).otherwise(F.col("extra")))
-        c = cut(c.select("k", "size", "n", "target", "base", "extra"))
-        got = c.withColumn("gap", F.col("target") - F.sum(F.col("size") * (F.col("base") * F.col("n") + F.col("extra"))).over(whole))
-        give = F.when(F.col("base") < cap, F.col("n") - F.col("extra")).otherwise(0)
-        take = F.when(F.col("extra") > 0, F.col("extra")).when(F.col("base") > 0, F.col("n")).otherwise(0)
-        room = F.when(F.col("gap") > 0, give).otherwise(take)
-        got = got.withColumn("t", F.least(room, F.greatest(F.round(F.abs("gap") / F.col("size")), F.lit(1))).cast("long"))
-        left = F.abs(F.abs("gap") - F.col("t") * F.col("size"))
-        got = got.withColumn("left", F.when((F.col("t") > 0) & (left < F.abs("gap")), left))
-        best = F.min(F.when(F.col("left").isNotNull(), F.struct("left", "t", "size"))).over(whole)
-        got = got.withColumn("hit", (best["size"] == F.col("size")) & F.col("left").isNotNull())
-        step = F.when(F.col("hit"), F.when(F.col("gap") > 0, F.col("t")).otherwise(-F.col("t"))).otherwise(0)
-        c = got.withColumn("extra", F.col("extra") + step)
-        under = F.col("extra") < 0  # a cell where every document has base copies gives one of them back
-        c = c.withColumn("base", F.when(under, F.col("base") - 1).otherwise(F.col("base"))).withColumn("extra", F.when(under, F.col("extra") + F.col("n")).otherwise(F.col("extra")))
-    return c.select("k", "size", "base", "extra")
+
+    def close(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("size")
+        size, n, held = (t[x].to_numpy() for x in ("size", "n", "held"))
+        held = close_gap(size, n, held, t["target"][0].as_py() - float(size @ held), cap)
+        return pa.table({"k": t["k"], "size": size, "base": held // n, "extra": held % n})
+
+    held = c.select("k", "size", F.col("n").cast("long").alias("n"), "target", (F.col("base") * F.col("n") + F.col("extra")).cast("long").alias("held"))
+    return held.groupBy("k").applyInArrow(close, "k string, size long, base long, extra long")
 
 
 def quotas(rows: DataFrame, share: float, cap: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:

@@ -2,15 +2,16 @@
 
 A message's lines carry a quote level: how many quote marks they start with (blanks between marks allowed). Neighbouring lines of one level are a
 passage; level 0 is what the author wrote. A passage's normalised text (lower case, letters and digits only) is hashed, and so is each of its lines. A quoted passage is linked
-to the earliest message of the same conversation, before the quoting one, whose own text holds a passage or a line with that hash; where the whole is found in none, to the
-earliest message that holds its first line found in an earlier message. The message replies to the one that its first linked passage quotes, at the lowest level, and without
+to the earliest message of the same conversation, before the quoting one, whose own text has it as a whole passage. Where there is none, its lines vote: of the earlier messages the one that
+holds most of them, then the one with the rarest line, then the earliest. Lines that stand in more than COMMON messages of the conversation (greetings, signatures) have no vote; if no
+other line is found, the earliest message decides that holds the first such line. The message replies to the one that its first linked passage quotes, at the lowest level, and without
 a link to the message before it. Messages without links go on a strand; a message with a link starts a strand
 at the message that it quotes. Reply order walks the strands: a message, the strands that start at it, then the next message of its own strand.
 A sort key has one step a quote that leads to its strand, so its length follows the depth of quoting and not the length of a conversation.
 
 Null and empty texts are messages without passages. Repeated turns are told apart by a number in order of text; extra columns are ignored. A quote that
-matches nothing is removed all the same. Messages without a conversation (null conv_id) are cleaned like others, never linked, each a conversation of its own. Messages only link within their conversation, so a frequent passage can't grow a join beyond it, and a
-passage that repeats in one conversation is one row (its earliest message) before the join.
+matches nothing is removed all the same. Long texts are read whole, and an empty table gives no rows. Messages without a conversation (null conv_id) are cleaned like others, never linked, each a conversation of its own. Messages only link within their conversation, so a frequent passage can't grow a join beyond it, and a
+passage that repeats in one conversation is one row (its earliest message) before the join; a line with a vote meets COMMON messages at most.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tideline.llm._common import cut, table
 #: Fixed value: the marks at the start of a quoted line.
 MARKS = "^(?:[ \\t]*>)+"
 PATH_STEP = 7
+#: Messages of a conversation that hold a line, beyond which it says nothing about its origin.
+COMMON = 8
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -56,14 +59,19 @@ def number_messages(conversations: DataFrame) -> DataFrame:
 def reply_links(messages: DataFrame, parts: DataFrame) -> DataFrame:
     """conv_id, msg, parent, linked: the message that each one answers (null: none before it)."""
     own = parts.where((F.col("level") == 0) & (F.col("plain") != ""))
-    # a quote may hold a whole own passage or some of its lines
-    lines = hashed_lines(own, "conv_id", "msg").drop("at")
-    # every message that holds a passage, earliest first; a quote takes the earliest before it, which is the earliest of all if there is one
-    first = own.select("conv_id", "hash", "msg").union(lines.select("conv_id", "hash", "msg")).groupBy("conv_id", "hash").agg(F.min("msg").alias("origin"))
     quotes = parts.where((F.col("level") > 0) & (F.col("plain") != ""))
-    # the whole run is tried before its lines, -1 being its place among them
-    tried = quotes.select("conv_id", "msg", "place", "level", F.lit(-1).alias("at"), "hash").union(hashed_lines(quotes, "conv_id", "msg", "place", "level"))
-    hits = tried.join(first, ["conv_id", "hash"]).where("origin < msg").groupBy("conv_id", "msg", "place", "level").agg(F.min(F.struct("at", "origin"))["origin"].alias("origin"))
+    run, first = ("conv_id", "msg", "place", "level"), F.min("msg").alias("origin")
+    # a whole passage: the earliest before the quote is the earliest of all, if there is one
+    whole = quotes.select(*run, "hash").join(own.groupBy("conv_id", "hash").agg(first), ["conv_id", "hash"]).where("origin < msg").select(*run, F.lit(0).alias("rule"), F.lit(0).alias("a"), F.lit(0).alias("b"), "origin")
+    # lines: those of few messages vote for all of these, others stand for the earliest
+    held = hashed_lines(own, "conv_id", "msg").select("conv_id", "hash", "msg").distinct()
+    use = held.groupBy("conv_id", "hash").agg(F.count("*").alias("n"), first)
+    asked = hashed_lines(quotes, *run).groupBy(*run, "hash").agg(F.min("at").alias("at"))
+    rare = held.join(use.where(F.col("n") <= COMMON).select("conv_id", "hash", "n"), ["conv_id", "hash"]).withColumnRenamed("msg", "origin")
+    votes = asked.join(rare, ["conv_id", "hash"]).where("origin < msg").groupBy(*run, "origin").agg((-F.count("*")).alias("a"), F.min("n").alias("b"))
+    common = asked.join(use.where(F.col("n") > COMMON), ["conv_id", "hash"]).where("origin < msg").select(*run, F.lit(2).alias("rule"), F.col("at").alias("a"), F.lit(0).alias("b"), "origin")
+    found = whole.unionByName(votes.withColumn("rule", F.lit(1))).unionByName(common)
+    hits = found.groupBy(*run).agg(F.min(F.struct("rule", "a", "b", "origin"))["origin"].alias("origin"))
     best = hits.groupBy("conv_id", "msg").agg(F.min(F.struct("level", "place", "origin")).alias("b"), F.count("*").alias("n_linked"))
     out = messages.select("conv_id", "msg").join(best.select("conv_id", "msg", F.col("b.origin").alias("origin"), "n_linked"), ["conv_id", "msg"], "left")
     before = F.when(F.col("msg") > 0, F.col("msg") - 1)
