@@ -129,3 +129,10 @@ def test_partitioning_does_not_matter(spark):
     d = spark.createDataFrame(rows, "video_id long, idx int, t double, score double")
     results = [{tuple(r) for r in T.threshold_segments(d.repartition(n), threshold=0.6).collect()} for n in (1, 8)]
     assert results[0] == results[1] and results[0]
+
+
+def test_the_peak_moves_into_what_is_left(spark):
+    """Of a clip that loses the part with its peak, the peak moves to the nearest end of the rest."""
+    d = spark.createDataFrame([(1, 10.0, 20.0, 12.0, 0.9), (1, 8.0, 30.0, 13.0, 0.8)], "video_id long, start double, end double, peak double, score double")
+    got = [tuple(r) for r in S.greedy_clip_selection(d, gap=-1.0).orderBy("start").select("start", "end", "peak").collect()]
+    assert got == [(10.0, 20.0, 12.0), (20.0, 30.0, 20.0)]

@@ -37,19 +37,19 @@ def summary_mask(spark, sf):
 # one ranked clip a step: parts that earlier clips leave free, the widest of them, and what the budget allows of it
 PLACED = """, worth AS (SELECT *, max(frame_score) OVER (PARTITION BY video_id) AS best FROM clips),
 rk AS (SELECT video_id, start, "end", peak, frame_score AS score, row_number() OVER (PARTITION BY video_id ORDER BY round(frame_score, 9) DESC, start, peak) AS rn FROM worth WHERE frame_score >= 0.35 * best),
-pl AS (WITH RECURSIVE s AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[]) AS taken, CAST(30 AS DOUBLE) AS room, false AS stopped, false AS ok, CAST(NULL AS DOUBLE) AS b, CAST(NULL AS DOUBLE) AS e, CAST(NULL AS DOUBLE) AS peak, CAST(NULL AS DOUBLE) AS score FROM rk UNION ALL
+pl AS (WITH RECURSIVE s AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(s DOUBLE, e DOUBLE)[]) AS taken, CAST(20 AS DOUBLE) AS room, false AS stopped, false AS ok, CAST(NULL AS DOUBLE) AS b, CAST(NULL AS DOUBLE) AS e, CAST(NULL AS DOUBLE) AS peak, CAST(NULL AS DOUBLE) AS score FROM rk UNION ALL
 SELECT video_id, rn, CASE WHEN ok THEN list_append(taken, {'s': nb, 'e': ne}) ELSE taken END, CASE WHEN ok THEN room - (ne - nb) ELSE room END, stopped, ok, nb, ne, peak, score FROM (
-SELECT *, w >= 2 AND NOT stopped AS ok, CASE WHEN w > room THEN least(greatest(peak - room / 2, part.b), part.e - room) ELSE part.b END AS nb, CASE WHEN w > room THEN least(greatest(peak - room / 2, part.b), part.e - room) + room ELSE part.e END AS ne FROM (
-SELECT *, part.e - part.b AS w, part.e - part.b >= 2 AND part.e - part.b > room AND room < 2 AS stopped FROM (
+SELECT *, w >= 1.5 AND NOT stopped AS ok, CASE WHEN w > room THEN least(greatest(peak - room / 2, part.b), part.e - room) ELSE part.b END AS nb, CASE WHEN w > room THEN least(greatest(peak - room / 2, part.b), part.e - room) + room ELSE part.e END AS ne FROM (
+SELECT * REPLACE (least(greatest(peak, part.b), part.e) AS peak), part.e - part.b AS w, part.e - part.b >= 1.5 AND part.e - part.b > room AND room < 1.5 AS stopped FROM (
 SELECT video_id, rn, taken, room, peak, score, list_filter(parts, lambda x: x.e - x.b = list_max(list_transform(parts, lambda y: y.e - y.b)))[1] AS part FROM (
 SELECT s.video_id, r.rn, s.taken, s.room, r.peak, r.score, list_transform(list_zip(list_concat([-1e18], list_sort(list_transform(s.taken, lambda x: x.e))), list_concat(list_sort(list_transform(s.taken, lambda x: x.s)), [1e18])), lambda g: {'b': greatest(g[1], r.start), 'e': least(g[2], r."end")}) AS parts
-FROM s JOIN rk r ON r.video_id = s.video_id AND r.rn = s.rn + 1 WHERE NOT s.stopped AND len(s.taken) < 8 AND s.room > 0) a) b) c) d) SELECT video_id, b AS s, e, peak, score FROM s WHERE ok)
+FROM s JOIN rk r ON r.video_id = s.video_id AND r.rn = s.rn + 1 WHERE NOT s.stopped AND len(s.taken) < 6 AND s.room > 0) a) b) c) d) SELECT video_id, b AS s, e, peak, score FROM s WHERE ok)
 """
 
 
 @query("greedy_clip_selection", "frames", GROWN + PLACED + merge_sql("m", "pl", 0.5, ", arg_max(peak, round(score, 9) - s * 1e-12) AS peak, sum(score * (e - s)) / sum(e - s) AS score, CAST(count(*) AS INT) AS merged") + 'SELECT video_id, round(s, 6) AS start, round(e, 6) AS "end", round(peak, 6) AS peak, round(score, 6) AS score, merged FROM m')
 def greedy_clip_selection(spark, sf):
-    """Clips of each video under a budget of 30 seconds."""
+    """Clips of each video under a budget of 20 seconds."""
     d = S.greedy_clip_selection(T.peak_grow(frames(spark, sf)).withColumnRenamed("frame_score", "score"))
     return d.select("video_id", *[r6(c).alias(c) for c in ("start", "end", "peak", "score")], "merged")
 
