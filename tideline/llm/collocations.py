@@ -41,6 +41,8 @@ PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SLICE_BYTES = 1 << 22
 #: Rows of a bucket; a pair with more places than HOT_ROWS is dealt to several buckets. Hot pairs that a task is told of: beyond so many, every pair counts as hot.
 BUCKET_ROWS, HOT_ROWS, HOT_PAIRS = 400_000, 200_000, 1_000_000
+#: Words of the table for each range of pair keys; a range is summed at once.
+PAIR_RANGE = 50_000
 #: 64-bit words of a filter: so many at most (32 MB).
 FILTER_WORDS = 1 << 22
 
@@ -144,8 +146,17 @@ class Filter:
         return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & mask == mask
 
 
-def _count_pairs(words, bits: int):
-    """key, n of a slice's distinct pairs of words that pass the filter."""
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers with their lowest bytes first, then the next ones, and so on: what is small leaves runs of zeros, which a shuffle's compression takes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _count_pairs(words, bits: int, ranges: int):
+    """bucket, keys, n of a slice's distinct pairs of words that pass the filter: a row for each range of keys, with the differences of neighbouring keys, and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +164,30 @@ def _count_pairs(words, bits: int):
                 good = words.value(key)
                 at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
                 pairs, n = np.unique(pair_keys(key[at], key[at + 1], bits), return_counts=True)
-                yield pa.record_batch({"key": pa.array(pairs.view(np.int64)), "n": pa.array(n)})
+                bucket = (pairs >> np.uint64(bits - ranges.bit_length() + 1)).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+                step = np.diff(pairs, prepend=np.uint64(0))
+                step[begin] = pairs[begin]
+                cuts = [*begin.tolist(), len(pairs)]
+                yield pa.record_batch({
+                    "bucket": pa.array(bucket[begin]), "keys": pa.array([_packed(step[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()), "n": pa.array([_packed(n[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                })
+
+    return run
+
+
+def _sum_pairs(least: int):
+    """key, n of the keys of each range that have `least` places, from the rows of `_count_pairs` sorted by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, "bucket"):
+            key = np.concatenate([np.cumsum(_unpacked(k)) for k in t["keys"].to_pylist()])
+            n = np.concatenate([_unpacked(k) for k in t["n"].to_pylist()]).astype(np.int64)
+            order = np.argsort(key)
+            key = key[order]
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            n = np.add.reduceat(n[order], begin)
+            yield pa.record_batch({"key": pa.array(key[begin][n >= least].view(np.int64)), "n": pa.array(n[n >= least])})
 
     return run
 
@@ -258,8 +292,11 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
     shared = _shared(spark, vocabulary.select("key"))
-    bits = pair_bits(languages.agg(F.sum("n")).first()[0] or 0)
-    pairs = docs.mapInArrow(_count_pairs(shared, bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    n_words = languages.agg(F.sum("n")).first()[0] or 0
+    bits = pair_bits(n_words)
+    ranges = 1 << max((n_words // PAIR_RANGE).bit_length(), 6)
+    sent = docs.mapInArrow(_count_pairs(shared, bits, ranges), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    pairs = sent.mapInArrow(_sum_pairs(least), "key long, n long")
     spread = F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())
     pairs = cut(pairs.select(spread("key").alias("key"), "n"))
 
