@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a random-projection tree forest with spill.
 
 Vectors are compared within a label. Each tree splits a label's vectors again and again along a random direction, where few vectors lie, between the
-quartiles; vectors near the cut go to both sides. What goes to both sides is bounded: over all levels of a tree a vector is in `copies` leaves on average
-at most, whatever the depth, and many trees make up for what a cut still separates. A node whose vectors lie too close to be cut apart (a group of near copies) stays a leaf.
+quartiles; vectors near the cut go to both sides, near being measured by how far apart two vectors at the threshold lie along a direction of the given dimension. What goes to both
+sides is bounded: over all levels of a tree a vector is in about `copies` leaves on average, whatever the depth, and many trees make up for what a cut still separates. Only a node that
+is a group of near copies, because much of its sample links, stays a leaf. A label that no tree splits has one tree.
 
 Trees are fitted on a bounded sample of each label (`sample`, by hash), and every vector is sent down every tree. Below the depth that the sample
 supports, a leaf's further splits share one direction a level, with the medians of the leaf's own sample, as deep as the label's full count asks for;
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from tideline.llm._common import by_key, components, cut, small_batches, table
 
-#: Half-width about a cut within which vectors go to both sides, where the bound on copies allows it: near duplicates seldom lie farther apart along a direction.
-WIDTH = 0.03
-#: A node of which a larger share than this lies about the best cut isn't cut.
-DENSE = 0.35
+#: Half-width about a cut within which vectors go to both sides, where the bound on copies allows it: in units of the spread of a linking pair's difference along a direction.
+WIDTH = 1.2
+#: A node is a group of near copies, and isn't cut, if this share of the pairs of its sample links. So many rows are looked at.
+LINKED, LOOKED_AT = 0.3, 192
 #: Rows that are sent down next to one copy of their label's forest.
 ROWS_A_FOREST = 32_768
 
@@ -46,45 +47,56 @@ def _directions(seed: tuple[int, ...], dim: int) -> np.ndarray:
 class Tree:
     """Splits (direction by number, cut, half-width of the spill) fitted on a sample; node k has children 2k and 2k + 1."""
 
-    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, copies: float):
-        self.seed, self.dim = seed, x.shape[1]
+    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, copies: float, cosine: float):
+        self.seed, self.dim, self.cosine = seed, x.shape[1], cosine
         self.cuts: dict[int, tuple[int, float, float]] = {}
         self.extra: dict[int, list[tuple[int, float, float]]] = {}
         levels = max(np.log2(max(n / leaf, 1)), 1)
         self.share = copies ** (1 / levels) - 1  # of a node's vectors, how many may go to both sides
+        #: vectors at the threshold differ by this much along a direction (one standard deviation): the wider a cut's spill, the fewer of their pairs are parted
+        self.width = WIDTH * np.sqrt(max(2 - 2 * cosine, 0) / self.dim)
         ratio = n / max(len(x), 1)
         todo = [(1, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
-            if len(rows) * ratio <= leaf or node >= 1 << 40:
+            if len(rows) * ratio <= leaf or node >= 1 << 40 or self._linked(x[rows]):
                 continue
             if len(rows) < 32:  # the sample ends here: shared directions, medians of what there is
                 deeper = int(np.ceil(np.log2(len(rows) * ratio / leaf))) if len(rows) > 4 else 0
-                self.extra[node] = [s for level in range(deeper) if (s := self._split(x[rows], 0, level, few=True))]
+                self.extra[node] = [s for level in range(deeper) if (s := self._few(x[rows], level))]
                 continue
-            split = next((s for k in range(3) if (s := self._split(x[rows], 1, node * 4 + k))), None)
-            if split is None:  # too close to be cut apart
+            split = min((self._split(x[rows], node * 4 + k) for k in range(3)), key=lambda s: s[0])
+            self.cuts[node] = split[1:]
+            p = x[rows] @ self.direction(1, split[1])
+            sides = rows[p < split[2] + split[3]], rows[p >= split[2] - split[3]]
+            if max(map(len, sides)) == len(rows):  # nothing is parted: vectors that are all but equal
+                del self.cuts[node]
                 continue
-            self.cuts[node] = split
-            p = x[rows] @ self.direction(1, split[0])
-            todo += [(2 * node, rows[p < split[1] + split[2]]), (2 * node + 1, rows[p >= split[1] - split[2]])]
+            todo += [(2 * node, sides[0]), (2 * node + 1, sides[1])]
 
     def direction(self, kind: int, number: int) -> np.ndarray:
         return _directions((*self.seed, kind, number), self.dim)
 
-    def _split(self, x: np.ndarray, kind: int, number: int, few: bool = False) -> tuple[int, float, float] | None:
-        """Number of the direction, cut and half-width; none if too many vectors lie about every cut."""
-        p = np.sort(x @ self.direction(kind, number))
-        if few:
-            at = float(np.median(p))
-            return (number, at, WIDTH * self.share) if p[-1] - p[0] > 2 * WIDTH else None
+    def _linked(self, x: np.ndarray) -> bool:
+        """Whether the node is a group of near copies: comparing all of it is the work that its links take anyway."""
+        some = x[:: max(len(x) // LOOKED_AT, 1)][:LOOKED_AT]
+        n = len(some)
+        return n > 4 and np.count_nonzero(some @ some.T >= self.cosine) - n >= LINKED * n * (n - 1)
+
+    def _split(self, x: np.ndarray, number: int) -> tuple[float, int, float, float]:
+        """Share of vectors about the cut, number of the direction, cut and half-width: the cut where fewest vectors lie, between the quartiles."""
+        p = np.sort(x @ self.direction(1, number))
         at = np.linspace(p[len(p) // 4], p[3 * len(p) // 4], 33)
-        about = (np.searchsorted(p, at + WIDTH) - np.searchsorted(p, at - WIDTH)) / len(p)
+        about = (np.searchsorted(p, at + self.width) - np.searchsorted(p, at - self.width)) / len(p)
         best = int(np.argmin(about + 1e-3 * np.abs(np.arange(33) - 16)))  # near the median among equals
-        if about[best] > DENSE:
-            return None
         apart = np.sort(np.abs(p - at[best]))
-        return number, float(at[best]), min(WIDTH, float(apart[min(int(self.share * len(p)), len(p) - 1)]))
+        return float(about[best]), number, float(at[best]), min(self.width, float(apart[min(int(self.share * len(p)), len(p) - 1)]))
+
+    def _few(self, x: np.ndarray, level: int) -> tuple[int, float, float] | None:
+        """A cut at the median of few vectors along a level's direction; the spill's share of vectors is read from their quartiles."""
+        p = np.sort(x @ self.direction(0, level))
+        spread = float(p[3 * len(p) // 4] - p[len(p) // 4])
+        return (level, float(np.median(p)), min(self.width, self.share * spread)) if spread > 0 else None
 
     def leaves(self, x: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """(rows, leaf number) of every leaf that rows of x reach."""
@@ -113,11 +125,16 @@ def _unit(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _grow(trees: int, leaf: int, copies: float, seed: int):
+def _grow(trees: int, leaf: int, copies: float, seed: int, cosine: float):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         x, n = _unit(t["v"].combine_chunks()), t["n"][0].as_py()
         group = key[0].as_py()
-        fitted = [Tree(x, n, (seed, k, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF), leaf, copies) for k in range(trees)]
+        fitted: list[Tree] = []
+        for k in range(trees):
+            fitted.append(Tree(x, n, (seed, k, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF), leaf, copies, cosine))
+            if not fitted[-1].cuts and not fitted[-1].extra:  # one leaf: another tree would compare the same pairs
+                fitted = fitted[-1:]
+                break
         return pa.table({"g": pa.array([group], pa.int64()), "forest": pa.array([pickle.dumps(fitted)], pa.binary())})
 
     return run
@@ -209,7 +226,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, le
 
     # Fit: a bounded number of classes a group.
     picked = classes.select("g", "cls", "v").join(counts, "g").where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 60)) < F.lit(float(sample) * (1 << 60)) / F.col("n"))
-    forests = cut(picked.select("g", "v", "n").groupBy("g").applyInArrow(_grow(trees, leaf, copies, seed), "g long, forest binary"))
+    forests = cut(picked.select("g", "v", "n").groupBy("g").applyInArrow(_grow(trees, leaf, copies, seed, cosine), "g long, forest binary"))
 
     # Send every class down its group's trees, in salted runs next to a copy of the forest.
     salts = counts.select("g", F.ceil(F.col("n") / ROWS_A_FOREST).cast("int").alias("salts"))
