@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,34 +85,119 @@ def similarity_edges(features: DataFrame, window: int, quantile: float | None =
 def tolerance_match(probe: DataFrame, build: DataFrame, tolerance: int) -> DataFrame:
     """probe_id, build_id: one-to-one matches of probe (probe_id, length) and build (build_id, length) with |difference| <= tolerance.
 
-    Probes in order of id take the lowest free candidate. A bucketed equi-join finds candidates; buckets of neighbouring lengths
-    that could compete are one group, and the order is replayed inside the group, whose build side the tolerance keeps small. Only as many probes
-    as a group has candidates can match, and they are its lowest ones a length, so the rest never reaches the group.
+    The same as when probes in order of id take the lowest free candidate each. In a round every length's first free probe proposes to the lowest free candidate that it
+    reaches; a candidate accepts the lowest of all free probes that reach it, if that one proposes to it. Nobody before that probe can want the candidate, so the match is final. A
+    round takes grouped minima by length; the first pair of all always matches, so rounds end, and lengths that don't reach each other go on side by side. Only as many probes of a length as there are
+    candidates within its reach can match, its lowest ones; the rest never takes part.
+    """
+    from tideline.operators.graph import cut_lineage
+
+    reach = lambda c: F.explode(F.sequence(F.col(c) - tolerance, F.col(c) + tolerance))
+    builds = cut_lineage(build.select("build_id", F.col("length").cast("long").alias("length")).where("build_id is not null and length is not null"))
+    near = builds.groupBy("length").agg(F.count("*").alias("n")).select(reach("length").alias("length"), "n").groupBy("length").agg(F.sum("n").alias("size"))
+    known = probe.select("probe_id", F.col("length").cast("long").alias("length")).where("probe_id is not null")
+    ranked = known.join(near, "length").withColumn("r", F.row_number().over(Window.partitionBy("length").orderBy("probe_id")))
+    probes = cut_lineage(ranked.where("r <= size").select("probe_id", "length"))
+    done = None
+    while True:
+        low = probes.groupBy("length").agg(F.min("probe_id").alias("probe_id"))
+        offers = builds.groupBy("length").agg(F.min("build_id").alias("build_id")).select(reach("length").alias("length"), "build_id").groupBy("length").agg(F.min("build_id").alias("build_id"))
+        proposed = low.join(offers, "length").select("probe_id", "build_id")
+        asked = proposed.select("build_id").distinct().join(builds, "build_id").select("build_id", reach("length").alias("length"))
+        first = asked.join(low, "length").groupBy("build_id").agg(F.min("probe_id").alias("probe_id"))
+        new = cut_lineage(proposed.join(first, ["build_id", "probe_id"]).select("probe_id", "build_id"))
+        if new.isEmpty():
+            return (new if done is None else done).select(F.col("probe_id").cast("long"), F.col("build_id").cast("long"))
+        done = new if done is None else cut_lineage(done.union(new))
+        probes = cut_lineage(probes.join(new, "probe_id", "left_anti"))
+        builds = cut_lineage(builds.join(new, "build_id", "left_anti"))
+
+
+def angle(a: Column, b: Column) -> Column:
+    return F.acos(F.least(F.greatest(cosine(a, b), F.lit(-1.0)), F.lit(1.0)))
+
+
+def similar_pairs(features: DataFrame, least: float) -> DataFrame:
+    """video_id, i, j, w, i < j: all pairs of a video with a cosine w > least, of those that `pivot_pairs` leaves."""
+    return pivot_pairs(features, least).select("video_id", "i", "j", cosine(F.col("x"), F.col("y")).alias("w")).where(F.col("w") > least)
+
+
+def pivot_pairs(features: DataFrame, least: float) -> DataFrame:
+    """video_id, i, j, x, y, i < j: pairs of a video's vectors that may have a cosine > least; none that has is missing.
+
+    Three vectors of a video are pivots: the one of least idx, the farthest from it, and the farthest from both. Angles obey the triangle inequality, so a pair within the angle of
+    `least` differs by no more than that in its angle to any pivot. Cells of that width by the first two pivots meet their neighbours only, and what the third pivot
+    rules out never has its product taken. Vectors of length 0 have no cosine and are left out.
+    """
+    reach = math.acos(max(min(least, 1.0), -1.0)) + 1e-9
+    f = features.where(F.exists("feature", lambda x: x != 0)).select("video_id", "idx", "feature")
+    first = f.groupBy("video_id").agg(F.min_by("feature", "idx").alias("p1"))
+    d = f.join(first, "video_id").withColumn("a1", angle(F.col("feature"), F.col("p1")))
+    d = d.join(d.groupBy("video_id").agg(F.max_by("feature", F.struct(F.round("a1", 9), "idx")).alias("p2")), "video_id").withColumn("a2", angle(F.col("feature"), F.col("p2")))
+    third = d.groupBy("video_id").agg(F.max_by("feature", F.struct(F.round(F.least("a1", "a2"), 9), "idx")).alias("p3"))
+    d = d.join(third, "video_id").withColumn("a3", angle(F.col("feature"), F.col("p3"))).select("video_id", "idx", "feature", "a1", "a2", "a3")
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    x = d.select("video_id", F.col("idx").alias("i"), F.col("feature").alias("x"), *[F.col(f"a{k}").alias(f"x{k}") for k in (1, 2, 3)], around("a1").alias("c1")).withColumn("c2", F.explode(F.sequence(F.floor(F.col("x2") / reach) - 1, F.floor(F.col("x2") / reach) + 1)))
+    y = d.select("video_id", F.col("idx").alias("j"), F.col("feature").alias("y"), *[F.col(f"a{k}").alias(f"y{k}") for k in (1, 2, 3)], cell("a1").alias("c1"), cell("a2").alias("c2"))
+    near = [F.abs(F.col(f"x{k}") - F.col(f"y{k}")) <= reach for k in (1, 2, 3)]
+    return x.join(y, ["video_id", "c1", "c2"]).where("i < j").where(near[0] & near[1] & near[2]).select("video_id", "i", "j", "x", "y")
+
+
+def unit_number(*keys: str | Column, seed: int) -> Column:
+    """A number in [0, 1) from a hash of the keys."""
+    return F.conv(F.substring(seeded(*keys, seed=seed), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def _last_at(rows: DataFrame, at: str, keep: list[str], asks: DataFrame, x: str) -> DataFrame:
+    """asks with the columns `keep` of its video's last row whose `at` is at most x: both sorted together once."""
+    a = rows.select("video_id", F.col(at).cast("double").alias("at__"), F.lit(0).alias("kind__"), F.struct(*keep).alias("row__"))
+    b = asks.select("video_id", F.col(x).cast("double").alias("at__"), F.lit(1).alias("kind__"), F.struct(*asks.columns).alias("ask__"))
+    both = a.withColumn("ask__", F.lit(None).cast(b.schema["ask__"].dataType)).unionByName(b.withColumn("row__", F.lit(None).cast(a.schema["row__"].dataType)))
+    # of rows at one place the last in order of `keep`, then those who ask
+    back = Window.partitionBy("video_id").orderBy("at__", "kind__", "row__").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("row__", F.last("row__", ignorenulls=True).over(back)).where("kind__ = 1")
+    return found.select("ask__.*", *[F.col(f"row__.{c}").alias(c) for c in keep])
+
+
+def draw_valleys(peaks: DataFrame, valleys: DataFrame, seed: int) -> DataFrame:
+    """video_id, peak, valley: for each peak (video_id, peak, score) one valley (video_id, valley, score), with probability in proportion to how far it lies below.
+
+    Every valley has to lie below every peak of its video. The weight is linear in the score: what a peak has above the highest valley counts for all valleys alike, the rest
+    doesn't depend on the peak. So a first number decides which part draws, and a second one is looked up, among valleys in order of score, by number or in their running
+    sums. No peak meets more than one valley.
+    """
+    by = Window.partitionBy("video_id").orderBy(F.desc("score"), "valley")
+    v = valleys.withColumn("top", F.max("score").over(Window.partitionBy("video_id"))).withColumn("below", F.col("top") - F.col("score"))
+    v = v.select("video_id", "valley", "top", "below", (F.row_number().over(by) - 1).alias("k"), (F.sum("below").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("below")).alias("start"))
+    n = v.groupBy("video_id").agg(F.count("*").alias("n"), F.max("top").alias("top"), F.sum("below").alias("sum"))
+    p = peaks.join(n, "video_id").withColumn("alike", F.col("n") * (F.col("score") - F.col("top")))
+    p = p.withColumn("whole", unit_number("video_id", "peak", seed=seed) * (F.col("alike") + F.col("sum")) < F.col("alike")).withColumn("u", unit_number("video_id", "peak", F.lit("v"), seed=seed))
+    some = p.where("whole").withColumn("k", F.floor(F.col("u") * F.col("n")).cast("int")).join(v.select("video_id", "k", "valley"), ["video_id", "k"]).select("video_id", "peak", "valley")
+    far = p.where("not whole").select("video_id", "peak", (F.col("u") * F.col("sum")).alias("x"))
+    return some.unionByName(_last_at(v.where("below > 0"), "start", ["valley"], far, "x").select("video_id", "peak", "valley"))
+
+
+def draw_margin_pairs(rows: DataFrame, margin: float, most: int, seed: int, hard_chosen: float = 0.7, hard_score: float = 0.6, hard_rejected: float = 0.2) -> DataFrame:
+    """video_id, i, j: up to `most` pairs of a video's rows (video_id, idx, gt, score) with gt_j <= gt_i - margin, or hard negatives (gt_i > hard_chosen, score_j > hard_score, gt_j < hard_rejected).
+
+    Pairs are numbered, not listed: with rows in order of gt, row i's partners by margin are the first c_i of all rows, and its further hard ones are neighbours among
+    the hard rows. So c_i and the count of these number all N pairs. A video with more than `most` draws one number in each of `most` stretches of equal length of [0, N); a number gives i by a look-up in
+    the running sums, and j by its place.
     """
-    import pandas as pd
-
-    b = build.select(F.col("build_id"), F.col("length").alias("b_len"))
-    runs = Window.orderBy("b_len")  # over distinct build lengths, a short list
-    lens = b.groupBy("b_len").agg(F.count("*").alias("n")).withColumn("new", F.coalesce((F.col("b_len") - F.lag("b_len").over(runs) > 2 * tolerance).cast("int"), F.lit(1)))
-    lens = lens.withColumn("run", F.sum("new").over(runs.rowsBetween(Window.unboundedPreceding, 0))).withColumn("size", F.sum("n").over(Window.partitionBy("run")))
-    near = lens.select("run", "size", F.explode(F.sequence(F.col("b_len") - tolerance, F.col("b_len") + tolerance)).alias("length")).distinct()
-    p = probe.join(near, "length").withColumn("r", F.row_number().over(Window.partitionBy("run", "length").orderBy("probe_id"))).where("r <= size")
-    rows = p.select("run", F.lit(0).alias("side"), F.col("probe_id").alias("id"), "length").union(b.join(lens.select("b_len", "run"), "b_len").select("run", F.lit(1), "build_id", "b_len"))
-
-    def assign(g: pd.DataFrame) -> pd.DataFrame:
-        free = g[g.side == 1].sort_values("id")[["id", "length"]].values.tolist()
-        out = []
-        for i, n in g[g.side == 0].sort_values("id")[["id", "length"]].values.tolist():
-            hit = next((c for c in free if abs(c[1] - n) <= tolerance), None)
-            if hit:
-                free.remove(hit)
-                out.append((i, hit[0]))
-        return pd.DataFrame(out, columns=["probe_id", "build_id"])
-
-    return rows.groupBy("run").applyInPandas(assign, "probe_id long, build_id long")
-
-
-def exponential_race(rows: DataFrame, keys: list[str], item: str, weight: str, seed: int) -> DataFrame:
-    """One item of each group, drawn with probability in proportion to weight: the smallest -ln(u) / weight, u from a hash of the ids."""
-    u = (F.conv(F.substring(seeded(*keys, item, seed=seed), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
-    return rows.groupBy(*keys).agg(F.min_by(item, -F.log(u) / F.col(weight)).alias(item))
+    gt, place = Window.partitionBy("video_id").orderBy("gt"), Window.partitionBy("video_id").orderBy("gt", "idx")
+    hard = F.expr(f"gt < {hard_rejected} and score > {hard_score}")
+    d = rows.select("video_id", "idx", F.col("gt").cast("double").alias("gt"), "score").where("gt is not null").withColumn("hard", F.coalesce(hard, F.lit(False)).cast("int"))
+    upto = lambda what: F.expr(f"{what} over (partition by video_id order by gt range between unbounded preceding and cast({margin} as double) preceding)")
+    d = d.withColumns({"c": upto("count(*)"), "h": F.coalesce(upto("sum(hard)"), F.lit(0)), "hards": F.sum("hard").over(Window.partitionBy("video_id"))})
+    d = d.withColumn("more", F.when(F.col("gt") > hard_chosen, F.col("hards") - F.col("h")).otherwise(0)).withColumn("n", F.col("c") + F.col("more"))
+    run = F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumns({"start": run - F.col("n"), "k": F.row_number().over(place) - 1, "hk": F.sum("hard").over(place.rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    total = d.groupBy("video_id").agg(F.sum("n").alias("N")).where("N > 0")
+    t = total.select("video_id", "N", F.least("N", F.lit(most)).alias("m")).select("video_id", "N", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("t"))
+    low, high = F.expr("t * N div m"), F.expr("(t + 1) * N div m")
+    numbers = t.select("video_id", (low + F.floor(unit_number("video_id", "t", seed=seed) * (high - low))).alias("p"))
+    got = _last_at(d.where("n > 0"), "start", ["start", "idx", "c", "h"], numbers, "p").withColumn("o", F.col("p") - F.col("start"))
+    plain = got.where("o < c").join(d.select("video_id", F.col("k").alias("o"), F.col("idx").alias("j")), ["video_id", "o"])
+    rest = got.where("o >= c").withColumn("hk", F.col("h") + F.col("o") - F.col("c")).join(d.where("hard = 1").select("video_id", "hk", F.col("idx").alias("j")), ["video_id", "hk"])
+    return plain.select("video_id", F.col("idx").alias("i"), "j").unionByName(rest.select("video_id", F.col("idx").alias("i"), "j"))

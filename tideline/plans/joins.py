@@ -101,31 +101,30 @@ def overlap_fraction_semi(spark, sf):
     return j.select("video_id", "s", (F.coalesce("o", F.lit(0.0)) >= 0.5 * (F.col("e") - F.col("s"))).alias("checked"))
 
 
-def mined_pairs(f, margin, most):
-    """video_id, i, j: up to `most` pairs a video with a gap of at least `margin`, or hard negatives."""
-    a = f.select("video_id", F.col("idx").alias("i"), F.col("gt").alias("gi"))
-    b = f.select("video_id", F.col("idx").alias("j"), F.col("gt").alias("gj"), F.col("score").alias("sj"))
-    p = a.join(b, "video_id").where((F.col("gi") - F.col("gj") >= margin) | F.expr("gi > 0.7 and sj > 0.6 and gj < 0.2")).select("video_id", "i", "j")
-    return top_k(p, ["video_id"], [seeded("video_id", "i", "j", seed=7)], most)
-
-
-MINING = """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j FROM frames a JOIN frames b USING (video_id) WHERE a.gt - b.gt >= 0.3 UNION SELECT a.video_id, a.idx, b.idx FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2),
-r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY md5(concat_ws('|', video_id, i, j, '7'))) AS rn FROM p) SELECT video_id, i, j FROM r WHERE rn <= 1000"""
+#: All pairs, numbered in order of both sides' gt; the drawn numbers.
+MINING = """, p AS (SELECT a.video_id, a.idx AS i, b.idx AS j, a.gt AS ga, b.gt AS gb, CASE WHEN b.gt <= a.gt - 0.3 THEN 0 ELSE 1 END AS kind FROM frames a JOIN frames b USING (video_id) WHERE b.gt <= a.gt - 0.3 OR (a.gt > 0.7 AND b.score > 0.6 AND b.gt < 0.2)),
+q AS (SELECT video_id, i, j, row_number() OVER (PARTITION BY video_id ORDER BY ga, i, kind, gb, j) - 1 AS p, count(*) OVER (PARTITION BY video_id) AS n FROM p),
+t AS (SELECT video_id, n, m, unnest(range(m)) AS t FROM (SELECT DISTINCT video_id, n, least(n, 1000) AS m FROM q)), d AS (SELECT video_id, (t * n) // m + CAST(floor((CAST('0x' || substr(md5(concat_ws('|', video_id, t, '7')), 1, 8) AS BIGINT) / 4294967296.0) * (((t + 1) * n) // m - (t * n) // m)) AS BIGINT) AS p FROM t)
+SELECT video_id, i, j FROM q JOIN d USING (video_id, p)"""
 
 
 @query("margin_pair_mining", "frames", MINING)
 @query("margin_pair_mining_reference", "frames", MINING)
 def margin_pair_mining(spark, sf):
-    return mined_pairs(frames(spark, sf), 0.3, 1000)
+    """Up to 1,000 pairs a video with a gap of 0.3, or hard negatives."""
+    return J.draw_margin_pairs(frames(spark, sf), 0.3, 1000, 7)
 
 
-@query("peak_valley_pairing", "frames", """, p AS (SELECT a.video_id, a.idx AS peak, b.idx AS valley, a.gt - b.gt AS gap FROM frames a JOIN frames b USING (video_id) WHERE a.gt > 0.8 AND b.gt < 0.3),
-r AS (SELECT *, -ln((CAST('0x' || substr(md5(concat_ws('|', video_id, peak, valley, '5')), 1, 8) AS BIGINT) + 1) / 4294967297.0) / gap AS o FROM p) SELECT video_id, peak, arg_min(valley, o) AS valley FROM r GROUP BY 1, 2""")
+@query("peak_valley_pairing", "frames", """, v AS (SELECT *, top - gt AS below, row_number() OVER w - 1 AS k, sum(top - gt) OVER w - (top - gt) AS start FROM (SELECT video_id, idx AS valley, gt, max(gt) OVER (PARTITION BY video_id) AS top FROM frames WHERE gt < 0.3) x WINDOW w AS (PARTITION BY video_id ORDER BY gt DESC, valley)),
+n AS (SELECT video_id, count(*) AS n, max(top) AS top, sum(below) AS s FROM v GROUP BY 1),
+p AS (SELECT f.video_id, f.idx AS peak, n, s, n * (gt - top) AS alike, CAST('0x' || substr(md5(concat_ws('|', f.video_id, idx, '5')), 1, 8) AS BIGINT) / 4294967296.0 AS u, CAST('0x' || substr(md5(concat_ws('|', f.video_id, idx, 'v', '5')), 1, 8) AS BIGINT) / 4294967296.0 AS u2 FROM frames f JOIN n ON n.video_id = f.video_id WHERE gt > 0.8)
+SELECT p.video_id, peak, valley FROM p JOIN v ON v.video_id = p.video_id AND k = CAST(floor(u2 * n) AS INT) WHERE u * (alike + s) < alike
+UNION ALL SELECT p.video_id, peak, arg_max(valley, start) FROM p JOIN v ON v.video_id = p.video_id AND below > 0 AND start <= u2 * s WHERE NOT u * (alike + s) < alike GROUP BY 1, 2""")
 def peak_valley_pairing(spark, sf):
+    """One valley a peak, in proportion to the gap."""
     f = frames(spark, sf)
-    a = f.where("gt > 0.8").select("video_id", F.col("idx").alias("peak"), F.col("gt").alias("ga"))
-    b = f.where("gt < 0.3").select("video_id", F.col("idx").alias("valley"), F.col("gt").alias("gb"))
-    return J.exponential_race(a.join(b, "video_id").withColumn("gap", F.col("ga") - F.col("gb")), ["video_id", "peak"], "valley", "gap", 5)
+    peaks = f.where("gt > 0.8").select("video_id", F.col("idx").alias("peak"), F.col("gt").alias("score"))
+    return J.draw_valleys(peaks, f.where("gt < 0.3").select("video_id", F.col("idx").alias("valley"), F.col("gt").alias("score")), 5)
 
 
 POOL = """, n AS (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id), c AS (SELECT video_id, CAST(floor(idx / 8) AS INT) AS clip, avg(gt) AS m FROM frames JOIN n USING (video_id) WHERE floor(idx / 8) * 8 < n - 8 GROUP BY 1, 2),
@@ -148,10 +147,7 @@ def windowed_similarity_edges(spark, sf):
 
 @query("global_similarity_edges", "frame_features", ", e AS (SELECT a.video_id, a.idx AS i, b.idx AS j, " + COS.format(a="a.feature", b="b.feature") + " AS w FROM frame_features a JOIN frame_features b ON a.video_id = b.video_id AND b.idx > a.idx) SELECT video_id, i, j, round(least(w, 1), 6) AS w FROM e WHERE w > 0.3")
 def global_similarity_edges(spark, sf):
-    f = frame_features(spark, sf)
-    a, b = f.select("video_id", F.col("idx").alias("i"), F.col("feature").alias("x")), f.select("video_id", F.col("idx").alias("j"), F.col("feature").alias("y"))
-    e = a.join(b, "video_id").where("i < j").select("video_id", "i", "j", J.cosine(F.col("x"), F.col("y")).alias("w")).where("w > 0.3")
-    return e.select("video_id", "i", "j", r6(F.least("w", F.lit(1.0))).alias("w"))
+    return J.similar_pairs(frame_features(spark, sf), 0.3).select("video_id", "i", "j", r6(F.least("w", F.lit(1.0))).alias("w"))
 
 
 @query("step_aligned_join", "run_log", ", a AS (SELECT run, step, value FROM run_log), b AS (SELECT run + 1 AS run, step, value AS v2 FROM run_log), j AS (SELECT run, step, value, v2, row_number() OVER (PARTITION BY run ORDER BY step) AS rn, count(*) OVER (PARTITION BY run) AS n FROM a JOIN b USING (run, step)) SELECT run, step, value, v2 FROM j WHERE rn > 5 AND rn < n")
