@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +24,87 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column, hull: bool = False) -> C
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def temporal_nms(clips: DataFrame, score: Column, most: int = 12, overlap: float = 0.2, start: str = "start", end: str = "end") -> DataFrame:
-    """Best first, keep a clip whose hull IoU with all kept ones is at most `overlap`, until `most` are kept.
-
-    The fold runs inside a row: one array of a video's candidate clips, no Python.
+def overlapping(a: DataFrame, b: DataFrame, width: float = 16.0) -> DataFrame:
+    """Pairs of intervals of a video, a (s, e) and b (s2, e2), that share more than an end: an equi-join on cells of `width`, each pair in its first shared cell."""
+    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))).alias("cell")
+    j = a.select("*", cells("s", "e")).join(b.withColumnsRenamed({"s": "s2", "e": "e2"}).select("*", cells("s2", "e2")), ["video_id", "cell"])
+    return j.where((F.col("cell") == F.floor(F.greatest("s", "s2") / width)) & (F.least("e", "e2") > F.greatest("s", "s2"))).drop("cell")
+
+
+#: Clips of an island (a chain of clips that overlap) that are suppressed in one task; larger islands go by rounds.
+ISLAND = 2000
+
+
+def _best_first(overlap: float, start: str, end: str):
+    """Rows sorted by video, island and rank: of each island the clips that going through the ranks keeps."""
+
+    def kept(t: pa.Table, first: np.ndarray) -> pa.Table:
+        s, e = (t[c].to_numpy().astype(float) for c in (start, end))
+        stay = np.ones(len(s), bool)
+        for a, b in zip(first, np.r_[first[1:], len(s)]):
+            for k in range(a, b - 1):
+                if stay[k]:
+                    both = np.minimum(e[k + 1 : b], e[k]) - np.maximum(s[k + 1 : b], s[k])
+                    stay[k + 1 : b] &= ~(both > np.maximum(overlap * (np.maximum(e[k + 1 : b], e[k]) - np.minimum(s[k + 1 : b], s[k])), 0.0))
+        return t.filter(pa.array(stay))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            differ = [pc.fill_null(pc.not_equal(t[c].slice(1), t[c].slice(0, max(len(t) - 1, 0))), True).to_numpy() for c in ("video_id", "island__")]
+            first = np.flatnonzero(np.r_[np.ones(min(len(t), 1), bool), differ[0] | differ[1]])
+            if len(first) > 1:
+                yield from kept(t.slice(0, first[-1]), first[:-1]).to_batches()
+                t = t.slice(first[-1])
+            held = t
+        if held is not None and len(held):
+            yield from kept(held, np.array([0])).to_batches()
+
+    return run
+
+
+def _by_rounds(ranked: DataFrame, overlap: float, start: str, end: str, width: float) -> DataFrame:
+    """The same over pairs that overlap more: a clip that none of its open neighbours outranks is kept, and its neighbours go. A round is a few joins on what is left of the pairs."""
+    from tideline.operators.graph import cut_lineage
+
+    own = ranked.select("video_id", F.col("rank__").alias("r"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
+    both, hull = F.least("e", "e2") - F.greatest("s", "s2"), F.greatest("e", "e2") - F.least("s", "s2")
+    pairs = overlapping(own, own.withColumnRenamed("r", "r2"), width).where((F.col("r") < F.col("r2")) & (both > overlap * hull))
+    pairs = cut_lineage(pairs.select("video_id", "r", "r2"))  # the first one outranks the second
+    lost = None
+    while not pairs.isEmpty():
+        beaten = pairs.select("video_id", F.col("r2").alias("r")).distinct()
+        tops = pairs.join(beaten, ["video_id", "r"], "left_anti")
+        gone = cut_lineage(tops.select("video_id", F.col("r2").alias("r")).distinct())
+        lost = gone if lost is None else lost.union(gone)
+        left = pairs.join(beaten, ["video_id", "r"], "left_semi").join(gone, ["video_id", "r"], "left_anti")
+        pairs = cut_lineage(left.join(gone.withColumnRenamed("r", "r2"), ["video_id", "r2"], "left_anti").select("video_id", "r", "r2"))
+    return ranked if lost is None else ranked.join(lost.withColumnRenamed("r", "rank__"), ["video_id", "rank__"], "left_anti").select(ranked.columns)
+
+
+def temporal_nms(clips: DataFrame, score: Column, most: int = 12, overlap: float = 0.2, start: str = "start", end: str = "end", width: float = 16.0, island: int = ISLAND) -> DataFrame:
+    """Best first, keep a clip whose hull IoU with all kept ones is at most `overlap`, until `most` are kept. Ties go by the other columns, in their order.
+
+    Clips only bear on clips of their island, a chain of clips that overlap. An island is held at once; one of more than `island` clips is never gathered, it goes by
+    rounds over its overlapping pairs. The first `most` of a video that stay are taken at the end, which is where going through the ranks stops.
     """
-    rest = [c for c in clips.columns if c != "video_id"]
-    ordered = F.sort_array(F.collect_list(F.struct((-score).alias("o__"), *rest)))
-    g = clips.groupBy("video_id").agg(ordered.alias("c"))
+    from tideline.operators.graph import cut_lineage
 
-    def step(kept, x):
-        far = F.forall(kept, lambda k: iou(k[start], k[end], x[start], x[end], hull=True) <= overlap)
-        return F.when((F.size(kept) < most) & far, F.concat(kept, F.array(x))).otherwise(kept)
-
-    return g.select("video_id", F.explode(F.aggregate("c", F.slice("c", 1, 0), step)).alias("x")).select("video_id", *[F.col(f"x.{c}").alias(c) for c in rest])
+    rest = [c for c in clips.columns if c != "video_id"]
+    along = Window.partitionBy("video_id").orderBy(start, end)
+    before = F.max(end).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    d = clips.withColumn("rank__", F.row_number().over(Window.partitionBy("video_id").orderBy(score.desc(), *rest)))
+    d = d.withColumn("new__", F.coalesce((F.col(start) >= before).cast("int"), F.lit(1))).withColumn("island__", F.sum("new__").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("new__")
+    d = cut_lineage(d.withColumn("size__", F.count("*").over(Window.partitionBy("video_id", "island__"))))
+    small = d.where(F.col("size__") <= island).repartition("video_id").sortWithinPartitions("video_id", "island__", "rank__")
+    kept = small.mapInArrow(_best_first(overlap, start, end), d.schema)
+    large = d.where(F.col("size__") > island)
+    if not large.isEmpty():
+        kept = kept.unionByName(_by_rounds(large, overlap, start, end, width))
+    kept = kept.withColumn("n__", F.row_number().over(Window.partitionBy("video_id").orderBy("rank__"))).where(F.col("n__") <= most)
+    return kept.select("video_id", *rest)
 
 
 def lead_in(clips: DataFrame, seconds: float) -> DataFrame:

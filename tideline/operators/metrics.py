@@ -93,22 +93,28 @@ def ndcg(df: DataFrame, by: str, score: str, gain: str, k: int) -> DataFrame:
     return d.groupBy(by).agg(dcg("r").alias("d"), dcg("i").alias("i")).select(by, F.when(F.col("i") > 0, F.col("d") / F.col("i")).otherwise(0.0).alias("ndcg"))
 
 
-def event_f1(predicted: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
+def event_f1(predicted: DataFrame, true: DataFrame, threshold: float = 0.5, width: float = 16.0) -> DataFrame:
     """video_id, tp, n_pred, n_true, precision, recall, f1: events (video_id, rank, s, e) matched one-to-one, best-ranked prediction first, each with its best free event of IoU >= threshold.
 
-    The fold runs inside a row over a video's candidate matches. Both sides empty is 1, one side empty is 0.
+    Pairs meet by cells. In a round every free prediction proposes to its best free event, which accepts if no free prediction that reaches it ranks higher; such a match is final, as nobody
+    before could want the event. Both sides empty is 1, one side empty is 0.
     """
-    from tideline.operators.intervals import iou
-
-    j = predicted.join(true.select("video_id", F.col("s").alias("ts"), F.col("e").alias("te")), "video_id").withColumn("iou", iou(F.col("s"), F.col("e"), F.col("ts"), F.col("te"))).where(F.col("iou") >= threshold)
-    g = j.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("rank", (-F.round("iou", 9)).alias("o"), "ts"))).alias("c"))
-
-    def step(acc, x):
-        free = ~F.exists(acc, lambda k: (k["rank"] == x["rank"]) | (k["ts"] == x["ts"]))
-        return F.when(free, F.concat(acc, F.array(x))).otherwise(acc)
-
-    tp = g.select("video_id", F.size(F.aggregate("c", F.slice("c", 1, 0), step)).cast("long").alias("tp"))
-    n = predicted.groupBy("video_id").agg(F.count("*").alias("n_pred")).join(true.groupBy("video_id").agg(F.count("*").alias("n_true")), "video_id", "full").join(tp, "video_id", "left").fillna(0)
+    from tideline.operators.graph import cut_lineage
+    from tideline.operators.intervals import iou, overlapping
+
+    met = overlapping(predicted.select("video_id", "rank", "s", "e"), true.select("video_id", "s", "e"), width)
+    met = met.withColumn("iou", iou(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).where(F.col("iou") >= threshold)
+    free = cut_lineage(met.select("video_id", "rank", F.col("s2").alias("ts"), (-F.round("iou", 9)).alias("o")))
+    matched = None
+    while not free.isEmpty():
+        wish = free.groupBy("video_id", "rank").agg(F.min(F.struct("o", "ts"))["ts"].alias("ts"))
+        first = free.groupBy("video_id", "ts").agg(F.min("rank").alias("rank"))
+        new = cut_lineage(wish.join(first, ["video_id", "ts", "rank"]))
+        matched = new if matched is None else matched.unionByName(new)
+        free = cut_lineage(free.join(new, ["video_id", "rank"], "left_anti").join(new, ["video_id", "ts"], "left_anti"))
+    n = predicted.groupBy("video_id").agg(F.count("*").alias("n_pred")).join(true.groupBy("video_id").agg(F.count("*").alias("n_true")), "video_id", "full")
+    n = n.join(matched.groupBy("video_id").agg(F.count("*").alias("tp")), "video_id", "left") if matched is not None else n.withColumn("tp", F.lit(0).cast("long"))
+    n = n.fillna(0)
     p, r, f = f1(F.col("tp"), F.col("n_pred"), F.col("n_true"))
     return n.select("video_id", "tp", "n_pred", "n_true", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 

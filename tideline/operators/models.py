@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import clip01, sigmoid
@@ -133,19 +133,25 @@ def scorer_plugin(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.
     return df.mapInPandas(run, schema)
 
 
-def clip_verifier(clips: DataFrame, frames: DataFrame, score: Callable[[pd.DataFrame], float], k: int = 4, top: int = 8) -> DataFrame:
-    """clips (video_id, p, start, end, frame_score) with clip_score of the best `top` of each video, from k evenly spaced frames, and rank_score."""
+def clip_verifier(clips: DataFrame, frames: DataFrame, score: Callable[[pd.DataFrame], float], k: int = 4, top: int = 8, width: float = 12.0) -> DataFrame:
+    """clips (video_id, p, start, end, frame_score) with clip_score of the best `top` of each video, from k evenly spaced frames, and rank_score.
+
+    Frames meet clips by cells of `width`, and only the k frames of a clip reach the scoring function.
+    """
+    from tideline.operators.joins import range_join_points
     from tideline.operators.tables import top_k
 
     best = top_k(clips, ["video_id"], [F.round("frame_score", 9).desc(), F.asc("p")], top)
-    j = best.select("video_id", "p", "start", "end").join(frames, "video_id").where("t >= start and t < end")
+    j = range_join_points(frames, best.select("video_id", "p", "start", "end"), "t", "start", "end", width).where("t < end")
+    of_clip = Window.partitionBy("video_id", "p")
+    j = j.withColumns({"at__": F.row_number().over(of_clip.orderBy("idx")) - 1, "n__": F.count("*").over(of_clip)})
+    spaced = F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n__")) - 1), lambda i: F.rint(i * (F.col("n__") - 1) / F.greatest(F.least(F.lit(k), F.col("n__")) - 1, F.lit(1))).cast("int"))
+    picked = j.where(F.array_contains(spaced, F.col("at__"))).drop("at__", "n__")
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        rows = g.iloc[[round(i * (len(g) - 1) / max(k - 1, 1)) for i in range(min(k, len(g)))]]
-        return g[["video_id", "p"]].head(1).assign(clip_score=float(score(rows)))
+        return g[["video_id", "p"]].head(1).assign(clip_score=float(score(g.sort_values("idx"))))
 
     kind = dict(clips.dtypes)
-    scored = j.groupBy("video_id", "p").applyInPandas(one, f"video_id {kind['video_id']}, p {kind['p']}, clip_score double")
+    scored = picked.groupBy("video_id", "p").applyInPandas(one, f"video_id {kind['video_id']}, p {kind['p']}, clip_score double")
     out = clips.join(scored, ["video_id", "p"], "left")
     return out.withColumn("rank_score", F.coalesce(0.5 * F.col("frame_score") + 0.5 * F.col("clip_score"), F.col("frame_score")))

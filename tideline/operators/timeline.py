@@ -228,30 +228,27 @@ def peak_grow(df: DataFrame, value: str = "score", drop: float = 0.4, shortest:
     """Clips around peaks: as far as the normalised score stays at (1 - drop) of the peak, clamped in length, inside the video; mean score inside.
 
     A row lasts the video's median step. A clip longer than `longest` is cut around its peak whatever its ends, so only rows within twice that of a peak
-    matter: peaks meet them by cells of that length, in an equi-join.
+    matter: a window of that range holds them, in the shuffle that a curve has anyway.
     """
     low, high = F.min(value).over(video()), F.max(value).over(video())
-    d = df.select("video_id", "idx", "t", ((F.col(value) - low) / (high - low + 1e-8)).alias("x"), F.col(value).alias("v"), (F.col("t") - F.lag("t").over(curve())).alias("gap"))
+    d = df.select("video_id", "idx", F.col("t").cast("double").alias("t"), ((F.col(value) - low) / (high - low + 1e-8)).alias("x"), F.col(value).alias("v"), (F.col("t") - F.lag("t").over(curve())).alias("gap"))
     d = d.withColumns({"step": F.coalesce(F.percentile("gap", F.lit(0.5)).over(video()), F.lit(1.0)), "t0": F.min("t").over(video()), "last": F.max("t").over(video())})
-    reach = 2 * longest
-    cell = F.floor(F.col("t") / reach)
-    of_video = ["step", "t0", "last"]
-    p = local_maxima(d, "x").select("video_id", F.col("idx").alias("p"), F.col("t").alias("peak"), F.col("x").alias("px"), *of_video, F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
-    j = p.join(d.select("video_id", cell.alias("cell"), "t", "x", "v"), ["video_id", "cell"]).where(F.abs(F.col("t") - F.col("peak")) <= reach)
-    under = F.col("x") < (1 - drop) * F.col("px")
-    g = j.groupBy("video_id", "p", "peak", *of_video).agg(
-        F.max(F.when(under & (F.col("t") < F.col("peak")), F.col("t"))).alias("l"), F.min(F.when(under & (F.col("t") > F.col("peak")), F.col("t"))).alias("r"), F.sort_array(F.collect_list(F.struct("t", "v"))).alias("near")
-    )
+    reach = float(2 * longest)
+    around = f"over (partition by video_id order by t range between cast({reach} as double) preceding and cast({reach} as double) following)"
+    p = local_maxima(d.withColumn("near", F.expr(f"collect_list(struct(t, x, v)) {around}")), "x").withColumnsRenamed({"idx": "p", "t": "peak", "x": "px"})
+    low_t = F.transform(F.filter("near", lambda r: r["x"] < (1 - drop) * F.col("px")), lambda r: r["t"])
+    p = p.withColumn("low", low_t).withColumns({"l": F.array_max(F.filter("low", lambda t: t < F.col("peak"))), "r": F.array_min(F.filter("low", lambda t: t > F.col("peak")))})
     duration, far = F.col("last") + F.col("step"), F.col("peak") - reach
     a = F.when(F.col("l").isNotNull(), F.col("l") + F.col("step")).otherwise(F.greatest("t0", far))
     b = F.when(F.col("r").isNotNull(), F.col("r")).otherwise(F.when(F.col("last") <= F.col("peak") + reach, duration).otherwise(F.col("peak") + reach))
     half = F.least(F.greatest(b - a, F.lit(shortest)), F.lit(longest))
     start = F.when((b - a < shortest) | (b - a > longest), F.col("peak") - half / 2).otherwise(a)
     start = F.greatest(F.lit(0.0), F.least(start, duration - half))
-    c = g.select("video_id", "p", "peak", start.alias("start"), F.least(start + half, duration).alias("end"), "near")
+    c = p.select("video_id", "p", "peak", start.alias("start"), F.least(start + half, duration).alias("end"), "near")
     inside = F.filter("near", lambda x: (x["t"] >= F.col("start")) & (x["t"] < F.col("end")))
-    c = c.withColumn("near", inside).where(F.size("near") > 0)
-    return c.select("video_id", "p", "peak", "start", "end", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("near")).alias("frame_score"))
+    # no filter on what follows from `near`: pushed down, it would compute a clip's ends anew for each of its rows; a clip always holds its peak
+    total = F.aggregate(inside, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda s, x: F.struct((s["s"] + x["v"]).alias("s"), (s["n"] + 1).alias("n")), lambda s: s["s"] / s["n"])
+    return c.select("video_id", "p", "peak", "start", "end", total.alias("frame_score"))
 
 
 def overlap_chunks(df: DataFrame, size: int, stride: int, last: bool = True) -> DataFrame:

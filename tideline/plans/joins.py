@@ -65,8 +65,9 @@ def frames_in_clip_join(spark, sf):
     f = frames(spark, sf).select("video_id", "idx", "t")
     c = f.select("video_id").distinct().select("video_id", F.explode(F.array(*map(F.lit, (3.2, 20.5, 41.0, 60.3)))).alias("s")).withColumn("e", F.col("s") + 4)
     inside = J.range_join_points(f, c, "t", "s", "e", 8.0).where("t < e").select("video_id", "s", "idx")
-    rest = c.join(inside, ["video_id", "s"], "left_anti").join(f, "video_id").groupBy("video_id", "s").agg(F.min_by("idx", F.abs(F.col("t") - F.col("s"))).alias("idx"))
-    return inside.unionByName(rest)
+    empty = c.join(inside, ["video_id", "s"], "left_anti").select("video_id", F.col("s").cast("double").alias("t"))
+    rest = J.asof_nearest(empty, f.select("video_id", F.col("t").cast("double").alias("t"), F.col("idx").alias("v")), "idx")
+    return inside.unionByName(rest.select("video_id", F.col("t").alias("s"), "idx"))
 
 
 IV = runs_sql("r1", "frames", "score > 0.3") + runs_sql("r2", "frames", "gt > 0.6") + ", a AS (SELECT video_id, CAST(s AS DOUBLE) AS s, CAST(e + 1 AS DOUBLE) AS e FROM r1), b AS (SELECT video_id, CAST(s AS DOUBLE) AS s, CAST(e + 1 AS DOUBLE) AS e FROM r2)\n"
@@ -78,25 +79,18 @@ def both_runs(spark, sf):
     return iv(F.col("score") > 0.3), iv(F.col("gt") > 0.6)
 
 
-def overlapping(a, b, width=16.0):
-    """Pairs of intervals of a video, a (s, e) and b (s2, e2), that share more than an end: an equi-join on cells of `width`, each pair in its first shared cell."""
-    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))).alias("cell")
-    j = a.select("*", cells("s", "e")).join(b.withColumnsRenamed({"s": "s2", "e": "e2"}).select("*", cells("s2", "e2")), ["video_id", "cell"])
-    return j.where((F.col("cell") == F.floor(F.greatest("s", "s2") / width)) & (F.least("e", "e2") > F.greatest("s", "s2")))
-
-
 @query("interval_iou_join", "frames", IV + """, j AS (SELECT a.video_id, a.s AS ps, b.s AS gs, least(a.e, b.e) - greatest(a.s, b.s) AS i, a.e - a.s + b.e - b.s AS len, greatest(a.e, b.e) - least(a.s, b.s) AS hull FROM a JOIN b USING (video_id))
 SELECT video_id, ps, gs, round(i / (len - i), 6) AS iou, round(i / hull, 6) AS iou_hull FROM j WHERE i > 0""")
 def interval_iou_join(spark, sf):
     """Pairs that overlap; all others have an IoU of 0."""
     x = [F.col(c) for c in ("s", "e", "s2", "e2")]
-    return overlapping(*both_runs(spark, sf)).select("video_id", F.col("s").alias("ps"), F.col("s2").alias("gs"), r6(I.iou(*x)).alias("iou"), r6(I.iou(*x, hull=True)).alias("iou_hull"))
+    return I.overlapping(*both_runs(spark, sf)).select("video_id", F.col("s").alias("ps"), F.col("s2").alias("gs"), r6(I.iou(*x)).alias("iou"), r6(I.iou(*x, hull=True)).alias("iou_hull"))
 
 
 @query("overlap_fraction_semi", "frames", IV + "SELECT a.video_id, a.s, max(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) >= 0.5 * (a.e - a.s) AS checked FROM a JOIN b USING (video_id) GROUP BY a.video_id, a.s, a.e")
 def overlap_fraction_semi(spark, sf):
     a, b = both_runs(spark, sf)
-    top = overlapping(a, b).groupBy("video_id", "s", "e").agg(F.max(I.overlap(*[F.col(c) for c in ("s", "e", "s2", "e2")])).alias("o"))
+    top = I.overlapping(a, b).groupBy("video_id", "s", "e").agg(F.max(I.overlap(*[F.col(c) for c in ("s", "e", "s2", "e2")])).alias("o"))
     j = a.join(b.select("video_id"), "video_id", "left_semi").join(top, ["video_id", "s", "e"], "left")
     return j.select("video_id", "s", (F.coalesce("o", F.lit(0.0)) >= 0.5 * (F.col("e") - F.col("s"))).alias("checked"))
 

@@ -28,7 +28,7 @@ def scorer_plugin(spark, sf):
 @query(
     "clip_verifier_plugin", "frames",
     GROWN + """, rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(frame_score, 9) DESC, p) AS rn FROM clips), fr AS (SELECT r.video_id, r.p, list(f.gt ORDER BY f.idx) AS l, count(*) AS n FROM rk r JOIN frames f ON f.video_id = r.video_id AND f.t >= r.start AND f.t < r."end" WHERE rn <= 8 GROUP BY 1, 2),
-cs AS (SELECT video_id, p, list_avg(list_transform(range(0, least(4, n)), lambda i: l[1 + CAST(round(i * (n - 1) / 3.0) AS INT)])) AS s FROM fr)
+cs AS (SELECT video_id, p, list_avg(list_transform(range(0, least(4, n)), lambda i: l[1 + CAST(round(i * (n - 1) / CAST(greatest(least(4, n) - 1, 1) AS DOUBLE)) AS INT)])) AS s FROM fr)
 SELECT c.video_id, c.p, round(frame_score, 6) AS frame_score, round(s, 6) AS clip_score, round(coalesce(0.5 * frame_score + 0.5 * s, frame_score), 6) AS rank_score FROM clips c LEFT JOIN cs ON cs.video_id = c.video_id AND cs.p = c.p""",
 )
 def clip_verifier_plugin(spark, sf):
