@@ -13,7 +13,8 @@ Encoding has three parts.
 Decoding concatenates the bytes of the ids; invalid UTF-8 becomes U+FFFD.
 
 Null and empty texts give no ids and decode to an empty text. `<|endoftext|>` in a text is the special token, as the library
-has it. Very long words are merged with a heap. Extra columns of the input stay as they are.
+has it. Very long words are merged with a heap; long texts are encoded whole. Repeated rows and rows with a null id are rows like others; words that tie in frequency go by their bytes, which
+decides what the transducer holds and not the ids. An empty table gives an empty result. Extra columns of the input stay as they are.
 """
 
 from __future__ import annotations
@@ -465,6 +466,7 @@ def default_vocabulary() -> str:
 
 
 def op9_bpe_encode_decode(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """A null text is empty and has no token; long texts are encoded whole; repeated and null ids are rows like others, equal texts have equal ids; an empty table gives no rows."""
     docs = texts(table(spark, sf_dir, "documents"), "doc_id")
     encoder = Encoder(spark, docs, path or default_vocabulary())
     both = decode(encode(docs, encoder).select("doc_id", "ids"), encoder)

@@ -255,4 +255,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, trees: int = 8, le
 
 
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Null labels and vectors that are null, zero or not finite link with nothing; equal vectors and repeated rows link; repeated ids are vectors each; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -531,4 +531,5 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and those without a word, link with nothing; long ones are compared whole; equal texts and repeated rows link; an empty table gives no rows."""
     return similar_documents(table(spark, sf_dir, "documents"))

@@ -244,4 +244,5 @@ def repeat(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts have size 0 and take nothing; a null source is the last one; repeated and tied rows have copies of their own; long texts count whole; an empty table gives no rows."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

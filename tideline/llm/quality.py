@@ -242,4 +242,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts are scored by their zero statistics, long ones whole; repeated rows and ties get equal scores; labels of other values, or of held-out ids, don't train; an empty table gives no rows."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

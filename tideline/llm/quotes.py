@@ -113,4 +113,5 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts are messages without passages; repeated turns go by role, then text; null conversations are one a message; an empty table gives no rows."""
     return format_chats(table(spark, sf_dir, "conversations"))

@@ -167,4 +167,5 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None, threshold: fl
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no word and fail; long ones count whole; equal texts have equal verdicts; an empty table gives no rows."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

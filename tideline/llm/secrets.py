@@ -191,4 +191,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repos
 
 
 def op5_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """Null texts are empty; long ones are scanned whole; null owners are owners; repeated rows have equal results; ties of spans go by kind; an empty table gives no rows."""
     return digest(find_secrets(table(spark, sf_dir, "documents")))

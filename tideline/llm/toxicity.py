@@ -12,8 +12,8 @@ the labels, by hash of the id, before any text is read, so that only its texts a
 and near copies in the sample, seen by two min-hashes of word shingles, share the weight of one row, so that a text copied a thousand times doesn't fill the features.
 
 Null and empty texts have no feature and get the score of the intercept. Only rows labelled 0 or 1 train; without both classes the score is a
-constant; an empty table gives an empty result. Repeated label rows count once; an id with both labels trains as both. Rows of `docs` that repeat a drawn id all train, equal ones
-as one row of that weight. A null id is never drawn, and its row is scored like others. Long texts are read whole, in slices. Each input row gives one output row; extra columns are ignored, whatever their names.
+constant; an empty table gives an empty result. Repeated label rows count once; an id with both labels trains as both. Of rows of `docs` that repeat a drawn id one trains, the
+text of least hash, so repeats can't widen the sample. A null id is never drawn, and its row is scored like others. Long texts are read whole, in slices. Each input row gives one output row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -268,10 +268,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out
     small_batches(docs.sparkSession)
     drawn, weights = training_ids(y, fit_rows)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")  # fit_rows bounds it
-    chosen, w = fit(train.select("text", "y"), weights)
+    one = train.groupBy("doc_id", "y").agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    chosen, w = fit(one.select("text", "y"), weights)
     out = score(docs, chosen, w)
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op8_toxicity_classifier(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts get the intercept's score; long ones are read whole; repeated rows get equal scores and train once; an empty table gives no rows."""
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,7 +6,8 @@ costs one step a byte, plus failure steps that are paid for by earlier bytes. Li
 and broadcast; tasks step through a slice's distinct words in lockstep.
 
 A word that can't be matched to its end is one unknown token. Words are runs of non-blanks, lower-cased (A-Z). Null and empty texts have no
-words and no tokens. Repeated rows are counted each; extra columns are ignored.
+words and no tokens; long texts are counted whole. Repeated rows, and rows with a null id, are counted each; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -146,4 +147,5 @@ def default_vocabulary() -> str:
 
 
 def op3_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Null and empty texts have no token; long texts count whole; null and repeated ids are rows like others; an empty table gives no rows; extra columns are ignored."""
     return token_counts(table(spark, sf_dir, "documents"), read_pieces(path or default_vocabulary()))
