@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["minmax_per_group", "bitemporal_calibration", "threshold_segments", "peak_grow", "temporal_nms", "asof_linear", "interval_iou_join", "margin_pair_mining", "summary_f1", "kendall_tau_b", "soft_ece", "event_f1", "pair_accuracy_by_quantile", "budget_knapsack", "label_diffusion", "annotation_tsv", "split_manifest", "stream_tumbling_segments", "random_split", "augment_timeline", "bfs_sample", "greedy_clip_selection", "clip_verifier_plugin", "tolerance_match_unique"]
+CHECKED = ["minmax_per_group", "bitemporal_calibration", "threshold_segments", "peak_grow", "temporal_nms", "asof_linear", "interval_iou_join", "margin_pair_mining", "summary_f1", "kendall_tau_b", "soft_ece", "event_f1", "pair_accuracy_by_quantile", "budget_knapsack", "label_diffusion", "annotation_tsv", "split_manifest", "stream_tumbling_segments", "random_split", "augment_timeline", "bfs_sample", "greedy_clip_selection", "clip_verifier_plugin", "tolerance_match_unique", "personalized_pagerank", "pca_project", "score_regression", "cross_validation_run", "stream_incremental_scores", "stream_trailing_buffer", "peak_valley_pairing", "global_similarity_edges", "frames_in_clip_join", "evaluation_report", "highlight_run"]
 
 
 def plain(v):

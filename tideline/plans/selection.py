@@ -4,12 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import r6
+from tideline.operators import highlights
 from tideline.operators import select as S
 from tideline.operators import timeline as T
 from tideline.operators.tables import seeded, top_k
 from tideline.plans.registry import query
-from tideline.plans.timeline import GROWN, merge_sql
-from tideline.sources.views import video, frames, shots, table
+from tideline.plans.timeline import GROWN, NMS, decay_sql, gauss_sql, merge_sql
+from tideline.sources.views import SQL, frames, shots, table, video
 
 KNAP = """, sm AS (SELECT s.video_id, shot_id, end_f - start_f + 1 AS len, avg(score) AS mean, max(end_f) OVER (PARTITION BY s.video_id) AS last FROM shots s JOIN frames f ON f.video_id = s.video_id AND f.idx BETWEEN start_f AND end_f GROUP BY s.video_id, shot_id, start_f, end_f),
 ks AS (WITH RECURSIVE k AS (SELECT video_id, -1 AS shot, 0 AS used, CAST(0 AS DOUBLE) AS v, CAST([] AS INT[]) AS l, CAST(floor((max(last) + 1) * 0.15) AS INT) AS cap FROM sm GROUP BY video_id UNION ALL
@@ -54,6 +55,29 @@ def greedy_clip_selection(spark, sf):
     return d.select("video_id", *[r6(c).alias(c) for c in ("start", "end", "peak", "score")], "merged")
 
 
+# the calibrated curve takes the place of the frames' score; the kept clips, verified and led in, that of the grown ones
+RUN = (
+    f"WITH raw AS ({SQL['frames']})" + decay_sql("raw", "score", 0.9, "d0") + gauss_sql("d0", "v", 2.0, "g0")
+    + """, frames AS (SELECT r.video_id, r.idx, r.t, r.gt, round(least(greatest(CASE WHEN max(v) OVER w > 0 THEN v * max(r.score) OVER w / max(v) OVER w ELSE v END, 0), 1), 9) AS score FROM raw r JOIN g0 USING (video_id, idx) WINDOW w AS (PARTITION BY r.video_id))"""
+    + NMS.replace("4.0), 12.0)", "2.0), 6.0)").replace("b - a < 4 OR b - a > 12", "b - a < 2 OR b - a > 6")
+    + """, kc AS (SELECT c.*, row_number() OVER (PARTITION BY c.video_id ORDER BY round(frame_score, 9) DESC, c.p) AS rn FROM clips c JOIN nms k ON k.video_id = c.video_id AND k.p = c.p),
+fr AS (SELECT r.video_id, r.p, list(f.gt ORDER BY f.idx) AS l, count(*) AS n FROM kc r JOIN frames f ON f.video_id = r.video_id AND f.t >= r.start AND f.t < r."end" WHERE rn <= 8 GROUP BY 1, 2),
+cs AS (SELECT video_id, p, list_avg(list_transform(range(0, least(4, n)), lambda i: l[1 + CAST(round(i * (n - 1) / CAST(greatest(least(4, n) - 1, 1) AS DOUBLE)) AS INT)])) AS s FROM fr),
+led AS (SELECT c.video_id, c.p, peak, greatest(0, start - 5) AS start, "end", coalesce(0.5 * frame_score + 0.5 * s, frame_score) AS frame_score FROM kc c LEFT JOIN cs ON cs.video_id = c.video_id AND cs.p = c.p)"""
+    + PLACED.replace("FROM clips)", "FROM led)")
+    + merge_sql("m", "pl", 0.5, ", arg_max(peak, round(score, 9) - s * 1e-12) AS peak, sum(score * (e - s)) / sum(e - s) AS score, CAST(count(*) AS INT) AS merged")
+    + 'SELECT video_id, round(s, 6) AS start, round(e, 6) AS "end", round(peak, 6) AS peak, round(score, 6) AS score, merged FROM m'
+)
+
+
+@query("highlight_run", "", RUN)
+def highlight_run(spark, sf):
+    """Scores, calibrated curve, proposals, suppression, verification, re-ranked selection, as one job: the clips of each video's edit."""
+    f = frames(spark, sf).select("video_id", "idx", "t", "gt", F.col("score").alias("signal"))
+    d = highlights.highlight_run(f, lambda: lambda rows: rows["signal"], lambda rows: rows["gt"].mean())
+    return d.select("video_id", *[r6(c).alias(c) for c in ("start", "end", "peak", "score")], "merged")
+
+
 @query("rank_score_topk", "frames", GROWN + """, s AS (SELECT video_id, p, frame_score, CASE WHEN p % 2 = 0 THEN (p * 13 % 10) / 10.0 END AS clip_score FROM clips), r AS (SELECT video_id, p, coalesce(0.5 * frame_score + 0.5 * clip_score, frame_score) AS rank_score FROM s),
 t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(rank_score, 9) DESC, p) AS rank FROM r) SELECT video_id, p, round(rank_score, 6) AS rank_score FROM t WHERE rank <= 8""")
 def rank_score_topk(spark, sf):
