@@ -8,7 +8,7 @@ import pytest
 from tideline.llm.registry import ORACLES, QUERIES
 
 GIVEN = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings")
+TABLES = ("documents", "embeddings", "conversations")
 PROSE = "the harbour was quiet in the morning and the boats lay still beside the wall "
 KEY = "Qz8Lk2Vx9Rt4Wm7Yp3Nc6Bd1Hf5Gj0SsTtUu"
 
@@ -34,6 +34,11 @@ def odd(spark, tmp_path_factory):
     vectors = [[1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [1.0, 0.01, 0.0], [-1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [nan, 1.0, 0.0], [inf, 1.0, 0.0], [None, 1.0, 0.0], None, [], [1.0, 0.0], [2.0, 0.0], [1e30, 1e28, 0.0]]
     rows = [(i, v, 1) for i, v in enumerate(vectors)] + [(100 + i, v, None) for i, v in enumerate(vectors)] + [(200, [1.0, 0.0, 0.0], 2)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    said = ["Yes.", "No", "  ", None, "", "Why? ", "ok.\n", "é!", "a b c", "x" * 50_000 + "."]
+    roles = ["user", "assistant", "system", None, "tool", "", "user", "assistant"]
+    rows = [(c, t, roles[(c * 7 + t * 3) % 8], said[(c * 5 + t * 11) % 10]) for c in range(60) for t in range(c % 9)]
+    rows += [(None, t, "user", "Hello.") for t in (None, 1, 2)] + [(77, None, "user", "a."), (77, None, "assistant", "b."), (79, 2, "user", "twice."), (79, 2, "user", "twice."), (79, 5, "assistant", "then.")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
