@@ -119,17 +119,18 @@ def test_contains_join_first_at_any_size(spark, more):
         assert got == {n: min(v) for n, v in found.items() if v}
 
 
-def test_trailing_buffer(spark):
-    """Four batches of a video of 40 frames, the last 15 scored anew with each, against slices; a batch with more new frames than that scores them all."""
-    rows = [(1, i, i * 7 % 13 / 13) for i in range(40)] + [(2, i, i * 5 % 11 / 11) for i in range(80)]
-    d = spark.createDataFrame(rows, "video_id long, idx int, score double").withColumn("ts", F.timestamp_seconds(F.when(F.col("video_id") == 1, F.col("idx")).otherwise(F.floor(F.col("idx") / 2))))
-    rescore = lambda x: T.bitemporal(x, out="rescored")
-    got = {(r.video_id, r.idx): (r.n, r["mean"]) for r in S.trailing_curve(spark, S.replay(spark, d), rescore, 15).collect()}
-    edges = {1: [(0, 10), (5, 20), (15, 30), (25, 40)], 2: [(0, 20), (20, 40), (40, 60), (60, 80)]}
-    parts = [(100 * v + k, i - a, s) for v in edges for k, (a, b) in enumerate(edges[v]) for w, i, s in rows if w == v and a <= i < b]
+@pytest.mark.parametrize("size,chunk,most", [(40, 10, 15), (80, 20, 20)])
+def test_trailing_buffer(spark, size, chunk, most):
+    """Four chunks of a video, the last `most` frames scored anew with each, against the operator on slices; batches end elsewhere than chunks."""
+    rows = [(1, i, i * 7 % 13 / 13) for i in range(size)]
+    d = spark.createDataFrame(rows, "video_id long, idx int, score double").withColumn("ts", F.timestamp_seconds("idx")).withColumn("n_frames", F.lit(size))
+    got = {(r.video_id, r.idx): (r.n, r["mean"]) for r in S.trailing_curve(spark, S.replay(spark, d, files=3), chunk=chunk, most=most).collect()}
+    edges = [(max(0, b - most), b) for b in range(chunk, size + 1, chunk)]
+    parts = [(k, i - a, s) for k, (a, b) in enumerate(edges) for _, i, s in rows if a <= i < b]
     sums = collections.defaultdict(list)
     for r in T.bitemporal(spark.createDataFrame(parts, "video_id long, idx int, score double")).collect():
-        v, k = divmod(r.video_id, 100)
-        sums[v, r.idx + edges[v][k][0]].append(r.calibrated)
+        sums[1, r.idx + edges[r.video_id][0]].append(r.calibrated)
     assert got.keys() == sums.keys() == {(v, i) for v, i, _ in rows}
     assert all(got[k] == (len(x), pytest.approx(sum(x) / len(x), abs=1e-9)) for k, x in sums.items())
+    with pytest.raises(ValueError, match="chunk"):
+        S.trailing_curve(spark, d, chunk=16, most=15)

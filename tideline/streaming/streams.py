@@ -129,6 +129,8 @@ def trailing_curve(spark: SparkSession, stream: DataFrame, rescore: Callable[[np
     With each chunk, the last `most` frames of its video are scored anew by `rescore`. Results depend on chunks and not on batches. What a batch writes is the buffer's
     frames and those that left it; the newest row of a frame holds.
     """
+    if chunk > most:
+        raise ValueError("a chunk has to fit into the buffer, or frames would never be scored")
     rows = _stateful(stream.select("video_id", "idx", "score", "n_frames"), TrailingBuffer(rescore, chunk, most), "video_id long, upto int, idx int, n int, mean double")
     return run_to_table(spark, rows).groupBy("video_id", "idx").agg(F.max_by(F.struct("n", "mean"), "upto").alias("x")).select("video_id", "idx", "x.n", "x.mean")
 
