@@ -47,7 +47,7 @@ def _directions(seed: tuple[int, ...], dim: int) -> np.ndarray:
 class Tree:
     """Splits (direction by number, cut, half-width of the spill) fitted on a sample; node k has children 2k and 2k + 1."""
 
-    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, copies: float, cosine: float):
+    def __init__(self, x: np.ndarray, n: int, seed: tuple[int, ...], leaf: int, copies: float, cosine: float = 0.98):
         self.seed, self.dim, self.cosine = seed, x.shape[1], cosine
         self.cuts: dict[int, tuple[int, float, float]] = {}
         self.extra: dict[int, list[tuple[int, float, float]]] = {}
