@@ -4,9 +4,11 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.operators import groups as G
 from tideline.operators import intervals as I
 from tideline.operators import metrics as M
 from tideline.operators import models as D
@@ -114,3 +116,40 @@ def test_only_spaced_frames_are_scored(spark):
     f = spark.range(100).select(F.lit(1).cast("long").alias("video_id"), F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("t"))
     got = {r.p: r.clip_score for r in D.clip_verifier(clips, f, score, k=4, top=2).collect()}
     assert got == {0: 0 + 3 + 6 + 9, 1: 20 + 21, 2: None} and seen.value == 6
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_groups_across_batches(size):
+    """Groups that end within, at and beyond batches, groups of null keys and empty batches."""
+    rows = [(None, None)] * 3 + [(None, "a")] + [(1, None)] * 2 + [(1, "a")] * 5 + [(1, "b")] + [(2, "b")] * 9
+    t = pa.table({"v": pa.array([r[0] for r in rows], pa.int64()), "k": pa.array([r[1] for r in rows], pa.string()), "n": list(range(len(rows)))})
+    batches = t.to_batches(max_chunksize=size)
+    got = []
+    for whole, first in G.whole_groups(iter([batches[0].slice(0, 0), *batches, batches[0].slice(0, 0)]), ["v", "k"]):
+        n = whole["n"].to_pylist()
+        got += [n[a:b] for a, b in zip(first, [*first[1:], len(n)])]
+    want = {}
+    for n, r in enumerate(rows):
+        want.setdefault(r, []).append(n)
+    assert got == list(want.values())
+    assert list(G.whole_groups(iter([]), ["v"])) == [] and [x[1].tolist() for x in G.whole_groups(iter([batches[0].slice(0, 1)]), ["v"])] == [[0]]
+
+
+def test_small_batches_change_nothing(spark):
+    """Kendall, knapsack, placed and verified clips with batches of three rows and of the usual size."""
+    rng = random.Random(3)
+    f = spark.createDataFrame([(v, i, float(i), rng.random(), rng.randint(0, 5) / 5) for v in range(6) for i in range(40 if v else 1)], "video_id long, idx int, t double, a double, b double")
+    clips = T.peak_grow(f, "a", shortest=2.0, longest=6.0).cache()
+    shots = f.select("video_id", F.col("idx").alias("shot_id"), F.col("idx").alias("end_f"), (F.col("idx") % 3 + 1).alias("length"), F.col("a").alias("mean"))
+
+    def everything():
+        found = [M.kendall_tau_b(f, ["video_id"], "a", "b"), S.budget_knapsack(shots), S.greedy_clip_selection(clips.withColumnRenamed("frame_score", "score")), D.clip_verifier(clips, f, lambda rows: rows["b"].mean() + rows["idx"].iloc[0])]
+        return [sorted(map(tuple, d.collect()), key=str) for d in found]
+
+    usual = everything()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert everything() == usual and all(usual)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r[0] for r in usual[0]} == set(range(1, 6))  # one row has no tau

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.groups import whole_groups
 from tideline.operators.timeline import merge_gaps
 
 
@@ -49,18 +49,8 @@ def _best_first(overlap: float, start: str, end: str):
         return t.filter(pa.array(stay))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            differ = [pc.fill_null(pc.not_equal(t[c].slice(1), t[c].slice(0, max(len(t) - 1, 0))), True).to_numpy() for c in ("video_id", "island__")]
-            first = np.flatnonzero(np.r_[np.ones(min(len(t), 1), bool), differ[0] | differ[1]])
-            if len(first) > 1:
-                yield from kept(t.slice(0, first[-1]), first[:-1]).to_batches()
-                t = t.slice(first[-1])
-            held = t
-        if held is not None and len(held):
-            yield from kept(held, np.array([0])).to_batches()
+        for t, first in whole_groups(batches, ["video_id", "island__"]):
+            yield from kept(t, first).to_batches()
 
     return run
 

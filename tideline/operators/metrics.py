@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.groups import map_groups, spread
 from tideline.operators.tables import average_rank
 
 
@@ -53,17 +54,19 @@ def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, out: str = "tau"
         n = np.diff(np.r_[np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in values], axis=0)]), len(values[0])]).astype(float)
         return float((n * (n - 1) / 2).sum())
 
-    def one(key: tuple, t: pa.Table) -> pa.Table:
+    def one(t: pa.Table) -> pa.Table | None:
+        if len(t) < 2:
+            return None
         a, b = (t[c].to_numpy().astype(float) for c in (x, y))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         kind, rank = np.unique(b, return_inverse=True)
         n0, nx, ny, nxy = len(a) * (len(a) - 1) / 2, pairs(a), pairs(np.sort(b)), pairs(a, b)
         tau = (n0 - nx - ny + nxy - 2 * inversions(rank)) / ((n0 - nx) * (n0 - ny)) ** 0.5 if n0 > nx and n0 > ny else None
-        return pa.table({**{c: pa.array([k.as_py()], k.type) for c, k in zip(by, key)}, out: pa.array([tau], pa.float64())})
+        return pa.table({**{c: t[c].slice(0, 1) for c in by}, out: pa.array([tau], pa.float64())})
 
-    some = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("n__", F.count("*").over(Window.partitionBy(*by))).where("n__ > 1").drop("n__")
-    return some.groupBy(*by).applyInArrow(one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
+    some = spread(df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), *by)
+    return map_groups(some, by, [], one, ", ".join(f"{b} {kinds[b]}" for b in by) + f", {out} double")
 
 
 def bins(df: DataFrame, by: list[str], bin_: Column, conf: str, acc: Column) -> DataFrame:

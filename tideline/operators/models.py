@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import clip01, sigmoid
+from tideline.operators.groups import spread
 
 
 def as_vector(c: str | Column) -> Column:
@@ -144,14 +145,28 @@ def clip_verifier(clips: DataFrame, frames: DataFrame, score: Callable[[pd.DataF
     best = top_k(clips, ["video_id"], [F.round("frame_score", 9).desc(), F.asc("p")], top)
     j = range_join_points(frames, best.select("video_id", "p", "start", "end"), "t", "start", "end", width).where("t < end")
     of_clip = Window.partitionBy("video_id", "p")
-    j = j.withColumns({"at__": F.row_number().over(of_clip.orderBy("idx")) - 1, "n__": F.count("*").over(of_clip)})
+    j = spread(j, "video_id", "p").withColumns({"at__": F.row_number().over(of_clip.orderBy("idx")) - 1, "n__": F.count("*").over(of_clip)})
     spaced = F.transform(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n__")) - 1), lambda i: F.rint(i * (F.col("n__") - 1) / F.greatest(F.least(F.lit(k), F.col("n__")) - 1, F.lit(1))).cast("int"))
-    picked = j.where(F.array_contains(spaced, F.col("at__"))).drop("at__", "n__")
+    picked = j.where(F.array_contains(spaced, F.col("at__"))).drop("n__").sortWithinPartitions("video_id", "p", "at__")
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return g[["video_id", "p"]].head(1).assign(clip_score=float(score(g.sort_values("idx"))))
+    def scores(d: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        own = d.drop(columns="at__")
+        found = [float(score(own.iloc[a:b].reset_index(drop=True))) for a, b in zip(first, np.r_[first[1:], len(d)])]
+        return d[["video_id", "p"]].iloc[first].assign(clip_score=found)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the clip that a batch leaves open: k rows at most
+        for part in parts:
+            d = part if held is None else pd.concat([held, part])
+            first = np.flatnonzero(d["at__"].to_numpy() == 0)
+            if len(first):
+                if len(first) > 1:
+                    yield scores(d.iloc[: first[-1]], first[:-1])
+                held = d.iloc[first[-1] :]
+        if held is not None:
+            yield scores(held, np.array([0]))
 
     kind = dict(clips.dtypes)
-    scored = picked.groupBy("video_id", "p").applyInPandas(one, f"video_id {kind['video_id']}, p {kind['p']}, clip_score double")
+    scored = picked.mapInPandas(run, f"video_id {kind['video_id']}, p {kind['p']}, clip_score double")
     out = clips.join(scored, ["video_id", "p"], "left")
     return out.withColumn("rank_score", F.coalesce(0.5 * F.col("frame_score") + 0.5 * F.col("clip_score"), F.col("frame_score")))
