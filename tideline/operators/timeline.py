@@ -216,26 +216,31 @@ def peak_regions(df: DataFrame, value: str = "gt", min_frames: int = 2, peaks: i
     return df.select("video_id", "idx").join(hit, ["video_id", "idx"], "left").select("video_id", "idx", F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
-def local_maxima(df: DataFrame, value: str) -> DataFrame:
-    """Rows above the one before and not below the next; a curve without any gives its maximum."""
+def mark_maxima(df: DataFrame, value: str) -> DataFrame:
+    """df with is_peak: rows above the one before and not below the next; in a curve without any, its maximum."""
     x = F.col(value)
     d = df.withColumn("is_peak", (x > F.coalesce(F.lag(value).over(curve()), F.lit(float("-inf")))) & (x >= F.coalesce(F.lead(value).over(curve()), F.lit(float("-inf")))))
     d = d.withColumn("best__", F.min(F.struct((-x).alias("x"), "idx")).over(video())).withColumn("any__", F.max("is_peak").over(video()))
-    return d.where(F.col("is_peak") | (~F.col("any__") & (F.col("idx") == F.col("best__.idx")))).drop("is_peak", "best__", "any__")
+    return d.withColumn("is_peak", F.col("is_peak") | (~F.col("any__") & (F.col("idx") == F.col("best__.idx")))).drop("best__", "any__")
+
+
+def local_maxima(df: DataFrame, value: str) -> DataFrame:
+    """Rows above the one before and not below the next; a curve without any gives its maximum."""
+    return mark_maxima(df, value).where("is_peak").drop("is_peak")
 
 
 def peak_grow(df: DataFrame, value: str = "score", drop: float = 0.4, shortest: float = 4.0, longest: float = 12.0) -> DataFrame:
     """Clips around peaks: as far as the normalised score stays at (1 - drop) of the peak, clamped in length, inside the video; mean score inside.
 
     A row lasts the video's median step. A clip longer than `longest` is cut around its peak whatever its ends, so only rows within twice that of a peak
-    matter: a window of that range holds them, in the shuffle that a curve has anyway.
+    matter: a window of that range holds them, in the shuffle that a curve has anyway. It is the last of the windows, so that no other carries its lists, and only peaks keep theirs.
     """
     low, high = F.min(value).over(video()), F.max(value).over(video())
     d = df.select("video_id", "idx", F.col("t").cast("double").alias("t"), ((F.col(value) - low) / (high - low + 1e-8)).alias("x"), F.col(value).alias("v"), (F.col("t") - F.lag("t").over(curve())).alias("gap"))
     d = d.withColumns({"step": F.coalesce(F.percentile("gap", F.lit(0.5)).over(video()), F.lit(1.0)), "t0": F.min("t").over(video()), "last": F.max("t").over(video())})
     reach = float(2 * longest)
     around = f"over (partition by video_id order by t range between cast({reach} as double) preceding and cast({reach} as double) following)"
-    p = local_maxima(d.withColumn("near", F.expr(f"collect_list(struct(t, x, v)) {around}")), "x").withColumnsRenamed({"idx": "p", "t": "peak", "x": "px"})
+    p = mark_maxima(d, "x").withColumn("near", F.expr(f"collect_list(struct(t, x, v)) {around}")).where("is_peak").withColumnsRenamed({"idx": "p", "t": "peak", "x": "px"})
     low_t = F.transform(F.filter("near", lambda r: r["x"] < (1 - drop) * F.col("px")), lambda r: r["t"])
     p = p.withColumn("low", low_t).withColumns({"l": F.array_max(F.filter("low", lambda t: t < F.col("peak"))), "r": F.array_min(F.filter("low", lambda t: t > F.col("peak")))})
     duration, far = F.col("last") + F.col("step"), F.col("peak") - reach
