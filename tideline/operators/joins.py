@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tideline.operators.tables import seeded
 
 
+def product(a: Column, b: Column) -> Column:
+    """Inner product of two vectors in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors in double precision; it stays in the JVM."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return product(a, b) / F.sqrt(product(a, a) * product(b, b))
 
 
 def range_join_points(points: DataFrame, spans: DataFrame, t: str, start: str, end: str, width: float, key: str = "video_id") -> DataFrame:
@@ -75,7 +79,8 @@ def band_pairs(df: DataFrame, window: int, columns: list[str]) -> DataFrame:
 
 def similarity_edges(features: DataFrame, window: int, quantile: float | None = None, threshold: float | None = None) -> DataFrame:
     """video_id, i, j, w: cosine edges within a window, at or above a quantile of them or a threshold, negatives as 0."""
-    e = band_pairs(features, window, ["feature"]).select("video_id", "i", "j", F.greatest(cosine(F.col("feature_i"), F.col("feature_j")), F.lit(0.0)).alias("w"))
+    e = band_pairs(features.withColumn("sq", product(F.col("feature"), F.col("feature"))), window, ["feature", "sq"])  # squares once a vector, not once a pair
+    e = e.select("video_id", "i", "j", F.greatest(product(F.col("feature_i"), F.col("feature_j")) / F.sqrt(F.col("sq_i") * F.col("sq_j")), F.lit(0.0)).alias("w"))
     if quantile is not None:
         cut = e.groupBy("video_id").agg(F.percentile("w", quantile).alias("cut"))
         e = e.join(cut, "video_id").where("w >= cut").drop("cut")
@@ -119,11 +124,11 @@ def angle(a: Column, b: Column) -> Column:
 
 def similar_pairs(features: DataFrame, least: float) -> DataFrame:
     """video_id, i, j, w, i < j: all pairs of a video with a cosine w > least, of those that `pivot_pairs` leaves."""
-    return pivot_pairs(features, least).select("video_id", "i", "j", cosine(F.col("x"), F.col("y")).alias("w")).where(F.col("w") > least)
+    return pivot_pairs(features, least).select("video_id", "i", "j", (product(F.col("x"), F.col("y")) / F.sqrt(F.col("xx") * F.col("yy"))).alias("w")).where(F.col("w") > least)
 
 
 def pivot_pairs(features: DataFrame, least: float) -> DataFrame:
-    """video_id, i, j, x, y, i < j: pairs of a video's vectors that may have a cosine > least; none that has is missing.
+    """video_id, i, j, x, y, xx, yy, i < j: pairs of a video's vectors that may have a cosine > least; none that has is missing. xx and yy are the vectors' squares.
 
     Three vectors of a video are pivots: the one of least idx, the farthest from it, and the farthest from both. Angles obey the triangle inequality, so a pair within the angle of
     `least` differs by no more than that in its angle to any pivot. Cells of that width by the first two pivots meet their neighbours only, and what the third pivot
@@ -135,13 +140,13 @@ def pivot_pairs(features: DataFrame, least: float) -> DataFrame:
     d = f.join(first, "video_id").withColumn("a1", angle(F.col("feature"), F.col("p1")))
     d = d.join(d.groupBy("video_id").agg(F.max_by("feature", F.struct(F.round("a1", 9), "idx")).alias("p2")), "video_id").withColumn("a2", angle(F.col("feature"), F.col("p2")))
     third = d.groupBy("video_id").agg(F.max_by("feature", F.struct(F.round(F.least("a1", "a2"), 9), "idx")).alias("p3"))
-    d = d.join(third, "video_id").withColumn("a3", angle(F.col("feature"), F.col("p3"))).select("video_id", "idx", "feature", "a1", "a2", "a3")
+    d = d.join(third, "video_id").withColumn("a3", angle(F.col("feature"), F.col("p3"))).select("video_id", "idx", "feature", product(F.col("feature"), F.col("feature")).alias("sq"), "a1", "a2", "a3")
     cell = lambda c: F.floor(F.col(c) / reach)
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    x = d.select("video_id", F.col("idx").alias("i"), F.col("feature").alias("x"), *[F.col(f"a{k}").alias(f"x{k}") for k in (1, 2, 3)], around("a1").alias("c1")).withColumn("c2", F.explode(F.sequence(F.floor(F.col("x2") / reach) - 1, F.floor(F.col("x2") / reach) + 1)))
-    y = d.select("video_id", F.col("idx").alias("j"), F.col("feature").alias("y"), *[F.col(f"a{k}").alias(f"y{k}") for k in (1, 2, 3)], cell("a1").alias("c1"), cell("a2").alias("c2"))
+    x = d.select("video_id", F.col("idx").alias("i"), F.col("feature").alias("x"), F.col("sq").alias("xx"), *[F.col(f"a{k}").alias(f"x{k}") for k in (1, 2, 3)], around("a1").alias("c1")).withColumn("c2", F.explode(F.sequence(F.floor(F.col("x2") / reach) - 1, F.floor(F.col("x2") / reach) + 1)))
+    y = d.select("video_id", F.col("idx").alias("j"), F.col("feature").alias("y"), F.col("sq").alias("yy"), *[F.col(f"a{k}").alias(f"y{k}") for k in (1, 2, 3)], cell("a1").alias("c1"), cell("a2").alias("c2"))
     near = [F.abs(F.col(f"x{k}") - F.col(f"y{k}")) <= reach for k in (1, 2, 3)]
-    return x.join(y, ["video_id", "c1", "c2"]).where("i < j").where(near[0] & near[1] & near[2]).select("video_id", "i", "j", "x", "y")
+    return x.join(y, ["video_id", "c1", "c2"]).where("i < j").where(near[0] & near[1] & near[2]).select("video_id", "i", "j", "x", "y", "xx", "yy")
 
 
 def unit_number(*keys: str | Column, seed: int) -> Column:
@@ -185,7 +190,9 @@ def draw_margin_pairs(rows: DataFrame, margin: float, most: int, seed: int, hard
     the hard rows. So c_i and the count of these number all N pairs. A video with more than `most` draws one number in each of `most` stretches of equal length of [0, N); a number gives i by a look-up in
     the running sums, and j by its place.
     """
-    gt, place = Window.partitionBy("video_id").orderBy("gt"), Window.partitionBy("video_id").orderBy("gt", "idx")
+    from tideline.operators.graph import cut_lineage
+
+    place = Window.partitionBy("video_id").orderBy("gt", "idx")
     hard = F.expr(f"gt < {hard_rejected} and score > {hard_score}")
     d = rows.select("video_id", "idx", F.col("gt").cast("double").alias("gt"), "score").where("gt is not null").withColumn("hard", F.coalesce(hard, F.lit(False)).cast("int"))
     upto = lambda what: F.expr(f"{what} over (partition by video_id order by gt range between unbounded preceding and cast({margin} as double) preceding)")
@@ -193,11 +200,14 @@ def draw_margin_pairs(rows: DataFrame, margin: float, most: int, seed: int, hard
     d = d.withColumn("more", F.when(F.col("gt") > hard_chosen, F.col("hards") - F.col("h")).otherwise(0)).withColumn("n", F.col("c") + F.col("more"))
     run = F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumns({"start": run - F.col("n"), "k": F.row_number().over(place) - 1, "hk": F.sum("hard").over(place.rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    d = cut_lineage(d.select("video_id", "idx", "c", "h", "n", "start", "k", "hk", "hard"))  # read four times, its windows run once
     total = d.groupBy("video_id").agg(F.sum("n").alias("N")).where("N > 0")
     t = total.select("video_id", "N", F.least("N", F.lit(most)).alias("m")).select("video_id", "N", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("t"))
     low, high = F.expr("t * N div m"), F.expr("(t + 1) * N div m")
     numbers = t.select("video_id", (low + F.floor(unit_number("video_id", "t", seed=seed) * (high - low))).alias("p"))
     got = _last_at(d.where("n > 0"), "start", ["start", "idx", "c", "h"], numbers, "p").withColumn("o", F.col("p") - F.col("start"))
-    plain = got.where("o < c").join(d.select("video_id", F.col("k").alias("o"), F.col("idx").alias("j")), ["video_id", "o"])
-    rest = got.where("o >= c").withColumn("hk", F.col("h") + F.col("o") - F.col("c")).join(d.where("hard = 1").select("video_id", "hk", F.col("idx").alias("j")), ["video_id", "hk"])
-    return plain.select("video_id", F.col("idx").alias("i"), "j").unionByName(rest.select("video_id", F.col("idx").alias("i"), "j"))
+    # partners stand at a place among all rows or among the hard ones
+    asked = got.select("video_id", F.col("idx").alias("i"), F.expr("o >= c").alias("hard"), F.expr("if(o < c, o, h + o - c)").alias("place"))
+    places = d.select("video_id", F.lit(False).alias("hard"), F.col("k").cast("long").alias("place"), F.col("idx").alias("j"))
+    places = places.unionByName(d.where("hard = 1").select("video_id", F.lit(True).alias("hard"), F.col("hk").alias("place"), F.col("idx").alias("j")))
+    return asked.join(places, ["video_id", "hard", "place"]).select("video_id", "i", "j")
