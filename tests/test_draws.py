@@ -65,3 +65,20 @@ def test_matches_in_order_of_probes(spark, spread):
             want[i] = hit[0]
     got = J.tolerance_match(spark.createDataFrame(p, "probe_id long, length long"), spark.createDataFrame(b, "build_id long, length long"), 2)
     assert {r.probe_id: r.build_id for r in got.collect()} == want
+
+
+def test_similar_pairs_meet_by_blocks(spark, monkeypatch):
+    """Several blocks a video, dimensions that differ, null and zero vectors; a pair of blocks is one group, and no pair of vectors is joined."""
+    monkeypatch.setattr(J, "SIMILAR_BLOCK", 16)
+    monkeypatch.setattr(J, "SIMILAR_STRIP", 5)
+    rng = np.random.default_rng(8)
+    x = {(v, k): rng.normal(size=6 if k % 9 else 4).tolist() for v in (1, 2) for k in range(50)}
+    x[1, 3], x[1, 4], x[2, 7] = [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], None
+    rows = [(v, k, f) for (v, k), f in x.items()]
+    d = J.similar_pairs(spark.createDataFrame(rows, "video_id long, idx int, feature array<double>"), 0.3)
+    got = {(r.video_id, r.i, r.j): r.w for r in d.collect()}
+    good = {k: np.array(f) for k, f in x.items() if f and None not in f and any(f)}
+    want = {(v, i, j): float(a @ b / np.sqrt((a @ a) * (b @ b))) for (v, i), a in good.items() for (u, j), b in good.items() if u == v and i < j and len(a) == len(b)}
+    want = {k: w for k, w in want.items() if w > 0.3}
+    assert got.keys() == want.keys() and len(want) > 100 and all(got[k] == pytest.approx(w) for k, w in want.items())
+    assert "MapInArrow" in d._jdf.queryExecution().toString()

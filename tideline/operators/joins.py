@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.groups import map_groups, spread
 from tideline.operators.tables import seeded
 
 
@@ -122,9 +125,49 @@ def angle(a: Column, b: Column) -> Column:
     return F.acos(F.least(F.greatest(cosine(a, b), F.lit(-1.0)), F.lit(1.0)))
 
 
+#: Vectors of a block of `similar_pairs`, and rows of a strip of a block pair's products.
+SIMILAR_BLOCK, SIMILAR_STRIP = 2048, 256
+
+
+def _block_products(least: float):
+    """The pairs above `least` of one pair of blocks: sides 0 and 1, or side 0 with itself."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        width, side = t["dim"][0].as_py(), t["side"].to_numpy()
+        idx = t["idx"].to_numpy()
+        x = t["feature"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), width)
+        with np.errstate(all="ignore"):
+            sq = (x * x).sum(axis=1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if side[-1] else 0))
+        i, j, w = [], [], []
+        for at in range(0, len(a), SIMILAR_STRIP):
+            rows = a[at : at + SIMILAR_STRIP]
+            with np.errstate(all="ignore"):
+                c = (x[rows] @ x[b].T) / np.sqrt(np.outer(sq[rows], sq[b]))
+            p, q = np.nonzero(~(c <= least) & (idx[rows][:, None] < idx[b][None, :]))
+            i, j, w = [*i, idx[rows[p]]], [*j, idx[b[q]]], [*w, c[p, q]]
+        i, j, w = (np.concatenate(v) for v in (i, j, w))
+        return pa.table({"video_id": t["video_id"].slice(0, 1).take(pa.array(np.zeros(len(i), int))), "i": pa.array(i).cast(t["idx"].type), "j": pa.array(j).cast(t["idx"].type), "w": w})
+
+    return solve
+
+
 def similar_pairs(features: DataFrame, least: float) -> DataFrame:
-    """video_id, i, j, w, i < j: all pairs of a video with a cosine w > least, of those that `pivot_pairs` leaves."""
-    return pivot_pairs(features, least).select("video_id", "i", "j", (product(F.col("x"), F.col("y")) / F.sqrt(F.col("xx") * F.col("yy"))).alias("w")).where(F.col("w") > least)
+    """video_id, i, j, w, i < j: all pairs of a video with a cosine w > least (or none that is a number), in double precision.
+
+    A video's vectors are in blocks by idx, and each pair of blocks is one matrix product of bounded size in some task; only pairs above `least` leave it. A vector travels
+    once for each block of its video. Vectors of length 0 or with null components have no cosine and are left out; those of different dimensions don't meet.
+    """
+    kinds = dict(features.dtypes)
+    f = features.where(F.exists("feature", lambda x: x != 0) & ~F.exists("feature", lambda x: x.isNull()))
+    f = f.select("video_id", "idx", "feature", F.size("feature").alias("dim"), F.floor(F.col("idx") / SIMILAR_BLOCK).alias("b"))
+    blocks = f.select("video_id", "dim", "b").distinct()
+    pairs = blocks.withColumnRenamed("b", "b1").join(blocks.withColumnRenamed("b", "b2"), ["video_id", "dim"]).where("b1 <= b2")
+    first = f.withColumnRenamed("b", "b1").join(pairs, ["video_id", "dim", "b1"]).withColumn("side", F.lit(0))
+    second = f.withColumnRenamed("b", "b2").join(pairs.where("b1 < b2"), ["video_id", "dim", "b2"]).withColumn("side", F.lit(1))
+    keys = ["video_id", "dim", "b1", "b2"]
+    both = spread(first.unionByName(second).select(*keys, "side", "idx", "feature"), *keys)
+    return map_groups(both, keys, ["side", "idx"], _block_products(least), f"video_id {kinds['video_id']}, i {kinds['idx']}, j {kinds['idx']}, w double")
 
 
 def pivot_pairs(features: DataFrame, least: float) -> DataFrame:
