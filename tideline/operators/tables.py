@@ -70,3 +70,25 @@ def contains_join_first(names: DataFrame, files: DataFrame, needle: Column, name
     some = j.groupBy(name).agg(F.min(ordinal).alias(ordinal))
     every = n.where("needle__ = ''").select(name).distinct().crossJoin(F.broadcast(f.agg(F.min(ordinal).alias(ordinal)).where(F.col(ordinal).isNotNull())))  # one row
     return some.unionByName(every).groupBy(name).agg(F.min(ordinal).alias(ordinal))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], out: str = "q") -> DataFrame:
+    """One row with `out`: the exact quantiles of `value` over the whole table, interpolated between neighbours as `percentile` does; nulls don't count.
+
+    Distinct values are counted and range-sorted; a partition's total tells which of them hold a wanted rank, and only these are numbered. No task holds all values.
+    """
+    from tideline.operators.graph import cut_lineage
+
+    d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    d = cut_lineage(d.orderBy("v").withColumn("p", F.spark_partition_id()))
+    parts = d.groupBy("p").agg(F.sum("n").alias("m"))
+    parts = parts.withColumn("before", F.sum("m").over(Window.orderBy("p")) - F.col("m"))  # one row a partition
+    wanted = parts.agg(F.sum("m").alias("all")).where("all > 0").select(F.posexplode(F.transform(F.array(*map(F.lit, shares)), lambda s: s * (F.col("all") - 1))).alias("k", "at"))
+    wanted = wanted.select("k", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()  # two rows a share
+    here = wanted.join(F.broadcast(parts), (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("m"))).select("k", "at", "rank", "p", "before")
+    few = d.join(F.broadcast(here.select("p", "before").distinct()), "p")  # at most two rows a share
+    few = few.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("v")) + F.col("before"))
+    got = few.join(F.broadcast(here.drop("before")), "p").where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    got = got.groupBy("k", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("x"))
+    return got.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(out))  # one row a share

@@ -7,7 +7,7 @@ from tideline.functions.scalars import r6, sigmoid
 from tideline.operators import metrics as M
 from tideline.operators.joins import cosine
 from tideline.operators.pairs import preference_losses
-from tideline.operators.tables import seeded, top_k
+from tideline.operators.tables import quantiles, seeded, top_k
 from tideline.plans.joins import COS, IV, both_runs
 from tideline.plans.registry import query
 from tideline.sources.views import video, annotations, frame_features, frames, pair_results, run_log, scored_labels, shots, table
@@ -165,7 +165,7 @@ def macro_class_means(spark, sf):
 SELECT CAST(bin AS INT) AS bin, count(*) AS n, round(avg(human_gap), 6) AS gap, round(avg(CASE WHEN base_gap > 0 THEN 1.0 ELSE 0 END), 6) AS base, round(avg(CASE WHEN tuned_gap > 0 THEN 1.0 ELSE 0 END), 6) AS tuned FROM b GROUP BY 1""")
 def pair_accuracy_by_quantile(spark, sf):
     p = pair_results(spark, sf)
-    e = p.agg(F.array_distinct(F.percentile("human_gap", F.array(*map(F.lit, (0.0, 0.2, 0.4, 0.6, 0.8, 1.0))))).alias("e"))
+    e = quantiles(p, "human_gap", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).select(F.array_distinct("q").alias("e"))
     b = p.crossJoin(F.broadcast(e)).withColumn("bin", F.size(F.filter(F.slice("e", 2, 4), lambda x: x < F.col("human_gap"))))  # one row of edges
     share = lambda c: r6(F.avg((F.col(c) > 0).cast("double")))
     return b.groupBy("bin").agg(F.count("*").alias("n"), r6(F.avg("human_gap")).alias("gap"), share("base_gap").alias("base"), share("tuned_gap").alias("tuned"))
@@ -175,10 +175,11 @@ def pair_accuracy_by_quantile(spark, sf):
 def selective_accuracy(spark, sf):
     p = pair_results(spark, sf).select("tuned_gap", F.abs("tuned_gap").alias("g"))
     levels = (1.0, 0.8, 0.6, 0.4, 0.2)
-    cuts = p.agg(F.percentile("g", F.array(*[F.lit(1 - c) for c in levels])).alias("cut"))
-    t = cuts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("coverage"), "cut")).alias("x")).select("x.*")  # five rows
-    j = p.crossJoin(F.broadcast(t)).where("g >= cut - 1e-12")
-    return j.groupBy("coverage").agg(F.count("*").alias("n"), r6(F.avg((F.col("tuned_gap") > 0).cast("double"))).alias("accuracy"))
+    cuts = quantiles(p, "g", [1 - c for c in levels], "cut")
+    level = lambda k: F.col("g") >= F.col("cut")[k] - 1e-12
+    sums = [F.struct(F.lit(c).alias("coverage"), F.count_if(level(k)).alias("n"), F.count_if(level(k) & (F.col("tuned_gap") > 0)).alias("right")) for k, c in enumerate(levels)]
+    t = p.crossJoin(F.broadcast(cuts)).agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*").where("n > 0")  # one row of cuts
+    return t.select("coverage", "n", r6(F.col("right") / F.col("n")).alias("accuracy"))
 
 
 @query("pair_ranking_accuracy", "pair_results", "SELECT video_id, round(avg(CASE WHEN base_gap > 0 THEN 1.0 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM pair_results GROUP BY 1")
