@@ -12,9 +12,10 @@ from tideline.plans.registry import query
 from tideline.plans.timeline import GROWN, NMS, decay_sql, gauss_sql, merge_sql
 from tideline.sources.views import SQL, frames, shots, table, video
 
-KNAP = """, sm AS (SELECT s.video_id, shot_id, end_f - start_f + 1 AS len, avg(score) AS mean, max(end_f) OVER (PARTITION BY s.video_id) AS last FROM shots s JOIN frames f ON f.video_id = s.video_id AND f.idx BETWEEN start_f AND end_f GROUP BY s.video_id, shot_id, start_f, end_f),
-ks AS (WITH RECURSIVE k AS (SELECT video_id, -1 AS shot, 0 AS used, CAST(0 AS DOUBLE) AS v, CAST([] AS INT[]) AS l, CAST(floor((max(last) + 1) * 0.15) AS INT) AS cap FROM sm GROUP BY video_id UNION ALL
-SELECT k.video_id, s.shot_id, k.used + t * s.len, k.v + t * s.mean, CASE WHEN t = 1 THEN list_append(l, s.shot_id) ELSE l END, cap FROM k JOIN sm s ON s.video_id = k.video_id AND s.shot_id = k.shot + 1 CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1) x WHERE k.used + t * s.len <= cap) SELECT video_id, arg_max(l, v) AS l FROM k GROUP BY video_id),
+# of equal sums the set that a table of shots in order keeps: the one whose last shot is the earliest, then the last but one, and so on; means count in whole units of 1e-9, so sums are exact in any order
+KNAP = """, sm AS (SELECT s.video_id, shot_id, end_f - start_f + 1 AS len, CAST(round(avg(score) * 1e9) AS BIGINT) AS mean, max(end_f) OVER (PARTITION BY s.video_id) AS last FROM shots s JOIN frames f ON f.video_id = s.video_id AND f.idx BETWEEN start_f AND end_f GROUP BY s.video_id, shot_id, start_f, end_f),
+ks AS (WITH RECURSIVE k AS (SELECT video_id, -1 AS shot, 0 AS used, CAST(0 AS BIGINT) AS v, CAST([] AS INT[]) AS l, CAST(floor((max(last) + 1) * 0.15) AS INT) AS cap FROM sm GROUP BY video_id UNION ALL
+SELECT k.video_id, s.shot_id, k.used + t * s.len, k.v + t * s.mean, CASE WHEN t = 1 THEN list_append(l, s.shot_id) ELSE l END, cap FROM k JOIN sm s ON s.video_id = k.video_id AND s.shot_id = k.shot + 1 CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1) x WHERE k.used + t * s.len <= cap) SELECT video_id, list(l ORDER BY v DESC, list_reverse(l))[1] AS l FROM k GROUP BY video_id),
 kc AS (SELECT video_id, unnest(l) AS shot_id FROM ks)
 """
 
