@@ -33,3 +33,12 @@ def test_the_last_bit_of_a_mean_decides_nothing(spark):
     for means in ((0.3, 0.1 + 0.2), (0.1 + 0.2, 0.3)):
         d = spark.createDataFrame([(1, k, 7 * k + 6, 7, m) for k, m in enumerate([*means, *[0.01] * 5])], "video_id long, shot_id int, end_f int, length int, mean double")
         assert [r.shot_id for r in S.budget_knapsack(d, 0.15).collect()] == [0]
+
+
+def test_edits_use_the_whole_budget(spark):
+    """30 seconds of up to eight clips, not 20 of six."""
+    rows = entry.queries()["greedy_clip_selection"](spark, "/root/testdata/sf0.001").collect()
+    length = {}
+    for r in rows:
+        length[r.video_id] = length.get(r.video_id, 0.0) + r["end"] - r["start"]
+    assert 20.001 < max(length.values()) < 30.001 and all(r["end"] - r["start"] > 2 - 1e-6 for r in rows)

@@ -49,10 +49,14 @@ FROM s JOIN rk r ON r.video_id = s.video_id AND r.rn = s.rn + 1 WHERE NOT s.stop
 """
 
 
-@query("greedy_clip_selection", "frames", GROWN + PLACED + merge_sql("m", "pl", 0.5, ", arg_max(peak, round(score, 9) - s * 1e-12) AS peak, sum(score * (e - s)) / sum(e - s) AS score, CAST(count(*) AS INT) AS merged") + 'SELECT video_id, round(s, 6) AS start, round(e, 6) AS "end", round(peak, 6) AS peak, round(score, 6) AS score, merged FROM m')
+# the edit of `greedy_clip_selection`: 30 seconds, eight clips, two seconds at least
+EDIT = PLACED.replace("CAST(20 AS DOUBLE) AS room", "CAST(30 AS DOUBLE) AS room").replace("1.5", "2").replace("len(s.taken) < 6", "len(s.taken) < 8")
+
+
+@query("greedy_clip_selection", "frames", GROWN + EDIT + merge_sql("m", "pl", 0.5, ", arg_max(peak, round(score, 9) - s * 1e-12) AS peak, sum(score * (e - s)) / sum(e - s) AS score, CAST(count(*) AS INT) AS merged") + 'SELECT video_id, round(s, 6) AS start, round(e, 6) AS "end", round(peak, 6) AS peak, round(score, 6) AS score, merged FROM m')
 def greedy_clip_selection(spark, sf):
-    """Clips of each video under a budget of 20 seconds."""
-    d = S.greedy_clip_selection(T.peak_grow(frames(spark, sf)).withColumnRenamed("frame_score", "score"))
+    """Clips of each video under a budget of 30 seconds."""
+    d = S.greedy_clip_selection(T.peak_grow(frames(spark, sf)).withColumnRenamed("frame_score", "score"), target=30.0, most=8, least=2.0)
     return d.select("video_id", *[r6(c).alias(c) for c in ("start", "end", "peak", "score")], "merged")
 
 
