@@ -266,6 +266,17 @@ def overlap_chunks(df: DataFrame, size: int, stride: int, last: bool = True) ->
     return e.select("video_id", "chunk", "idx", (F.col("idx") < F.col("n")).alias("valid"))
 
 
+def chunks_of(df: DataFrame, size: int, stride: int) -> DataFrame:
+    """df with `chunks`: the numbers of the `overlap_chunks` that hold a row (idx from 0 without gaps), by arithmetic on its place."""
+    n, idx = F.count("*").over(video()), F.col("idx")
+    regular = F.when(n <= size, 1).otherwise(F.floor((n - size) / stride) + 1)
+    low, high = F.greatest(F.ceil((idx - size + 1) / stride), F.lit(0)), F.least(F.floor(idx / stride), regular - 1)
+    d = df.withColumns({"low__": low, "high__": high, "more__": F.when((n > size) & ((n - size) % stride != 0) & (idx >= n - size), F.array(regular))})
+    none = F.array().cast("array<bigint>")
+    own = F.when(F.col("low__") <= F.col("high__"), F.sequence("low__", "high__")).otherwise(none)
+    return d.withColumn("chunks", F.concat(own, F.coalesce("more__", none))).drop("low__", "high__", "more__")
+
+
 def position_fill(picks: DataFrame, n_frames: str = "n_frames") -> DataFrame:
     """video_id, frame, score: each pick's score up to the next pick; the last one up to the video's end."""
     by = Window.partitionBy("video_id").orderBy("pick")
