@@ -135,9 +135,7 @@ def logs_reloaded(spark, log):
     """Each run's log as a folder of its own, and all of them read back; a task writes the folders of many runs."""
     path = IO.shared_folder(spark)
     runs = log.select("run", F.col("step").alias("Step"), F.col("value").cast("double").alias("Value"))
-    runs.withColumn("x", F.concat(F.lit("run_"), F.col("run"))).drop("run").write.partitionBy("x").csv(path, header=True)
-    d = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema="Step int, Value double")
-    assert d.columns == ["Step", "Value"]
+    IO.write_each(runs.withColumn("x", F.concat(F.lit("run_"), F.col("run"))).drop("run"), "x", "csv", path, header=True)
     return IO.read_scalars(spark, path)
 
 
@@ -163,9 +161,11 @@ def transcript_segments_io(spark, sf):
     path, s = IO.shared_folder(spark), segments(spark, sf)
     s.select("video_id", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "text").write.json(f"{path}/json")
     line = F.concat(F.lit("["), mmss(F.col("seg_start")), F.lit("] "), F.regexp_replace("text", "\n", " "))
-    s.select("video_id", line.alias("line")).write.partitionBy("video_id").text(f"{path}/text")  # one transcript a video
+    IO.write_each(s.select("video_id", line.alias("line")), "video_id", "text", f"{path}/text")  # one transcript a video
     d = spark.read.schema("video_id long, start double, end double, text string").json(f"{path}/json")
-    said = spark.read.schema("value string, video_id long").text(f"{path}/text").select("video_id", F.regexp_extract("value", r"^\[\d+:\d\d\] (.*)$", 1).alias("text"))
+    with IO.few_listers(spark):
+        said = spark.read.schema("value string, video_id long").text(f"{path}/text")
+    said = said.select("video_id", F.regexp_extract("value", r"^\[\d+:\d\d\] (.*)$", 1).alias("text"))
     totals = lambda x: x.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     return totals(d).intersect(totals(said))  # both forms read back the same
 
@@ -174,7 +174,8 @@ def stored_media(spark, v):
     """stem, ext of the files found after each video's are written; a task writes those of many videos."""
     path = IO.shared_folder(spark)
     kinds = F.when(F.col("video_id").cast("long") % 2 == 0, F.array(F.lit("mp4"), F.lit("webm"), F.lit("txt"))).otherwise(F.array(F.lit("mp4"), F.lit("txt")))
-    v.select(F.concat(F.lit("v"), "video_id").alias("stem"), F.explode(kinds).alias("e"), F.lit("x").alias("body")).select(F.concat_ws(".", "stem", "e").alias("file"), "body").write.partitionBy("file").text(path)
+    files = v.select(F.concat(F.lit("v"), "video_id").alias("stem"), F.explode(kinds).alias("e"), F.lit("x").alias("body"))
+    IO.write_each(files.select(F.concat_ws(".", "stem", "e").alias("file"), "body"), "file", "text", path)
     return IO.media_inventory(spark, path).select(F.regexp_replace("stem", "^file=", "").alias("stem"), "ext")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
+def write_each(df: DataFrame, by: str, form: str, path: str, **options) -> None:
+    """A folder of `path` for each value of `by`, each written by one task, as many at a time as the session shuffles to.
+
+    Small rows with a file each are work by number and not by bytes, so adaptive execution must not put them into one task; and files move to their place as their task
+    commits, not one by one in the driver at the end.
+    """
+    d = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    d.write.partitionBy(by).options(**{"mapreduce.fileoutputcommitter.algorithm.version": "2"}, **options).format(form).save(path)
+
+
+@contextmanager
+def few_listers(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks a core with many folders each, and not by a task a folder."""
+    key, old = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.conf.set(key, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """split, role, video_id of JSON lines {split, train_keys, test_keys}; a split may have several lines."""
     d = spark.read.schema("split int, train_keys array<string>, test_keys array<string>").json(path)
@@ -117,7 +140,8 @@ def concat_complete(spark: SparkSession, paths: list[str], schema: str, key: str
 
 def read_scalars(spark: SparkSession, path: str) -> DataFrame:
     """run, step, value of logs (Step, Value), the run from the folder name run_<label>."""
-    d = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema="Step int, Value double")
+    with few_listers(spark):
+        d = spark.read.option("recursiveFileLookup", True).csv(path, header=True, schema="Step int, Value double")
     return d.select(F.regexp_extract(F.input_file_name(), r"run_([^/]+)/", 1).alias("run"), F.col("Step").alias("step"), F.col("Value").alias("value"))
 
 
@@ -130,7 +154,8 @@ def nested_results(clips: DataFrame) -> DataFrame:
 
 def media_inventory(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("webm", "mp4")) -> DataFrame:
     """stem, ext, path, length: one file a stem by priority of extension. File contents aren't read."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    with few_listers(spark):
+        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     d = d.select("path", "length", F.regexp_extract("path", r"([^/]+)\.([a-z0-9]+)/[^/]+$", 1).alias("stem"), F.regexp_extract("path", r"([^/]+)\.([a-z0-9]+)/[^/]+$", 2).alias("ext")).where(F.col("ext").isin(*extensions))
     order = F.array_position(F.array(*map(F.lit, extensions)), F.col("ext"))
     return d.withColumn("r", F.row_number().over(Window.partitionBy("stem").orderBy(order, "path"))).where("r = 1").drop("r")
