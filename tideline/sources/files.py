@@ -33,7 +33,7 @@ def write_each(df: DataFrame, by: str, form: str, path: str, **options) -> None:
     Small rows with a file each are work by number and not by bytes, so adaptive execution must not put them into one task; and files move to their place as their task
     commits, not one by one in the driver at the end.
     """
-    d = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+    d = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(by))  # by a hash: a shuffle by the column itself would fall away where there is one
     d.write.partitionBy(by).options(**{"mapreduce.fileoutputcommitter.algorithm.version": "2"}, **options).format(form).save(path)
 
 
