@@ -7,7 +7,7 @@ from tideline.operators import timeline as T
 from tideline.plans.registry import query
 from tideline.plans.timeline import decay_sql, gauss_sql, merge_sql, runs_sql, scaled_sql
 from tideline.sources.files import shared_folder
-from tideline.sources.views import frames, video
+from tideline.sources.views import frames, table, video
 from tideline.streaming import streams as S
 
 
@@ -23,11 +23,16 @@ def ended(spark, sf, delay_hours: int):
 BITEMPORAL = decay_sql("frames", "score", 0.9, "d") + gauss_sql("d", "v", 2.0, "g") + scaled_sql("g")
 
 
+def groups(spark, sf) -> int:
+    """Groups of videos whose state is kept together."""
+    return S.groups_of(spark, table(spark, sf, "events").count())
+
+
 @query("stream_incremental_scores", "frames", BITEMPORAL)
 @query("stream_incremental_curve", "frames", BITEMPORAL)
 def stream_incremental_scores(spark, sf):
     """The calibrated curves after the last batch, kept up from each video's open tail; the same as in one batch."""
-    return S.incremental_bitemporal(spark, S.replay(spark, timed(spark, sf))).select("video_id", "idx", r6("calibrated").alias("calibrated"))
+    return S.incremental_bitemporal(spark, S.replay(spark, timed(spark, sf)), groups=groups(spark, sf)).select("video_id", "idx", r6("calibrated").alias("calibrated"))
 
 
 #: Every chunk's window as a curve of its own: scored anew, averaged by frame; then the segments of the averaged curve.
@@ -50,7 +55,7 @@ SELECT video_id, idx, CAST(n AS INT) AS n, round(mean, 6) AS mean, CAST(s AS DOU
 def stream_trailing_buffer(spark, sf):
     """The averaged curve of trailing buffers scored anew with every eight frames, with the event that a frame is in."""
     stream = S.replay(spark, timed(spark, sf).withColumn("n_frames", F.count("*").over(video())))
-    c = S.trailing_curve(spark, stream)
+    c = S.trailing_curve(spark, stream, groups=groups(spark, sf))
     inside = T.rows_inside(T.threshold_segments(c, "mean", 0.4), c.select("video_id", "idx"), "idx")
     events = inside.select("video_id", "idx", F.col("start").alias("event_start"), F.col("end").alias("event_end"))
     return c.join(events, ["video_id", "idx"], "left").select("video_id", "idx", "n", r6("mean").alias("mean"), "event_start", "event_end")
@@ -97,7 +102,7 @@ def stream_session_merge(spark, sf):
 def stream_extend_clip(spark, sf):
     f = frames(spark, sf).select("video_id", F.floor(F.col("idx") / 4.0).cast("long").alias("segment"), "gt", F.col("ts").cast("timestamp").alias("ts"))
     segments = f.groupBy("video_id", "segment").agg((F.max("gt") > 0.8).alias("hit"), F.max("ts").alias("ts"))
-    out = S.run_to_table(spark, S.extend_clips(S.replay(spark, segments)))
+    out = S.run_to_table(spark, S.extend_clips(S.replay(spark, segments), groups(spark, sf)))
     return out.groupBy("video_id", "clip").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
