@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,31 @@ def test_phrases(spark, monkeypatch, hot_rows, bucket_rows, hot_pairs):
     assert got == plain_phrases(rows, 7, 40)
 
 
+class Passing:
+    """A filter that all keys pass, or none, in place of a shared one."""
+
+    def __init__(self, all_pass):
+        self.value = lambda keys: np.full(len(keys), all_pass)
+
+
+@pytest.mark.parametrize("runs_pass,held_rows", [(True, 1 << 18), (False, 1 << 18), (True, 4)])
+def test_a_task_sends_each_suffix_once(monkeypatch, runs_pass, held_rows):
+    """Rows of a task follow its distinct suffixes and not its slices; a run of three that isn't frequent cuts a suffix; what isn't held any longer is sent in parts."""
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 64)
+    monkeypatch.setattr(collocations, "HELD_ROWS", held_rows)
+    texts = ["a new york city of the deep sea", "of the new york city", "one"] * 40
+    batch = pa.record_batch({"lang": pa.array(["en"] * len(texts)), "text": pa.array(texts)})
+    sent = [pa.Table.from_batches([b]) for b in collocations._suffixes(Passing(True), Passing(runs_pass), 30, None, 5)(iter([batch.slice(0, 50), batch.slice(50)]))]
+    want = Counter(tuple(w[i : i + (5 if runs_pass else 2)]) for t in texts for w in [t.split()] for i in range(len(w) - 1))
+    got = pa.concat_tables(sent).select([f"w{k + 1}" for k in range(collocations.DEPTH)] + ["n"]).to_pylist()
+    counts = Counter()
+    for r in got:
+        counts[tuple(r[f"w{k + 1}"] for k in range(collocations.DEPTH))] += r["n"]
+    assert sorted(counts.values()) == sorted(want.values())
+    assert sorted(sum(x != 0 for x in c) for c in counts) == sorted(map(len, want))
+    assert len(got) == len(want) if held_rows > 4 else len(got) > len(want)
+
+
 def test_covering_share_and_empty_tables(spark):
     rows = phrase_rows(2, 120)
     got = sorted(map(tuple, collocations.collocations(docs(spark, rows), least=5, most=1000, percent=60).collect()))

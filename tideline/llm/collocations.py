@@ -1,17 +1,19 @@
 """Phrases that are more frequent than their parts would make them: suffix pointers, sorted by multikey three-way quicksort.
 
 A text's pieces (between marks of punctuation and line ends) are runs of words; a phrase is a run of up to five words of a piece, and every place in a piece is
-a suffix pointer. Everything is counted by language. Three passes over the texts:
+a suffix pointer. Everything is counted by language. Four passes over the texts:
 
 1. Words are counted, exactly, by their text. From here on a word is a 64-bit key of its language and bytes.
 2. Pairs of neighbours that are frequent words are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is too high
-   is settled in pass 3.
-3. A suffix is cut where its next pair isn't frequent: no frequent phrase reaches beyond. Suffixes of two words or more are routed by their leading two, so all
+   is settled in pass 4.
+3. Runs of three words, of which both pairs are frequent, are counted in the same way.
+4. A suffix is cut where its next pair or run of three isn't frequent: no frequent phrase reaches beyond. What is left repeats, so a task adds up its equal suffixes
+   (HELD_ROWS of them at once) before it sends them. Suffixes of two words or more are routed by their leading two, so all
    of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most. A partition of equal words
    is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
 
 Buckets have a bounded size: a pair with more than HOT_ROWS places is routed by its whole suffix, its partial counts are kept whatever their size, and one more grouped sum
-adds them up. Frequent words and pairs reach the tasks as Bloom filters of at most 32 MB; larger vocabularies make a filter less sharp, never wrong,
+adds them up. Frequent words, pairs and runs reach the tasks as Bloom filters of at most 32 MB; larger vocabularies make a filter less sharp, never wrong,
 because what passes by mistake is infrequent and abandoned in its bucket. Keys of 64 bits stand for words after the first pass, so counts are exact unless two words of
 the table share a key. Scores are whole numbers from decimals of 38 digits.
 
@@ -41,8 +43,10 @@ PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SLICE_BYTES = 1 << 22
 #: Rows of a bucket; a pair with more places than HOT_ROWS is dealt to several buckets. Hot pairs that a task is told of: beyond so many, every pair counts as hot.
 BUCKET_ROWS, HOT_ROWS, HOT_PAIRS = 400_000, 200_000, 1_000_000
-#: Words of the table for each range of pair keys; a range is summed at once.
-PAIR_RANGE = 50_000
+#: Different suffixes that a task holds before it sends them, about.
+HELD_ROWS = 1 << 18
+#: Words of the table for each range of pair keys; a range is summed at once. Every slice sends a row for each range, so ranges are to be few.
+PAIR_RANGE = 1_000_000
 #: 64-bit words of a filter: so many at most (32 MB).
 FILTER_WORDS = 1 << 22
 
@@ -127,6 +131,10 @@ def pair_keys(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return joined_keys(a, b) >> np.uint64(64 - bits)
 
 
+def run_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
+    return pair_keys(joined_keys(a, b), c, bits)
+
+
 class Filter:
     """A Bloom filter over 64-bit keys, made by a grouped bit_or: three bits of one word a key. Its size follows the count of keys, to FILTER_WORDS."""
 
@@ -155,20 +163,29 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
-def _count_pairs(words, bits: int, ranges: int):
-    """bucket, keys, n of a slice's distinct pairs of words that pass the filter: a row for each range of keys, with the differences of neighbouring keys, and counts."""
+def _count_pairs(words, bits: int, ranges: int, pairs=None):
+    """bucket, keys, n of a slice's distinct pairs of words that pass the filter: a row for each range of keys, with the differences of neighbouring keys, and counts.
+
+    With the filter `pairs`, those of its runs of three words of which both pairs pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
                 good = words.value(key)
                 at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-                pairs, n = np.unique(pair_keys(key[at], key[at + 1], bits), return_counts=True)
-                bucket = (pairs >> np.uint64(bits - ranges.bit_length() + 1)).astype(np.int64)
-                begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(pairs) else np.zeros(0, np.int64)
-                step = np.diff(pairs, prepend=np.uint64(0))
-                step[begin] = pairs[begin]
-                cuts = [*begin.tolist(), len(pairs)]
+                found = pair_keys(key[at], key[at + 1], bits)
+                if pairs is not None:
+                    linked = np.zeros(len(key) + 1, bool)
+                    linked[at] = pairs.value(_bytes.mix(found))
+                    at = np.flatnonzero(linked[:-1] & linked[1:])
+                    found = run_keys(key[at], key[at + 1], key[at + 2], bits)
+                found, n = np.unique(found, return_counts=True)
+                bucket = (found >> np.uint64(bits - ranges.bit_length() + 1)).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(found) else np.zeros(0, np.int64)
+                step = np.diff(found, prepend=np.uint64(0))
+                step[begin] = found[begin]
+                cuts = [*begin.tolist(), len(found)]
                 yield pa.record_batch({
                     "bucket": pa.array(bucket[begin]), "keys": pa.array([_packed(step[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()), "n": pa.array([_packed(n[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()),
                 })
@@ -192,34 +209,59 @@ def _sum_pairs(least: int):
     return run
 
 
-def _suffixes(pairs, bits: int, hot: np.ndarray | None, buckets: int):
-    """bucket, hot, w1 to w5, n of a slice's distinct suffixes of two words or more, cut where a pair doesn't pass the filter (0: no word)."""
+def _slice_suffixes(key: np.ndarray, goes_on: np.ndarray, pairs, runs, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, words, n): keys, words (DEPTH columns; 0: no word) and counts of a slice's distinct suffixes of two words or more, cut where a pair or a run of three doesn't pass its filter."""
+    n = len(key)
+    linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
+    linked[: n - 1] = goes_on[1:]
+    linked[: n - 1] &= pairs.value(_bytes.mix(pair_keys(key[:-1], key[1:], bits)))
+    run = linked.copy()  # whether it goes on to the one after that, by a run that may be frequent
+    run[:-1] &= linked[1:]
+    three = np.flatnonzero(run)
+    run[three] = runs.value(_bytes.mix(run_keys(key[three], key[three + 1], key[three + 2], bits)))
+    at = np.flatnonzero(linked)
+    w = np.zeros((len(at), DEPTH), np.uint64)
+    w[:, 0], w[:, 1], goes = key[at], key[at + 1], np.ones(len(at), bool)
+    whole = joined_keys(w[:, 0], w[:, 1])
+    for k in range(2, DEPTH):
+        goes &= run[at + k - 2]
+        w[goes, k] = key[at[goes] + k]
+        whole = joined_keys(whole, w[:, k])
+    whole, one, count = np.unique(whole, return_index=True, return_counts=True)
+    return whole, w[one], count
+
+
+def _added_up(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal suffixes of several slices as one, with the sum of their counts."""
+    whole, one, of = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    return whole, np.concatenate([p[1] for p in parts])[one], np.bincount(of, np.concatenate([p[2] for p in parts]), len(whole)).astype(np.int64)
+
+
+def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int):
+    """bucket, hot, w1 to w5, n of a task's suffixes (`_slice_suffixes`), equal ones added up as far as HELD_ROWS reach."""
+
+    def sent(parts: list[tuple]) -> pa.RecordBatch:
+        whole, w, count = _added_up(parts)
+        lead = _bytes.mix(pair_keys(w[:, 0], w[:, 1], bits))
+        order = np.argsort(lead)  # neighbours that begin alike take less room in a shuffle
+        whole, w, count, lead = whole[order], w[order], count[order], lead[order]
+        warm = np.ones(len(lead), bool) if hot is None else np.isin(lead, hot)
+        bucket = (np.where(warm, whole, lead) % np.uint64(buckets)).astype(np.int32)
+        columns = {f"w{k + 1}": pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(DEPTH)}
+        return pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(warm)} | columns | {"n": pa.array(count)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
-                n = len(key)
-                pair = np.zeros(n, np.uint64)
-                pair[:-1] = _bytes.mix(pair_keys(key[:-1], key[1:], bits))
-                linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
-                linked[: n - 1] = goes_on[1:]
-                linked[:n] &= pairs.value(pair)
-                at = np.flatnonzero(linked[:n])
-                if not len(at):
-                    continue
-                w = np.zeros((DEPTH, len(at)), np.uint64)
-                w[0], goes, whole = key[at], np.ones(len(at), bool), key[at]
-                for k in range(1, DEPTH):
-                    goes &= linked[at + k - 1]
-                    w[k, goes] = key[at[goes] + k]
-                    whole = joined_keys(whole, w[k])
-                _, one, count = np.unique(whole, return_index=True, return_counts=True)
-                order = np.argsort(pair[at[one]])  # neighbours that begin alike take less room in a shuffle
-                one, count = one[order], count[order]
-                lead = pair[at[one]]
-                warm = np.ones(len(one), bool) if hot is None else np.isin(lead, hot)
-                bucket = (np.where(warm, whole[one], lead) % np.uint64(buckets)).astype(np.int32)
-                yield pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(warm)} | {f"w{k + 1}": pa.array(w[k, one].view(np.int64)) for k in range(DEPTH)} | {"n": pa.array(count)})
+                held.append(_slice_suffixes(key, goes_on, pairs, runs, bits))
+                if sum(len(h[0]) for h in held) > HELD_ROWS:
+                    held = [_added_up(held)]
+                    if len(held[0][0]) > HELD_ROWS // 2:  # too many differ
+                        yield sent(held)
+                        held = []
+        if held:
+            yield sent(held)
 
     return run
 
@@ -295,17 +337,21 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     n_words = languages.agg(F.sum("n")).first()[0] or 0
     bits = pair_bits(n_words)
     ranges = 1 << max((n_words // PAIR_RANGE).bit_length(), 6)
-    sent = docs.mapInArrow(_count_pairs(shared, bits, ranges), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-    pairs = sent.mapInArrow(_sum_pairs(least), "key long, n long")
     spread = F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())
-    pairs = cut(pairs.select(spread("key").alias("key"), "n"))
+
+    def counted_runs(*filters) -> DataFrame:
+        sent = docs.mapInArrow(_count_pairs(shared, bits, ranges, *filters), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+        return cut(sent.mapInArrow(_sum_pairs(least), "key long, n long").select(spread("key").alias("key"), "n"))
+
+    pairs = counted_runs()
 
     places, n_hot = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT_ROWS, 1))).first()
     hot = None if n_hot > HOT_PAIRS else pairs.where(F.col("n") > HOT_ROWS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     buckets = int(places // BUCKET_ROWS) + 1
-    shared = _shared(spark, pairs.select("key"))
+    good_pairs = _shared(spark, pairs.select("key"))
+    good_runs = _shared(spark, counted_runs(good_pairs).select("key"))
     columns = ", ".join(f"w{k + 1} long" for k in range(DEPTH))
-    routed = docs.mapInArrow(_suffixes(shared, bits, hot, buckets), f"bucket int, hot boolean, {columns}, n long")
+    routed = docs.mapInArrow(_suffixes(good_pairs, good_runs, bits, hot, buckets), f"bucket int, hot boolean, {columns}, n long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     longer = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(least), "words array<long>, n long")
     longer = longer.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
