@@ -1,6 +1,7 @@
 """Draws without a list of pairs, the pivot index and one-to-one matches, against plain versions."""
 
 import collections
+import hashlib
 import random
 
 import numpy as np
@@ -39,6 +40,29 @@ def test_margin_pairs(spark, margin):
             assert len({i for i, _ in got[v]}) > 0.5 * len({i for i, _ in pairs})
 
 
+@pytest.mark.parametrize("bits", [3, 10])
+def test_margin_pairs_by_number(spark, monkeypatch, bits):
+    """The very pairs of the drawn numbers, with a video's places in one block and in many; no window or sort for the draws."""
+    monkeypatch.setattr(J, "PLACE_BITS", bits)
+    rng = random.Random(9)
+    rows = [(v, k, None if rng.random() < 0.05 else rng.randint(0, 20) / 20, rng.random()) for v, size in ((1, 9), (2, 70), (3, 1)) for k in range(size)]
+    want = set()
+    for v in (1, 2, 3):
+        mine = [r for r in rows if r[0] == v and r[2] is not None]
+        near = lambda a, b: b[2] <= a[2] - 0.3
+        pairs = [(a[2], a[1], not near(a, b), b[2], b[1]) for a in mine for b in mine if near(a, b) or (a[2] > 0.7 and b[3] > 0.6 and b[2] < 0.2)]
+        n, m = len(pairs), min(len(pairs), 120)
+        for t in range(m):
+            low, high = t * n // m, (t + 1) * n // m
+            u = int(hashlib.md5(f"{v}|{t}|7".encode()).hexdigest()[:8], 16) / 4294967296
+            p = sorted(pairs)[low + int(u * (high - low))]
+            want.add((v, p[1], p[4]))
+    d = J.draw_margin_pairs(spark.createDataFrame(rows, "video_id long, idx int, gt double, score double"), 0.3, 120, 7)
+    got = [tuple(r) for r in d.collect()]
+    assert len(got) == len(set(got)) > 120 and set(got) == want
+    assert "Window" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pivots_lose_nothing_and_spare_products(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 24))

@@ -226,12 +226,17 @@ def draw_valleys(peaks: DataFrame, valleys: DataFrame, seed: int) -> DataFrame:
     return some.unionByName(_last_at(v.where("below > 0"), "start", ["valley"], far, "x").select("video_id", "peak", "valley"))
 
 
+#: Places of a video's rows that one array holds, as bits.
+PLACE_BITS = 10
+
+
 def draw_margin_pairs(rows: DataFrame, margin: float, most: int, seed: int, hard_chosen: float = 0.7, hard_score: float = 0.6, hard_rejected: float = 0.2) -> DataFrame:
     """video_id, i, j: up to `most` pairs of a video's rows (video_id, idx, gt, score) with gt_j <= gt_i - margin, or hard negatives (gt_i > hard_chosen, score_j > hard_score, gt_j < hard_rejected).
 
     Pairs are numbered, not listed: with rows in order of gt, row i's partners by margin are the first c_i of all rows, and its further hard ones are neighbours among
-    the hard rows. So c_i and the count of these number all N pairs. A video with more than `most` draws one number in each of `most` stretches of equal length of [0, N); a number gives i by a look-up in
-    the running sums, and j by its place.
+    the hard rows. So c_i and the count of these number all N pairs, and row i has the numbers from its running sum on. A video with more than `most` draws one number in each
+    of `most` stretches of equal length of [0, N): a row lists the stretches that its numbers touch, and keeps the drawn numbers that are its own, as one array. j is read at
+    its place in the video's rows, which are kept in blocks of 2^PLACE_BITS: a row meets the blocks that its numbers touch, and draws become rows of their own only after that.
     """
     from tideline.operators.graph import cut_lineage
 
@@ -242,15 +247,26 @@ def draw_margin_pairs(rows: DataFrame, margin: float, most: int, seed: int, hard
     d = d.withColumns({"c": upto("count(*)"), "h": F.coalesce(upto("sum(hard)"), F.lit(0)), "hards": F.sum("hard").over(Window.partitionBy("video_id"))})
     d = d.withColumn("more", F.when(F.col("gt") > hard_chosen, F.col("hards") - F.col("h")).otherwise(0)).withColumn("n", F.col("c") + F.col("more"))
     run = F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumns({"start": run - F.col("n"), "k": F.row_number().over(place) - 1, "hk": F.sum("hard").over(place.rowsBetween(Window.unboundedPreceding, 0)) - 1})
-    d = cut_lineage(d.select("video_id", "idx", "c", "h", "n", "start", "k", "hk", "hard"))  # read four times, its windows run once
-    total = d.groupBy("video_id").agg(F.sum("n").alias("N")).where("N > 0")
-    t = total.select("video_id", "N", F.least("N", F.lit(most)).alias("m")).select("video_id", "N", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("t"))
-    low, high = F.expr("t * N div m"), F.expr("(t + 1) * N div m")
-    numbers = t.select("video_id", (low + F.floor(unit_number("video_id", "t", seed=seed) * (high - low))).alias("p"))
-    got = _last_at(d.where("n > 0"), "start", ["start", "idx", "c", "h"], numbers, "p").withColumn("o", F.col("p") - F.col("start"))
-    # partners stand at a place among all rows or among the hard ones
-    asked = got.select("video_id", F.col("idx").alias("i"), F.expr("o >= c").alias("hard"), F.expr("if(o < c, o, h + o - c)").alias("place"))
-    places = d.select("video_id", F.lit(False).alias("hard"), F.col("k").cast("long").alias("place"), F.col("idx").alias("j"))
-    places = places.unionByName(d.where("hard = 1").select("video_id", F.lit(True).alias("hard"), F.col("hk").alias("place"), F.col("idx").alias("j")))
-    return asked.join(places, ["video_id", "hard", "place"]).select("video_id", "i", "j")
+    of_video = Window.partitionBy("video_id")
+    d = d.withColumns({"start": run - F.col("n"), "whole": F.sum("n").over(of_video), "size": F.count("*").over(of_video), "k": F.row_number().over(place) - 1, "hk": F.sum("hard").over(place.rowsBetween(Window.unboundedPreceding, 0)) - 1})
+    d = cut_lineage(d.select("video_id", "idx", "c", "h", "n", "start", "whole", "size", "k", "hk", "hard"))  # read twice, its windows run once
+    m, whole = F.least("whole", F.lit(most)), F.col("whole")
+
+    def drawn(t: Column) -> Column:
+        low, high = F.call_function("div", t * whole, m), F.call_function("div", (t + 1) * whole, m)
+        return low + F.floor(unit_number("video_id", t, seed=seed) * (high - low)) - F.col("start")
+
+    # number p is in stretch t where t * whole div m <= p < (t + 1) * whole div m: the last t with t * whole < m * (p + 1)
+    touched = F.sequence(F.call_function("div", m * (F.col("start") + 1) - 1, whole), F.call_function("div", m * (F.col("start") + F.col("n")) - 1, whole))
+    own = F.filter(F.transform(touched, drawn), lambda o: (o >= 0) & (o < F.col("n")))
+    # partners stand at a place among all rows or, after these, among the hard ones
+    own = F.transform(own, lambda o: F.when(o < F.col("c"), o).otherwise(F.col("size") + F.col("h") + o - F.col("c")))
+    block = lambda p: F.shiftright(p, PLACE_BITS)
+    asked = spread(d.where("n > 0"), "video_id", "idx").select("video_id", F.col("idx").alias("i"), "size", own.alias("own"))
+    one = F.col("size") <= 1 << PLACE_BITS - 1  # all places of a short video, hard ones too, are in one block
+    asked = asked.select("video_id", "i", "own", F.explode(F.when(one, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform("own", block)))).alias("block"))
+    places = d.select("video_id", "idx", F.explode(F.when(F.col("hard") == 1, F.array(F.col("k").cast("long"), F.col("size") + F.col("hk"))).otherwise(F.array(F.col("k").cast("long")))).alias("place"))
+    blocks = places.groupBy("video_id", block(F.col("place")).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "idx"))), lambda s: s["idx"]).alias("js"))
+    # merged, as sizes are estimated without the draws; outer, as an inner explode would be checked for emptiness before, by all hashes once more
+    met = asked.join(blocks.hint("merge"), ["video_id", "block"]).select("video_id", "i", "block", "js", F.explode_outer("own").alias("p"))
+    return met.where(block(F.col("p")) == F.col("block")).select("video_id", "i", F.get("js", F.col("p").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")).alias("j"))
