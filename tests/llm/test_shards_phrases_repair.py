@@ -169,6 +169,29 @@ def test_phrases(spark, monkeypatch, hot_rows, bucket_rows, hot_pairs):
     assert got == plain_phrases(rows, 7, 40)
 
 
+@pytest.mark.parametrize("known_words", [1 << 22, 4])
+def test_tasks_send_no_suffix_that_is_counted_before(spark, monkeypatch, known_words):
+    """Pairs are counted in the second pass, so tasks send no suffixes of two words; but those of pairs with words that have no number."""
+    monkeypatch.setattr(collocations, "KNOWN_WORDS", known_words, raising=False)
+    inner, sent = collocations._suffixes, spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        run = inner(*args)
+
+        def counted(batches):
+            for batch in run(batches):
+                sent.add(sum(w == 0 for w in batch["w3"].to_pylist()))
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(collocations, "_suffixes", counting)
+    rows = phrase_rows(3)
+    got = sorted(map(tuple, collocations.collocations(docs(spark, rows), least=7, most=1000).collect()))
+    assert got == plain_phrases(rows, 7, 1000)
+    assert (sent.value == 0) == (known_words > 4)
+
+
 class Passing:
     """A filter that all keys pass, or none, in place of a shared one."""
 

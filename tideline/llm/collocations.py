@@ -4,17 +4,19 @@ A text's pieces (between marks of punctuation and line ends) are runs of words;
 a suffix pointer. Everything is counted by language. Four passes over the texts:
 
 1. Words are counted, exactly, by their text. From here on a word is a 64-bit key of its language and bytes.
-2. Pairs of neighbours that are frequent words are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is too high
-   is settled in pass 4.
-3. Runs of three words, of which both pairs are frequent, are counted in the same way.
+2. Frequent words have numbers, and pairs of neighbours that are frequent words are counted by their two numbers: exactly, and the words can be told from the count's key.
+3. Runs of three words, of which both pairs are frequent, are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is
+   too high is settled in pass 4.
 4. A suffix is cut where its next pair or run of three isn't frequent: no frequent phrase reaches beyond. What is left repeats, so a task adds up its equal suffixes
-   (HELD_ROWS of them at once) before it sends them. Suffixes of two words or more are routed by their leading two, so all
+   (HELD_ROWS of them at once) before it sends them. Most suffixes are cut after two words; no task sends these, as pass 2 has told how many places a pair has: one row of
+   each pair joins the longer suffixes, and what these leave of its places are the suffixes that end there. Suffixes are routed by their leading two words, so all
    of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most. A partition of equal words
    is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
 
-Buckets have a bounded size: a pair with more than HOT_ROWS places is routed by its whole suffix, its partial counts are kept whatever their size, and one more grouped sum
-adds them up. Frequent words, pairs and runs reach the tasks as Bloom filters of at most 32 MB; larger vocabularies make a filter less sharp, never wrong,
-because what passes by mistake is infrequent and abandoned in its bucket. Keys of 64 bits stand for words after the first pass, so counts are exact unless two words of
+Buckets have a bounded size: a pair with more than HOT_ROWS places is routed by its whole suffix (those of two words too), its partial counts are kept whatever their size,
+and one more grouped sum adds them up. Frequent pairs and runs reach the tasks as Bloom filters of at most 32 MB; larger vocabularies make a filter less sharp, never wrong,
+because what passes by mistake is infrequent and abandoned in its bucket. Numbers take 32 MB at most too: of more than KNOWN_WORDS frequent words the rarer ones pass by a
+filter, and pairs with these are counted like runs and sent as suffixes. Keys of 64 bits stand for words after the first pass, so counts are exact unless two words of
 the table share a key. Scores are whole numbers from decimals of 38 digits.
 
 Null texts are empty, a null language is `und`. Long texts are read whole, and repeated rows count as often as they stand there; ties are ordered as the contract says, to the
@@ -49,6 +51,8 @@ HELD_ROWS = 1 << 18
 PAIR_RANGE = 1_000_000
 #: 64-bit words of a filter: so many at most (32 MB).
 FILTER_WORDS = 1 << 22
+#: Frequent words that have numbers, at most (32 MB of keys).
+KNOWN_WORDS = 1 << 22
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(PIECE_ENDS)] = True
@@ -154,6 +158,48 @@ class Filter:
         return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & mask == mask
 
 
+class Numbers:
+    """The numbers of frequent words, places among their sorted keys; and keys of pairs that these make, from which both words can be told."""
+
+    SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    GATHER = tuple(np.uint64(pow(m, -1, 1 << 64)) for m in SPREAD)
+
+    def __init__(self, words: DataFrame, count: int):
+        known = words.orderBy(F.desc("n"), "key").limit(KNOWN_WORDS) if count > KNOWN_WORDS else words
+        self.keys = np.sort(known.select("key").toArrow()["key"].to_numpy().view(np.uint64))
+        self.rest = Filter(words.select("key"), count) if count > KNOWN_WORDS else None
+        self.half = np.uint64(max(len(self.keys).bit_length(), 12))
+        self.bits = 2 * int(self.half) + (self.rest is not None)
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, -1 without one; and whether it may be frequent."""
+        if not len(self.keys):
+            return np.full(len(key), -1), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        at[~known] = -1
+        return at, known if self.rest is None else known | self.rest(key)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Keys of the pairs of words a and b, of the numbers i and j; those of words without a number are hashes, and beyond the others."""
+        mask = np.uint64((1 << 2 * int(self.half)) - 1)
+        x = (i.astype(np.uint64) << self.half | j.astype(np.uint64)) * np.uint64(self.SPREAD[0]) & mask
+        x = (x ^ x >> self.half) * np.uint64(self.SPREAD[1]) & mask
+        other = np.flatnonzero((i | j) < 0)
+        x[other] = pair_keys(a[other], b[other], self.bits - 1) | np.uint64(1 << self.bits - 1)
+        return x
+
+    def known(self, pair: np.ndarray) -> np.ndarray:
+        return pair >> np.uint64(2 * int(self.half)) == 0
+
+    def told(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both words of known pairs."""
+        mask = np.uint64((1 << 2 * int(self.half)) - 1)
+        x = pair * self.GATHER[1] & mask
+        x = (x ^ x >> self.half) * self.GATHER[0] & mask
+        return self.keys[x >> self.half], self.keys[x & mask >> self.half]
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers with their lowest bytes first, then the next ones, and so on: what is small leaves runs of zeros, which a shuffle's compression takes."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -163,18 +209,26 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
+def _linked(key: np.ndarray, goes_on: np.ndarray, bits: int, words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a slice's pairs of words that may be frequent, and the pairs' keys; all of its pairs, and hashes, where `words` is None."""
+    if words is None:
+        at = np.flatnonzero(goes_on[1:])
+        return at, pair_keys(key[at], key[at + 1], bits)
+    number, good = words.value(key)
+    at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
+    return at, words.value.pairs(key[at], key[at + 1], number[at], number[at + 1])
+
+
 def _count_pairs(words, bits: int, ranges: int, pairs=None):
-    """bucket, keys, n of a slice's distinct pairs of words that pass the filter: a row for each range of keys, with the differences of neighbouring keys, and counts.
+    """bucket, keys, n of a slice's distinct pairs of frequent words: a row for each range of keys, with the differences of neighbouring keys, and counts.
 
-    With the filter `pairs`, those of its runs of three words of which both pairs pass.
+    With the filter `pairs`, those of its runs of three words of which both pairs pass. `bits`: those of a key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
-                good = words.value(key)
-                at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-                found = pair_keys(key[at], key[at + 1], bits)
+                at, found = _linked(key, goes_on, bits, words)
                 if pairs is not None:
                     linked = np.zeros(len(key) + 1, bool)
                     linked[at] = pairs.value(_bytes.mix(found))
@@ -209,17 +263,24 @@ def _sum_pairs(least: int):
     return run
 
 
-def _slice_suffixes(key: np.ndarray, goes_on: np.ndarray, pairs, runs, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whole, words, n): keys, words (DEPTH columns; 0: no word) and counts of a slice's distinct suffixes of two words or more, cut where a pair or a run of three doesn't pass its filter."""
+def _slice_suffixes(key: np.ndarray, goes_on: np.ndarray, pairs, runs, bits: int, words=None, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, words, n): keys, words (DEPTH columns; 0: no word) and counts of a slice's distinct suffixes of two words or more, cut where a pair or a run of three doesn't pass its filter.
+
+    Without those of two words that `words` knows and that aren't hot: `_known_pairs` has these.
+    """
     n = len(key)
     linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
-    linked[: n - 1] = goes_on[1:]
-    linked[: n - 1] &= pairs.value(_bytes.mix(pair_keys(key[:-1], key[1:], bits)))
+    at, pair = _linked(key, goes_on, bits, words)
+    lead = _bytes.mix(pair)
+    passed = pairs.value(lead)
+    at, pair, lead = at[passed], pair[passed], lead[passed]
+    linked[at] = True
     run = linked.copy()  # whether it goes on to the one after that, by a run that may be frequent
     run[:-1] &= linked[1:]
     three = np.flatnonzero(run)
     run[three] = runs.value(_bytes.mix(run_keys(key[three], key[three + 1], key[three + 2], bits)))
-    at = np.flatnonzero(linked)
+    if words is not None and hot is not None:
+        at = at[run[at] | ~words.value.known(pair) | np.isin(lead, hot)]
     w = np.zeros((len(at), DEPTH), np.uint64)
     w[:, 0], w[:, 1], goes = key[at], key[at + 1], np.ones(len(at), bool)
     whole = joined_keys(w[:, 0], w[:, 1])
@@ -237,24 +298,25 @@ def _added_up(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole, np.concatenate([p[1] for p in parts])[one], np.bincount(of, np.concatenate([p[2] for p in parts]), len(whole)).astype(np.int64)
 
 
-def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int):
-    """bucket, hot, w1 to w5, n of a task's suffixes (`_slice_suffixes`), equal ones added up as far as HELD_ROWS reach."""
+def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int, words=None):
+    """bucket, hot, total, w1 to w5, n of a task's suffixes (`_slice_suffixes`), equal ones added up as far as HELD_ROWS reach."""
 
     def sent(parts: list[tuple]) -> pa.RecordBatch:
         whole, w, count = _added_up(parts)
-        lead = _bytes.mix(pair_keys(w[:, 0], w[:, 1], bits))
+        a, b = w[:, 0], w[:, 1]
+        lead = _bytes.mix(pair_keys(a, b, bits) if words is None else words.value.pairs(a, b, words.value(a)[0], words.value(b)[0]))
         order = np.argsort(lead)  # neighbours that begin alike take less room in a shuffle
         whole, w, count, lead = whole[order], w[order], count[order], lead[order]
         warm = np.ones(len(lead), bool) if hot is None else np.isin(lead, hot)
         bucket = (np.where(warm, whole, lead) % np.uint64(buckets)).astype(np.int32)
         columns = {f"w{k + 1}": pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(DEPTH)}
-        return pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(warm)} | columns | {"n": pa.array(count)})
+        return pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(warm), "total": pa.array(np.zeros(len(warm), bool))} | columns | {"n": pa.array(count)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
-                held.append(_slice_suffixes(key, goes_on, pairs, runs, bits))
+                held.append(_slice_suffixes(key, goes_on, pairs, runs, bits, words, hot))
                 if sum(len(h[0]) for h in held) > HELD_ROWS:
                     held = [_added_up(held)]
                     if len(held[0][0]) > HELD_ROWS // 2:  # too many differ
@@ -266,6 +328,29 @@ def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int):
     return run
 
 
+def _known_pairs(words, hot: np.ndarray, buckets: int):
+    """Rows like those of `_suffixes`, one of each known pair that isn't hot, with all of the pair's places (`total`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, lead, n = (batch.column(c).to_numpy() for c in ("pair", "key", "n"))
+            pair, lead = pair.view(np.uint64), lead.view(np.uint64)
+            mine = words.value.known(pair) & ~np.isin(lead, hot)
+            none = np.zeros(int(mine.sum()), np.int64)
+            w = [k.view(np.int64) for k in words.value.told(pair[mine])] + [none] * (DEPTH - 2)
+            bucket = (lead[mine] % np.uint64(buckets)).astype(np.int32)
+            yield pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(none > 0), "total": pa.array(none == 0)} | {f"w{k + 1}": pa.array(w[k]) for k in range(DEPTH)} | {"n": pa.array(n[mine])})
+
+    return run
+
+
+def _ending(words: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Counts of suffixes, where pairs with all of their places (`total`) stand for those of their suffixes that aren't among the others."""
+    _, of = np.unique(joined_keys(words[0], words[1]), return_inverse=True)
+    longer = np.bincount(of, np.where(total, 0, n)).astype(np.int64)
+    return np.where(total, n - longer[of], n)
+
+
 def frequent_prefixes(words: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Multikey three-way quicksort of pointers to the columns of `words` (DEPTH rows; 0 ends a suffix), each standing for n places.
 
@@ -311,12 +396,12 @@ def _sorted_buckets(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_key(batches, "bucket"):
             words = np.stack([t[f"w{k + 1}"].to_numpy().view(np.uint64) for k in range(DEPTH)])
-            n, hot = t["n"].to_numpy(), t["hot"].to_numpy()
+            n, hot, total = (t[c].to_numpy() for c in ("n", "hot", "total"))
             for mine, floor in ((~hot, least), (hot, 1)):
                 if not mine.any():
                     continue
                 w = words[:, mine]
-                for at, places, d in frequent_prefixes(w, n[mine], floor):
+                for at, places, d in frequent_prefixes(w, _ending(w, n[mine], total[mine]) if total.any() else n[mine], floor):
                     if d > 1 and len(at):
                         flat = pa.array(w[:d, at].T.reshape(-1).view(np.int64))
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(at) + 1, d, dtype=np.int32)), flat)
@@ -333,25 +418,28 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     counted = cut(docs.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()).withColumn("key", F.arrow_udf(_spelled_keys, LongType())("lang", "word")))
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
-    shared = _shared(spark, vocabulary.select("key"))
+    numbers = Numbers(vocabulary.select("key", "n"), vocabulary.count())
+    shared = spark.sparkContext.broadcast(numbers)
     n_words = languages.agg(F.sum("n")).first()[0] or 0
     bits = pair_bits(n_words)
     ranges = 1 << max((n_words // PAIR_RANGE).bit_length(), 6)
     spread = F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())
 
-    def counted_runs(*filters) -> DataFrame:
+    def counted_runs(bits: int, *filters) -> DataFrame:
         sent = docs.mapInArrow(_count_pairs(shared, bits, ranges, *filters), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-        return cut(sent.mapInArrow(_sum_pairs(least), "key long, n long").select(spread("key").alias("key"), "n"))
+        return cut(sent.mapInArrow(_sum_pairs(least), "key long, n long").select(F.col("key").alias("pair"), spread("key").alias("key"), "n"))
 
-    pairs = counted_runs()
+    pairs = counted_runs(numbers.bits)
 
     places, n_hot = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT_ROWS, 1))).first()
     hot = None if n_hot > HOT_PAIRS else pairs.where(F.col("n") > HOT_ROWS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     buckets = int(places // BUCKET_ROWS) + 1
     good_pairs = _shared(spark, pairs.select("key"))
-    good_runs = _shared(spark, counted_runs(good_pairs).select("key"))
-    columns = ", ".join(f"w{k + 1} long" for k in range(DEPTH))
-    routed = docs.mapInArrow(_suffixes(good_pairs, good_runs, bits, hot, buckets), f"bucket int, hot boolean, {columns}, n long")
+    good_runs = _shared(spark, counted_runs(bits, good_pairs).select("key"))
+    columns = "bucket int, hot boolean, total boolean, " + ", ".join(f"w{k + 1} long" for k in range(DEPTH)) + ", n long"
+    routed = docs.mapInArrow(_suffixes(good_pairs, good_runs, bits, hot, buckets, shared), columns)
+    if hot is not None:
+        routed = routed.union(pairs.mapInArrow(_known_pairs(shared, hot, buckets), columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     longer = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(least), "words array<long>, n long")
     longer = longer.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
