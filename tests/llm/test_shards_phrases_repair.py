@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import collocations, repair, sharding
+from tideline.llm import _bytes, collocations, repair, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot int, key string"
 
@@ -169,10 +169,10 @@ def test_phrases(spark, monkeypatch, hot_rows, bucket_rows, hot_pairs):
     assert got == plain_phrases(rows, 7, 40)
 
 
-@pytest.mark.parametrize("known_words", [1 << 22, 4])
-def test_tasks_send_no_suffix_that_is_counted_before(spark, monkeypatch, known_words):
-    """Pairs are counted in the second pass, so tasks send no suffixes of two words; but those of pairs with words that have no number."""
-    monkeypatch.setattr(collocations, "KNOWN_WORDS", known_words, raising=False)
+@pytest.mark.parametrize("known", [1 << 22, 30, 4])
+def test_tasks_send_no_suffix_that_is_counted_before(spark, monkeypatch, known):
+    """Pairs and runs of three are counted before, so tasks send no suffixes of two or three words; but those with words or pairs that have no number."""
+    monkeypatch.setattr(collocations, "KNOWN", known, raising=False)
     inner, sent = collocations._suffixes, spark.sparkContext.accumulator(0)
 
     def counting(*args):
@@ -180,7 +180,7 @@ def test_tasks_send_no_suffix_that_is_counted_before(spark, monkeypatch, known_w
 
         def counted(batches):
             for batch in run(batches):
-                sent.add(sum(w == 0 for w in batch["w3"].to_pylist()))
+                sent.add(sum(w == 0 for w in batch["w4"].to_pylist()))
                 yield batch
 
         return counted
@@ -189,7 +189,7 @@ def test_tasks_send_no_suffix_that_is_counted_before(spark, monkeypatch, known_w
     rows = phrase_rows(3)
     got = sorted(map(tuple, collocations.collocations(docs(spark, rows), least=7, most=1000).collect()))
     assert got == plain_phrases(rows, 7, 1000)
-    assert (sent.value == 0) == (known_words > 4)
+    assert (sent.value == 0) == (known > 30)
 
 
 class Passing:
@@ -217,6 +217,11 @@ def test_a_task_sends_each_suffix_once(monkeypatch, runs_pass, held_rows):
     assert len(got) == len(want) if held_rows > 4 else len(got) > len(want)
 
 
+def test_mixed_bits_come_back():
+    x = np.random.default_rng(3).integers(0, 1 << 64, 1000, np.uint64)
+    assert (_bytes.unmix(_bytes.mix(x)) == x).all()
+
+
 def test_covering_share_and_empty_tables(spark):
     rows = phrase_rows(2, 120)
     got = sorted(map(tuple, collocations.collocations(docs(spark, rows), least=5, most=1000, percent=60).collect()))

@@ -32,6 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_UNMIX = [np.uint64(pow(m, -1, 1 << 64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The integers that `mix` has spread."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * _UNMIX[0]
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * _UNMIX[1]
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 #: Bytes of a block, and by how many of them a range's last block keeps, the mask of its integer.
 BLOCK_BYTES = 8
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(BLOCK_BYTES)] + [2**64 - 1], np.uint64)

@@ -1,22 +1,23 @@
 """Phrases that are more frequent than their parts would make them: suffix pointers, sorted by multikey three-way quicksort.
 
 A text's pieces (between marks of punctuation and line ends) are runs of words; a phrase is a run of up to five words of a piece, and every place in a piece is
-a suffix pointer. Everything is counted by language. Four passes over the texts:
+a suffix pointer. Everything is counted by language. Five passes over the texts:
 
 1. Words are counted, exactly, by their text. From here on a word is a 64-bit key of its language and bytes.
 2. Frequent words have numbers, and pairs of neighbours that are frequent words are counted by their two numbers: exactly, and the words can be told from the count's key.
-3. Runs of three words, of which both pairs are frequent, are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is
-   too high is settled in pass 4.
-4. A suffix is cut where its next pair or run of three isn't frequent: no frequent phrase reaches beyond. What is left repeats, so a task adds up its equal suffixes
-   (HELD_ROWS of them at once) before it sends them. Most suffixes are cut after two words; no task sends these, as pass 2 has told how many places a pair has: one row of
-   each pair joins the longer suffixes, and what these leave of its places are the suffixes that end there. Suffixes are routed by their leading two words, so all
-   of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most. A partition of equal words
-   is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
-
-Buckets have a bounded size: a pair with more than HOT_ROWS places is routed by its whole suffix (those of two words too), its partial counts are kept whatever their size,
-and one more grouped sum adds them up. Frequent pairs and runs reach the tasks as Bloom filters of at most 32 MB; larger vocabularies make a filter less sharp, never wrong,
-because what passes by mistake is infrequent and abandoned in its bucket. Numbers take 32 MB at most too: of more than KNOWN_WORDS frequent words the rarer ones pass by a
-filter, and pairs with these are counted like runs and sent as suffixes. Keys of 64 bits stand for words after the first pass, so counts are exact unless two words of
+3. Runs of three words, of which both pairs are frequent, are counted in the same way, by the numbers of their two pairs.
+4. Runs of four, of which both runs of three are frequent, are counted by as many bits of their key as make 64 values for each word of the table: never too low, and what is
+   too high is settled in pass 5.
+5. A suffix is cut where its next pair, run of three or run of four isn't frequent: no frequent phrase reaches beyond. What is left repeats, so a task adds up its equal
+   suffixes (HELD_ROWS of them at once) before it sends them. Most suffixes are cut after two or three words; no task sends these, as the passes before have told how many
+   places each pair and run of three has: one row for each joins the longer suffixes, and what these leave of its places are the suffixes that end there. Suffixes are
+   routed by their leading two words, so all of a phrase's places meet in one bucket; there the pointers are sorted by multikey three-way quicksort to five words at most.
+   A partition of equal words is a phrase, and its size the phrase's count; a partition below the least count is abandoned, with all below it.
+
+Buckets have a bounded size: a pair with more than HOT_ROWS places is routed by its whole suffix (the short ones too), its partial counts are kept whatever their size,
+and one more grouped sum adds them up. Frequent runs reach the tasks as Bloom filters of at most 32 MB; more of them make a filter less sharp, never wrong,
+because what passes by mistake is infrequent and abandoned in its bucket. Numbers of words and of pairs take 32 MB at most each: beyond KNOWN the rarer ones pass by a
+filter, and what has them in it is counted by bits of a key and sent as suffixes. Keys of 64 bits stand for words after the first pass, so counts are exact unless two words of
 the table share a key. Scores are whole numbers from decimals of 38 digits.
 
 Null texts are empty, a null language is `und`. Long texts are read whole, and repeated rows count as often as they stand there; ties are ordered as the contract says, to the
@@ -51,8 +52,8 @@ HELD_ROWS = 1 << 18
 PAIR_RANGE = 1_000_000
 #: 64-bit words of a filter: so many at most (32 MB).
 FILTER_WORDS = 1 << 22
-#: Frequent words that have numbers, at most (32 MB of keys).
-KNOWN_WORDS = 1 << 22
+#: Frequent words, and frequent pairs, that have numbers, at most (32 MB of keys).
+KNOWN = 1 << 22
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(PIECE_ENDS)] = True
@@ -158,46 +159,55 @@ class Filter:
         return self.bits[(keys & np.uint64(len(self.bits) - 1)).astype(np.int64)] & mask == mask
 
 
+def _spread(key):
+    """The column of keys, their bits spread as a filter needs them."""
+    return F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())(key)
+
+
 class Numbers:
-    """The numbers of frequent words, places among their sorted keys; and keys of pairs that these make, from which both words can be told."""
+    """The numbers of frequent words (or pairs), places among their sorted keys; and keys of pairs that these make, from which both can be told.
+
+    `rows` (key, n, numbered): only the numbered ones may have numbers.
+    """
 
     SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
     GATHER = tuple(np.uint64(pow(m, -1, 1 << 64)) for m in SPREAD)
 
-    def __init__(self, words: DataFrame, count: int):
-        known = words.orderBy(F.desc("n"), "key").limit(KNOWN_WORDS) if count > KNOWN_WORDS else words
+    def __init__(self, rows: DataFrame):
+        count, can = rows.agg(F.count("*"), F.count_if("numbered")).first()
+        known = rows.where("numbered")
+        if can > KNOWN:
+            known = known.orderBy(F.desc("n"), "key").limit(KNOWN)
         self.keys = np.sort(known.select("key").toArrow()["key"].to_numpy().view(np.uint64))
-        self.rest = Filter(words.select("key"), count) if count > KNOWN_WORDS else None
+        self.rest = Filter(rows.select(_spread("key").alias("key")), count) if count > len(self.keys) else None
         self.half = np.uint64(max(len(self.keys).bit_length(), 12))
+        self.mask = np.uint64((1 << 2 * int(self.half)) - 1)
         self.bits = 2 * int(self.half) + (self.rest is not None)
 
     def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each word, -1 without one; and whether it may be frequent."""
-        if not len(self.keys):
-            return np.full(len(key), -1), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[at] == key
-        at[~known] = -1
-        return at, known if self.rest is None else known | self.rest(key)
+        number = np.full(len(key), -1)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            number = np.where(self.keys[at] == key, at, -1)
+        return number, number >= 0 if self.rest is None else (number >= 0) | self.rest(_bytes.mix(key))
 
     def pairs(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Keys of the pairs of words a and b, of the numbers i and j; those of words without a number are hashes, and beyond the others."""
-        mask = np.uint64((1 << 2 * int(self.half)) - 1)
-        x = (i.astype(np.uint64) << self.half | j.astype(np.uint64)) * np.uint64(self.SPREAD[0]) & mask
-        x = (x ^ x >> self.half) * np.uint64(self.SPREAD[1]) & mask
+        x = (i.astype(np.uint64) << self.half | j.astype(np.uint64)) * np.uint64(self.SPREAD[0]) & self.mask
+        x = (x ^ x >> self.half) * np.uint64(self.SPREAD[1]) & self.mask
         other = np.flatnonzero((i | j) < 0)
         x[other] = pair_keys(a[other], b[other], self.bits - 1) | np.uint64(1 << self.bits - 1)
         return x
 
     def known(self, pair: np.ndarray) -> np.ndarray:
-        return pair >> np.uint64(2 * int(self.half)) == 0
+        return pair <= self.mask
 
     def told(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both words of known pairs."""
-        mask = np.uint64((1 << 2 * int(self.half)) - 1)
-        x = pair * self.GATHER[1] & mask
-        x = (x ^ x >> self.half) * self.GATHER[0] & mask
-        return self.keys[x >> self.half], self.keys[x & mask >> self.half]
+        x = pair * self.GATHER[1] & self.mask
+        x = (x ^ x >> self.half) * self.GATHER[0] & self.mask
+        return self.keys[x >> self.half], self.keys[x & self.mask >> self.half]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -209,33 +219,67 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
 
 
-def _linked(key: np.ndarray, goes_on: np.ndarray, bits: int, words) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a slice's pairs of words that may be frequent, and the pairs' keys; all of its pairs, and hashes, where `words` is None."""
-    if words is None:
-        at = np.flatnonzero(goes_on[1:])
-        return at, pair_keys(key[at], key[at + 1], bits)
-    number, good = words.value(key)
-    at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
-    return at, words.value.pairs(key[at], key[at + 1], number[at], number[at + 1])
+def _frequent(key: np.ndarray, goes_on: np.ndarray, bits: int, words=None, pairs=None, runs=None, fours=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(at, key) of a slice's pairs of words that may be frequent; then, with the filter `pairs`, of runs of three, and with `runs`, of four and five words, of which both shorter runs pass.
 
+    `words` and `pairs` are `Numbers`, of which the keys are made; without `words`, `pairs` is a filter, and keys are hashes of `bits` bits, as those of longer runs are.
+    Runs of five have no key.
+    """
+    held = np.zeros(len(key) + DEPTH, bool)
+
+    def neighbours(at: np.ndarray) -> np.ndarray:
+        """The places that go on to the next one: both are in `at`."""
+        held[:] = False
+        held[at] = True
+        return at[held[at + 1]]
 
-def _count_pairs(words, bits: int, ranges: int, pairs=None):
+    if words is None:
+        at = np.flatnonzero(goes_on[1:])
+        found = pair_keys(key[at], key[at + 1], bits)
+    else:
+        number, good = words.value(key)
+        at = np.flatnonzero(good[:-1] & good[1:] & goes_on[1:])
+        found = words.value.pairs(key[at], key[at + 1], number[at], number[at + 1])
+    if pairs is None:
+        return [(at, found)]
+
+    lead = _bytes.mix(found)
+    if words is None:
+        good = pairs.value(lead)
+    else:
+        of, good = pairs.value(lead)
+        pair, number = np.zeros(len(key), np.uint64), np.full(len(key), -1)
+        pair[at], number[at] = lead, of
+    out = [(at[good], found[good])]
+    for size, passing in ((3, runs), (4, fours), (5, None)):
+        at = neighbours(out[-1][0])
+        if size == 3 and words is not None:
+            found = pairs.value.pairs(pair[at], pair[at + 1], number[at], number[at + 1])
+        elif size == 3:
+            found = run_keys(key[at], key[at + 1], key[at + 2], bits)
+        else:
+            found = run_keys(joined_keys(key[at], key[at + 1]), key[at + 2], key[at + 3], bits) if size == 4 else at
+        if passing is not None:
+            good = passing.value(_bytes.mix(found))
+            at, found = at[good], found[good]
+        out.append((at, found))
+        if runs is None:
+            break
+    return out
+
+
+def _count_runs(words, bits: int, key_bits: int, ranges: int, *filters):
     """bucket, keys, n of a slice's distinct pairs of frequent words: a row for each range of keys, with the differences of neighbouring keys, and counts.
 
-    With the filter `pairs`, those of its runs of three words of which both pairs pass. `bits`: those of a key.
+    With filters, those of its runs of three or four words of which both shorter runs pass. `key_bits`: those of a key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
-                at, found = _linked(key, goes_on, bits, words)
-                if pairs is not None:
-                    linked = np.zeros(len(key) + 1, bool)
-                    linked[at] = pairs.value(_bytes.mix(found))
-                    at = np.flatnonzero(linked[:-1] & linked[1:])
-                    found = run_keys(key[at], key[at + 1], key[at + 2], bits)
+                _, found = _frequent(key, goes_on, bits, words, *filters)[len(filters)]
                 found, n = np.unique(found, return_counts=True)
-                bucket = (found >> np.uint64(bits - ranges.bit_length() + 1)).astype(np.int64)
+                bucket = (found >> np.uint64(key_bits - ranges.bit_length() + 1)).astype(np.int64)
                 begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(found) else np.zeros(0, np.int64)
                 step = np.diff(found, prepend=np.uint64(0))
                 step[begin] = found[begin]
@@ -263,29 +307,26 @@ def _sum_pairs(least: int):
     return run
 
 
-def _slice_suffixes(key: np.ndarray, goes_on: np.ndarray, pairs, runs, bits: int, words=None, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whole, words, n): keys, words (DEPTH columns; 0: no word) and counts of a slice's distinct suffixes of two words or more, cut where a pair or a run of three doesn't pass its filter.
+def _slice_suffixes(key: np.ndarray, goes_on: np.ndarray, pairs, runs, bits: int, words=None, fours=None, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, words, n): keys, words (DEPTH columns; 0: no word) and counts of a slice's distinct suffixes of two words or more, cut where a pair or a longer run doesn't pass its filter.
 
-    Without those of two words that `words` knows and that aren't hot: `_known_pairs` has these.
+    Without those of two and three words that have been counted by numbers and don't begin with a hot pair: `_counted` has these.
     """
-    n = len(key)
-    linked = np.zeros(n + DEPTH, bool)  # whether a place goes on to the next by a pair that may be frequent
-    at, pair = _linked(key, goes_on, bits, words)
-    lead = _bytes.mix(pair)
-    passed = pairs.value(lead)
-    at, pair, lead = at[passed], pair[passed], lead[passed]
-    linked[at] = True
-    run = linked.copy()  # whether it goes on to the one after that, by a run that may be frequent
-    run[:-1] &= linked[1:]
-    three = np.flatnonzero(run)
-    run[three] = runs.value(_bytes.mix(run_keys(key[three], key[three + 1], key[three + 2], bits)))
+    (at, pair), (three, run), (four, _), (five, _) = _frequent(key, goes_on, bits, words, pairs, runs, fours)
+    size = np.zeros(len(key), np.int8)  # words of the suffix at each place
+    for k, places in enumerate((at, three, four, five)):
+        size[places] = k + 2
     if words is not None and hot is not None:
-        at = at[run[at] | ~words.value.known(pair) | np.isin(lead, hot)]
+        new = ~words.value.known(pair) | np.isin(_bytes.mix(pair), hot)  # to be sent whatever their length
+        alone = np.ones(len(key), bool)
+        alone[three] = ~pairs.value.known(run)
+        at = at[new | np.where(size[at] == 3, alone[at], size[at] > 3)]
+    size = size[at]
     w = np.zeros((len(at), DEPTH), np.uint64)
-    w[:, 0], w[:, 1], goes = key[at], key[at + 1], np.ones(len(at), bool)
+    w[:, 0], w[:, 1] = key[at], key[at + 1]
     whole = joined_keys(w[:, 0], w[:, 1])
     for k in range(2, DEPTH):
-        goes &= run[at + k - 2]
+        goes = size > k
         w[goes, k] = key[at[goes] + k]
         whole = joined_keys(whole, w[:, k])
     whole, one, count = np.unique(whole, return_index=True, return_counts=True)
@@ -298,7 +339,7 @@ def _added_up(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole, np.concatenate([p[1] for p in parts])[one], np.bincount(of, np.concatenate([p[2] for p in parts]), len(whole)).astype(np.int64)
 
 
-def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int, words=None):
+def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int, words=None, fours=None):
     """bucket, hot, total, w1 to w5, n of a task's suffixes (`_slice_suffixes`), equal ones added up as far as HELD_ROWS reach."""
 
     def sent(parts: list[tuple]) -> pa.RecordBatch:
@@ -316,7 +357,7 @@ def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int, word
         held: list[tuple] = []
         for batch in batches:
             for _, _, _, key, goes_on, _, _ in _words(batch):
-                held.append(_slice_suffixes(key, goes_on, pairs, runs, bits, words, hot))
+                held.append(_slice_suffixes(key, goes_on, pairs, runs, bits, words, fours, hot))
                 if sum(len(h[0]) for h in held) > HELD_ROWS:
                     held = [_added_up(held)]
                     if len(held[0][0]) > HELD_ROWS // 2:  # too many differ
@@ -328,27 +369,38 @@ def _suffixes(pairs, runs, bits: int, hot: np.ndarray | None, buckets: int, word
     return run
 
 
-def _known_pairs(words, hot: np.ndarray, buckets: int):
-    """Rows like those of `_suffixes`, one of each known pair that isn't hot, with all of the pair's places (`total`)."""
+def _counted(words, pairs, hot: np.ndarray, buckets: int):
+    """Rows like those of `_suffixes`, one of each pair (with `pairs`: run of three) that numbers tell and that doesn't begin with a hot pair, with all of its places (`total`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair, lead, n = (batch.column(c).to_numpy() for c in ("pair", "key", "n"))
-            pair, lead = pair.view(np.uint64), lead.view(np.uint64)
-            mine = words.value.known(pair) & ~np.isin(lead, hot)
+            found, n = batch.column("found").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            known = (words if pairs is None else pairs).value.known(found)
+            found, n = found[known], n[known]
+            if pairs is None:
+                lead = _bytes.mix(found)
+                w = [*words.value.told(found)]
+            else:
+                lead, second = pairs.value.told(found)
+                w = [*words.value.told(_bytes.unmix(lead)), words.value.told(_bytes.unmix(second))[1]]
+            mine = ~np.isin(lead, hot)
             none = np.zeros(int(mine.sum()), np.int64)
-            w = [k.view(np.int64) for k in words.value.told(pair[mine])] + [none] * (DEPTH - 2)
+            columns = [k[mine].view(np.int64) for k in w] + [none] * (DEPTH - len(w))
             bucket = (lead[mine] % np.uint64(buckets)).astype(np.int32)
-            yield pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(none > 0), "total": pa.array(none == 0)} | {f"w{k + 1}": pa.array(w[k]) for k in range(DEPTH)} | {"n": pa.array(n[mine])})
+            yield pa.record_batch({"bucket": pa.array(bucket), "hot": pa.array(none > 0), "total": pa.array(none == 0)} | {f"w{k + 1}": pa.array(c) for k, c in enumerate(columns)} | {"n": pa.array(n[mine])})
 
     return run
 
 
 def _ending(words: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Counts of suffixes, where pairs with all of their places (`total`) stand for those of their suffixes that aren't among the others."""
-    _, of = np.unique(joined_keys(words[0], words[1]), return_inverse=True)
-    longer = np.bincount(of, np.where(total, 0, n)).astype(np.int64)
-    return np.where(total, n - longer[of], n)
+    """Counts of suffixes, where runs with all of their places (`total`) stand for those of their suffixes that aren't among the others: of three words, then of two."""
+    n, size = n.copy(), np.where(total, np.where(words[2] == 0, 2, 3), DEPTH + 1)
+    for k in (3, 2):
+        begins = joined_keys(words[0], words[1])
+        _, of = np.unique(begins if k == 2 else joined_keys(begins, words[2]), return_inverse=True)
+        longer = np.bincount(of, np.where(size > k, n, 0)).astype(np.int64)
+        n = np.where(size == k, n - longer[of], n)
+    return n
 
 
 def frequent_prefixes(words: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -418,28 +470,30 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     counted = cut(docs.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()).withColumn("key", F.arrow_udf(_spelled_keys, LongType())("lang", "word")))
     languages, vocabulary = counted.where("word is null").select("lang", "n"), counted.where("word is not null")
 
-    numbers = Numbers(vocabulary.select("key", "n"), vocabulary.count())
-    shared = spark.sparkContext.broadcast(numbers)
     n_words = languages.agg(F.sum("n")).first()[0] or 0
     bits = pair_bits(n_words)
     ranges = 1 << max((n_words // PAIR_RANGE).bit_length(), 6)
-    spread = F.arrow_udf(lambda key: pa.array(_bytes.mix(key.to_numpy().view(np.uint64)).view(np.int64)), LongType())
 
-    def counted_runs(bits: int, *filters) -> DataFrame:
-        sent = docs.mapInArrow(_count_pairs(shared, bits, ranges, *filters), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-        return cut(sent.mapInArrow(_sum_pairs(least), "key long, n long").select(F.col("key").alias("pair"), spread("key").alias("key"), "n"))
+    def counted_runs(key_bits: int, *filters) -> DataFrame:
+        sent = docs.mapInArrow(_count_runs(words, bits, key_bits, ranges, *filters), "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+        return cut(sent.mapInArrow(_sum_pairs(least), "key long, n long").select(F.col("key").alias("found"), _spread("key").alias("key"), "n"))
 
-    pairs = counted_runs(numbers.bits)
+    words = Numbers(vocabulary.select("key", "n", F.lit(True).alias("numbered")))
+    word_bits, all_told, words = words.bits, int(words.mask), spark.sparkContext.broadcast(words)
+    pairs = counted_runs(word_bits)
 
     places, n_hot = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT_ROWS, 1))).first()
     hot = None if n_hot > HOT_PAIRS else pairs.where(F.col("n") > HOT_ROWS).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     buckets = int(places // BUCKET_ROWS) + 1
-    good_pairs = _shared(spark, pairs.select("key"))
-    good_runs = _shared(spark, counted_runs(bits, good_pairs).select("key"))
+    good_pairs = Numbers(pairs.select("key", "n", (F.col("found") <= all_told).alias("numbered")))
+    run_bits, good_pairs = good_pairs.bits, spark.sparkContext.broadcast(good_pairs)
+    runs = counted_runs(run_bits, good_pairs)
+    good_runs = _shared(spark, runs.select("key"))
+    good_fours = _shared(spark, counted_runs(bits, good_pairs, good_runs).select("key"))
     columns = "bucket int, hot boolean, total boolean, " + ", ".join(f"w{k + 1} long" for k in range(DEPTH)) + ", n long"
-    routed = docs.mapInArrow(_suffixes(good_pairs, good_runs, bits, hot, buckets, shared), columns)
+    routed = docs.mapInArrow(_suffixes(good_pairs, good_runs, bits, hot, buckets, words, good_fours), columns)
     if hot is not None:
-        routed = routed.union(pairs.mapInArrow(_known_pairs(shared, hot, buckets), columns))
+        routed = routed.union(pairs.mapInArrow(_counted(words, None, hot, buckets), columns)).union(runs.mapInArrow(_counted(words, good_pairs, hot, buckets), columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     longer = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(least), "words array<long>, n long")
     longer = longer.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
