@@ -175,7 +175,7 @@ def stored_media(spark, v):
     path = IO.shared_folder(spark)
     kinds = F.when(F.col("video_id").cast("long") % 2 == 0, F.array(F.lit("mp4"), F.lit("webm"), F.lit("txt"))).otherwise(F.array(F.lit("mp4"), F.lit("txt")))
     files = v.select(F.concat(F.lit("v"), "video_id").alias("stem"), F.explode(kinds).alias("e"), F.lit("x").alias("body"))
-    IO.write_each(files.select(F.concat_ws(".", "stem", "e").alias("file"), "body"), "file", "text", path)
+    IO.write_files(files.select(F.concat_ws(".", "stem", "e").alias("file"), "body"), path)
     return IO.media_inventory(spark, path).select(F.regexp_replace("stem", "^file=", "").alias("stem"), "ext")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import batched
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,90 @@ def write_each(df: DataFrame, by: str, form: str, path: str, **options) -> None:
     d.write.partitionBy(by).options(**{"mapreduce.fileoutputcommitter.algorithm.version": "2"}, **options).format(form).save(path)
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """`path` in the file system that driver and executors have mounted; None if it is in another store, which only Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """A file for each row of `file` (its name) and `body` (its line), in a new folder `path`.
+
+    Spark's writer starts up to four processes (chmod) for a file of a mounted folder, so tasks write there themselves, each to a folder of its own. A row's task goes by a
+    hash, so a task that runs again writes the same bytes to the same place, and doesn't empty the file first. In other stores each file is a folder by Spark's writer.
+    """
+    folder = mounted(df.sparkSession, path)
+    if folder is None:
+        return write_each(df, "file", "text", path)
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        for b in batches:
+            os.makedirs(here, exist_ok=True)
+            for name, body in zip(b.column("file").to_pylist(), b.column("body").to_pylist()):
+                with open(f"{here}/{name}", "wb", opener=lambda f, flags: os.open(f, flags & ~os.O_TRUNC, 0o666)) as f:
+                    f.write(f"{body}\n".encode())
+            yield pa.RecordBatch.from_pydict({"files": [b.num_rows]})
+
+    d = df.select("file", "body").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("file"))
+    d.mapInArrow(run, "files long").write.format("noop").mode("overwrite").save()
+
+
+def _hidden(name: bytes) -> bool:
+    """Names that Spark's readers leave out."""
+    return name.startswith(b".") or (name.startswith(b"_") and b"=" not in name) or name.endswith(b"._COPYING_")
+
+
+def _opened(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of files as they are, and in place of a folder's row its files and folders, or all files below it if `deep`."""
+    kinds = pa.schema([("path", pa.binary()), ("length", pa.int64()), ("folder", pa.bool_())])
+
+    def inside(root: bytes) -> Iterator[tuple[bytes, int, bool]]:
+        left = [root]
+        while left:
+            with os.scandir(left.pop()) as found:
+                for e in found:
+                    if _hidden(e.name):
+                        continue
+                    if e.is_dir():
+                        if deep:
+                            left.append(e.path)
+                        else:
+                            yield e.path, 0, True
+                        continue
+                    try:
+                        length = e.stat().st_size
+                    except FileNotFoundError:  # a link to nothing, or gone by now
+                        continue
+                    if length:
+                        yield e.path, length, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for r in zip(*[b.column(c).to_pylist() for c in kinds.names]) for x in (inside(r[0]) if r[2] else (r,)))
+        for some in batched(rows, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds.types)], schema=kinds)
+
+    return run
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length of the files below `path` that Spark's readers see (not hidden, not empty). Contents aren't read.
+
+    Tasks list a mounted folder, one or more of its folders each, so no list of all files is in the driver. In other stores Spark's reader lists, which holds one there.
+    """
+    folder = mounted(spark, path)
+    if folder is None or not os.path.isdir(folder):  # the reader takes a pattern or one file too
+        with few_listers(spark):
+            return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    schema = "path binary, length long, folder boolean"
+    root = spark.range(0, 1, 1, 1).select(F.lit(folder).cast("binary").alias("path"), F.lit(0).cast("long").alias("length"), F.lit(True).alias("folder"))
+    top = root.mapInArrow(_opened(False), schema)
+    every = top.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_opened(True), schema)
+    return every.select(F.concat(F.lit("file:"), F.col("path").cast("string")).alias("path"), "length")
+
+
 @contextmanager
 def few_listers(spark: SparkSession) -> Iterator[None]:
     """Folders are listed by a few tasks a core with many folders each, and not by a task a folder."""
@@ -153,9 +241,9 @@ def nested_results(clips: DataFrame) -> DataFrame:
 
 
 def media_inventory(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("webm", "mp4")) -> DataFrame:
-    """stem, ext, path, length: one file a stem by priority of extension. File contents aren't read."""
-    with few_listers(spark):
-        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    d = d.select("path", "length", F.regexp_extract("path", r"([^/]+)\.([a-z0-9]+)/[^/]+$", 1).alias("stem"), F.regexp_extract("path", r"([^/]+)\.([a-z0-9]+)/[^/]+$", 2).alias("ext")).where(F.col("ext").isin(*extensions))
+    """stem, ext, path, length: one file a stem by priority of extension. A file is one of that name, or Spark's file in a folder of that name. File contents aren't read."""
+    last, above = F.substring_index("path", "/", -1), F.substring_index(F.substring_index("path", "/", -2), "/", 1)
+    d = list_files(spark, path).withColumn("name", F.when(last.rlike(r"^part-\d+-[-0-9a-f]{36}"), above).otherwise(last))  # cut first: a pattern over a whole path tries each of its places
+    d = d.select("path", "length", *[F.regexp_extract("name", r"^([^/]+)\.([a-z0-9]+)$", k).alias(c) for k, c in ((1, "stem"), (2, "ext"))]).where(F.col("ext").isin(*extensions))
     order = F.array_position(F.array(*map(F.lit, extensions)), F.col("ext"))
     return d.withColumn("r", F.row_number().over(Window.partitionBy("stem").orderBy(order, "path"))).where("r = 1").drop("r")
