@@ -51,7 +51,7 @@ def mounted(spark: SparkSession, path: str) -> str | None:
 def write_files(df: DataFrame, path: str) -> None:
     """A file for each row of `file` (its name) and `body` (its line), in a new folder `path`.
 
-    Spark's writer starts up to four processes (chmod) for a file of a mounted folder, so tasks write there themselves, each to a folder of its own. A row's task goes by a
+    Spark's writer starts four processes (chmod) for a file of a mounted folder, so tasks write there themselves, each to a folder of its own. A row's task goes by a
     hash, so a task that runs again writes the same bytes to the same place, and doesn't empty the file first. In other stores each file is a folder by Spark's writer.
     """
     folder = mounted(df.sparkSession, path)
